@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import fixtures as X
 from driftwarden.functions import buckets, coercion
@@ -426,8 +427,12 @@ def heal_coerced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coerced(text: DataFrame, target: str, options: Options = Options()) -> DataFrame:
-    result = coerce(F.col("txt"), text.schema["txt"].dataType, target, options)
-    failed = coercion.losing(F.col("txt"), text.schema["txt"].dataType, target, options)
+    data_type = text.schema["txt"].dataType
+    number = None
+    if isinstance(data_type, T.StringType):
+        text, number = coercion.with_numbers(text, ["txt"]), F.col(coercion.number_column("txt"))
+    result = coerce(F.col("txt"), data_type, target, options, number)
+    failed = coercion.losing(F.col("txt"), data_type, target, options, number)
     failed = failed if failed is not None else F.lit(False)
     return text.groupBy("txt", result.alias("result")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed")

@@ -6,7 +6,7 @@ the caller compares ``present`` before and after to find the failures.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,6 @@ from driftwarden.options import Options
 
 # The text forms read as numbers, booleans and infinities.
 NUMBER = r"^[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*$"
-WHOLE_NUMBER = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
 INFINITY = r"^[ \t]*[+-]?(inf|infinity)[ \t]*$"
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
 FALSE_WORDS = ("false", "0", "no", "n", "f")
@@ -42,21 +41,48 @@ def stripped(text: Column) -> Column:
     return F.trim(text, F.lit(" \t"))
 
 
-def text_to_float(text: Column, allow_inf: bool = False) -> Column:
-    parsed = F.when(text.rlike(NUMBER), stripped(text).try_cast("double"))
+def text_number(text: Column) -> Column:
+    """The number a text spells, or null. Overflowing literals such as 1e999 give infinity.
+
+    This is the only regular expression of the numeric conversions. Callers that use it more than
+    once per value add it as a column of its own first (``with_numbers``), so that it runs once.
+    """
+    return F.when(text.rlike(NUMBER), stripped(text)).try_cast("double")
+
+
+def text_to_float(text: Column, number: Column, allow_inf: bool = False) -> Column:
     if not allow_inf:
-        # a literal such as 1e999 overflows to infinity: no better than the word "inf"
-        return F.when(F.abs(parsed) < float("inf"), parsed)
+        return F.when(F.abs(number) < float("inf"), number)
     spelled = F.lower(text).rlike(INFINITY)
     sign = F.when(stripped(text).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(spelled, sign).otherwise(parsed)
+    return F.coalesce(number, F.when(spelled, sign))
 
 
-def text_to_integer(text: Column) -> Column:
-    number = text_to_float(text)
+def text_to_integer(text: Column, number: Column) -> Column:
+    # text that spells a number casts to bigint exactly when it has no fraction and no exponent
+    exact = stripped(text).try_cast("bigint")
     whole = (number == F.floor(number)) & (F.abs(number) <= EXACT_LIMIT)
-    exact = F.when(text.rlike(WHOLE_NUMBER), stripped(text).try_cast("bigint"))
-    return F.coalesce(exact, F.when(whole, number.try_cast("bigint")))
+    return F.when(number.isNotNull(), F.coalesce(exact, F.when(whole, number.try_cast("bigint"))))
+
+
+def looks_integer(text: Column, number: Column) -> Column:
+    """Digits only, and small enough for a bigint."""
+    return number.isNotNull() & stripped(text).try_cast("bigint").isNotNull()
+
+
+def looks_float(text: Column, number: Column) -> Column:
+    return number.isNotNull() | F.lower(text).rlike(INFINITY)
+
+
+def number_column(column: str) -> str:
+    return f"_number_{column}"
+
+
+def with_numbers(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """Add the parsed number of some text columns, for the expressions of the next step."""
+    if not columns:
+        return frame
+    return frame.withColumns({number_column(c): text_number(named(c)) for c in columns})
 
 
 def text_to_boolean(text: Column) -> Column:
@@ -85,10 +111,13 @@ def as_text(value: Column, data_type: T.DataType) -> Column:
     return F.when(present(value, data_type), value.cast("string"))
 
 
-def coerce(value: Column, data_type: T.DataType, target: str, options: Options) -> Column:
+def coerce(
+    value: Column, data_type: T.DataType, target: str, options: Options, number: Column | None = None
+) -> Column:
     """``value`` moved toward the bucket ``target``; null where it does not fit.
 
-    A target without a conversion leaves the value as it is.
+    A target without a conversion leaves the value as it is. ``number`` is the already parsed
+    number of a text value.
     """
     source = bucket_of(data_type)
     if source == target or target not in COERCIBLE:
@@ -128,9 +157,10 @@ def coerce(value: Column, data_type: T.DataType, target: str, options: Options)
         }[target]()
 
     text = value if source == STRING else as_text(value, data_type)
+    parsed = text_number(text) if number is None else number
     return {
-        INTEGER: lambda: text_to_integer(text),
-        FLOAT: lambda: text_to_float(text, options.allow_inf),
+        INTEGER: lambda: text_to_integer(text, parsed),
+        FLOAT: lambda: text_to_float(text, parsed, options.allow_inf),
         BOOLEAN: lambda: text_to_boolean(text),
         DATETIME: lambda: text_to_datetime(text, options.datetime_formats),
     }[target]()
@@ -151,13 +181,13 @@ _NEVER_LOSES = {
 }
 
 
-def losing(value: Column, data_type: T.DataType, target: str, options: Options) -> Column | None:
+def losing(
+    value: Column, data_type: T.DataType, target: str, options: Options, number: Column | None = None
+) -> Column | None:
     """Condition "present before, null after", or None where that cannot happen."""
     source = bucket_of(data_type)
     if source in (target, UNKNOWN) or target not in COERCIBLE or target == STRING:
         return None
     if (source, target) in _NEVER_LOSES:
         return None
-    before = present(value, data_type)
-    after = coerce(value, data_type, target, options)
-    return before & ~present(after, _TARGET_TYPES[target])
+    return present(value, data_type) & coerce(value, data_type, target, options, number).isNull()

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions import wording as W
-from driftwarden.functions.buckets import STRING, UNKNOWN, bucket_of, canonical_type
-from driftwarden.functions.coercion import as_text, coerce, named, present
+from driftwarden.functions.buckets import FLOAT, INTEGER, STRING, UNKNOWN, bucket_of, canonical_type
+from driftwarden.functions.coercion import as_text, coerce, named, number_column, present, with_numbers
 from driftwarden.operators import drift
 from driftwarden.operators.joins import bounded_join
 from driftwarden.options import Options
@@ -185,7 +185,22 @@ class Healing:
             return raw, data_type
         if bucket == UNKNOWN:
             return F.lit(None).cast("string"), T.StringType()
-        return coerce(raw, data_type, bucket, self.options.but(allow_inf=True)), canonical_type(bucket)
+        options = self.options.but(allow_inf=True)
+        return coerce(raw, data_type, bucket, options, self._number(piece, column)), canonical_type(bucket)
+
+    def _number(self, piece: Piece, column: str) -> Column | None:
+        """The parsed number of a text column, added to the rows by ``_rows``."""
+        return named(number_column(column)) if bucket_of(piece.type_of(column)) == STRING else None
+
+    def _numeric(self, index: int) -> list[str]:
+        """Text columns of a layout that some batch reads or coerces as numbers."""
+        piece, found = self.pieces[index], []
+        for column in piece.columns:
+            buckets = {b for m in self.moves.get((index, column), []) for b in (m.observed, m.target)}
+            buckets |= self.seen_as[index, column]
+            if self._number(piece, column) is not None and {INTEGER, FLOAT} & buckets:
+                found.append(column)
+        return found
 
     def _by_move(
         self, index: int, column: str, moves: list[Move], made: Callable[[Move], Column]
@@ -208,7 +223,7 @@ class Healing:
 
         def made(move: Move) -> Column:
             value, now = self._read_as(piece, column, move.observed)
-            value = coerce(value, now, move.target, self.options)
+            value = coerce(value, now, move.target, self.options, self._number(piece, column))
             now = now if bucket_of(now) == move.target else canonical_type(move.target)
             if bucket_of(now) != bucket:
                 value = as_text(value, now)
@@ -227,8 +242,8 @@ class Healing:
 
             def lost(move: Move, column: str = column) -> Column:
                 value, now = self._read_as(piece, column, move.observed)
-                after = coerce(value, now, move.target, self.options)
-                return present(named(column), piece.type_of(column)) & ~present(after, canonical_type(move.target))
+                after = coerce(value, now, move.target, self.options, self._number(piece, column))
+                return present(named(column), piece.type_of(column)) & after.isNull()
 
             condition = self._by_move(index, column, mended, lost)
             found.append((column, F.coalesce(condition, F.lit(False))))
@@ -264,9 +279,11 @@ class Healing:
             )
         elif not extra:
             if every:
-                return piece.frame
-            return bounded_join(piece.frame, facts, [SOURCE, BATCH], self.options, "left_semi")
-        return bounded_join(piece.frame, facts, [SOURCE, BATCH], self.options)
+                return with_numbers(piece.frame, self._numeric(index))
+            joined = bounded_join(piece.frame, facts, [SOURCE, BATCH], self.options, "left_semi")
+            return with_numbers(joined, self._numeric(index))
+        joined = bounded_join(piece.frame, facts, [SOURCE, BATCH], self.options)
+        return with_numbers(joined, self._numeric(index))
 
     def _has(self, index: int, *dispositions: str, lossy: bool | None = None) -> bool:
         return any(d in dispositions and lossy in (None, has) for d, has in self.fates.get(index, ()))
@@ -345,6 +362,7 @@ class Healing:
                     continue
                 about = facts.where((F.col("piece") == index) & F.col("_type").isin(*kinds)).drop("piece")
                 rows = bounded_join(frame_of.frame, about, [SOURCE, BATCH], self.options)
+                rows = with_numbers(rows, [c for c in frame_of.inferred if TOKENS not in frame_of.frame.columns])
                 parts.append(rows.select(
                     F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"),
                     F.lit(None).cast("string").alias("column_name"),

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from driftwarden.functions.buckets import (
     BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, UNKNOWN,
 )
-from driftwarden.functions.coercion import losing, named, present
+from driftwarden.functions.coercion import losing, named, number_column, present, with_numbers
 from driftwarden.options import Options
 from driftwarden.sources.pieces import BATCH, ERROR, SOURCE, Piece
 
 LOSS_TARGETS = (INTEGER, FLOAT, BOOLEAN, DATETIME)
+INFERABLE = (INTEGER, FLOAT, BOOLEAN)
 _CELL = "struct<column:string,ordinal:int,bucket:string,present:bigint,lost:map<string,bigint>>"
 
 
@@ -36,7 +37,7 @@ def loss_targets(
     for piece in pieces:
         for column in piece.columns:
             bucket = piece.declared_bucket(column)
-            targets.setdefault(column, set()).update(LOSS_TARGETS if bucket is None else {bucket})
+            targets.setdefault(column, set()).update(INFERABLE if bucket is None else {bucket})
     return targets
 
 
@@ -60,21 +61,28 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
         counters.append(F.min(ERROR).alias("error"))
         error = F.col("error")
 
-    cells = []
+    cells, parsed = [], []
+    guessed: dict[str, Column] = {}
     for i, column in enumerate(piece.columns):
         wanted = sorted(t for t in targets[column] if t in LOSS_TARGETS)
         if column in piece.inferred:
+            parsed.append(column)
+            guessed[f"c{i}_bucket"] = _guess(i)
             counters += _inferred_counters(i, piece, column, wanted, options)
             cells.append(_inferred_cell(i, piece, column, wanted, options))
         else:
+            if piece.declared_bucket(column) == STRING and {INTEGER, FLOAT} & set(wanted):
+                parsed.append(column)
             made, cell = _declared_cell(i, piece, column, wanted, options)
             counters += made
             cells.append(cell)
 
     observed = F.array(*cells) if cells else F.array().cast(f"array<{_CELL}>")
     return (
-        piece.frame.groupBy(SOURCE, BATCH)
+        with_numbers(piece.frame, parsed)
+        .groupBy(SOURCE, BATCH)
         .agg(*counters)
+        .withColumns(guessed)
         .select(
             SOURCE, BATCH, F.lit(index).alias("piece"), "n_rows", error.alias("error"),
             F.filter(observed, lambda cell: cell["bucket"].isNotNull()).alias("observed"),
@@ -95,8 +103,9 @@ def _declared_cell(
 ) -> tuple[list[Column], Column]:
     data_type, bucket = piece.type_of(column), piece.declared_bucket(column)
     counters, lost = [], []
+    number = named(number_column(column)) if bucket == STRING else None
     for target in wanted:
-        condition = losing(named(column), data_type, target, options)
+        condition = losing(named(column), data_type, target, options, number)
         if condition is None:
             continue
         counters.append(_count(condition).alias(f"c{i}_lost_{target}"))
@@ -109,22 +118,28 @@ def _inferred_counters(
     i: int, piece: Piece, column: str, wanted: list[str], options: Options
 ) -> list[Column]:
     text, data_type = named(column), piece.type_of(column)
+    number = named(number_column(column))
     counters = [_count(present(text, data_type)).alias(f"c{i}_present")]
-    counters += [_count(cond).alias(f"c{i}_like_{b}") for b, cond in piece.looks(column).items()]
+    counters += [_count(cond).alias(f"c{i}_like_{b}") for b, cond in piece.looks(column, number).items()]
     seen = piece.seen(column)
     if seen is not None:
         counters.append(_count(seen).alias(f"c{i}_seen"))
     for target in wanted:
-        counters.append(_count(losing(text, data_type, target, options)).alias(f"c{i}_lost_{target}"))
+        counters.append(_count(losing(text, data_type, target, options, number)).alias(f"c{i}_lost_{target}"))
     return counters
 
 
-def _inferred_cell(i: int, piece: Piece, column: str, wanted: list[str], options: Options) -> Column:
+def _guess(i: int) -> Column:
+    """The narrowest bucket that all present values of a batch look like."""
     count = F.col(f"c{i}_present")
     bucket = F.when(count == 0, F.lit(UNKNOWN))
     for guess in (INTEGER, FLOAT, BOOLEAN):
         bucket = bucket.when(F.col(f"c{i}_like_{guess}") == count, F.lit(guess))
-    bucket = bucket.otherwise(F.lit(STRING))
+    return bucket.otherwise(F.lit(STRING))
+
+
+def _inferred_cell(i: int, piece: Piece, column: str, wanted: list[str], options: Options) -> Column:
+    count, bucket = F.col(f"c{i}_present"), F.col(f"c{i}_bucket")
     lost = []
     for target in wanted:
         lost += [F.lit(target), _lost_as(bucket, target, count, F.col(f"c{i}_lost_{target}"), options)]
@@ -159,13 +174,15 @@ def type_counts(piece: Piece, options: Options) -> DataFrame:
             F.col(f"c{i}_like_{FLOAT}").alias("n_float"),
             F.col(f"c{i}_like_{BOOLEAN}").alias("n_boolean"),
             (F.col(f"c{i}_present") - F.col(f"c{i}_lost_{DATETIME}")).alias("n_datetime"),
-            _inferred_cell(i, piece, column, [], options)["bucket"].alias("bucket"),
+            F.col(f"c{i}_bucket").alias("bucket"),
         )
         for i, column in enumerate(piece.inferred)
     ]
     return (
-        piece.frame.groupBy(SOURCE, BATCH)
+        with_numbers(piece.frame, list(piece.inferred))
+        .groupBy(SOURCE, BATCH)
         .agg(*counters)
+        .withColumns({f"c{i}_bucket": _guess(i) for i in range(len(piece.inferred))})
         .select(SOURCE, BATCH, "n_rows", F.explode(F.array(*cells)).alias("cell"))
         .select(SOURCE, BATCH, "n_rows", "cell.*")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions import buckets
-from driftwarden.functions.coercion import INFINITY, NUMBER, WHOLE_NUMBER, named
+from driftwarden.functions.coercion import looks_float, looks_integer, named
 
 SOURCE, BATCH, ERROR, TOKENS = "_source", "_batch", "_error", "_tokens"
 RESERVED = (SOURCE, BATCH, ERROR, TOKENS)
@@ -70,7 +70,7 @@ class Piece:
             return F.map_contains_key(F.col(TOKENS), F.lit(column))
         return None
 
-    def looks(self, column: str) -> dict[str, Column]:
+    def looks(self, column: str, number: Column) -> dict[str, Column]:
         """Conditions by which one value of an inferred column looks like a bucket."""
         if self.inferred[column] == "json":
             token = F.schema_of_variant(F.col(TOKENS)[F.lit(column)])
@@ -82,8 +82,8 @@ class Piece:
             }
         text = named(column)
         return {
-            buckets.INTEGER: text.rlike(WHOLE_NUMBER) & F.trim(text).try_cast("bigint").isNotNull(),
-            buckets.FLOAT: text.rlike(NUMBER) | F.lower(text).rlike(INFINITY),
+            buckets.INTEGER: looks_integer(text, number),
+            buckets.FLOAT: looks_float(text, number),
             buckets.BOOLEAN: text.isin(*BOOLEAN_WORDS),
         }
 
