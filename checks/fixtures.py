@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from driftwarden.operators.joins import bounded_join
+from driftwarden.options import Options
+from driftwarden.sources.batching import positions
 from driftwarden.sources.pieces import Piece, tag
 
 BATCHES = 10
@@ -95,11 +97,13 @@ def quarantine_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions per brand, numbered by part key."""
-    numbered = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").select(
+    """Versions per brand, numbered by part key: the position in the total order, less the brand's first."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_type", "p_size")
+    placed = positions(parts, "pos", ["p_brand", "p_partkey"])
+    first = placed.groupBy("p_brand").agg(F.min("pos").alias("first"))
+    return bounded_join(placed, first, ["p_brand"], Options()).select(
         F.col("p_brand").alias("source_name"),
-        numbered.alias("version"),
+        (F.col("pos") - F.col("first") + 1).cast("int").alias("version"),
         F.concat_ws(":", "p_type", F.col("p_size").cast("string")).alias("schema_json"),
     )
 

@@ -33,6 +33,7 @@ _JSON = {
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
+_FEW = 500  # batch keys that are passed to a scan as a filter
 QUARANTINED = """
     source_name string, batch_id string, column_name string, record_json string,
     error_type string, error_detail string, root_cause_hint string, schema_version int
@@ -280,11 +281,19 @@ class Healing:
         elif not extra:
             if every:
                 return with_numbers(piece.frame, self._numeric(index))
-            joined = bounded_join(piece.frame, facts, [SOURCE, BATCH], self.options, "left_semi")
+            joined = bounded_join(self._narrowed(piece.frame, facts), facts, [SOURCE, BATCH], self.options, "left_semi")
             return with_numbers(joined, self._numeric(index))
-        joined = bounded_join(piece.frame, facts, [SOURCE, BATCH], self.options)
+        frame = piece.frame if every else self._narrowed(piece.frame, facts)
+        joined = bounded_join(frame, facts, [SOURCE, BATCH], self.options)
         return with_numbers(joined, self._numeric(index))
 
+    def _narrowed(self, frame: DataFrame, facts: DataFrame) -> DataFrame:
+        """Rows of few batches are asked for by key, so that a scan can skip the other files."""
+        keys = facts.select(BATCH).distinct().limit(_FEW + 1).collect()
+        if len(keys) > _FEW or any(row[0] is None for row in keys):
+            return frame
+        return frame.where(F.col(BATCH).isin(*[row[0] for row in keys]))
+
     def _has(self, index: int, *dispositions: str, lossy: bool | None = None) -> bool:
         return any(d in dispositions and lossy in (None, has) for d, has in self.fates.get(index, ()))
 
@@ -361,7 +370,7 @@ class Healing:
                 if not self._has(index, *kinds):
                     continue
                 about = facts.where((F.col("piece") == index) & F.col("_type").isin(*kinds)).drop("piece")
-                rows = bounded_join(frame_of.frame, about, [SOURCE, BATCH], self.options)
+                rows = bounded_join(self._narrowed(frame_of.frame, about), about, [SOURCE, BATCH], self.options)
                 rows = with_numbers(rows, [c for c in frame_of.inferred if TOKENS not in frame_of.frame.columns])
                 parts.append(rows.select(
                     F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.operators import drift
-from driftwarden.plans.step import HEALED
 from driftwarden.functions import wording as W
+from driftwarden.operators import drift
+from driftwarden.operators.joins import bounded_join
+from driftwarden.options import Options
 from driftwarden.sources.pieces import BATCH, SOURCE
 
 RECORDS = """
@@ -67,15 +68,16 @@ def healing_summary() -> Column:
     return F.when(text == "", F.lit(W.NO_HEALING)).otherwise(text)
 
 
-def with_resolution(stored: DataFrame, resolutions: DataFrame) -> DataFrame:
+def with_resolution(stored: DataFrame, resolutions: DataFrame, options: Options | None = None) -> DataFrame:
     """Records with ``resolved``, told from the ids that were resolved since."""
     done = resolutions.select("id").distinct().withColumn("_done", F.lit(True))
-    return stored.join(done, "id", "left").withColumn("resolved", F.col("_done").isNotNull()).drop("_done")
+    joined = bounded_join(stored, done, ["id"], options or Options(), "left")
+    return joined.withColumn("resolved", F.col("_done").isNotNull()).drop("_done")
 
 
 def matching(stored: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ids among ``ids`` that are really stored."""
-    return ids.select("id").distinct().join(stored.select("id"), "id", "left_semi")
+    """The ids among ``ids`` that are really stored; copies of a record count once."""
+    return ids.select("id").distinct().join(stored.select("id").distinct(), "id")
 
 
 def latest(

@@ -41,8 +41,10 @@ class State:
         rows.select(*T.DataType.fromDDL(ddl).names).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def _replace_run(self, name: str, ddl: str, rows: DataFrame) -> None:
+        # what is left over from many tasks goes into files of a sensible size, hot partitions split
         (
             rows.select(*T.DataType.fromDDL(ddl).names)
+            .hint("rebalance")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*_BY_RUN)
@@ -101,7 +103,7 @@ class State:
             kept = quarantine.purged(stored, older_than_days, now)
             (
                 kept.select(*T.DataType.fromDDL(quarantine.RECORDS).names)
-                .write.mode("overwrite").partitionBy(*_BY_RUN)
+                .hint("rebalance").write.mode("overwrite").partitionBy(*_BY_RUN)
                 .parquet(f"{self.folder}/quarantine_records/snapshot={current + 1}")
             )
             mark = self.spark.range(1).select(F.lit(current + 1).alias("snapshot"), now.alias("made_at"))

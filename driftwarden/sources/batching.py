@@ -8,30 +8,24 @@ from pyspark.sql import Window
 
 from driftwarden.scratch import cut
 
-_POSITION = "_position"
-_POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
+_PLACE = "_place"
+_PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in the low 33 bits
 
 
-def in_rows(
-    frame: DataFrame, size: int, order_by: list[str | Column], partitions: int | None = None
-) -> DataFrame:
-    """Add ``_batch`` = position in the total order ``div`` size.
+def positions(frame: DataFrame, name: str, order_by: list[str | Column]) -> DataFrame:
+    """Add ``name`` = 0-based position of the row in the total order, equal keys in input order.
 
-    Rows are range partitioned and sorted, equal keys staying in input order, and then frozen in
-    the shared folder: range cuts come from a sample, so counting and numbering must read the same
-    materialised partitions. What is joined back is one row per partition.
+    Rows are range partitioned and sorted, the input place being the last key so that a hot key
+    still spreads over partitions, and then frozen in the shared folder: range cuts come from a
+    sample, so counting and numbering must read the same materialised partitions. What is joined
+    back is one row per partition.
     """
-    if size < 1:
-        raise ValueError("size must be positive")
-    keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
-    placed = frame.withColumn(_POSITION, F.monotonically_increasing_id())
-    keys = [*keys, F.col(_POSITION)]
-    ranged = placed.repartitionByRange(partitions, *keys) if partitions else placed.repartitionByRange(*keys)
-    frozen = cut(ranged.sortWithinPartitions(*keys).drop(_POSITION))
-
-    numbered = frozen.withColumn(_POSITION, F.monotonically_increasing_id())
-    part = F.shiftright(_POSITION, _POSITION_BITS)
-    place = F.col(_POSITION).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    keys = [F.col(k) if isinstance(k, str) else k for k in order_by] + [F.col(_PLACE)]
+    placed = frame.withColumn(_PLACE, F.monotonically_increasing_id())
+    frozen = cut(placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_PLACE))
+
+    numbered = frozen.withColumn(_PLACE, F.monotonically_increasing_id())
+    part = F.shiftright(_PLACE, _PLACE_BITS)
     # one row per task of the frozen frame, so this single-partition window stays small
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -39,9 +33,18 @@ def in_rows(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
+    place = F.col(_PLACE).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
-        numbered.withColumns({"_part": part, "_place": place})
+        numbered.withColumns({"_part": part, _PLACE: place})
         .join(F.broadcast(offsets), "_part")
-        .withColumn("_batch", F.expr(f"(_offset + _place) div {size}"))
-        .drop(_POSITION, "_part", "_place", "_offset")
+        .withColumn(name, F.col("_offset") + F.col(_PLACE))
+        .drop(_PLACE, "_part", "_offset")
     )
+
+
+def in_rows(frame: DataFrame, size: int, order_by: list[str | Column]) -> DataFrame:
+    """Add ``_batch``: consecutive runs of ``size`` rows, the last one shorter."""
+    if size < 1:
+        raise ValueError("size must be positive")
+    numbered = positions(frame, "_position", order_by)
+    return numbered.withColumn("_batch", F.expr(f"_position div {size}")).drop("_position")

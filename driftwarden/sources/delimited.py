@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ MISSING = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_EXTRA = "_beyond_header"
+_EXTRA, _CORRUPT = "_beyond_header", "_corrupt_line"
 
 
 def file_batch():
@@ -46,14 +46,50 @@ def _split(line: str) -> list[str]:
     return next(csv.reader([line]))
 
 
-def headers(spark: SparkSession, path: str) -> list[list[str]]:
-    """The distinct headers below a path: as many rows as there are layouts, not files."""
-    rows = _header_lines(spark, path).select("line").distinct().collect()
-    return sorted(_split(row["line"]) for row in rows)
+def _tidy(text):
+    """Missing-value words become null."""
+    return F.when(~text.isin(*MISSING), text)
 
 
-def with_missing(text):
-    return F.when(~text.isin(*MISSING), text)
+def _too_long(problem):
+    message = F.concat(F.lit("more values than columns in "), "_metadata.file_path")
+    return F.when(problem, F.raise_error(message).cast("string"))
+
+
+def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], Column]]:
+    """(rows, columns, "line too long") per distinct header; the headers cost one scan of the text."""
+    lines = _header_lines(spark, path)
+    layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
+    found = []
+    for line in layouts:
+        columns = _split(line)
+        files: str | list[str] = path
+        if len(layouts) > 1:
+            files = [row["file"] for row in lines.where(F.col("line") == line).select("file").collect()]
+        # a value under the extra name is one more than the header has
+        rows = spark.read.schema(_text_columns([*columns, _EXTRA])).options(**options).csv(files)
+        found.append((rows, columns, F.col(_EXTRA).isNotNull()))
+    return found
+
+
+def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], Column]]:
+    """The one layout of files that all have the first one's header; another header is an error."""
+    first = spark.read.text(path).first()
+    if first is None:
+        return []
+    columns = _split(first["value"])
+    rows = (
+        spark.read.schema(_text_columns([*columns, _CORRUPT]))
+        .options(**options, enforceSchema="false", columnNameOfCorruptRecord=_CORRUPT)
+        .csv(path)
+    )
+    # both shorter and longer lines are reported: only those are parsed again to tell them apart
+    again = F.from_csv(F.col(_CORRUPT), _text_columns([*columns, _EXTRA]).toDDL(), {"quote": '"', "escape": '"'})
+    return [(rows, columns, F.col(_CORRUPT).isNotNull() & again[_EXTRA].isNotNull())]
+
+
+def _text_columns(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
 def delimited(
@@ -62,45 +98,31 @@ def delimited(
     source_name: str,
     batch_rows: int | None = None,
     multi_line: bool = False,
+    headers: str = "mixed",
 ) -> list[Piece]:
     """One piece per distinct header; every column is text whose bucket is inferred per batch.
 
     A batch is a file, or ``batch_rows`` consecutive rows when given. A line with more values than
-    its header fails the load; a shorter one is filled with nulls.
+    its header fails the load; a shorter one is filled with nulls. ``headers="same"`` saves the
+    scan for headers where all files are known to share one, and fails on a file that does not.
     """
-    lines = _header_lines(spark, path)
-    layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
-    pieces = []
-    for line in layouts:
-        columns = _split(line)
-        shape = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _EXTRA]])
-        files: str | list[str] = path
-        if len(layouts) > 1:
-            files = [row["file"] for row in lines.where(F.col("line") == line).select("file").collect()]
-        rows = (
-            spark.read.schema(shape)
-            .options(header="true", quote='"', escape='"', mode="PERMISSIVE", multiLine=str(multi_line).lower())
-            .csv(files)
-        )
-        checked = F.when(
-            F.col(_EXTRA).isNotNull(),
-            F.raise_error(F.concat(F.lit("more values than columns in "), "_metadata.file_path")).cast("string"),
-        )
-        first = named(columns[0])
-        values = [with_missing(F.coalesce(checked, first)).alias(columns[0])]
-        values += [with_missing(named(c)).alias(c) for c in columns[1:]]
-        pieces.append((rows, values, columns))
-    if batch_rows is None:
-        return [
-            Piece(tag(rows.select(file_batch().alias(BATCH), *values), source_name, F.col(BATCH)),
-                  dict.fromkeys(columns, "text"))
-            for rows, values, columns in pieces
-        ]
-    if len(pieces) > 1:
+    if headers not in ("mixed", "same"):
+        raise ValueError("headers must be mixed or same")
+    options = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "multiLine": str(multi_line).lower()}
+    layouts = (_mixed if headers == "mixed" else _same)(spark, path, options)
+    if batch_rows is not None and len(layouts) > 1:
         raise ValueError("batches of rows need files with one header")
-    rows, values, columns = pieces[0]
-    placed = rows.select(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), *values
-    )
-    numbered = in_rows(placed, batch_rows, ["_file", "_block"]).drop("_file", "_block")
-    return [Piece(tag(numbered, source_name, F.col(BATCH)), dict.fromkeys(columns, "text"))]
+    pieces = []
+    for rows, columns, problem in layouts:
+        head, *tail = columns
+        # the check rides on the first column, which pass 1 always reads
+        values = [_tidy(F.coalesce(_too_long(problem), named(head))).alias(head)]
+        values += [_tidy(named(c)).alias(c) for c in tail]
+        if batch_rows is None:
+            frame = rows.select(file_batch().alias(BATCH), *values)
+        else:
+            place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+            frame = in_rows(rows.select(*place, *values), batch_rows, ["_file", "_block"]).drop("_file", "_block")
+        pieces.append(Piece(tag(frame, source_name, F.col(BATCH)), dict.fromkeys(columns, "text")))
+    return pieces

@@ -23,17 +23,18 @@ def path_missing(exc: AnalysisException) -> bool:
     return exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def existing_columns(spark: SparkSession, path: str) -> list[str]:
-    """Columns of a delimited sink so far: the last header written holds all of them."""
-    from driftwarden.sources.delimited import headers
+_COLUMNS = "_columns"  # readers skip names that start with an underscore
+
 
+def existing_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns of a delimited sink so far, from the list kept beside its files."""
     try:
-        found = headers(spark, path)
+        rows = spark.read.schema("n int, names array<string>").json(f"{path}/{_COLUMNS}").collect()
     except AnalysisException as exc:
         if path_missing(exc):
             return []
         raise
-    return max(found, key=len, default=[])
+    return max(rows, key=lambda r: r["n"])["names"] if rows else []
 
 
 def write_delimited(frame: DataFrame, path: str) -> None:
@@ -41,12 +42,16 @@ def write_delimited(frame: DataFrame, path: str) -> None:
 
     Columns the sink does not have yet go last; columns only the sink has are written as null.
     """
-    before = existing_columns(frame.sparkSession, path)
+    spark = frame.sparkSession
+    before = existing_columns(spark, path)
     ordered = before + [c for c in frame.columns if c not in before]
     columns = [
         named(c) if c in frame.columns else F.lit(None).cast("string").alias(c) for c in ordered
     ]
     frame.select(*columns).write.mode("append").options(**DELIMITED, **TIMES).csv(path)
+    if ordered != before:
+        entry = spark.createDataFrame([(len(ordered), ordered)], "n int, names array<string>")
+        entry.write.mode("append").json(f"{path}/{_COLUMNS}")
 
 
 def write_jsonl(frame: DataFrame, path: str) -> None:
