@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from checks import fixtures as X
 from driftwarden.functions import buckets, coercion
-from driftwarden.functions.coercion import coerce, named
+from driftwarden.functions.coercion import coerce
+from driftwarden.functions.sql import named
 from driftwarden.operators import alerts, drift, ledger, quarantine
 from driftwarden.operators.joins import bounded_join
 from driftwarden.operators.profile import profile, type_counts
@@ -249,8 +250,8 @@ def type_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for name in ("events", "orders", "lineitem", "part"):
         frame = X.table(spark, sf_dir, name)
-        counts = frame.agg(*[F.count(named(c)).alias(c) for c in frame.columns])
-        pairs = [F.struct(F.lit(c).alias("column_name"), named(c).alias("n_present")) for c in frame.columns]
+        counts = frame.agg(*[F.count(F.col(named(c))).alias(c) for c in frame.columns])
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(named(c)).alias("n_present")) for c in frame.columns]
         present = counts.select(F.inline(F.array(*pairs)))
         # one row per column of a table
         found.append(
@@ -430,12 +431,10 @@ def _coerced(text: DataFrame, target: str, options: Options = Options()) -> Data
     data_type = text.schema["txt"].dataType
     number = None
     if isinstance(data_type, T.StringType):
-        text, number = coercion.with_numbers(text, ["txt"]), F.col(coercion.number_column("txt"))
-    result = coerce(F.col("txt"), data_type, target, options, number)
-    failed = coercion.losing(F.col("txt"), data_type, target, options, number)
-    failed = failed if failed is not None else F.lit(False)
-    return text.groupBy("txt", result.alias("result")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed")
+        text, number = coercion.with_numbers(text, ["txt"]), coercion.number_column("txt")
+    failed = coercion.losing("txt", data_type, target, options, number) or "false"
+    return text.groupBy("txt", F.expr(coerce("txt", data_type, target, options, number)).alias("result")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"count_if({failed})").alias("n_failed")
     )
 
 
@@ -475,7 +474,7 @@ def coerce_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = {name: items.schema[name].dataType for name in kind}
 
     def to(name: str, target: str):
-        return coerce(F.col(name), typed[name], target, options)
+        return F.expr(coerce(name, typed[name], target, options))
 
     return items.select(
         to("l_quantity", "integer").alias("quantity_integer"), to("l_tax", "integer").alias("tax_integer"),

@@ -1,16 +1,18 @@
-"""Null-safe coercion between buckets, as column expressions only.
+"""Null-safe coercion between buckets, as SQL expressions only.
 
-Nothing here raises on bad data: a value that does not fit the target becomes null, and
-the caller compares ``present`` before and after to find the failures.
+Nothing here raises on bad data: a value that does not fit the target becomes null, and the
+caller compares ``present`` before and after to find the failures. Expressions are SQL text for
+``F.expr``, so that a wide layout is described with few calls and runs as generated code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions.buckets import BOOLEAN, COERCIBLE, DATETIME, FLOAT, INTEGER, STRING, UNKNOWN, bucket_of
+from driftwarden.functions.sql import literal, named, pattern, words
 from driftwarden.options import Options
 
 # The text forms read as numbers, booleans and infinities.
@@ -20,58 +22,56 @@ TRUE_WORDS = ("true", "1", "yes", "y", "t")
 FALSE_WORDS = ("false", "0", "no", "n", "f")
 
 EXACT_LIMIT = 9007199254740992  # 2**53: whole doubles up to here are exact
-LONG_LIMIT = 9223372036854775808.0  # 2**63
+LONG_LIMIT = "9223372036854775808D"  # 2**63
+INFINITE = "double('Infinity')"
 
 _EPOCH_MICROS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
-def named(name: str) -> Column:
-    """A column by exact name; dots and back-quotes in the name are data."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def present(value: Column, data_type: T.DataType) -> Column:
+def present(value: str, data_type: T.DataType) -> str:
     """Not null, where NaN counts as null."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return value.isNotNull() & ~F.isnan(value)
-    return value.isNotNull()
+        return f"({value} IS NOT NULL AND NOT isnan({value}))"
+    return f"({value} IS NOT NULL)"
 
 
-def stripped(text: Column) -> Column:
-    return F.trim(text, F.lit(" \t"))
+def stripped(text: str) -> str:
+    return f"trim(BOTH ' \\t' FROM {text})"
 
 
-def text_number(text: Column) -> Column:
+def text_number(text: str) -> str:
     """The number a text spells, or null. Overflowing literals such as 1e999 give infinity.
 
     This is the only regular expression of the numeric conversions. Callers that use it more than
     once per value add it as a column of its own first (``with_numbers``), so that it runs once.
     """
-    return F.when(text.rlike(NUMBER), stripped(text)).try_cast("double")
+    return f"try_cast(CASE WHEN {text} RLIKE {pattern(NUMBER)} THEN {stripped(text)} END AS double)"
 
 
-def text_to_float(text: Column, number: Column, allow_inf: bool = False) -> Column:
+def text_to_float(text: str, number: str, allow_inf: bool = False) -> str:
     if not allow_inf:
-        return F.when(F.abs(number) < float("inf"), number)
-    spelled = F.lower(text).rlike(INFINITY)
-    sign = F.when(stripped(text).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.coalesce(number, F.when(spelled, sign))
+        return f"(CASE WHEN abs({number}) < {INFINITE} THEN {number} END)"
+    sign = f"CASE WHEN startswith({stripped(text)}, '-') THEN -{INFINITE} ELSE {INFINITE} END"
+    spelled = f"lower({text}) RLIKE {pattern(INFINITY)}"
+    return f"coalesce({number}, CASE WHEN {spelled} THEN {sign} END)"
 
 
-def text_to_integer(text: Column, number: Column) -> Column:
+def text_to_integer(text: str, number: str) -> str:
     # text that spells a number casts to bigint exactly when it has no fraction and no exponent
-    exact = stripped(text).try_cast("bigint")
-    whole = (number == F.floor(number)) & (F.abs(number) <= EXACT_LIMIT)
-    return F.when(number.isNotNull(), F.coalesce(exact, F.when(whole, number.try_cast("bigint"))))
+    exact = f"try_cast({stripped(text)} AS bigint)"
+    whole = f"{number} = floor({number}) AND abs({number}) <= {EXACT_LIMIT}"
+    fitting = f"CASE WHEN {whole} THEN try_cast({number} AS bigint) END"
+    return f"(CASE WHEN {number} IS NOT NULL THEN coalesce({exact}, {fitting}) END)"
 
 
-def looks_integer(text: Column, number: Column) -> Column:
+def looks_integer(text: str, number: str) -> str:
     """Digits only, and small enough for a bigint."""
-    return number.isNotNull() & stripped(text).try_cast("bigint").isNotNull()
+    return f"({number} IS NOT NULL AND try_cast({stripped(text)} AS bigint) IS NOT NULL)"
 
 
-def looks_float(text: Column, number: Column) -> Column:
-    return number.isNotNull() | F.lower(text).rlike(INFINITY)
+def looks_float(text: str, number: str) -> str:
+    return f"({number} IS NOT NULL OR lower({text}) RLIKE {pattern(INFINITY)})"
 
 
 def number_column(column: str) -> str:
@@ -82,38 +82,39 @@ def with_numbers(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Add the parsed number of some text columns, for the expressions of the next step."""
     if not columns:
         return frame
-    return frame.withColumns({number_column(c): text_number(named(c)) for c in columns})
+    return frame.withColumns({number_column(c): F.expr(text_number(named(c))) for c in columns})
 
 
-def text_to_boolean(text: Column) -> Column:
-    word = F.lower(F.trim(text, F.lit(" \t\n\r")))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+def text_to_boolean(text: str) -> str:
+    word = f"lower(trim(BOTH ' \\t\\n\\r' FROM {text}))"
+    return f"(CASE WHEN {word} IN ({words(TRUE_WORDS)}) THEN true WHEN {word} IN ({words(FALSE_WORDS)}) THEN false END)"
 
 
-def text_to_datetime(text: Column, formats: tuple[str, ...]) -> Column:
-    plain = stripped(text)
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(fmt)) for fmt in formats])
+def text_to_datetime(text: str, formats: tuple[str, ...]) -> str:
+    tries = ", ".join(f"try_to_timestamp({stripped(text)}, {literal(fmt)})" for fmt in formats)
+    return f"coalesce({tries})"
 
 
-def number_to_datetime(number: Column, epoch_unit: str | None) -> Column:
+def number_to_datetime(number: str, epoch_unit: str | None) -> str:
     if epoch_unit is None:
-        return F.lit(None).cast("timestamp")
-    micros = number * F.lit(_EPOCH_MICROS[epoch_unit])
-    return F.timestamp_micros(micros.try_cast("bigint"))
+        return "CAST(NULL AS timestamp)"
+    return f"timestamp_micros(try_cast({number} * {_EPOCH_MICROS[epoch_unit]} AS bigint))"
 
 
-def as_text(value: Column, data_type: T.DataType) -> Column:
+def as_text(value: str, data_type: T.DataType) -> str:
     """Text of a value of any type; nested values as JSON."""
     if isinstance(data_type, T.BooleanType):
-        return F.when(value, F.lit("True")).when(~value, F.lit("False"))
-    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        return F.to_json(value)
-    return F.when(present(value, data_type), value.cast("string"))
+        return f"(CASE WHEN {value} THEN 'True' WHEN NOT {value} THEN 'False' END)"
+    if isinstance(data_type, _NESTED):
+        return f"to_json({value})"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return f"(CASE WHEN NOT isnan({value}) THEN CAST({value} AS string) END)"
+    return f"CAST({value} AS string)"
 
 
 def coerce(
-    value: Column, data_type: T.DataType, target: str, options: Options, number: Column | None = None
-) -> Column:
+    value: str, data_type: T.DataType, target: str, options: Options, number: str | None = None
+) -> str:
     """``value`` moved toward the bucket ``target``; null where it does not fit.
 
     A target without a conversion leaves the value as it is. ``number`` is the already parsed
@@ -123,56 +124,49 @@ def coerce(
     if source == target or target not in COERCIBLE:
         return value
     if source == UNKNOWN:
-        return F.lit(None).cast(_TARGET_TYPES[target])
+        return f"CAST(NULL AS {_TARGET_TYPES[target]})"
     if target == STRING:
         return as_text(value, data_type)
 
     if source == INTEGER:
         return {
-            FLOAT: lambda: value.cast("double"),
-            BOOLEAN: lambda: value != 0,
-            DATETIME: lambda: number_to_datetime(value, options.epoch_unit),
-        }[target]()
+            FLOAT: f"CAST({value} AS double)",
+            BOOLEAN: f"({value} <> 0)",
+            DATETIME: number_to_datetime(value, options.epoch_unit),
+        }[target]
     if source == FLOAT:
-        wide = value.cast("double")
+        wide = f"CAST({value} AS double)"
+        whole = f"{wide} = floor({wide}) AND abs({wide}) < {LONG_LIMIT}"
         return {
-            INTEGER: lambda: F.when(
-                (wide == F.floor(wide)) & (F.abs(wide) < LONG_LIMIT), wide.try_cast("bigint")
-            ),
-            BOOLEAN: lambda: F.when(~F.isnan(value), value != 0),
-            DATETIME: lambda: number_to_datetime(wide, options.epoch_unit),
-        }[target]()
+            INTEGER: f"(CASE WHEN {whole} THEN try_cast({wide} AS bigint) END)",
+            BOOLEAN: f"(CASE WHEN NOT isnan({value}) THEN {value} <> 0 END)",
+            DATETIME: number_to_datetime(wide, options.epoch_unit),
+        }[target]
     if source == BOOLEAN:
         return {
-            INTEGER: lambda: value.cast("bigint"),
-            FLOAT: lambda: value.cast("double"),
-            DATETIME: lambda: F.lit(None).cast("timestamp"),
-        }[target]()
+            INTEGER: f"CAST({value} AS bigint)",
+            FLOAT: f"CAST({value} AS double)",
+            DATETIME: "CAST(NULL AS timestamp)",
+        }[target]
     if source == DATETIME:
-        nanos = F.unix_micros(value.cast("timestamp")) * 1000
+        nanos = f"(unix_micros(CAST({value} AS timestamp)) * 1000)"
         return {
-            INTEGER: lambda: nanos,
-            FLOAT: lambda: nanos.cast("double"),
-            BOOLEAN: lambda: F.lit(None).cast("boolean"),
-        }[target]()
+            INTEGER: nanos,
+            FLOAT: f"CAST({nanos} AS double)",
+            BOOLEAN: "CAST(NULL AS boolean)",
+        }[target]
 
     text = value if source == STRING else as_text(value, data_type)
-    parsed = text_number(text) if number is None else number
+    parsed = number or text_number(text)
     return {
-        INTEGER: lambda: text_to_integer(text, parsed),
-        FLOAT: lambda: text_to_float(text, parsed, options.allow_inf),
-        BOOLEAN: lambda: text_to_boolean(text),
-        DATETIME: lambda: text_to_datetime(text, options.datetime_formats),
-    }[target]()
+        INTEGER: text_to_integer(text, parsed),
+        FLOAT: text_to_float(text, parsed, options.allow_inf),
+        BOOLEAN: text_to_boolean(text),
+        DATETIME: text_to_datetime(text, options.datetime_formats),
+    }[target]
 
 
-_TARGET_TYPES: dict[str, T.DataType] = {
-    INTEGER: T.LongType(),
-    FLOAT: T.DoubleType(),
-    BOOLEAN: T.BooleanType(),
-    DATETIME: T.TimestampType(),
-    STRING: T.StringType(),
-}
+_TARGET_TYPES = {INTEGER: "bigint", FLOAT: "double", BOOLEAN: "boolean", DATETIME: "timestamp", STRING: "string"}
 
 # (source, target) pairs in which a present value always fits
 _NEVER_LOSES = {
@@ -182,12 +176,12 @@ _NEVER_LOSES = {
 
 
 def losing(
-    value: Column, data_type: T.DataType, target: str, options: Options, number: Column | None = None
-) -> Column | None:
+    value: str, data_type: T.DataType, target: str, options: Options, number: str | None = None
+) -> str | None:
     """Condition "present before, null after", or None where that cannot happen."""
     source = bucket_of(data_type)
     if source in (target, UNKNOWN) or target not in COERCIBLE or target == STRING:
         return None
     if (source, target) in _NEVER_LOSES:
         return None
-    return present(value, data_type) & coerce(value, data_type, target, options, number).isNull()
+    return f"({present(value, data_type)} AND {coerce(value, data_type, target, options, number)} IS NULL)"

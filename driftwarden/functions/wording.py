@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftwarden.functions.sql import literal
+
 # Wording that reports, records and alerts share with existing consumers.
 ADDED_HINT = (
     "New columns detected (%s). "
@@ -84,19 +86,20 @@ def texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def quoted(name: Column) -> Column:
-    """A name in quotes, escaped the way a Python list prints it."""
-    escaped = F.replace(name, F.lit("\\"), F.lit("\\\\"))
-    single = F.concat(F.lit("'"), escaped, F.lit("'"))
-    double = F.concat(F.lit('"'), escaped, F.lit('"'))
-    both = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    has_single, has_double = F.contains(name, F.lit("'")), F.contains(name, F.lit('"'))
-    return F.when(~has_single, single).when(~has_double, double).otherwise(both)
+def quoted(name: str) -> str:
+    """SQL for a name in quotes, escaped the way a Python list prints it."""
+    escaped = f"replace({name}, {literal(chr(92))}, {literal(chr(92) * 2)})"
+    single, double = literal("'"), literal('"')
+    plain = f"concat({single}, {escaped}, {single})"
+    wrapped = f"concat({double}, {escaped}, {double})"
+    both = f"concat({single}, replace({escaped}, {single}, {literal(chr(92) + chr(39))}), {single})"
+    has_single, has_double = f"contains({name}, {single})", f"contains({name}, {double})"
+    return f"CASE WHEN NOT {has_single} THEN {plain} WHEN NOT {has_double} THEN {wrapped} ELSE {both} END"
 
 
-def listed(names: Column) -> Column:
-    """An array of names as ``['a', 'b']``."""
-    return F.concat(F.lit("["), F.array_join(F.transform(names, quoted), ", "), F.lit("]"))
+def listed(names: str) -> str:
+    """SQL for an array of names as ``['a', 'b']``."""
+    return f"concat('[', array_join(transform({names}, n -> {quoted('n')}), ', '), ']')"
 
 
 def some(values: Column) -> Column:

@@ -7,45 +7,44 @@ from pyspark.sql import functions as F
 
 from driftwarden.functions import wording as W
 from driftwarden.functions.buckets import UNKNOWN
+from driftwarden.functions.sql import literal
 
 ADDED, REMOVED, RETYPED = "added_columns", "removed_columns", "type_changed"
 
 
-def added(expected: Column, observed: Column) -> Column:
-    return F.array_sort(F.array_except(F.map_keys(observed), F.map_keys(expected)))
+_CHANGES = "array<struct<column:string,expected:string,observed:string>>"
 
 
-def removed(expected: Column, observed: Column) -> Column:
-    return F.array_sort(F.array_except(F.map_keys(expected), F.map_keys(observed)))
+def added(expected: str, observed: str) -> str:
+    return f"array_sort(array_except(map_keys({observed}), map_keys({expected})))"
 
 
-def type_changes(expected: Column, observed: Column) -> Column:
+def removed(expected: str, observed: str) -> str:
+    return f"array_sort(array_except(map_keys({expected}), map_keys({observed})))"
+
+
+def type_changes(expected: str, observed: str) -> str:
     """Shared columns with another bucket: array of (column, expected, observed), by column."""
-    shared = F.array_sort(F.array_intersect(F.map_keys(expected), F.map_keys(observed)))
-    changed = F.filter(
-        shared,
-        lambda c: (expected[c] != observed[c]) & (expected[c] != UNKNOWN) & (observed[c] != UNKNOWN),
-    )
-    return F.transform(
-        changed,
-        lambda c: F.struct(c.alias("column"), expected[c].alias("expected"), observed[c].alias("observed")),
-    )
+    shared = f"array_sort(array_intersect(map_keys({expected}), map_keys({observed})))"
+    known = f"{expected}[c] <> '{UNKNOWN}' AND {observed}[c] <> '{UNKNOWN}'"
+    changed = f"filter({shared}, c -> {expected}[c] <> {observed}[c] AND {known})"
+    entry = f"named_struct('column', c, 'expected', {expected}[c], 'observed', {observed}[c])"
+    return f"transform({changed}, c -> {entry})"
 
 
 def report(frame: DataFrame, expected: str = "expected", observed: str = "observed") -> DataFrame:
     """Add the drift report of every row: the three differences and everything told from them."""
-    e, o = F.col(expected), F.col(observed)
-    nothing = F.array().cast("array<string>")
+
+    def or_none(made: str, ddl: str) -> Column:
+        return F.expr(f"coalesce({made}, CAST(array() AS {ddl}))")
+
     with_lists = frame.withColumns({
-        "added": F.coalesce(added(e, o), nothing),
-        "removed": F.coalesce(removed(e, o), nothing),
-        "type_changes": F.coalesce(
-            type_changes(e, o),
-            F.array().cast("array<struct<column:string,expected:string,observed:string>>"),
-        ),
+        "added": or_none(added(expected, observed), "array<string>"),
+        "removed": or_none(removed(expected, observed), "array<string>"),
+        "type_changes": or_none(type_changes(expected, observed), _CHANGES),
     })
     return with_lists.withColumns({
-        "has_drift": W.some(F.col("added")) | W.some(F.col("removed")) | W.some(F.col("type_changes")),
+        "has_drift": F.expr("size(added) + size(removed) + size(type_changes) > 0"),
         "drift_types": drift_types(),
         "hints": hints(),
         "summary": summary(),
@@ -53,62 +52,38 @@ def report(frame: DataFrame, expected: str = "expected", observed: str = "observ
 
 
 def drift_types() -> Column:
-    return F.concat_ws(
-        ",",
-        F.when(W.some(F.col("added")), F.lit(ADDED)),
-        F.when(W.some(F.col("removed")), F.lit(REMOVED)),
-        F.when(W.some(F.col("type_changes")), F.lit(RETYPED)),
-    )
+    return F.expr(f"""concat_ws(',',
+        CASE WHEN size(added) > 0 THEN '{ADDED}' END,
+        CASE WHEN size(removed) > 0 THEN '{REMOVED}' END,
+        CASE WHEN size(type_changes) > 0 THEN '{RETYPED}' END)""")
 
 
 def hints() -> Column:
     """One text per kind of difference; for changed types one per column."""
-    new, gone = F.col("added"), F.col("removed")
-    per_kind = F.array_compact(F.array(
-        F.when(W.some(new), F.format_string(W.ADDED_HINT, F.array_join(new, ", "))),
-        F.when(W.some(gone), F.format_string(W.REMOVED_HINT, F.array_join(gone, ", "))),
-    ))
-    per_column = F.transform(
-        F.col("type_changes"),
-        lambda t: F.format_string(W.RETYPED_HINT, t["column"], t["expected"], t["observed"]),
-    )
-    return F.concat(per_kind, per_column)
+    return F.expr(f"""concat(
+        array_compact(array(
+            CASE WHEN size(added) > 0 THEN format_string({literal(W.ADDED_HINT)}, array_join(added, ', ')) END,
+            CASE WHEN size(removed) > 0 THEN format_string({literal(W.REMOVED_HINT)}, array_join(removed, ', ')) END)),
+        transform(type_changes, t -> format_string({literal(W.RETYPED_HINT)}, t.column, t.expected, t.observed)))""")
 
 
 def summary() -> Column:
-    changes = F.array_join(
-        F.transform(
-            F.col("type_changes"),
-            lambda t: F.concat(
-                W.quoted(t["column"]), F.lit(": "),
-                W.quoted(F.concat(t["expected"], F.lit("->"), t["observed"])),
-            ),
-        ),
-        ", ",
-    )
-    text = F.concat_ws(
-        "; ",
-        F.when(W.some(F.col("added")), F.concat(F.lit("added="), W.listed(F.col("added")))),
-        F.when(W.some(F.col("removed")), F.concat(F.lit("removed="), W.listed(F.col("removed")))),
-        F.when(W.some(F.col("type_changes")), F.concat(F.lit("type_changes={"), changes, F.lit("}"))),
-    )
-    return F.when(text == "", F.lit(W.NO_DRIFT)).otherwise(text)
+    change = f"concat({W.quoted('t.column')}, ': ', {W.quoted("concat(t.expected, '->', t.observed)")})"
+    text = f"""concat_ws('; ',
+        CASE WHEN size(added) > 0 THEN concat('added=', {W.listed('added')}) END,
+        CASE WHEN size(removed) > 0 THEN concat('removed=', {W.listed('removed')}) END,
+        CASE WHEN size(type_changes) > 0
+            THEN concat('type_changes={{', array_join(transform(type_changes, t -> {change}), ', '), '}}') END)"""
+    return F.expr(f"coalesce(nullif({text}, ''), {literal(W.NO_DRIFT)})")
 
 
 def details_json() -> Column:
     """The report as JSON text."""
-    changes = F.map_from_entries(
-        F.transform(
-            F.col("type_changes"),
-            lambda t: F.struct(t["column"], F.array(t["expected"], t["observed"])),
-        )
-    )
-    return F.to_json(F.struct(
-        F.col("added").alias("added_columns"),
-        F.col("removed").alias("removed_columns"),
-        changes.alias("type_changes"),
-        F.col("hints").alias("root_cause_hints"),
-    ))
+    return F.expr("""to_json(named_struct(
+        'added_columns', added,
+        'removed_columns', removed,
+        'type_changes', map_from_entries(transform(type_changes, t -> struct(t.column, array(t.expected, t.observed)))),
+        'root_cause_hints', hints))""")
 
 
 def compare_catalogs(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

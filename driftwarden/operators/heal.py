@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from driftwarden.functions import wording as W
 from driftwarden.functions.buckets import FLOAT, INTEGER, STRING, UNKNOWN, bucket_of, canonical_type
-from driftwarden.functions.coercion import as_text, coerce, named, number_column, present, with_numbers
+from driftwarden.functions.coercion import as_text, coerce, number_column, present, with_numbers
+from driftwarden.functions.sql import literal, named
 from driftwarden.operators import drift
-from driftwarden.operators.joins import bounded_join
+from driftwarden.operators.joins import bounded_join, byte_bound
 from driftwarden.options import Options
 from driftwarden.plans.fold import merged_bucket, output_bucket
 from driftwarden.plans.step import (
@@ -50,27 +51,23 @@ def described(plan: DataFrame, options: Options) -> DataFrame:
 
 def actions(options: Options) -> Column:
     """What healing did to a batch, in order: backfill, new columns, coercion with losses."""
-    expected, lost = F.col("expected"), F.col("lost")
-    nothing = F.array().cast("array<string>")
-    backfilled = F.transform(
-        F.col("removed"), lambda c: F.format_string(W.BACKFILLED, c, expected[c])
+    done = []
+    if options.column_backfill:
+        done.append(f"transform(removed, c -> format_string({literal(W.BACKFILLED)}, c, expected[c]))")
+    wording = literal(W.KEPT_NEW if options.schema_evolution else W.DROPPED_NEW)
+    done.append(
+        f"CASE WHEN size(added) > 0 THEN array(format_string({wording}, {W.listed('added')})) ELSE array() END"
     )
-    wording = W.KEPT_NEW if options.schema_evolution else W.DROPPED_NEW
-    new = F.when(
-        W.some(F.col("added")), F.array(F.format_string(wording, W.listed(F.col("added"))))
-    ).otherwise(nothing)
-    coerced = F.transform(
-        F.filter(F.col("type_changes"), lambda t: F.coalesce(lost[t["column"]], F.lit(0)) > 0),
-        lambda t: F.format_string(W.COERCED, t["column"], t["observed"], t["expected"], lost[t["column"]]),
-    )
-    done = F.concat(backfilled if options.column_backfill else nothing, new, coerced)
-    return F.when(F.col("disposition").isin(HEALED, HEALING_FAILED), done).otherwise(nothing)
+    done.append(f"""transform(
+        filter(type_changes, t -> coalesce(lost[t.column], 0) > 0),
+        t -> format_string({literal(W.COERCED)}, t.column, t.observed, t.expected, lost[t.column]))""")
+    healing = f"disposition IN ('{HEALED}', '{HEALING_FAILED}')"
+    return F.expr(f"CASE WHEN {healing} THEN concat({', '.join(done)}) ELSE CAST(array() AS array<string>) END")
 
 
 def loss_text(options: Options) -> Column:
-    return F.format_string(
-        W.LOSS_EXCEEDED.format(limit=options.max_coercion_loss_pct), F.col("loss_pct")
-    )
+    text = literal(W.LOSS_EXCEEDED.format(limit=options.max_coercion_loss_pct))
+    return F.expr(f"format_string({text}, loss_pct)")
 
 
 @dataclass(frozen=True)
@@ -116,7 +113,7 @@ class Healing:
         """Collect the distinct facts per layout: bounded by layouts x columns x buckets."""
         nothing = F.lit(None).cast("string")
         moves = self._moves_of_plan().groupBy("piece", "column", "seen_as", "target", "mended").count()
-        gone = F.explode(drift.removed(F.col("expected"), F.col("observed")))
+        gone = F.explode("removed")
         backfill = (
             self.plan.where(F.col("disposition") == HEALED)
             .select("expected", gone.alias("column"))
@@ -135,6 +132,8 @@ class Healing:
             .union(backfill.select(F.lit("gap"), F.lit(None).cast("int"), "column", "bucket", nothing, F.lit(False)))
             .union(fates.select(F.lit("fate"), "piece", nothing, "disposition", nothing, "lossy"))
             .union(seen.select(F.lit("seen"), "piece", "column", "seen_as", nothing, F.lit(False)))
+            .union(self.plan.select(F.lit("size"), F.lit(None).cast("int"), nothing,
+                                    byte_bound().cast("string"), nothing, F.lit(False)))
             .collect()
         )
 
@@ -147,12 +146,17 @@ class Healing:
                 self.moves[row["piece"], row["column"]].append(Move(row["a"], row["b"], row["flag"]))
             elif row["fact"] == "gap":
                 gaps[row["column"]].add(row["a"])
+            elif row["fact"] == "size":
+                self.plan_bytes = int(row["a"])
             elif row["fact"] == "seen":
                 self.seen_as[row["piece"], row["column"]].add(row["a"])
             else:
                 self.fates[row["piece"]].add((row["a"], row["flag"]))
         for found in self.moves.values():
             found.sort(key=lambda m: m.code)
+        told = self.plan.where("disposition IN ('SCHEMA_DRIFT', 'HEALING_FAILED', 'TRANSFORM_ERROR') OR loss > 0")
+        few = told.select("piece", "disposition", BATCH).limit(_FEW + 1).collect()
+        self.few = None if len(few) > _FEW or any(r[2] is None for r in few) else few
         self._lay_out(gaps if self.options.column_backfill else {})
 
     def _lay_out(self, gaps: dict[str, set[str]]) -> None:
@@ -179,17 +183,17 @@ class Healing:
 
     # -- expressions of one layout -----------------------------------------------------------
 
-    def _read_as(self, piece: Piece, column: str, bucket: str) -> tuple[Column, T.DataType]:
+    def _read_as(self, piece: Piece, column: str, bucket: str) -> tuple[str, T.DataType]:
         """A value as its batch shows it: inferred text parsed as the observed bucket."""
         raw, data_type = named(column), piece.type_of(column)
         if column not in piece.inferred or bucket == STRING:
             return raw, data_type
         if bucket == UNKNOWN:
-            return F.lit(None).cast("string"), T.StringType()
+            return "CAST(NULL AS string)", T.StringType()
         options = self.options.but(allow_inf=True)
         return coerce(raw, data_type, bucket, options, self._number(piece, column)), canonical_type(bucket)
 
-    def _number(self, piece: Piece, column: str) -> Column | None:
+    def _number(self, piece: Piece, column: str) -> str | None:
         """The parsed number of a text column, added to the rows by ``_rows``."""
         return named(number_column(column)) if bucket_of(piece.type_of(column)) == STRING else None
 
@@ -203,37 +207,36 @@ class Healing:
                 found.append(column)
         return found
 
-    def _by_move(
-        self, index: int, column: str, moves: list[Move], made: Callable[[Move], Column]
-    ) -> Column:
+    def _by_move(self, index: int, column: str, moves: list[Move], made: Callable[[Move], str]) -> str:
         """``made`` for the only move of a column, or the one the row's batch calls for."""
         if len(self.moves[index, column]) == 1:
             return made(moves[0])
-        code = F.col(self._code_name(index, column))
-        chosen = F.when(code == moves[0].code, made(moves[0]))
-        for move in moves[1:]:
-            chosen = chosen.when(code == move.code, made(move))
-        return chosen
+        code = self._code_name(index, column)
+        cases = " ".join(f"WHEN {code} = {literal(m.code)} THEN {made(m)}" for m in moves)
+        return f"CASE {cases} END"
 
     def _code_name(self, index: int, column: str) -> str:
         return f"_move_{self.pieces[index].columns.index(column)}"
 
-    def _moved(self, index: int, column: str) -> Column:
+    def _moved(self, index: int, column: str) -> str:
         piece = self.pieces[index]
         bucket, data_type = self.output[column]
 
-        def made(move: Move) -> Column:
+        def made(move: Move) -> str:
             value, now = self._read_as(piece, column, move.observed)
             value = coerce(value, now, move.target, self.options, self._number(piece, column))
             now = now if bucket_of(now) == move.target else canonical_type(move.target)
             if bucket_of(now) != bucket:
-                value = as_text(value, now)
-            return value.cast(data_type)
+                value, now = as_text(value, now), T.StringType()
+            return value if now == data_type else f"CAST({value} AS {data_type.simpleString()})"
 
         moves = [m for m in self.moves.get((index, column), []) if m.target is not None]
-        return self._by_move(index, column, moves, made) if moves else F.lit(None).cast(data_type)
+        return self._by_move(index, column, moves, made) if moves else self._missing(column)
+
+    def _missing(self, column: str) -> str:
+        return f"CAST(NULL AS {self.output[column][1].simpleString()})"
 
-    def _lost_cells(self, index: int) -> list[tuple[str, Column]]:
+    def _lost_cells(self, index: int) -> list[tuple[str, str]]:
         """(column, condition) for every column of a layout that some batch has coerced."""
         piece, found = self.pieces[index], []
         for column in piece.columns:
@@ -241,33 +244,31 @@ class Healing:
             if not mended:
                 continue
 
-            def lost(move: Move, column: str = column) -> Column:
+            def lost(move: Move, column: str = column) -> str:
                 value, now = self._read_as(piece, column, move.observed)
                 after = coerce(value, now, move.target, self.options, self._number(piece, column))
-                return present(named(column), piece.type_of(column)) & after.isNull()
+                return f"({present(named(column), piece.type_of(column))} AND {after} IS NULL)"
 
-            condition = self._by_move(index, column, mended, lost)
-            found.append((column, F.coalesce(condition, F.lit(False))))
+            found.append((column, f"coalesce({self._by_move(index, column, mended, lost)}, false)"))
         return found
 
     def _record(self, index: int, piece: Piece) -> Column:
         """The row as JSON text, before any healing."""
         if TOKENS in piece.frame.columns:
-            return F.to_json(F.col(TOKENS), _JSON)
+            return F.to_json(TOKENS, _JSON)
         fields = []
         for column in piece.columns:
             seen_as = self.seen_as[index, column]
             value = named(column)
             if column in piece.inferred and len(seen_as) == 1:
                 value = self._read_as(piece, column, next(iter(seen_as)))[0]
-            fields.append(value.alias(column))
-        return F.to_json(F.struct(*fields), _JSON)
+            fields.append(f"{literal(column)}, {value}")
+        return F.to_json(F.expr(f"named_struct({', '.join(fields)})"), _JSON)
 
-    def _rows(self, index: int, wanted: Column, every: bool, extra: list[Column] | None = None) -> DataFrame:
+    def _rows(self, index: int, wanted: Column, frame: DataFrame, every: bool, extra: list[Column]) -> DataFrame:
         """Rows of the batches that satisfy ``wanted``, with what their plan row has to offer."""
         piece = self.pieces[index]
         varying = [c for c in piece.columns if len(self.moves.get((index, c), [])) > 1]
-        extra = extra or []
         facts = self.plan.where((F.col("piece") == index) & wanted).select(SOURCE, BATCH, *extra)
         if varying:
             codes = self._moves_of_plan().where(F.col("piece") == index)
@@ -278,21 +279,22 @@ class Healing:
                 ]),
                 [SOURCE, BATCH], "left",
             )
-        elif not extra:
-            if every:
-                return with_numbers(piece.frame, self._numeric(index))
-            joined = bounded_join(self._narrowed(piece.frame, facts), facts, [SOURCE, BATCH], self.options, "left_semi")
-            return with_numbers(joined, self._numeric(index))
-        frame = piece.frame if every else self._narrowed(piece.frame, facts)
-        joined = bounded_join(frame, facts, [SOURCE, BATCH], self.options)
-        return with_numbers(joined, self._numeric(index))
-
-    def _narrowed(self, frame: DataFrame, facts: DataFrame) -> DataFrame:
+        if not varying and not extra:
+            rows = frame if every else self._joined(frame, facts, "left_semi")
+        else:
+            rows = self._joined(frame, facts)
+        return with_numbers(rows, self._numeric(index))
+
+    def _narrowed(self, frame: DataFrame, index: int, *dispositions: str) -> DataFrame:
         """Rows of few batches are asked for by key, so that a scan can skip the other files."""
-        keys = facts.select(BATCH).distinct().limit(_FEW + 1).collect()
-        if len(keys) > _FEW or any(row[0] is None for row in keys):
+        if self.few is None:
             return frame
-        return frame.where(F.col(BATCH).isin(*[row[0] for row in keys]))
+        keys = [key for piece, kind, key in self.few if piece == index and kind in dispositions]
+        return frame.where(F.col(BATCH).isin(*keys))
+
+    def _joined(self, frame: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+        # facts are a part of the plan plus short codes, so twice the plan bounds them
+        return bounded_join(frame, facts, [SOURCE, BATCH], self.options, how, at_most=2 * self.plan_bytes)
 
     def _has(self, index: int, *dispositions: str, lossy: bool | None = None) -> bool:
         return any(d in dispositions and lossy in (None, has) for d, has in self.fates.get(index, ()))
@@ -307,12 +309,12 @@ class Healing:
             if not self._has(index, *PASSING):
                 continue
             every = all(d in PASSING for d, _ in self.fates[index])
-            rows = self._rows(index, passing, every)
+            rows = self._rows(index, passing, piece.frame, every, [])
             if self.options.on_coercion_failure == "exclude" and self._has(index, HEALED, lossy=True):
                 for _, condition in self._lost_cells(index):
-                    rows = rows.where(~condition)
-            columns = [self._value(index, piece, c).alias(c) for c in self.output]
-            parts.append(rows.select(SOURCE, BATCH, *columns))
+                    rows = rows.where(f"NOT {condition}")
+            columns = [f"{self._value(index, piece, c)} AS {named(c)}" for c in self.output]
+            parts.append(rows.selectExpr(SOURCE, BATCH, *columns))
         if parts:
             return reduce(DataFrame.unionByName, parts)
         key = self.pieces[0].frame.schema[BATCH].dataType
@@ -320,10 +322,8 @@ class Healing:
         fields += [T.StructField(c, t) for c, (_, t) in self.output.items()]
         return self._empty(T.StructType(fields))
 
-    def _value(self, index: int, piece: Piece, column: str) -> Column:
-        if column in piece.columns:
-            return self._moved(index, column)
-        return F.lit(None).cast(self.output[column][1])
+    def _value(self, index: int, piece: Piece, column: str) -> str:
+        return self._moved(index, column) if column in piece.columns else self._missing(column)
 
     @cached_property
     def failures(self) -> DataFrame:
@@ -334,11 +334,9 @@ class Healing:
         for index, piece in enumerate(self.pieces):
             if not self._has(index, HEALED, lossy=True):
                 continue
-            rows = self._rows(index, lossy, False, facts)
-            failed = F.array_compact(F.array(*[
-                F.when(condition, F.lit(column)) for column, condition in self._lost_cells(index)
-            ]))
-            cells = rows.withColumn("_failed", failed).where(W.some(F.col("_failed")))
+            rows = self._rows(index, lossy, self._narrowed(piece.frame, index, HEALED), False, facts)
+            failed = ", ".join(f"CASE WHEN {cond} THEN {literal(column)} END" for column, cond in self._lost_cells(index))
+            cells = rows.withColumn("_failed", F.expr(f"array_compact(array({failed}))")).where("size(_failed) > 0")
             cells = cells.withColumn("_record", self._record(index, piece))
             cells = cells.select(SOURCE, BATCH, "_hint", "_version", "_record", F.explode("_failed").alias("_column"))
             parts.append(cells.select(
@@ -370,7 +368,7 @@ class Healing:
                 if not self._has(index, *kinds):
                     continue
                 about = facts.where((F.col("piece") == index) & F.col("_type").isin(*kinds)).drop("piece")
-                rows = bounded_join(self._narrowed(frame_of.frame, about), about, [SOURCE, BATCH], self.options)
+                rows = self._joined(self._narrowed(frame_of.frame, index, *kinds), about)
                 rows = with_numbers(rows, [c for c in frame_of.inferred if TOKENS not in frame_of.frame.columns])
                 parts.append(rows.select(
                     F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.options import Options
@@ -12,20 +12,31 @@ _SALT = "_salt"
 
 def size_of(frame: DataFrame) -> int:
     """Bytes of a frame written as JSON text, an upper bound for what a broadcast of it holds."""
-    size = F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint") + 16)
-    return frame.select(F.coalesce(size, F.lit(0))).first()[0]
+    return frame.select(byte_bound()).first()[0]
+
+
+def byte_bound() -> Column:
+    return F.expr("coalesce(sum(cast(length(to_json(struct(*))) as bigint) + 16), 0)")
 
 
 def bounded_join(
-    rows: DataFrame, facts: DataFrame, keys: list[str], options: Options, how: str = "inner"
+    rows: DataFrame,
+    facts: DataFrame,
+    keys: list[str],
+    options: Options,
+    how: str = "inner",
+    at_most: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` to ``facts`` (unique on ``keys``, already materialised).
 
+    ``at_most`` is a byte bound of the facts where one is known; otherwise they are measured.
+
     Below the byte limit the facts are broadcast and the rows do not move. Above it both sides are
     shuffled with a salt, the facts being repeated once per salt, so that one key holding a third
     of the rows still spreads over many tasks.
     """
-    if size_of(facts) <= options.broadcast_limit_bytes:
+    size = size_of(facts) if at_most is None else at_most
+    if size <= options.broadcast_limit_bytes:
         return rows.join(F.broadcast(facts), keys, how)
     salts = 32
     salted_rows = rows.withColumn(_SALT, (F.monotonically_increasing_id() % salts).cast("int"))

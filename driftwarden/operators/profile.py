@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from driftwarden.functions.buckets import (
     BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, UNKNOWN,
 )
-from driftwarden.functions.coercion import losing, named, number_column, present, with_numbers
+from driftwarden.functions.coercion import losing, number_column, present, with_numbers
+from driftwarden.functions.sql import literal, named
 from driftwarden.options import Options
 from driftwarden.sources.pieces import BATCH, ERROR, SOURCE, Piece
 
 LOSS_TARGETS = (INTEGER, FLOAT, BOOLEAN, DATETIME)
 INFERABLE = (INTEGER, FLOAT, BOOLEAN)
-_CELL = "struct<column:string,ordinal:int,bucket:string,present:bigint,lost:map<string,bigint>>"
+_LOST = "map<string,bigint>"
+_CELL = f"struct<column:string,ordinal:int,bucket:string,present:bigint,lost:{_LOST}>"
 
 
 def loss_targets(
@@ -50,16 +52,11 @@ def profile(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _count(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], options: Options) -> DataFrame:
-    counters: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
-    error = F.lit(None).cast("string")
+    counters = {"n_rows": "count(1)"}
+    error = "CAST(NULL AS string)"
     if piece.has_errors:
-        counters.append(F.min(ERROR).alias("error"))
-        error = F.col("error")
+        counters["error"], error = f"min({ERROR})", "error"
 
     cells, parsed = [], []
     guessed: dict[str, Column] = {}
@@ -67,123 +64,107 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
         wanted = sorted(t for t in targets[column] if t in LOSS_TARGETS)
         if column in piece.inferred:
             parsed.append(column)
-            guessed[f"c{i}_bucket"] = _guess(i)
-            counters += _inferred_counters(i, piece, column, wanted, options)
+            guessed[f"c{i}_bucket"] = F.expr(_guess(i))
+            counters |= _inferred_counters(i, piece, column, wanted, options)
             cells.append(_inferred_cell(i, piece, column, wanted, options))
         else:
             if piece.declared_bucket(column) == STRING and {INTEGER, FLOAT} & set(wanted):
                 parsed.append(column)
             made, cell = _declared_cell(i, piece, column, wanted, options)
-            counters += made
+            counters |= made
             cells.append(cell)
 
-    observed = F.array(*cells) if cells else F.array().cast(f"array<{_CELL}>")
+    observed = f"array({', '.join(cells)})" if cells else "array()"
     return (
         with_numbers(piece.frame, parsed)
         .groupBy(SOURCE, BATCH)
-        .agg(*counters)
+        .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
         .withColumns(guessed)
-        .select(
-            SOURCE, BATCH, F.lit(index).alias("piece"), "n_rows", error.alias("error"),
-            F.filter(observed, lambda cell: cell["bucket"].isNotNull()).alias("observed"),
+        .selectExpr(
+            SOURCE, BATCH, f"{index} AS piece", "n_rows", f"{error} AS error",
+            f"filter(CAST({observed} AS array<{_CELL}>), cell -> cell.bucket IS NOT NULL) AS observed",
         )
     )
 
 
-def _cell(column: str, ordinal: int, bucket: Column, count: Column, lost: list[Column]) -> Column:
-    losses = F.create_map(*lost) if lost else F.create_map().cast("map<string,bigint>")
-    return F.struct(
-        F.lit(column).alias("column"), F.lit(ordinal).alias("ordinal"), bucket.alias("bucket"),
-        count.cast("bigint").alias("present"), losses.alias("lost"),
-    )
+def _cell(column: str, ordinal: int, bucket: str, count: str, lost: dict[str, str]) -> str:
+    pairs = ", ".join(f"'{target}', {sql}" for target, sql in lost.items())
+    return (
+        f"named_struct('column', {literal(column)}, 'ordinal', {ordinal}, 'bucket', {bucket},"
+        f" 'present', CAST({count} AS bigint), 'lost', CAST(map({pairs}) AS {_LOST}))"
+    )
 
 
 def _declared_cell(
     i: int, piece: Piece, column: str, wanted: list[str], options: Options
-) -> tuple[list[Column], Column]:
+) -> tuple[dict[str, str], str]:
     data_type, bucket = piece.type_of(column), piece.declared_bucket(column)
-    counters, lost = [], []
+    counters, lost = {}, {}
     number = named(number_column(column)) if bucket == STRING else None
     for target in wanted:
         condition = losing(named(column), data_type, target, options, number)
-        if condition is None:
-            continue
-        counters.append(_count(condition).alias(f"c{i}_lost_{target}"))
-        lost += [F.lit(target), F.col(f"c{i}_lost_{target}")]
-    unread = F.lit(None)
-    return counters, _cell(column, i, F.lit(bucket), unread, lost)
+        if condition is not None:
+            counters[f"c{i}_lost_{target}"] = f"count_if({condition})"
+            lost[target] = f"c{i}_lost_{target}"
+    # how many values are present is told only where the values are read anyway
+    return counters, _cell(column, i, literal(bucket), "NULL", lost)
 
 
 def _inferred_counters(
     i: int, piece: Piece, column: str, wanted: list[str], options: Options
-) -> list[Column]:
-    text, data_type = named(column), piece.type_of(column)
-    number = named(number_column(column))
-    counters = [_count(present(text, data_type)).alias(f"c{i}_present")]
-    counters += [_count(cond).alias(f"c{i}_like_{b}") for b, cond in piece.looks(column, number).items()]
+) -> dict[str, str]:
+    text, data_type, number = named(column), piece.type_of(column), named(number_column(column))
+    counters = {f"c{i}_present": f"count_if({present(text, data_type)})"}
+    counters |= {f"c{i}_like_{b}": f"count_if({cond})" for b, cond in piece.looks(column, number).items()}
     seen = piece.seen(column)
     if seen is not None:
-        counters.append(_count(seen).alias(f"c{i}_seen"))
+        counters[f"c{i}_seen"] = f"count_if({seen})"
     for target in wanted:
-        counters.append(_count(losing(text, data_type, target, options, number)).alias(f"c{i}_lost_{target}"))
+        counters[f"c{i}_lost_{target}"] = f"count_if({losing(text, data_type, target, options, number)})"
     return counters
 
 
-def _guess(i: int) -> Column:
+def _guess(i: int) -> str:
     """The narrowest bucket that all present values of a batch look like."""
-    count = F.col(f"c{i}_present")
-    bucket = F.when(count == 0, F.lit(UNKNOWN))
-    for guess in (INTEGER, FLOAT, BOOLEAN):
-        bucket = bucket.when(F.col(f"c{i}_like_{guess}") == count, F.lit(guess))
-    return bucket.otherwise(F.lit(STRING))
+    tests = "".join(
+        f" WHEN c{i}_like_{guess} = c{i}_present THEN '{guess}'" for guess in (INTEGER, FLOAT, BOOLEAN)
+    )
+    return f"CASE WHEN c{i}_present = 0 THEN '{UNKNOWN}'{tests} ELSE '{STRING}' END"
 
 
-def _inferred_cell(i: int, piece: Piece, column: str, wanted: list[str], options: Options) -> Column:
-    count, bucket = F.col(f"c{i}_present"), F.col(f"c{i}_bucket")
-    lost = []
-    for target in wanted:
-        lost += [F.lit(target), _lost_as(bucket, target, count, F.col(f"c{i}_lost_{target}"), options)]
+def _inferred_cell(i: int, piece: Piece, column: str, wanted: list[str], options: Options) -> str:
+    count, bucket = f"c{i}_present", f"c{i}_bucket"
+    lost = {t: _lost_as(bucket, t, count, f"c{i}_lost_{t}", options) for t in wanted}
     if piece.seen(column) is not None:
-        bucket = F.when(F.col(f"c{i}_seen") > 0, bucket)
+        bucket = f"CASE WHEN c{i}_seen > 0 THEN {bucket} END"
     return _cell(column, i, bucket, count, lost)
 
 
-def _lost_as(bucket: Column, target: str, count: Column, as_text: Column, options: Options) -> Column:
+def _lost_as(bucket: str, target: str, count: str, as_text: str, options: Options) -> str:
     """Cells lost when the batch is read as ``bucket`` first and then moved to ``target``."""
-    number = bucket.isin(INTEGER, FLOAT)
-    none = F.lit(0).cast("bigint")
+    number, flag = f"{bucket} IN ('{INTEGER}', '{FLOAT}')", f"{bucket} = '{BOOLEAN}'"
     if target == BOOLEAN:
-        return F.when(number, none).otherwise(as_text)
+        return f"CASE WHEN {number} THEN 0 ELSE {as_text} END"
     if target == DATETIME:
-        from_number = count if options.epoch_unit is None else none
-        return F.when(number, from_number).when(bucket == BOOLEAN, count).otherwise(as_text)
-    return F.when(bucket == BOOLEAN, none).otherwise(as_text)
+        from_number = count if options.epoch_unit is None else "0"
+        return f"CASE WHEN {number} THEN {from_number} WHEN {flag} THEN {count} ELSE {as_text} END"
+    return f"CASE WHEN {flag} THEN 0 ELSE {as_text} END"
 
 
 def type_counts(piece: Piece, options: Options) -> DataFrame:
     """Per batch and text column: rows, present values and how many look like each bucket."""
-    counters: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
+    counters, cells = {"n_rows": "count(1)"}, []
     for i, column in enumerate(piece.inferred):
-        counters += _inferred_counters(i, piece, column, [DATETIME], options)
-    cells = [
-        F.struct(
-            F.lit(column).alias("column_name"),
-            F.col(f"c{i}_present").alias("n_present"),
-            (F.col("n_rows") - F.col(f"c{i}_present")).alias("n_null"),
-            F.col(f"c{i}_like_{INTEGER}").alias("n_integer"),
-            F.col(f"c{i}_like_{FLOAT}").alias("n_float"),
-            F.col(f"c{i}_like_{BOOLEAN}").alias("n_boolean"),
-            (F.col(f"c{i}_present") - F.col(f"c{i}_lost_{DATETIME}")).alias("n_datetime"),
-            F.col(f"c{i}_bucket").alias("bucket"),
+        counters |= _inferred_counters(i, piece, column, [DATETIME], options)
+        cells.append(
+            f"struct({literal(column)} AS column_name, c{i}_present AS n_present, n_rows - c{i}_present AS n_null,"
+            f" c{i}_like_{INTEGER} AS n_integer, c{i}_like_{FLOAT} AS n_float, c{i}_like_{BOOLEAN} AS n_boolean,"
+            f" c{i}_present - c{i}_lost_{DATETIME} AS n_datetime, c{i}_bucket AS bucket)"
         )
-        for i, column in enumerate(piece.inferred)
-    ]
     return (
         with_numbers(piece.frame, list(piece.inferred))
         .groupBy(SOURCE, BATCH)
-        .agg(*counters)
-        .withColumns({f"c{i}_bucket": _guess(i) for i in range(len(piece.inferred))})
-        .select(SOURCE, BATCH, "n_rows", F.explode(F.array(*cells)).alias("cell"))
-        .select(SOURCE, BATCH, "n_rows", "cell.*")
+        .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
+        .withColumns({f"c{i}_bucket": F.expr(_guess(i)) for i in range(len(piece.inferred))})
+        .selectExpr(SOURCE, BATCH, "n_rows", f"inline(array({', '.join(cells)}))")
     )
-

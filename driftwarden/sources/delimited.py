@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.functions.coercion import named
+from driftwarden.functions.sql import literal, named, words
 from driftwarden.sources.batching import in_rows
 from driftwarden.sources.pieces import BATCH, Piece, tag
 
@@ -46,17 +46,18 @@ def _split(line: str) -> list[str]:
     return next(csv.reader([line]))
 
 
-def _tidy(text):
-    """Missing-value words become null."""
-    return F.when(~text.isin(*MISSING), text)
+def _tidy(value: str) -> Column:
+    """A value, or null for a missing-value word."""
+    return F.expr(f"CASE WHEN {value} NOT IN ({words(MISSING)}) THEN {value} END")
 
 
-def _too_long(problem):
-    message = F.concat(F.lit("more values than columns in "), "_metadata.file_path")
-    return F.when(problem, F.raise_error(message).cast("string"))
+def _checked(value: str, problem: str) -> str:
+    """A value, or an error where the line is too long."""
+    message = "concat('more values than columns in ', _metadata.file_path)"
+    return f"coalesce(CASE WHEN {problem} THEN CAST(raise_error({message}) AS string) END, {value})"
 
 
-def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], Column]]:
+def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], str]]:
     """(rows, columns, "line too long") per distinct header; the headers cost one scan of the text."""
     lines = _header_lines(spark, path)
     layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
@@ -68,11 +69,11 @@ def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[tupl
             files = [row["file"] for row in lines.where(F.col("line") == line).select("file").collect()]
         # a value under the extra name is one more than the header has
         rows = spark.read.schema(_text_columns([*columns, _EXTRA])).options(**options).csv(files)
-        found.append((rows, columns, F.col(_EXTRA).isNotNull()))
+        found.append((rows, columns, f"{_EXTRA} IS NOT NULL"))
     return found
 
 
-def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], Column]]:
+def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], str]]:
     """The one layout of files that all have the first one's header; another header is an error."""
     first = spark.read.text(path).first()
     if first is None:
@@ -84,8 +85,9 @@ def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple
         .csv(path)
     )
     # both shorter and longer lines are reported: only those are parsed again to tell them apart
-    again = F.from_csv(F.col(_CORRUPT), _text_columns([*columns, _EXTRA]).toDDL(), {"quote": '"', "escape": '"'})
-    return [(rows, columns, F.col(_CORRUPT).isNotNull() & again[_EXTRA].isNotNull())]
+    shape = literal(_text_columns([*columns, _EXTRA]).toDDL())
+    again = f"""from_csv({_CORRUPT}, {shape}, map('quote', '"', 'escape', '"'))"""
+    return [(rows, columns, f"{_CORRUPT} IS NOT NULL AND {again}.{_EXTRA} IS NOT NULL")]
 
 
 def _text_columns(names: list[str]) -> T.StructType:
@@ -117,7 +119,7 @@ def delimited(
     for rows, columns, problem in layouts:
         head, *tail = columns
         # the check rides on the first column, which pass 1 always reads
-        values = [_tidy(F.coalesce(_too_long(problem), named(head))).alias(head)]
+        values = [_tidy(_checked(named(head), problem)).alias(head)]
         values += [_tidy(named(c)).alias(c) for c in tail]
         if batch_rows is None:
             frame = rows.select(file_batch().alias(BATCH), *values)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions import buckets
-from driftwarden.functions.coercion import looks_float, looks_integer, named
+from driftwarden.functions.coercion import looks_float, looks_integer
+from driftwarden.functions.sql import literal, named, words
 
 SOURCE, BATCH, ERROR, TOKENS = "_source", "_batch", "_error", "_tokens"
 RESERVED = (SOURCE, BATCH, ERROR, TOKENS)
@@ -64,27 +65,26 @@ class Piece:
         }
         return replace(self, frame=frame, inferred=kept)
 
-    def seen(self, column: str) -> Column | None:
+    def seen(self, column: str) -> str | None:
         """Condition "this row has the column", None where every row has it."""
         if self.inferred.get(column) == "json":
-            return F.map_contains_key(F.col(TOKENS), F.lit(column))
+            return f"map_contains_key({TOKENS}, {literal(column)})"
         return None
 
-    def looks(self, column: str, number: Column) -> dict[str, Column]:
+    def looks(self, column: str, number: str) -> dict[str, str]:
         """Conditions by which one value of an inferred column looks like a bucket."""
         if self.inferred[column] == "json":
-            token = F.schema_of_variant(F.col(TOKENS)[F.lit(column)])
-            whole = token == "BIGINT"
+            token = f"schema_of_variant({TOKENS}[{literal(column)}])"
             return {
-                buckets.INTEGER: whole,
-                buckets.FLOAT: whole | token.startswith("DECIMAL") | token.isin("DOUBLE", "FLOAT"),
-                buckets.BOOLEAN: token == "BOOLEAN",
+                buckets.INTEGER: f"{token} = 'BIGINT'",
+                buckets.FLOAT: f"({token} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({token}, 'DECIMAL'))",
+                buckets.BOOLEAN: f"{token} = 'BOOLEAN'",
             }
         text = named(column)
         return {
             buckets.INTEGER: looks_integer(text, number),
             buckets.FLOAT: looks_float(text, number),
-            buckets.BOOLEAN: text.isin(*BOOLEAN_WORDS),
+            buckets.BOOLEAN: f"{text} IN ({words(BOOLEAN_WORDS)})",
         }
 
 

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.functions.coercion import named
+from driftwarden.functions.sql import named
 
 # The text format of times, and doubled quotes inside quoted fields.
 TIMES = {
@@ -46,7 +46,7 @@ def write_delimited(frame: DataFrame, path: str) -> None:
     before = existing_columns(spark, path)
     ordered = before + [c for c in frame.columns if c not in before]
     columns = [
-        named(c) if c in frame.columns else F.lit(None).cast("string").alias(c) for c in ordered
+        F.col(named(c)) if c in frame.columns else F.lit(None).cast("string").alias(c) for c in ordered
     ]
     frame.select(*columns).write.mode("append").options(**DELIMITED, **TIMES).csv(path)
     if ordered != before:

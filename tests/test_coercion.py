@@ -3,7 +3,6 @@ from datetime import UTC, date, datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from driftwarden.functions.buckets import bucket_of, schema_of
 from driftwarden.functions.coercion import coerce, losing
@@ -26,11 +25,8 @@ def column(spark, values, ddl):
 
 def coerced(frame, target, options=Options()):
     data_type = frame.schema["v"].dataType
-    lost = losing(F.col("v"), data_type, target, options)
-    rows = frame.select(
-        "v", coerce(F.col("v"), data_type, target, options).alias("r"),
-        (lost if lost is not None else F.lit(False)).alias("lost"),
-    ).collect()
+    lost = losing("v", data_type, target, options) or "false"
+    rows = frame.selectExpr("v", f"{coerce('v', data_type, target, options)} AS r", f"{lost} AS lost").collect()
     return {row["v"]: (row["r"], row["lost"]) for row in rows}
 
 
