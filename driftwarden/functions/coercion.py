@@ -7,6 +7,8 @@ caller compares ``present`` before and after to find the failures. Expressions a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from driftwarden.options import Options
 
 # The text forms read as numbers, booleans and infinities.
 NUMBER = r"^[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*$"
+WHOLE_NUMBER = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
 INFINITY = r"^[ \t]*[+-]?(inf|infinity)[ \t]*$"
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
 FALSE_WORDS = ("false", "0", "no", "n", "f")
@@ -57,17 +60,21 @@ def text_to_float(text: str, number: str, allow_inf: bool = False) -> str:
     return f"coalesce({number}, CASE WHEN {spelled} THEN {sign} END)"
 
 
+def whole_number(text: str, number: str) -> str:
+    """Digits only, and small enough for a bigint. Only such text reaches the cast: a cast that
+    fails is far dearer than a second pattern."""
+    digits = f"{number} IS NOT NULL AND {text} RLIKE {pattern(WHOLE_NUMBER)}"
+    return f"(CASE WHEN {digits} THEN try_cast({stripped(text)} AS bigint) END)"
+
+
 def text_to_integer(text: str, number: str) -> str:
-    # text that spells a number casts to bigint exactly when it has no fraction and no exponent
-    exact = f"try_cast({stripped(text)} AS bigint)"
-    whole = f"{number} = floor({number}) AND abs({number}) <= {EXACT_LIMIT}"
-    fitting = f"CASE WHEN {whole} THEN try_cast({number} AS bigint) END"
-    return f"(CASE WHEN {number} IS NOT NULL THEN coalesce({exact}, {fitting}) END)"
+    integral = f"{number} = floor({number}) AND abs({number}) <= {EXACT_LIMIT}"
+    fitting = f"CASE WHEN {integral} THEN CAST({number} AS bigint) END"
+    return f"coalesce({whole_number(text, number)}, {fitting})"
 
 
 def looks_integer(text: str, number: str) -> str:
-    """Digits only, and small enough for a bigint."""
-    return f"({number} IS NOT NULL AND try_cast({stripped(text)} AS bigint) IS NOT NULL)"
+    return f"({whole_number(text, number)} IS NOT NULL)"
 
 
 def looks_float(text: str, number: str) -> str:
@@ -91,8 +98,32 @@ def text_to_boolean(text: str) -> str:
 
 
 def text_to_datetime(text: str, formats: tuple[str, ...]) -> str:
-    tries = ", ".join(f"try_to_timestamp({stripped(text)}, {literal(fmt)})" for fmt in formats)
-    return f"coalesce({tries})"
+    plain, tries = stripped(text), []
+    for fmt in formats:
+        attempt, shape = f"try_to_timestamp({plain}, {literal(fmt)})", format_shape(fmt)
+        if shape is not None:
+            # a failing parse is far dearer than a pattern that no readable text can miss
+            attempt = f"CASE WHEN {plain} RLIKE {pattern(shape)} THEN {attempt} END"
+        tries.append(attempt)
+    return f"coalesce({', '.join(tries)})"
+
+
+def format_shape(fmt: str) -> str | None:
+    """A loose pattern that every text of a time format fits, None for formats with optional parts."""
+    if "[" in fmt or "''" in fmt:
+        return None
+    shape, quoted, last = "", False, ""
+    for char in fmt:
+        if char == "'":
+            quoted, last = not quoted, ""
+        elif char.isalpha() and not quoted:
+            if char != last:
+                shape += "[+-]?[0-9]+" if char in "yudHhKkmsS" else ".+"
+            last = char
+        else:
+            shape += re.escape(char)
+            last = ""
+    return None if "'" in shape else f"^{shape}$"
 
 
 def number_to_datetime(number: str, epoch_unit: str | None) -> str:

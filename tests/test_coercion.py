@@ -3,9 +3,11 @@ from datetime import UTC, date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftwarden.functions.buckets import bucket_of, schema_of
-from driftwarden.functions.coercion import coerce, losing
+from driftwarden.functions.coercion import coerce, losing, text_to_datetime
+from driftwarden.functions.sql import literal
 from driftwarden.options import Options
 
 # text -> (integer, float)
@@ -63,6 +65,18 @@ def test_datetime_text(spark):
     assert [found[v][1] for v in values] == [False, False, False, True, True, True]
 
 
+@pytest.mark.parametrize("fmt", [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "MMM d, yyyy", "yyyyMMdd", "dd.MM.yy", "d/M/y h:mm a", "yyyy-MM-dd[ HH:mm]",
+])
+def test_format_shapes_let_every_readable_text_through(spark, fmt):
+    texts = spark.sql("select timestamp'2024-01-05 10:20:30' + make_dt_interval(id * 97, id * 7) t from range(200)")
+    texts = texts.select(F.date_format("t", fmt.replace("[", "").replace("]", "")).alias("v"))
+    found = texts.selectExpr(
+        f"try_to_timestamp(v, {literal(fmt)}) a", f"{text_to_datetime('v', (fmt,))} b"
+    ).selectExpr("count_if(a <=> b)", "count(a)").first()
+    assert tuple(found) == (200, 200)
+
+
 @pytest.mark.parametrize(
     ("ddl", "value", "target", "result", "lost"),
     [
