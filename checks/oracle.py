@@ -369,6 +369,7 @@ def statements() -> dict[str, str]:
             array_to_string(added, ',') AS added, array_to_string(removed, ',') AS removed FROM plan""",
         "evolving_sources": f"""{fold(by="event_type")} SELECT src AS source_name, b AS batch_id, n_rows, loss, disposition,
             expected_version, evolved_to FROM plan""",
+        "stream_verdicts": f"""{plan} SELECT {_BATCH}, n_rows, disposition, expected_version, evolved_to, loss FROM plan""",
         # schema snapshot and drift
         "type_buckets": _type_buckets(),
         "schema_snapshot": _snapshot(),

@@ -29,6 +29,7 @@ from driftwarden.sources.delimited import delimited
 from driftwarden.sources.frames import frame_pieces, pieces_of
 from driftwarden.sources.json_lines import json_lines, json_text
 from driftwarden.sources.pieces import BATCH, SOURCE, Piece, tag
+from driftwarden.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -242,6 +243,25 @@ def evolving_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches judged by the streaming query, arriving in two portions."""
+    inbox, out, checkpoint = (fresh_folder(spark, name) for name in ("inbox", "verdicts", "stream"))
+    pieces = X.event_pieces(spark, sf_dir)
+    for arrived in (F.col(BATCH) < 5, F.col(BATCH) >= 5):
+        portion = [Piece(p.frame.where(arrived), p.inferred) for p in pieces]
+        stream.publish(portion, inbox, Options(), {"value": {"float"}, "event_id": {"integer"}})
+        verdicts = stream.judge(stream.read_summaries(spark, inbox, 1000), Options())
+        started = (
+            verdicts.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", out).option("checkpointLocation", checkpoint).start()
+        )
+        started.awaitTermination()
+    return spark.read.parquet(out).select(
+        "batch_id", "n_rows", "disposition", "expected_version", "evolved_to", "loss"
+    )
+
+
 # -- schema snapshot and drift ---------------------------------------------------------------------
 
 

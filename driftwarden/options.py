@@ -14,6 +14,9 @@ BASELINES = ("transformed", "raw")
 @dataclass(frozen=True)
 class Options:
     pipeline_name: str = "etl_pipeline"
+    # "source": a batch is a file (or what the frame's batch expression says);
+    # "rows": batch_size consecutive rows
+    batch_by: str = "source"
     batch_size: int = 1_000
 
     # healing switches
@@ -52,6 +55,8 @@ class Options:
             raise ValueError(f"on_coercion_failure must be one of {ON_FAILURE}")
         if self.baseline_from not in BASELINES:
             raise ValueError(f"baseline_from must be one of {BASELINES}")
+        if self.batch_by not in ("source", "rows"):
+            raise ValueError("batch_by must be source or rows")
         if self.epoch_unit not in (None, "s", "ms", "us"):
             raise ValueError("epoch_unit must be s, ms, us or None")
         if self.batch_size < 1 or self.batches_per_task < 1:

@@ -65,9 +65,10 @@ def run(
     record(RUNNING)
     try:
         if pieces is None:
-            pieces = pieces_of(
-                spark, source_type, source_name, source_path, source_frame, **(source_options or {})
-            )
+            how = dict(source_options or {})
+            if options.batch_by == "rows":
+                how.setdefault("batch_rows", options.batch_size)
+            pieces = pieces_of(spark, source_type, source_name, source_path, source_frame, **how)
         load = Load(pieces, options, state.active([source_name], before_run=run_id), custom_transform)
         plan = load.plan
         totals = load.totals.first()

@@ -71,6 +71,18 @@ def test_a_run_with_every_batch_held_back_succeeds(spark, folder):
     assert (summary["status"], summary["rows_loaded"], summary["rows_quarantined"]) == ("SUCCESS", 0, 5)
 
 
+def test_batches_of_rows_by_option(spark, folder):
+    state = State(spark, folder)
+    options = Options(batch_by="rows", batch_size=4, strict=True)
+    frame = spark.range(10).select("id", F.lit("x").alias("b"))
+    summary = run(spark, state, "s", "memory", source_frame=frame, source_options={"order_by": ["id"]},
+                  options=options, run_id="r0", now=NOW)
+    assert (summary["rows_extracted"], summary["rows_loaded"]) == (10, 10)
+    run(spark, state, "s", "memory", source_frame=frame.drop("b"), source_options={"order_by": ["id"]},
+        options=options, run_id="r1", now=NOW)
+    assert {r["batch_id"] for r in state.drift_events().collect()} == {"0", "1", "2"}
+
+
 def test_an_empty_run(spark, folder):
     state = State(spark, folder)
     empty = Piece(tag(spark.range(0), "s"))
