@@ -12,14 +12,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwarden.functions.buckets import (
     BOOLEAN, DATETIME, FLOAT, INTEGER, STRING, UNKNOWN,
 )
-from driftwarden.functions.coercion import losing, number_column, present, with_numbers
+from driftwarden.functions.coercion import losing, number_column, present, text_number, with_numbers
 from driftwarden.functions.sql import literal, named
 from driftwarden.options import Options
-from driftwarden.sources.pieces import BATCH, ERROR, SOURCE, Piece
+from driftwarden.sources.pieces import BATCH, ERROR, SOURCE, Piece, looks
 
 LOSS_TARGETS = (INTEGER, FLOAT, BOOLEAN, DATETIME)
 INFERABLE = (INTEGER, FLOAT, BOOLEAN)
@@ -48,7 +49,10 @@ def profile(
 ) -> DataFrame:
     """One row per (source, batch): rows, transform error, observed columns and possible losses."""
     targets = loss_targets(pieces, known)
-    parts = [_profile_piece(i, p, targets, options) for i, p in enumerate(pieces)]
+    parts = [
+        (_profile_text if p.inferred and len(p.inferred) == len(p.columns) else _profile_piece)(i, p, targets, options)
+        for i, p in enumerate(pieces)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -64,7 +68,7 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
         wanted = sorted(t for t in targets[column] if t in LOSS_TARGETS)
         if column in piece.inferred:
             parsed.append(column)
-            guessed[f"c{i}_bucket"] = F.expr(_guess(i))
+            guessed[f"c{i}_bucket"] = F.expr(_guess(f"c{i}_"))
             counters |= _inferred_counters(i, piece, column, wanted, options)
             cells.append(_inferred_cell(i, piece, column, wanted, options))
         else:
@@ -87,6 +91,57 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
     )
 
 
+def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], options: Options) -> DataFrame:
+    """The profile of a layout of text columns only, one cell at a time.
+
+    Each row is turned into its cells and these are counted by (batch, column), so the generated
+    code is that of one column however wide the layout is, and small enough to be compiled. Cells
+    are combined before the shuffle; what is shuffled is a row per batch, column and task.
+    """
+    names = piece.columns
+    cells = ", ".join(
+        f"named_struct('i', {i}, 'v', {named(c)}, 'token', {piece.token(c) or 'CAST(NULL AS string)'},"
+        f" 'seen', {piece.seen(c) or 'true'})"
+        for i, c in enumerate(names)
+    )
+    carried = [SOURCE, BATCH, f"{ERROR if piece.has_errors else 'CAST(NULL AS string)'} AS error"]
+    values = piece.frame.selectExpr(*carried, f"inline(array({cells}))").withColumn("number", F.expr(text_number("v")))
+
+    as_json = piece.token(names[0]) is not None
+    counters = {"n_rows": "count(1)", "error": "min(error)", "seen": "count_if(seen)", "present": "count(v)"}
+    counters |= {
+        f"like_{b}": f"count_if({cond})" for b, cond in looks("v", "token" if as_json else None, "number").items()
+    }
+    dated = [str(i) for i, c in enumerate(names) if DATETIME in targets[c]]
+    wanted = [*INFERABLE, *([DATETIME] if dated else [])]
+    for target in wanted:
+        lost = losing("v", T.StringType(), target, options, "number")
+        if target == DATETIME:
+            lost = f"i IN ({', '.join(dated)}) AND {lost}"
+        counters[f"lost_{target}"] = f"count_if({lost})"
+
+    pairs = ", ".join(f"'{t}', {_lost_as('bucket', t, 'present', f'lost_{t}', options)}" for t in wanted)
+    column = f"array({', '.join(literal(c) for c in names)})[i]"
+    cell = (
+        f"named_struct('ordinal', i, 'column', {column}, 'bucket', CASE WHEN seen > 0 THEN bucket END,"
+        f" 'present', present, 'lost', map({pairs}))"
+    )
+    ordered = "array_sort(collect_list(cell), (a, b) -> a.ordinal - b.ordinal)"
+    return (
+        values.groupBy(SOURCE, BATCH, "i")
+        .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
+        .withColumn("bucket", F.expr(_guess("")))
+        .selectExpr(SOURCE, BATCH, "n_rows", "error", f"{cell} AS cell")
+        .groupBy(SOURCE, BATCH)
+        .agg(F.max("n_rows").alias("n_rows"), F.min("error").alias("error"), F.expr(ordered).alias("cells"))
+        .selectExpr(
+            SOURCE, BATCH, f"{index} AS piece", "n_rows", "error",
+            "transform(filter(cells, c -> c.bucket IS NOT NULL), c -> named_struct('column', c.column,"
+            " 'ordinal', c.ordinal, 'bucket', c.bucket, 'present', c.present, 'lost', c.lost)) AS observed",
+        )
+    )
+
+
 def _cell(column: str, ordinal: int, bucket: str, count: str, lost: dict[str, str]) -> str:
     pairs = ", ".join(f"'{target}', {sql}" for target, sql in lost.items())
     return (
@@ -115,7 +170,7 @@ def _inferred_counters(
 ) -> dict[str, str]:
     text, data_type, number = named(column), piece.type_of(column), named(number_column(column))
     counters = {f"c{i}_present": f"count_if({present(text, data_type)})"}
-    counters |= {f"c{i}_like_{b}": f"count_if({cond})" for b, cond in piece.looks(column, number).items()}
+    counters |= {f"c{i}_like_{b}": f"count_if({cond})" for b, cond in looks(text, piece.token(column), number).items()}
     seen = piece.seen(column)
     if seen is not None:
         counters[f"c{i}_seen"] = f"count_if({seen})"
@@ -124,12 +179,13 @@ def _inferred_counters(
     return counters
 
 
-def _guess(i: int) -> str:
+def _guess(prefix: str) -> str:
     """The narrowest bucket that all present values of a batch look like."""
+    count = f"{prefix}present"
     tests = "".join(
-        f" WHEN c{i}_like_{guess} = c{i}_present THEN '{guess}'" for guess in (INTEGER, FLOAT, BOOLEAN)
+        f" WHEN {prefix}like_{guess} = {count} THEN '{guess}'" for guess in (INTEGER, FLOAT, BOOLEAN)
     )
-    return f"CASE WHEN c{i}_present = 0 THEN '{UNKNOWN}'{tests} ELSE '{STRING}' END"
+    return f"CASE WHEN {count} = 0 THEN '{UNKNOWN}'{tests} ELSE '{STRING}' END"
 
 
 def _inferred_cell(i: int, piece: Piece, column: str, wanted: list[str], options: Options) -> str:
@@ -165,6 +221,6 @@ def type_counts(piece: Piece, options: Options) -> DataFrame:
         with_numbers(piece.frame, list(piece.inferred))
         .groupBy(SOURCE, BATCH)
         .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
-        .withColumns({f"c{i}_bucket": F.expr(_guess(i)) for i in range(len(piece.inferred))})
+        .withColumns({f"c{i}_bucket": F.expr(_guess(f"c{i}_")) for i in range(len(piece.inferred))})
         .selectExpr(SOURCE, BATCH, "n_rows", f"inline(array({', '.join(cells)}))")
     )

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from driftwarden.functions import buckets
 from driftwarden.functions.coercion import looks_float, looks_integer
-from driftwarden.functions.sql import literal, named, words
+from driftwarden.functions.sql import literal, words
 
 SOURCE, BATCH, ERROR, TOKENS = "_source", "_batch", "_error", "_tokens"
 RESERVED = (SOURCE, BATCH, ERROR, TOKENS)
@@ -71,21 +71,26 @@ class Piece:
             return f"map_contains_key({TOKENS}, {literal(column)})"
         return None
 
-    def looks(self, column: str, number: str) -> dict[str, str]:
-        """Conditions by which one value of an inferred column looks like a bucket."""
-        if self.inferred[column] == "json":
-            token = f"schema_of_variant({TOKENS}[{literal(column)}])"
-            return {
-                buckets.INTEGER: f"{token} = 'BIGINT'",
-                buckets.FLOAT: f"({token} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({token}, 'DECIMAL'))",
-                buckets.BOOLEAN: f"{token} = 'BOOLEAN'",
-            }
-        text = named(column)
+    def token(self, column: str) -> str | None:
+        """The JSON token type of a value, None where values have none."""
+        if self.inferred.get(column) == "json":
+            return f"schema_of_variant({TOKENS}[{literal(column)}])"
+        return None
+
+
+def looks(text: str, token: str | None, number: str) -> dict[str, str]:
+    """Conditions by which one value of an inferred column looks like a bucket."""
+    if token is not None:
         return {
-            buckets.INTEGER: looks_integer(text, number),
-            buckets.FLOAT: looks_float(text, number),
-            buckets.BOOLEAN: f"{text} IN ({words(BOOLEAN_WORDS)})",
+            buckets.INTEGER: f"{token} = 'BIGINT'",
+            buckets.FLOAT: f"({token} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({token}, 'DECIMAL'))",
+            buckets.BOOLEAN: f"{token} = 'BOOLEAN'",
         }
+    return {
+        buckets.INTEGER: looks_integer(text, number),
+        buckets.FLOAT: looks_float(text, number),
+        buckets.BOOLEAN: f"{text} IN ({words(BOOLEAN_WORDS)})",
+    }
 
 
 def tag(frame: DataFrame, source_name: str, batch: Column | None = None) -> DataFrame:
