@@ -165,3 +165,13 @@ def test_json_sink_keeps_nulls(spark, folder):
 
 def test_memory_sink_counts(spark):
     assert sinks.load_into(spark.range(42), "memory") == 42
+
+
+def test_wide_delimited_files(spark, folder):
+    names = [f"c{i}" for i in range(250)]
+    line = ",".join(str(i % 7) if i % 2 else f"w{i}" for i in range(250))
+    put(folder, "1.csv", ",".join(names) + "\n" + (line + "\n") * 20, 0)
+    load = Load(delimited(spark, folder, "s"))
+    seen = load.plan.first()["observed"]
+    assert len(seen) == 250 and set(seen.values()) == {"integer", "string"}
+    assert load.clean.count() == 20
