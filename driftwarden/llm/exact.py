@@ -55,7 +55,7 @@ def equal_groups(
             .selectExpr("part", "digit", "ended", "group_size", "next_part", "-best.id as keep_id"),
             "radix-groups",
         )
-        met = dealt.join(shared, ["part", "digit", "ended"])
+        met = dealt.join(shared.hint("merge"), ["part", "digit", "ended"])
         met = stored(
             met.selectExpr(
                 "doc_id", "next_part as part", "if(ended, null, rest) as rest", "points", "ended", "keep_id", "group_size"
