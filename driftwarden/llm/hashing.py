@@ -7,7 +7,7 @@ never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -32,7 +32,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2**64, at least ``n`` of each."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, (SLICE_BYTES >> 2) + 1 if n < SLICE_BYTES >> 2 else SLICE_BYTES + 1)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
@@ -64,6 +64,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
     rows: slice
 
     def hashes(self, seed: int = 1) -> np.ndarray:
@@ -93,12 +94,30 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def slices(texts: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """Words of a column of texts, a few megabytes at a time. Null is an empty text."""
+def is_word(data: np.ndarray) -> np.ndarray:
+    return ~is_space(data)
+
+
+def is_alphanumeric(data: np.ndarray) -> np.ndarray:
+    """ASCII letters and digits, and every byte of a sign outside ASCII."""
+    folded = data | 32
+    return (data >= 128) | ((folded >= 97) & (folded <= 122)) | ((data >= 48) & (data <= 57))
+
+
+def slices(
+    texts: pa.Array,
+    lower: bool = False,
+    limit: int = SLICE_BYTES,
+    belongs: Callable[[np.ndarray], np.ndarray] = is_word,
+) -> Iterator[Words]:
+    """Words of a column of texts, a few megabytes at a time. Null is an empty text.
+
+    ``belongs`` tells the bytes of words; ``lower`` turns A to Z into small letters first.
+    """
     for data, offsets, rows in byte_slices(texts, limit):
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        inside = ~is_space(data)
+        inside = belongs(data)
         before = np.empty_like(inside)
         before[:1] = False
         before[1:] = inside[:-1]
@@ -110,7 +129,7 @@ def slices(texts: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> It
         last = offsets[1:][offsets[1:] > 0] - 1
         after[last] = False
         ends = np.flatnonzero(inside & ~after) + 1
-        yield Words(data, starts, ends, np.searchsorted(starts, offsets), rows)
+        yield Words(data, starts, ends, np.searchsorted(starts, offsets), offsets, rows)
 
 
 def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
