@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from driftwarden.llm import chat_query, exact_query, mixing_query, packing_query, quality_query
+from driftwarden.llm import (
+    chat_query,
+    exact_query,
+    langid_query,
+    mixing_query,
+    packing_query,
+    quality_query,
+    toxicity_query,
+)
 
-_MODULES = [exact_query, mixing_query, quality_query, packing_query, chat_query]
+_MODULES = [exact_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, chat_query]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
