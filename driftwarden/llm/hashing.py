@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -32,11 +32,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2**64, at least ``n`` of each."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, (SLICE_BYTES >> 2) + 1 if n < SLICE_BYTES >> 2 else SLICE_BYTES + 1)
+        size = max(n, SLICE_BYTES + 1)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _POWERS[base] = have
     return have
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -17,24 +18,25 @@ import pyarrow as pa
 
 from driftwarden.llm.hashing import _byte_codes, byte_slices, is_space, runs, take_ranges
 
-REMEMBERED_RUNS, LONGEST_REMEMBERED = 3 << 20, 64
+REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 20, 1 << 16, 64
 
 
 class Encoder:
     """Encodes columns of texts; remembers short runs, ``REMEMBERED_RUNS`` at most."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.word = byte_pairs(path) or self._exactly
-        self.openings = {x.content.encode()[:2] for x in self.tokenizer.get_added_tokens_decoder().values()}
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.path, self._tokenizer = path, None
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        self.openings = {x["content"].encode()[:2] for x in made.get("added_tokens", ())}
+        top = max(made["model"]["vocab"].values(), default=0) if isinstance(made["model"].get("vocab"), dict) else 1 << 16
+        self.width = 2 if max([top, *(x["id"] for x in made.get("added_tokens", ()))]) < 1 << 16 else 4
+        self.word = byte_pairs(made) or self._exactly
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.old, self.recent = _Runs.none(), _Runs.none()
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
         """Ids of consecutive texts, each followed by id 0; ``first[i]:first[i + 1]`` are those of text i."""
@@ -82,46 +84,73 @@ class Encoder:
         return found
 
     def _exactly(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each run the place and number of its ids, and the ids."""
         hashed = runs(_byte_codes(7)[data], starts, ends, 0x5851F42D4C957F2D)
         keys, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > REMEMBERED_RUNS:
+        if len(self.old.keys) > REMEMBERED_RUNS:
             self._forget()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
-        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
+        for table in (self.old, self.recent):
+            table.find(keys, at, size)
+        new = np.flatnonzero(at < 0)
+        length = (ends - starts)[sample[new]]
+        new = new[np.argsort(length > LONGEST_REMEMBERED, kind="stable")]
         fresh = [bytes(data[s:e]).decode() for s, e in zip(starts[sample[new]], ends[sample[new]], strict=True)]
-        coded = [self.word(x) if "<" not in x else self._exactly(x) for x in fresh]
+        coded = [self._exactly(x) if "<|" in x else self.word(x) for x in fresh]
         size[new] = [len(x) for x in coded]
-        at[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
-        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.int32)])
-        short = new[(ends - starts)[sample[new]] <= LONGEST_REMEMBERED]
-        kept = take_ranges(at[short], size[short])
-        moved = len(self.ids) + np.cumsum(size[short]) - size[short]
-        merged = np.concatenate([self.keys, keys[short]])
-        order = np.argsort(merged, kind="stable")
-        self.at, self.size = np.concatenate([self.at, moved])[order], np.concatenate([self.size, size[short]])[order]
-        self.keys, self.ids = merged[order], np.concatenate([self.ids, ids[kept]])
-        return at[inverse], size[inverse], ids
-
-
-def byte_pairs(path: str) -> Callable[[str], list[int]] | None:
-    """The same encoder on a faster library, for texts without special tokens; nothing if the file is of another kind.
+        at[new] = self.used + np.cumsum(size[new]) - size[new]
+        end = self.used + int(size[new].sum())
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end - len(self.ids), len(self.ids)), np.int32)])
+        self.ids[self.used : end] = np.fromiter(chain.from_iterable(coded), np.int32, end - self.used)
+        short = new[: int((length <= LONGEST_REMEMBERED).sum())]
+        self.recent = self.recent.joined(_Runs(keys[short], at[short], size[short]))
+        self.used += int(size[short].sum())
+        if len(self.recent.keys) > RECENT_RUNS:
+            self.old, self.recent = self.old.joined(self.recent), _Runs.none()
+        return at[inverse], size[inverse], self.ids
+
+
+@dataclass
+class _Runs:
+    """Known runs sorted by hash: place and number of their ids."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def none() -> _Runs:
+        return _Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def find(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            good = self.keys[place] == keys
+            at[good], size[good] = self.at[place[good]], self.size[place[good]]
+
+    def joined(self, other: _Runs) -> _Runs:
+        keys = np.concatenate([self.keys, other.keys])
+        order = np.argsort(keys, kind="stable")
+        at, size = np.concatenate([self.at, other.at]), np.concatenate([self.size, other.size])
+        return _Runs(keys[order], at[order], size[order])
+
+
+def byte_pairs(made: dict) -> Callable[[str], list[int]] | None:
+    """The encoder of a vocabulary file on a faster library, for texts without special tokens; nothing if the file is of another kind.
 
     That library merges the pair of least id first, which is the file's order only if ids count the merges.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        made = json.load(file)
     model, before = made["model"], made.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
     if model.get("type") != "BPE" or not plain or made.get("normalizer"):
