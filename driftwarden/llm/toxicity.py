@@ -1,6 +1,6 @@
 """Toxicity: a sparse word classifier with counterfactual regularisation.
 
-Features are whole words and their first four to six signs, each present or absent. The words that tell toxic from other
+Features are whole words and their first four to six signs, each as the logarithm of its count. The words that tell toxic from other
 labelled documents are counted in Spark; the lasso logistic fit then runs on a bounded sample. Where a labelled sentence
 has an identity term, the term is swapped for the others of its group, and the fit is penalised by the squared change of the
 score's margin: a group's name alone must not move the score.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.llm.hashing import Words, _byte_codes, is_alphanumeric, runs, slices
+from driftwarden.llm.labelled import labelled_sample
 from driftwarden.llm.sparse_fit import lasso_logistic
 from driftwarden.llm.tables import stored
 
@@ -37,8 +38,9 @@ IDENTITY_TERMS = [
     ["elderly", "young", "old", "teenage"],
 ]
 PREFIXES = (4, 5, 6)
-#: Bounds of what is learned: features kept, and documents a feature must be found in.
-MOST_FEATURES, LEAST_DOCUMENTS = 600, 4
+#: Bounds of what is learned: features kept, documents a feature must be found in, and how far (in standard
+#: deviations) its toxic documents must be from what chance gives.
+MOST_FEATURES, LEAST_DOCUMENTS, LEAST_STRENGTH = 600, 3, 3.5
 _FEATURES = "feature long, n long, bad long"
 _SENTENCE_ENDS = (ord("."), ord("!"), ord("?"), ord("\n"))
 
@@ -89,13 +91,13 @@ class Weights:
         near = np.zeros(1 << 16, bool)
         near[self.features & np.uint64(0xFFFF)] = True
         hit = np.flatnonzero(near[hashed & np.uint64(0xFFFF)])
-        place = np.searchsorted(self.features, hashed[hit])
-        place[place == len(self.features)] = 0
+        place = np.minimum(np.searchsorted(self.features, hashed[hit]), max(0, len(self.features) - 1))
         good = self.features[place] == hashed[hit] if len(self.features) else np.zeros(len(hit), bool)
-        pairs = np.unique(text_of[hit][good] * max(1, len(self.features)) + place[good])
+        size = max(1, len(self.features))
+        pairs, times = np.unique(text_of[hit][good] * size + place[good], return_counts=True)
         margin = np.full(len(words.first) - 1, self.intercept)
         if len(pairs):
-            np.add.at(margin, pairs // len(self.features), self.margins[pairs % len(self.features)])
+            np.add.at(margin, pairs // size, self.margins[pairs % size] * np.log2(1 + times))
         return 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
 
 
@@ -122,7 +124,7 @@ def counted(sample: DataFrame) -> DataFrame:
     return sample.select("text", "y").mapInArrow(count, _FEATURES).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def fit(sample: DataFrame, penalty: float = 0.0005, fairness: float = 1.0) -> Weights:
+def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0) -> Weights:
     """Learn from ``sample`` (doc_id, text, y), which must be bounded and stored.
 
     ``fairness`` weighs the squared change of the margin, mean over swaps. The driver gets the chosen features and which documents have them.
@@ -137,7 +139,12 @@ def fit(sample: DataFrame, penalty: float = 0.0005, fairness: float = 1.0) -> We
         return Weights(float(np.log(share / (1 - share))), empty, np.zeros(0))
     expected = F.col("n") * F.lit(bad / n)
     strength = F.abs(F.col("bad") - expected) / F.sqrt(expected + 1)
-    chosen = counted(sample).where(F.col("n") >= LEAST_DOCUMENTS).orderBy(strength.desc(), "feature").limit(MOST_FEATURES)
+    chosen = (
+        counted(sample)
+        .where((F.col("n") >= LEAST_DOCUMENTS) & (strength >= LEAST_STRENGTH))
+        .orderBy(strength.desc(), "feature")
+        .limit(MOST_FEATURES)
+    )
     keys = np.sort(np.array([r["feature"] for r in chosen.select("feature").collect()], np.int64).view(np.uint64))
     terms = {t: np.uint64(h & (1 << 64) - 1) for t, h in term_features().items()}
     keys = np.unique(np.concatenate([keys, np.array(list(terms.values()), np.uint64)]))
@@ -151,7 +158,7 @@ def fit(sample: DataFrame, penalty: float = 0.0005, fairness: float = 1.0) -> We
                 hashed, text_of = features(words)
                 place = np.minimum(np.searchsorted(probe.features, hashed), len(keys) - 1)
                 good = np.flatnonzero(probe.features[place] == hashed)
-                pairs = np.unique(text_of[good] * len(keys) + place[good])
+                pairs, times = np.unique(text_of[good] * len(keys) + place[good], return_counts=True)
                 many = np.bincount(pairs // len(keys), minlength=len(words.first) - 1)
                 single = good[good < len(words.starts)]
                 named = single[np.isin(place[single], term_at)]
@@ -162,15 +169,15 @@ def fit(sample: DataFrame, penalty: float = 0.0005, fairness: float = 1.0) -> We
                 columns = [
                     pa.array(batch.column("y").to_numpy(zero_copy_only=False)[words.rows]),
                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(pairs % len(keys), pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(times, pa.int32())),
                     pa.array([swaps.tolist(), *[[]] * (len(many) - 1)], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["y", "has", "swaps"])
+                yield pa.RecordBatch.from_arrays(columns, names=["y", "has", "times", "swaps"])
 
-    ordered = sample.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y")
-    rows = ordered.mapInArrow(present, "y double, has array<int>, swaps array<long>").collect()
+    rows = sample.select("text", "y").mapInArrow(present, "y double, has array<int>, times array<int>, swaps array<long>").collect()
     x, y, swaps = np.zeros((len(rows), len(keys)), np.float32), np.zeros(len(rows)), np.zeros(len(set(of_term.values())))
     for i, row in enumerate(rows):
-        x[i, row["has"]] = 1
+        x[i, row["has"]] = np.log2(1 + np.array(row["times"], np.float32))
         y[i] = row["y"]
         if row["swaps"]:
             swaps += row["swaps"]
@@ -227,7 +234,6 @@ def keep_clean(docs: DataFrame, model: Weights, threshold: float) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out, most: int) -> Weights:
-    """Fit on at most ``most`` labelled documents outside ``held_out``."""
-    from driftwarden.llm.labelled import labelled_sample
-
-    return fit(stored(labelled_sample(docs, labels, "toxic", held_out, most), "toxicity-sample"))
+    """Fit on at most ``most`` labelled documents outside ``held_out``; copies of a text count once."""
+    sample = labelled_sample(docs, labels, "toxic", held_out, most)
+    return fit(stored(sample.dropDuplicates(["text", "y"]), "toxicity-sample"))
