@@ -5,6 +5,7 @@ from __future__ import annotations
 from driftwarden.llm import (
     chat_query,
     exact_query,
+    jaccard_query,
     langid_query,
     mixing_query,
     packing_query,
@@ -13,6 +14,6 @@ from driftwarden.llm import (
     toxicity_query,
 )
 
-_MODULES = [exact_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, substring_query, chat_query]
+_MODULES = [exact_query, jaccard_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, substring_query, chat_query]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

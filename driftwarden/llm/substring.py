@@ -118,28 +118,30 @@ def _numbers(batch: pa.RecordBatch, words: Words) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)[words.rows]
 
 
+def ask_cells(ids: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A slice's questions to the sketch: was the cell of each hash (in document order) hit at least twice?"""
+    part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
+    cell = (hashed >> np.uint64(64 - bits - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
+    spot, index, times = np.unique(hashed >> np.uint64(64 - bits - CELL_BITS), return_inverse=True, return_counts=True)
+    again, twice = times[index] > 1, spot[times > 1]
+    return _batch(
+        _rows(
+            int(ids[0]), ids, doc, part, again, ~again, _three_bytes(cell),
+            (twice >> np.uint64(CELL_BITS)).astype(np.int64), _three_bytes(twice & np.uint64((1 << CELL_BITS) - 1)), 1 << bits,
+        ),
+        _ASKED,
+    )
+
+
 def _sketch(bits: int):
     """Ask the ranges of the sketch about every window."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in slices(batch.column("text"), limit=SLICE):
-                hashed, doc, first = _hashed(words)
-                if not len(hashed):
-                    continue
-                ids = _numbers(batch, words)
-                part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
-                cell = (hashed >> np.uint64(64 - bits - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
-                spot, index, times = np.unique(hashed >> np.uint64(64 - bits - CELL_BITS), return_inverse=True, return_counts=True)
-                again = times[index] > 1
-                twice = spot[times > 1]
-                yield _batch(
-                    _rows(
-                        int(ids[0]), ids, doc, part, again, ~again, _three_bytes(cell),
-                        (twice >> np.uint64(CELL_BITS)).astype(np.int64), _three_bytes(twice & np.uint64((1 << CELL_BITS) - 1)), 1 << bits,
-                    ),
-                    _ASKED,
-                )
+                hashed, doc, _ = _hashed(words)
+                if len(hashed):
+                    yield ask_cells(_numbers(batch, words), hashed, doc, bits)
 
     return ask
 
@@ -199,8 +201,8 @@ def _answer(group: pa.Table, width: int, answered) -> pa.Table:
     return pa.Table.from_batches([_batch(out, _ANSWERED)])
 
 
-def _assemble(group: pa.Table) -> pa.Table:
-    """The bits of each document of a slice that has any set, in the order of (part, place)."""
+def _slice_bits(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: its documents, how many windows each has, and their bits by document in the order of (part, place)."""
     rows = sorted(group.to_pylist(), key=lambda r: r["part"])
     own, answers = rows[0], rows[1:]
     ids, n = np.frombuffer(own["docs"], "<i8"), np.frombuffer(own["counts"], "<i4")
@@ -216,14 +218,25 @@ def _assemble(group: pa.Table) -> pa.Table:
     if docs:
         order = np.argsort(np.concatenate(docs), kind="stable")
         bits[open_bits] = np.concatenate(got)[order]
+    return ids, n, bits
+
+
+def _assemble(group: pa.Table) -> pa.Table:
+    """The bits of each document of a slice that has any set."""
+    ids, n, bits = _slice_bits(group)
     at = np.concatenate(([0], np.cumsum(n)))
     out: dict[str, list] = {k: [] for k in ("doc_id", "n", "bits")}
-    some = np.add.reduceat(np.append(bits, False), at[:-1]) * (n > 0) if len(n) else n
-    for i in np.flatnonzero(some):
+    for i in np.flatnonzero(bits_set(bits, at)):
         _add(out, int(ids[i]), int(n[i]), _pack(bits[at[i] : at[i + 1]]))
     return pa.Table.from_batches([_batch(out, _BITS)])
 
 
+def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bits each stretch has set."""
+    total = np.concatenate(([0], np.cumsum(bits)))
+    return total[at[1:]] - total[at[:-1]]
+
+
 def _in_place(raw: pa.Array, part: np.ndarray, doc: np.ndarray, first: np.ndarray, parts: int) -> np.ndarray:
     """Bits of a slice's windows in (document, place) order, from each document's in (part, place) order."""
     order, _ = _by_part(part, doc, len(first) - 1, parts)
