@@ -10,8 +10,8 @@ A group of copies may hold a third of all rows: counting sees it as one row per
 hands the group number back has nothing but shuffles below it, so Spark splits its large partitions.
 
 Defined results: a null text is empty, empty texts are equal to each other. Of equal texts the row with the most code points,
-then the smallest doc_id, stays; with repeated doc_ids the choice among them is by id alone. Null doc_ids
-are refused by the caller's contract of unique ids. Other columns are ignored.
+then the smallest doc_id, stays. Rows that share a doc_id and a text are counted, and stay or go together; a row without a
+doc_id is compared with none and stays. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def equal_groups(
     docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GROWTH, widest: int = WIDEST
 ) -> DataFrame:
     """Documents that share their text with another: doc_id, keep_id, group_size."""
-    rows = docs.select("doc_id", normalised().cast("binary").alias("rest"), F.length("text").alias("points"))
+    rows = docs.where("doc_id is not null").select("doc_id", normalised().cast("binary").alias("rest"), F.length("text").alias("points"))
     live = rows.select("doc_id", F.lit(0).cast("long").alias("part"), "rest", F.coalesce("points", F.lit(0)).alias("points"))
     width, found = first_digit, []
     while True:
@@ -70,21 +70,23 @@ def equal_groups(
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    return whole
+    return whole.groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, **digits: int) -> DataFrame:
     """Every document: doc_id, keep_id, group_size, kept."""
-    copies = equal_groups(docs, **digits)
-    return (
-        docs.select("doc_id")
-        .join(copies, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.coalesce("keep_id", "doc_id").alias("keep_id"),
-            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        )
-        .withColumn("kept", F.expr("doc_id = keep_id"))
+    return marked(docs.select("doc_id"), equal_groups(docs, **digits))
+
+
+def marked(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` (doc_id and whatever the caller adds) with keep_id, group_size and kept."""
+    own = [c for c in rows.columns if c != "doc_id"]
+    return rows.join(copies, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.expr("coalesce(keep_id, doc_id) <=> doc_id").alias("kept"),
+        *own,
     )
 
 

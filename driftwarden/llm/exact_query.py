@@ -11,18 +11,8 @@ from driftwarden.llm.tables import table
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    copies = exact.equal_groups(docs)
-    return (
-        docs.select("doc_id", F.sha2(exact.normalised().cast("binary"), 256).alias("text_sha256"))
-        .join(copies, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.coalesce("keep_id", "doc_id").alias("keep_id"),
-            F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            F.expr("coalesce(keep_id, doc_id) = doc_id").alias("kept"),
-            "text_sha256",
-        )
-    )
+    rows = docs.select("doc_id", F.sha2(exact.normalised().cast("binary"), 256).alias("text_sha256"))
+    return exact.marked(rows, exact.equal_groups(docs))
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup}

@@ -17,7 +17,8 @@
 A link inside a component that is known already changes nothing in the result, so it need not be found.
 
 Defined results: a null text or one without words has the empty set and no links; a text of fewer words than a shingle has
-its whole sequence as its only shingle. Rows are told apart by doc_id. Other columns are ignored.
+its whole sequence as its only shingle. Rows that share a doc_id count as one document; rows without one are left out. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm.components import components
 from driftwarden.llm.hashing import grouped, mix, slices, take_ranges, windows
-from driftwarden.llm.substring import SLICE, _ANSWERED, _ASKED, _count_cells, _slice_bits, ask_cells, bits_set, range_bits
+from driftwarden.llm.substring import SLICE, _ANSWERED, _ASKED, _count_cells, _slice_bits, ask_cells, bits_set, range_bits, slice_numbers
 from driftwarden.llm.tables import stored
 
 CHUNK, LEAF, FAN = 2000, 32, 8
@@ -74,10 +75,11 @@ def shared_counts(docs: DataFrame, rule: Shingles) -> DataFrame:
     bits = range_bits(total)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = slice_numbers()
         for batch in batches:
             for words in slices(batch.column("text"), lower=True, limit=SLICE):
                 hashed, doc, _ = _distinct(words, rule.words)
-                yield ask_cells(batch.column("doc_id").to_numpy(zero_copy_only=False)[words.rows], hashed, doc, bits)
+                yield ask_cells(next(numbers), batch.column("doc_id").to_numpy(zero_copy_only=False)[words.rows], hashed, doc, bits)
 
     def count(group: pa.Table) -> pa.Table:
         ids, n, found = _slice_bits(group)
@@ -419,9 +421,10 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Shingles) -> DataFrame:
 def near_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
     """Every document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
     rule = rule or Shingles()
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = stored(shared_counts(docs, rule), "shared-counts")
     open_docs = counts.where(f"n > 0 and shared >= {rule.percent} * n / 100").select("doc_id")
-    sets = stored(shingle_sets(docs.join(open_docs.hint("merge"), "doc_id"), rule), "sets")
+    sets = stored(shingle_sets(docs.join(open_docs.hint("merge"), "doc_id", "left_semi"), rule), "sets")
     classes = stored(
         sets.groupBy("n", "digest1", "digest2").agg(F.min("doc_id").alias("first")).select("n", "digest1", "digest2", "first"), "classes"
     )
@@ -430,7 +433,8 @@ def near_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
     )
     joined = _with_components(firsts, links(firsts, rule)).withColumnRenamed("doc_id", "first")
     of_class = stored(classes.join(joined, "first").select("n", "digest1", "digest2", "component"), "class-components")
-    of_doc = sets.select("doc_id", "n", "digest1", "digest2").join(of_class, ["n", "digest1", "digest2"]).select("doc_id", "component")
+    of_doc = sets.select("doc_id", "n", "digest1", "digest2").join(of_class, ["n", "digest1", "digest2"])
+    of_doc = of_doc.groupBy("doc_id").agg(F.min("component").alias("component"))
     return counts.join(of_doc, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

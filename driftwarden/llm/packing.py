@@ -10,8 +10,8 @@
 3. Items get their rank within their length (no task holds a whole length), and rank tells sequence and
    offset. Pieces then take their ids from the stored ids of their document.
 
-Defined results: a null or empty text is the single end id; repeated rows are documents of their own as long as
-doc_id tells them apart; an empty table gives no pieces.
+Defined results: a null or empty text is the single end id; every row is a document of its own, also with a doc_id that is null or
+repeated; an empty table gives no pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +31,31 @@ from driftwarden.llm.tables import stored
 from driftwarden.llm.tokens import encoder
 
 CAPACITY = 1024
-_TOKENIZED = "doc_id long, doc_tokens long, token_ids binary"
-_PLACES = "doc_id long, start long, length long, sequence_id long, offset long"
-_PIECES = _PLACES + ", doc_tokens long, ids array<int>"
+_TOKENIZED = "row long, doc_id long, doc_tokens long, token_ids binary"
+_PLACES = "row long, start long, length long, sequence_id long, offset long"
+_PIECES = _PLACES.replace("row", "doc_id") + ", doc_tokens long, ids array<int>"
 
 
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, the number of its ids (the end id included) and the ids, little-endian, two bytes each where that suffices."""
+    """Rows numbered, with doc_id, the number of its ids (the end id included) and the ids, two bytes each where that suffices."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        width = coder.width
+        width, at = coder.width, TaskContext.get().partitionId() << 33
         for batch in batches:
             for ids, first, rows in coder.documents(batch.column("text")):
                 raw = ids.astype(f"<u{width}")
                 held = pa.BinaryArray.from_buffers(
                     pa.binary(), len(first) - 1, [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(raw)]
                 )
-                numbers = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
+                size = rows.stop - rows.start
                 yield pa.RecordBatch.from_arrays(
-                    [numbers, pa.array(np.diff(first)), held], names=["doc_id", "doc_tokens", "token_ids"]
+                    [pa.array(np.arange(at, at + size)), batch.column("doc_id").slice(rows.start, size), pa.array(np.diff(first)), held],
+                    names=["row", "doc_id", "doc_tokens", "token_ids"],
                 )
+                at += size
 
-    return docs.select("doc_id", "text").mapInArrow(coded, _TOKENIZED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(coded, _TOKENIZED)
 
 
 def closest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -151,13 +154,13 @@ def _tables(made: dict[int, list[tuple[int, int, int, int, int, int]]]) -> dict[
 
 
 def placements(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Where every piece lies: doc_id, start, length, sequence_id, offset. ``lengths``: doc_id, doc_tokens (stored)."""
-    full = lengths.selectExpr("doc_id", f"doc_tokens div {capacity} as pieces", "0 as one").where("pieces > 0")
-    whole = running(full, "one", "doc_id", "pieces").join(full.drop("one"), "doc_id")
-    whole = whole.selectExpr("doc_id", "rank", "explode(sequence(0L, pieces - 1)) as k").selectExpr(
-        "doc_id", f"k * {capacity} as start", f"{capacity}L as length", "rank + k as sequence_id", "0L as offset"
+    """Where every piece lies: row, start, length, sequence_id, offset. ``lengths``: row, doc_tokens (stored)."""
+    full = lengths.selectExpr("row", f"doc_tokens div {capacity} as pieces", "0 as one").where("pieces > 0")
+    whole = running(full, "one", "row", "pieces").join(full.drop("one"), "row")
+    whole = whole.selectExpr("row", "rank", "explode(sequence(0L, pieces - 1)) as k").selectExpr(
+        "row", f"k * {capacity} as start", f"{capacity}L as length", "rank + k as sequence_id", "0L as offset"
     )
-    items = lengths.selectExpr("doc_id", "doc_tokens", f"doc_tokens % {capacity} as length").where("length > 0")
+    items = lengths.selectExpr("row", "doc_tokens", f"doc_tokens % {capacity} as length").where("length > 0")
     histogram = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
     sequences = full.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0]
     table = lengths.sparkSession.sparkContext.broadcast(_tables(plan(histogram, capacity, sequences)))
@@ -165,7 +168,7 @@ def placements(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tokens, length, rank = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "doc_tokens", "length", "rank")
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "doc_tokens", "length", "rank")
             )
             for size in np.unique(length):
                 mine = np.flatnonzero(length == size)
@@ -179,16 +182,16 @@ def placements(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                         pa.array(ids[item]), pa.array(tokens[item] - size + found[:, 2]), pa.array(found[:, 3]),
                         pa.array(found[:, 4] + rank[item] - found[:, 0]), pa.array(found[:, 5]),
                     ],
-                    names=["doc_id", "start", "length", "sequence_id", "offset"],
+                    names=["row", "start", "length", "sequence_id", "offset"],
                 )
 
-    ranked = running(items, "length", "doc_id").join(items.select("doc_id", "doc_tokens"), "doc_id")
-    return whole.unionByName(ranked.select("doc_id", "doc_tokens", "length", "rank").mapInArrow(placed, _PLACES))
+    ranked = running(items, "length", "row").join(items.select("row", "doc_tokens"), "row")
+    return whole.unionByName(ranked.select("row", "doc_tokens", "length", "rank").mapInArrow(placed, _PLACES))
 
 
 def pieces(tokens: DataFrame, places: DataFrame) -> DataFrame:
     """Every placed piece with its ids. A document's pieces come to it as one list, no longer than the text."""
-    listed = places.groupBy("doc_id").agg(
+    listed = places.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("places")
     )
 
@@ -204,11 +207,10 @@ def pieces(tokens: DataFrame, places: DataFrame) -> DataFrame:
             ids = np.frombuffer(held.buffers()[2], f"<u{size or 2}", (bounds[-1] - bounds[0]) // (size or 2), bounds[0])
             first = np.concatenate(([0], np.cumsum(total)))
             at = np.concatenate(([0], np.cumsum(length)))
-            numbers = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(numbers[doc]), pa.array(start), pa.array(length), pa.array(sequence), pa.array(offset),
-                    pa.array(total[doc]),
+                    batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sequence),
+                    pa.array(offset), pa.array(total[doc]),
                     pa.ListArray.from_arrays(
                         pa.array(at, pa.int32()), pa.array(ids[take_ranges(first[doc] + start, length)].astype(np.int32))
                     ),
@@ -216,11 +218,11 @@ def pieces(tokens: DataFrame, places: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "length", "sequence_id", "offset", "doc_tokens", "ids"],
             )
 
-    return tokens.join(listed, "doc_id").select("doc_id", "doc_tokens", "token_ids", "places").mapInArrow(cut, _PIECES)
+    return tokens.join(listed, "row").select("doc_id", "doc_tokens", "token_ids", "places").mapInArrow(cut, _PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Documents packed into sequences: one row per piece, with its ids."""
     tokens = stored(tokenized(docs, vocabulary), "tokenized")
-    places = stored(placements(tokens.select("doc_id", "doc_tokens"), capacity), "places")
+    places = stored(placements(tokens.select("row", "doc_tokens"), capacity), "places")
     return pieces(tokens, places)

@@ -13,17 +13,20 @@ A window is 13 consecutive words. A word goes if a window covers it whose word s
 
 The sketch grows with the corpus and is never in one place: not on the driver, not in a broadcast.
 
-Defined results: a null text has no words; a text of fewer than 13 words has no window. Documents are told apart by doc_id; a
-window that repeats inside one document only removes nothing. An empty table gives no rows. Other columns are ignored.
+Defined results: a null text has no words; a text of fewer than 13 words has no window. A window that repeats inside one document
+only removes nothing. Rows that share a doc_id count as one document; rows without one are left out. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ _ANSWERED = "slice long, part int, docs binary, counts binary, bits binary"
 _BITS = "doc_id long, n long, bits binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 _KEY = np.dtype([("high", "<u8"), ("low", "<u4")])
+_DOC = np.dtype([("at", "<i4"), ("id", "<i8")])
 
 
 def range_bits(total_bytes: int) -> int:
@@ -78,7 +82,7 @@ def _rows(
     per_doc = np.diff(bounds[::parts]).astype("<i4")
     state = np.where(ask, 2, known)[order].astype(np.uint8)  # two bits a window: known bit, or to be answered
     both = np.stack([state >> 1, state & 1], 1)
-    _add(out, number, -1 - number % parts, ids.astype("<i8").tobytes(), per_doc.tobytes(), _pack(both.ravel()), b"")
+    _add(out, number, -1 - ((number >> 32) * 31 + number) % parts, ids.astype("<i8").tobytes(), per_doc.tobytes(), _pack(both.ravel()), b"")
     at = np.flatnonzero(ask)
     at = at[np.argsort(part[at], kind="stable")]
     cut = np.searchsorted(part[at], np.arange(parts + 1))
@@ -87,12 +91,23 @@ def _rows(
         mine = at[cut[p] : cut[p + 1]]
         own, counts = np.unique(doc[mine], return_counts=True)
         _add(
-            out, number, int(p), ids[own].astype("<i8").tobytes(), counts.astype("<i4").tobytes(),
+            out, number, int(p), _named(own, ids).tobytes(), counts.astype("<i4").tobytes(),
             asked[mine].tobytes(), told[told_cut[p] : told_cut[p + 1]].tobytes(),
         )
     return out
 
 
+def _named(own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    made = np.zeros(len(own), _DOC)
+    made["at"], made["id"] = own, ids[own]
+    return made
+
+
+def slice_numbers() -> Iterator[int]:
+    """Numbers for the slices of a task that no other task gives."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
 def _add(out: dict[str, list], *values) -> None:
     for column, value in zip(out.values(), values, strict=True):
         column.append(value)
@@ -118,7 +133,7 @@ def _numbers(batch: pa.RecordBatch, words: Words) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)[words.rows]
 
 
-def ask_cells(ids: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -> pa.RecordBatch:
+def ask_cells(number: int, ids: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -> pa.RecordBatch:
     """A slice's questions to the sketch: was the cell of each hash (in document order) hit at least twice?"""
     part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
     cell = (hashed >> np.uint64(64 - bits - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
@@ -126,7 +141,7 @@ def ask_cells(ids: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -
     again, twice = times[index] > 1, spot[times > 1]
     return _batch(
         _rows(
-            int(ids[0]), ids, doc, part, again, ~again, _three_bytes(cell),
+            number, ids, doc, part, again, ~again, _three_bytes(cell),
             (twice >> np.uint64(CELL_BITS)).astype(np.int64), _three_bytes(twice & np.uint64((1 << CELL_BITS) - 1)), 1 << bits,
         ),
         _ASKED,
@@ -137,11 +152,12 @@ def _sketch(bits: int):
     """Ask the ranges of the sketch about every window."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = slice_numbers()
         for batch in batches:
             for words in slices(batch.column("text"), limit=SLICE):
                 hashed, doc, _ = _hashed(words)
                 if len(hashed):
-                    yield ask_cells(_numbers(batch, words), hashed, doc, bits)
+                    yield ask_cells(next(numbers), _numbers(batch, words), hashed, doc, bits)
 
     return ask
 
@@ -188,7 +204,7 @@ def _answer(group: pa.Table, width: int, answered) -> pa.Table:
     rows = group.select(["slice", "part", "docs", "counts", "asked", "told"]).to_pylist()
     ask = [r for r in rows if r["part"] >= 0]
     raw = [np.frombuffer(r["asked"], np.uint8) for r in ask]
-    owners = [np.repeat(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["counts"], "<i4")) for r in ask]
+    owners = [np.repeat(np.frombuffer(r["docs"], _DOC)["id"], np.frombuffer(r["counts"], "<i4")) for r in ask]
     bits = answered(raw, [np.frombuffer(r["told"], np.uint8) for r in ask], owners) if ask else np.zeros(0, bool)
     at = np.concatenate(([0], np.cumsum([len(x) // width for x in raw]))).astype(int)
     out: dict[str, list] = {k: [] for k in ("slice", "part", "docs", "counts", "bits")}
@@ -209,11 +225,9 @@ def _slice_bits(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both = _unpack(own["bits"], 2 * int(n.sum())).reshape(-1, 2)
     bits, open_bits = both[:, 1].copy(), np.flatnonzero(both[:, 0])
     docs, got = [], []
-    ordinal = np.argsort(ids, kind="stable")
     for r in answers:
         counts = np.frombuffer(r["counts"], "<i4")
-        where = ordinal[np.searchsorted(ids[ordinal], np.frombuffer(r["docs"], "<i8"))]
-        docs.append(np.repeat(where, counts))
+        docs.append(np.repeat(np.frombuffer(r["docs"], _DOC)["at"], counts))
         got.append(_unpack(r["bits"], int(counts.sum())))
     if docs:
         order = np.argsort(np.concatenate(docs), kind="stable")
@@ -253,6 +267,7 @@ def _exactly(bits: int):
     """Ask about the windows estimated repeated."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = slice_numbers()
         for batch in batches:
             for words in slices(batch.column("text"), limit=SLICE):
                 hashed, doc, first = _hashed(words)
@@ -276,7 +291,7 @@ def _exactly(bits: int):
                 asked = np.zeros(len(hashed), _KEY)
                 asked[at] = keys
                 none = np.zeros(0, np.int64)
-                yield _batch(_rows(int(ids[0]), ids, doc, part, known, wants, asked, none, none, 1 << bits), _ASKED)
+                yield _batch(_rows(next(numbers), ids, doc, part, known, wants, asked, none, none, 1 << bits), _ASKED)
 
     return ask
 
@@ -306,9 +321,10 @@ def removal_bits(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, n, bits: which windows go, for documents that lose any; and the bits of the parts that order them."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = range_bits(total)
-    rows = docs.select("doc_id", "text")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = rows.mapInArrow(_sketch(bits), _ASKED).groupBy("part").applyInArrow(_count_cells, _ANSWERED)
     repeated = stored(sketch.groupBy("slice").applyInArrow(_assemble, _BITS), "estimated-repeats")
+    repeated = repeated.groupBy("doc_id").agg(F.max("bits").alias("bits"))
     asked = rows.join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "bits").mapInArrow(_exactly(bits), _ASKED)
     exact = asked.groupBy("part").applyInArrow(_smaller_elsewhere, _ANSWERED)
     return stored(exact.groupBy("slice").applyInArrow(_assemble, _BITS), "repeats"), bits
@@ -337,5 +353,7 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    whole = docs.select("doc_id", "text").join(gone.select("doc_id", "bits").hint("merge"), "doc_id", "left")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    per_id = gone.groupBy("doc_id").agg(F.max("bits").alias("bits"))
+    whole = rows.join(per_id.hint("merge"), "doc_id", "left")
     return whole.select("doc_id", "text", "bits").mapInArrow(cut, KEPT)

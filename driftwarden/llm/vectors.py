@@ -11,7 +11,8 @@ pair; blocks hand on a spanning forest of what they connect. Equal vectors are o
 chunks that meet pairwise in different tasks, so a vector with a third of all rows around it is no single group.
 
 Defined results: a vector that is null or zero, holds a null or a component that is not finite, or has no label links with
-nothing. Vectors of different lengths do not link. Rows are told apart by vec_id. Other columns are ignored.
+nothing. Vectors of different lengths do not link. Equal vectors link, also under one vec_id; rows that
+share a vec_id get one answer each, rows without one are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def usable(rows: DataFrame) -> DataFrame:
     """vec_id, label, embedding of the vectors that can link."""
     length = "aggregate(embedding, 0d, (s, x) -> s + cast(x as double) * cast(x as double))"
     good = f"label is not null and size(embedding) > 0 and {length} > 0 and {length} < double('Infinity')"
-    return rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).where(good)
+    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding")).where(good)
 
 
 def _in_cells(cosine: float, grid: int):
@@ -183,8 +184,10 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
             F.coalesce("component", "class_id").alias("component_id"),
         ), "class-links",
     )
-    of_vector = good.join(per_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    return rows.select("vec_id").join(of_vector, "vec_id", "left").select(
+    of_vector = good.join(per_class, ["label", "embedding"]).groupBy("vec_id").agg(
+        F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")
+    )
+    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id")).join(of_vector, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
     )
