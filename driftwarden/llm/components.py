@@ -53,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
         # a node with different answers links them; a node that is an answer itself links on to its own
         split = least.where("low < high").select("node", "low")
         apart = stars.join(split, "node").where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
-        answers = least.select(F.col("low").alias("node")).distinct()
+        answers = stars.select(F.col("root").alias("node")).distinct()
         onward = least.join(answers, "node", "left_semi").select(F.col("node").alias("a"), F.col("low").alias("b"))
         live = stored(apart.unionByName(onward).distinct(), "links")
         if not live.take(1):
