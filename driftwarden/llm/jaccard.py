@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,13 +120,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
+        last = held[-1].slice(held[-1].num_rows - 1) if held else batch.slice(0, 0)
+        starts = _cuts(pa.Table.from_batches([last, batch]), keys)[1 if held else 0 : -1] - last.num_rows
+        if not len(starts) or (not held and starts[-1] == 0):
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, starts[-1]))
         table = pa.Table.from_batches(held)
-        cut = _cuts(table, keys)
-        if len(cut) > 2:
-            whole = table.slice(0, cut[-2])
-            yield whole, cut[:-1]
-            held = table.slice(cut[-2]).combine_chunks().to_batches()
+        yield table, _cuts(table, keys)
+        held = [batch.slice(starts[-1])]
     if held:
         table = pa.Table.from_batches(held)
         yield table, _cuts(table, keys)
@@ -359,7 +362,7 @@ def links(sets: DataFrame, rule: Shingles) -> DataFrame:
         if salt > 1 and not new.take(1):
             break
     last = stored(_cross_pairs(heads, known, rule), "pairs")
-    checked = stored(_checked(last, sets, rule), "links-rest")
+    checked = stored(_checked(last, known, sets, rule), "links-rest")
     return checked if found is None else found.unionByName(checked)
 
 
@@ -397,25 +400,57 @@ def _cross_pairs(heads: DataFrame, known: DataFrame, rule: Shingles) -> DataFram
     return _sorted_by(signed, ["token", "left", "right"]).mapInArrow(_pairs_by_bitmaps(rule), "a long, b long").distinct()
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, rule: Shingles) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    one = sets.selectExpr("doc_id as a", "n as n1", "tokens as t1")
-    two = sets.selectExpr("doc_id as b", "n as n2", "tokens as t2")
+def _checked(pairs: DataFrame, known: DataFrame, sets: DataFrame, rule: Shingles) -> DataFrame:
+    """Links among ``pairs``, enough to connect what they connect.
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            t1, t2 = batch.column("t1"), batch.column("t2")
-            for i in range(batch.num_rows):
-                x, y = t1[i].values.to_numpy(), t2[i].values.to_numpy()
-                both = len(np.intersect1d(x, y, True))
-                good.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))],
-                names=["a", "b"],
-            )
+    Sets travel once to the family of candidates they belong to, not once a pair; a large family is cut into chunks that meet pairwise.
+    """
+    families = components(pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    placed = stored(ends.join(families, "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family")), "families")
+    sizes = stored(placed.groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks")), "family-sizes")
+    members = stored(
+        placed.join(sizes, "family").withColumn("chunk", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)")), "family-members"
+    )
+    of_set = members.join(known, "doc_id").join(sets.select("doc_id", "n", "tokens"), "doc_id")
+    of_set = of_set.withColumn("other", F.expr("explode(sequence(0, chunks - 1))")).selectExpr(
+        "family", "least(chunk, other) as left", "greatest(chunk, other) as right", "doc_id as a", "cast(null as long) as b",
+        "component", "n", "tokens",
+    )
+    one, two = (members.selectExpr(f"doc_id as {x}", "family as f" if x == "b" else "family", f"chunk as c{x}") for x in "ab")
+    of_pair = pairs.join(one, "a").join(two, "b").selectExpr(
+        "family", "least(ca, cb) as left", "greatest(ca, cb) as right", "a", "b", "0L as component", "0L as n", "cast(null as array<long>) as tokens"
+    )
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2").mapInArrow(kept, "a long, b long")
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cut in whole_groups(batches, ["family", "left", "right"]):
+            made = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                made += _links_of_family(table.slice(i, j - i), rule)
+            links = np.array(made, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    keys = ["family", "left", "right"]
+    return _sorted_by(of_set.unionByName(of_pair), keys).mapInArrow(kept, "a long, b long")
+
+
+def _links_of_family(table: pa.Table, rule: Shingles) -> list[tuple[int, int]]:
+    is_set = table.column("b").is_null()
+    held = table.filter(is_set).sort_by("a")
+    ids, n = held.column("a").to_numpy(), held.column("n").to_numpy()
+    lists = pa.concat_arrays(held.column("tokens").chunks) if held.num_rows else pa.array([], pa.list_(pa.int64()))
+    first = lists.offsets.to_numpy().astype(np.int64)
+    tokens, forest, made = lists.values.to_numpy().view(np.uint64), Forest(held.column("component").to_numpy()), []
+    pairs = table.filter(pc.invert(is_set))
+    left, right = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("a", "b"))
+    for p, q in zip(left.tolist(), right.tolist(), strict=True):
+        if forest.label[p] == forest.label[q]:
+            continue
+        both = len(np.intersect1d(tokens[first[p] : first[p] + n[p]], tokens[first[q] : first[q] + n[q]], True))
+        if 100 * both >= rule.percent * (n[p] + n[q] - both):
+            forest.join(p, q)
+            made.append((int(ids[p]), int(ids[q])))
+    return made
 
 
 def near_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
