@@ -148,7 +148,10 @@ def build(parts: dict[str, list[str]], letters: int = LETTERS) -> Automata:
             word += [*symbols[_points(text)].tolist(), BREAK]
         one = suffix_automaton(word, width)
         one[:, BREAK] = -1
-        start = np.where(one[0] >= 0, one[0], 0)
+        # after the last state comes that of a symbol the sample lacks: a phrase by itself, which nothing continues
+        one = np.concatenate([one, np.full((1, width), -1, np.int32)])
+        start = np.where(one[0] >= 0, one[0], len(one) - 1)
+        one[0] = start
         full = np.where(one >= 0, (one + at) * width, ~((start + at) * width)[None, :]).astype(np.int32)
         tables.append(full.ravel())
         roots.append(at * width)
