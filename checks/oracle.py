@@ -501,6 +501,20 @@ def statements() -> dict[str, str]:
         "sink_table_roundtrip": "SELECT * FROM orders",
         "sink_count": """SELECT 'events' AS table_name, count(*) AS n FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem
             UNION ALL SELECT 'orders', count(*) FROM orders""",
+        # names, types and runs that go wrong easily
+        "reserved_names": """SELECT event_id, event_type AS "_source", props AS "_error", user_id AS "_tokens", value AS "_batch", via
+            FROM events, (VALUES ('frame'), ('csv'), ('jsonl')) v(via)""",
+        "late_typed_column": """SELECT CAST(event_id % 3 AS INTEGER) AS batch_id, count(*) AS n_rows,
+            CASE event_id % 3 WHEN 2 THEN 'HEALING_FAILED' ELSE 'CLEAN' END AS disposition,
+            CASE event_id % 3 WHEN 2 THEN 2 ELSE 1 END AS expected_version, event_id % 3 = 2 AS has_drift,
+            CASE event_id % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'resolution' ELSE '' END AS registered
+            FROM events GROUP BY event_id % 3""",
+        "run_retry": f"""{alerts}, n AS (SELECT count(*) AS n FROM alerts)
+            SELECT 1 AS attempt, 'FAILED' AS status, max(n.n) + 1 AS alerts, 1 AS failures,
+              count(*) FILTER (has_drift) + count(*) FILTER (evolved) AS drift_events,
+              CAST(sum(CASE WHEN disposition = 'HEALING_FAILED' THEN n_rows ELSE loss END) AS BIGINT) AS records,
+              CAST(1 + count(*) FILTER (evolved) AS INTEGER) AS version FROM final, n
+            UNION ALL SELECT 2, 'SUCCESS', 0, 0, 0, 0, 1""",
         # runs and alerts
         "run_ledger": f"""{plan} SELECT 'r1' AS run_id, 'etl_pipeline' AS pipeline_name, 'events' AS source_name,
             'SUCCESS' AS status, CAST(sum(n_rows) AS BIGINT) AS rows_extracted,

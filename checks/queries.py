@@ -28,7 +28,7 @@ from driftwarden.sources.batching import in_rows
 from driftwarden.sources.delimited import delimited
 from driftwarden.sources.frames import frame_pieces, pieces_of
 from driftwarden.sources.json_lines import json_lines, json_text
-from driftwarden.sources.pieces import BATCH, SOURCE, Piece, tag
+from driftwarden.sources.pieces import BATCH, SOURCE, Piece, tag, with_own_names
 from driftwarden.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -675,6 +675,67 @@ def sink_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(counts, "table_name string, n bigint")
 
 
+# -- names, types and runs that go wrong easily ---------------------------------------------------------
+
+
+@query
+def reserved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data columns with names that a load uses itself, through every kind of source."""
+    events = X.table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("_source"), F.col("props").alias("_error"),
+        F.col("user_id").alias("_tokens"), F.col("value").alias("_batch"),
+    )
+    as_csv, as_json = fresh_folder(spark, "csv"), fresh_folder(spark, "jsonl")
+    sinks.write_delimited(events, as_csv)
+    sinks.write_jsonl(events, as_json)
+    sources = {
+        "frame": frame_pieces(events, "events", F.expr("_tokens % 3")),
+        "csv": delimited(spark, as_csv, "events"),
+        "jsonl": json_lines(spark, as_json, "events"),
+    }
+    found = [
+        with_own_names(Load(pieces).clean.drop(SOURCE, BATCH)).select(*events.columns, F.lit(via).alias("via"))
+        for via, pieces in sources.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def late_typed_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that is all null at first, then integer, then text: the text is a change of type."""
+    events, third = X.table(spark, sf_dir, "events"), F.expr("event_id % 3")
+    shown = [F.lit(None), F.col("user_id"), F.col("event_type")]
+    pieces = [
+        Piece(tag(events.where(third == i).select("event_id", value.alias("late")), "events", F.lit(i)))
+        for i, value in enumerate(shown)
+    ]
+    load = Load(pieces)
+    kinds = F.array_join(F.transform("registrations", lambda r: r["kind"]), ",")
+    return load.plan.select(
+        batch_id(), "n_rows", "disposition", "expected_version", "has_drift", kinds.alias("registered")
+    )
+
+
+@query
+def run_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that drifts and fails at its sink, then the same run id again on input without drift."""
+    state, pieces = State(spark, fresh_folder(spark, "state")), X.event_pieces(spark, sf_dir)
+    seen = []
+    for attempt, given, sink in ((1, pieces, "nowhere"), (2, pieces[:1], "memory")):
+        try:
+            run(spark, state, "events", sink, pieces=given, run_id=RUN, now=NOW, options=Options(min_severity="DEBUG"))
+        except ValueError:
+            pass
+        raised = state.alerts().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("bad")).first()
+        seen.append((
+            attempt, state.runs().first()["status"], raised["n"], raised["bad"], state.drift_events().count(),
+            state.records().count(), state.versions().agg(F.max("version")).first()[0],
+        ))
+    return spark.createDataFrame(
+        seen, "attempt int, status string, alerts bigint, failures bigint, drift_events bigint, records bigint, version int"
+    )
+
+
 # -- runs and alerts -------------------------------------------------------------------------------------
 
 

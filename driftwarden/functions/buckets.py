@@ -31,6 +31,9 @@ _CANONICAL: dict[str, T.DataType] = {
     UNKNOWN: T.StringType(),
 }
 
+# raw types met so far: a type name cannot always be parsed back
+_RAW: dict[str, T.DataType] = {}
+
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
@@ -41,14 +44,28 @@ def bucket_of(data_type: T.DataType, nested_as: str | None = None) -> str:
             return bucket
     if nested_as and isinstance(data_type, _NESTED):
         return nested_as
-    return data_type.simpleString()
+    name = data_type.simpleString()
+    _RAW.setdefault(name, data_type)
+    return name
 
 
 def canonical_type(bucket: str) -> T.DataType:
     """The Spark type that stores a bucket; a raw type name stands for itself."""
     if bucket in _CANONICAL:
         return _CANONICAL[bucket]
-    return T.DataType.fromDDL(bucket)
+    return _RAW[bucket] if bucket in _RAW else T.DataType.fromDDL(bucket)
+
+
+def sql_type(data_type: T.DataType) -> str:
+    """The type as SQL text, nested names quoted."""
+    if isinstance(data_type, T.StructType):
+        fields = ", ".join(f"`{f.name.replace('`', '``')}`: {sql_type(f.dataType)}" for f in data_type.fields)
+        return f"struct<{fields}>"
+    if isinstance(data_type, T.ArrayType):
+        return f"array<{sql_type(data_type.elementType)}>"
+    if isinstance(data_type, T.MapType):
+        return f"map<{sql_type(data_type.keyType)}, {sql_type(data_type.valueType)}>"
+    return data_type.simpleString()
 
 
 def schema_of(frame: DataFrame, nested_as: str | None = None) -> dict[str, str]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions import wording as W
-from driftwarden.functions.buckets import FLOAT, INTEGER, STRING, UNKNOWN, bucket_of, canonical_type
+from driftwarden.functions.buckets import FLOAT, INTEGER, STRING, UNKNOWN, bucket_of, canonical_type, sql_type
 from driftwarden.functions.coercion import as_text, coerce, number_column, present, with_numbers
 from driftwarden.functions.sql import literal, named
 from driftwarden.operators import drift
@@ -27,7 +27,7 @@ from driftwarden.plans.fold import merged_bucket, output_bucket
 from driftwarden.plans.step import (
     COERCION_FAILURE, HEALED, HEALING_FAILED, PASSING, SCHEMA_DRIFT, TRANSFORM_ERROR,
 )
-from driftwarden.sources.pieces import BATCH, SOURCE, TOKENS, Piece
+from driftwarden.sources.pieces import BATCH, SOURCE, TOKENS, Piece, own_name
 
 _JSON = {
     "ignoreNullFields": "false",
@@ -162,7 +162,7 @@ class Healing:
     def _lay_out(self, gaps: dict[str, set[str]]) -> None:
         """Output columns in order of first appearance, each with its one Spark type."""
         buckets: dict[str, set[str]] = {}
-        physical: dict[str, set[str | None]] = defaultdict(set)
+        physical: dict[str, dict[str | None, T.DataType | None]] = defaultdict(dict)
         for index, piece in enumerate(self.pieces):
             for column in piece.columns:
                 for move in self.moves.get((index, column), []):
@@ -170,7 +170,8 @@ class Healing:
                         continue
                     buckets.setdefault(column, set()).add(move.target)
                     as_is = column not in piece.inferred and move.observed == move.target
-                    physical[column].add(piece.type_of(column).simpleString() if as_is else None)
+                    own = piece.type_of(column) if as_is else None
+                    physical[column][own and own.simpleString()] = own
         for column, found in gaps.items():
             buckets.setdefault(column, set()).update(found)
         self.output: dict[str, tuple[str, T.DataType]] = {}
@@ -178,7 +179,7 @@ class Healing:
             bucket = merged_bucket(found)
             kept = physical[column]
             one = len(kept) == 1 and None not in kept and len(found - {UNKNOWN}) == 1
-            data_type = T.DataType.fromDDL(next(iter(kept))) if one else canonical_type(bucket)
+            data_type = next(iter(kept.values())) if one else canonical_type(bucket)
             self.output[column] = (bucket, data_type)
 
     # -- expressions of one layout -----------------------------------------------------------
@@ -228,13 +229,13 @@ class Healing:
             now = now if bucket_of(now) == move.target else canonical_type(move.target)
             if bucket_of(now) != bucket:
                 value, now = as_text(value, now), T.StringType()
-            return value if now == data_type else f"CAST({value} AS {data_type.simpleString()})"
+            return value if now == data_type else f"CAST({value} AS {sql_type(data_type)})"
 
         moves = [m for m in self.moves.get((index, column), []) if m.target is not None]
         return self._by_move(index, column, moves, made) if moves else self._missing(column)
 
     def _missing(self, column: str) -> str:
-        return f"CAST(NULL AS {self.output[column][1].simpleString()})"
+        return f"CAST(NULL AS {sql_type(self.output[column][1])})"
 
     def _lost_cells(self, index: int) -> list[tuple[str, str]]:
         """(column, condition) for every column of a layout that some batch has coerced."""
@@ -262,7 +263,7 @@ class Healing:
             value = named(column)
             if column in piece.inferred and len(seen_as) == 1:
                 value = self._read_as(piece, column, next(iter(seen_as)))[0]
-            fields.append(f"{literal(column)}, {value}")
+            fields.append(f"{literal(own_name(column))}, {value}")
         return F.to_json(F.expr(f"named_struct({', '.join(fields)})"), _JSON)
 
     def _rows(self, index: int, wanted: Column, frame: DataFrame, every: bool, extra: list[Column]) -> DataFrame:
@@ -293,8 +294,10 @@ class Healing:
         return frame.where(F.col(BATCH).isin(*keys))
 
     def _joined(self, frame: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-        # facts are a part of the plan plus short codes, so twice the plan bounds them
-        return bounded_join(frame, facts, [SOURCE, BATCH], self.options, how, at_most=2 * self.plan_bytes)
+        # facts are a part of the plan plus short codes, so twice the plan bounds them; a large plan says little: measure
+        bound = 2 * self.plan_bytes
+        bound = bound if bound <= self.options.broadcast_limit_bytes else None
+        return bounded_join(frame, facts, [SOURCE, BATCH], self.options, how, at_most=bound)
 
     def _has(self, index: int, *dispositions: str, lossy: bool | None = None) -> bool:
         return any(d in dispositions and lossy in (None, has) for d, has in self.fates.get(index, ()))

@@ -16,7 +16,7 @@ def size_of(frame: DataFrame) -> int:
 
 
 def byte_bound() -> Column:
-    return F.expr("coalesce(sum(cast(length(to_json(struct(*))) as bigint) + 16), 0)")
+    return F.expr("coalesce(sum(cast(octet_length(to_json(struct(*))) as bigint) + 16), 0)")
 
 
 def bounded_join(

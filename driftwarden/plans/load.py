@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +42,9 @@ class Load:
     def _transform(self, piece: Piece) -> Piece:
         try:
             return piece.transformed(self.custom_transform)
-        except (AnalysisException, ValueError, TypeError, KeyError, AttributeError) as exc:
+        except Exception as exc:  # whatever the user's function raises
             # the function cannot be applied to this layout: all its batches fail
-            return Piece(piece.frame.withColumn(ERROR, F.lit(str(exc))), piece.inferred)
+            return Piece(piece.frame.withColumn(ERROR, F.lit(str(exc) or type(exc).__name__)), piece.inferred, judged=True)
 
     @cached_property
     def known(self) -> dict[str, set[str]]:

@@ -13,7 +13,7 @@ from driftwarden.options import Options
 from driftwarden.plans.load import Load, Transform
 from driftwarden.plans.state import State, run_event
 from driftwarden.sources.frames import pieces_of
-from driftwarden.sources.pieces import BATCH, SOURCE, Piece
+from driftwarden.sources.pieces import BATCH, SOURCE, Piece, with_own_names
 from driftwarden.sources.sinks import load_into
 
 RUNNING, SUCCESS, FAILED = "RUNNING", "SUCCESS", "FAILED"
@@ -45,7 +45,8 @@ def run(
 ) -> dict:
     """Load one source and record schema versions, events, quarantine, alerts and the run itself.
 
-    Repeating a run id replaces what that run recorded. A failure is recorded and raised again.
+    Repeating a run id replaces what that run recorded. A failure is recorded, with an alert next to those the load
+    raised before it, and raised again.
     """
     options = options or Options()
     run_id = run_id or new_run_id(now)
@@ -59,9 +60,13 @@ def run(
     def record(status: str, error: str | None = None) -> None:
         finished = None if status == RUNNING else (now or datetime.now(UTC))
         state.add_run_event(run_event(
-            spark, run_id, options.pipeline_name, source_name, status, summary, started, finished, error
+            spark, run_id, options.pipeline_name, source_name, status, summary, started, finished, error, attempt
         ))
 
+    before = state.run_events().where(F.col("run_id") == run_id).agg(F.max("seq")).first()[0]
+    attempt = 0 if before is None else before // 2 + 1
+    if attempt:
+        state.forget(run_id)
     record(RUNNING)
     try:
         if pieces is None:
@@ -80,15 +85,15 @@ def run(
         state.write_versions(ledger.registrations(plan, run_id, at))
         state.write_alerts(alerts.plan_alerts(plan, options, run_id, at))
 
-        rows = load.clean.drop(SOURCE, BATCH)
+        rows = with_own_names(load.clean.drop(SOURCE, BATCH))
         summary["rows_loaded"] = load_into(rows, destination, destination_path, destination_table)
         summary["status"] = SUCCESS
     except Exception as exc:
         summary["status"], summary["error"] = FAILED, str(exc)
         record(FAILED, summary["error"])
-        failed = state.run_events().where((F.col("run_id") == run_id) & (F.col("status") == FAILED))
+        failed = state.runs().where((F.col("run_id") == run_id) & (F.col("status") == FAILED))
         raised = alerts.failure_alerts(failed, at, f"Source: {source_type}  Destination: {destination}")
-        state.write_alerts(alerts.at_least(raised, options.min_severity))
+        state.add_alerts(alerts.at_least(raised, options.min_severity))
         raise
     record(SUCCESS)
     return summary

@@ -1,7 +1,8 @@
 """State between loads: append-only tables in one folder, nothing updated in place.
 
-A run writes its own (source_name, run_id) partition and replaces it when it is repeated, so a
-retry leaves the same rows. One writer per source is assumed: files give no transaction.
+A run writes its own (source_name, run_id) partition. A repeated run first forgets what its earlier
+attempt wrote, so nothing of that is left even where the new attempt has no rows. One writer per source is
+assumed: files give no transaction.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.operators import ledger, quarantine
+from driftwarden.options import Options
 from driftwarden.operators.alerts import ALERTS
 from driftwarden.sources.sinks import path_missing
 
+# The columns of the run table.
 RUNS = """
     run_id string, pipeline_name string, source_name string, status string, rows_extracted bigint,
     rows_loaded bigint, rows_quarantined bigint, drift_detected boolean, started_at timestamp,
@@ -25,8 +28,8 @@ _BY_RUN = ["source_name", "run_id"]
 
 
 class State:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, options: Options | None = None):
+        self.spark, self.folder, self.options = spark, folder.rstrip("/"), options or Options()
 
     def _read(self, name: str, ddl: str) -> DataFrame:
         shape = T.DataType.fromDDL(ddl)
@@ -51,6 +54,18 @@ class State:
             .parquet(f"{self.folder}/{name}")
         )
 
+    def forget(self, run_id: str) -> None:
+        """Remove what an earlier attempt of a run recorded; its run events stay."""
+        jvm = self.spark.sparkContext._jvm
+        key = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+        key = "".join(f"\\{c}" if c in "\\*?[]{}^" else c for c in key)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in ("schema_versions", self._records_table(), "drift_events", "alerts"):
+            pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/source_name=*/run_id={key}")
+            files = pattern.getFileSystem(conf)
+            for found in files.globStatus(pattern) or ():
+                files.delete(found.getPath(), True)
+
     # -- schema versions -----------------------------------------------------------------------
 
     def versions(self) -> DataFrame:
@@ -75,7 +90,8 @@ class State:
     def records(self) -> DataFrame:
         """Quarantined records of the newest complete snapshot, with ``resolved``."""
         stored = self._read(self._records_table(), quarantine.RECORDS)
-        return quarantine.with_resolution(stored, self._read("quarantine_resolutions", quarantine.RESOLUTIONS))
+        resolutions = self._read("quarantine_resolutions", quarantine.RESOLUTIONS)
+        return quarantine.with_resolution(stored, resolutions, self.options)
 
     def write_records(self, rows: DataFrame) -> None:
         self._replace_run(self._records_table(), quarantine.RECORDS, rows)
@@ -95,7 +111,8 @@ class State:
 
         The snapshot counts only once its number is recorded, after it is complete.
         """
-        now = now if now is not None else F.current_timestamp()
+        # one point in time for the count and for what is dropped
+        now = F.lit(self.spark.range(1).select(now if now is not None else F.current_timestamp()).first()[0])
         stored = self.records()
         gone = stored.where(quarantine.outdated(older_than_days, now)).count()
         if gone:
@@ -124,6 +141,11 @@ class State:
     def write_alerts(self, rows: DataFrame) -> None:
         self._replace_run("alerts", ALERTS, rows)
 
+    def add_alerts(self, rows: DataFrame) -> None:
+        """Alerts next to those the run has."""
+        columns = T.DataType.fromDDL(ALERTS).names
+        rows.select(*columns).write.mode("append").partitionBy(*_BY_RUN).parquet(f"{self.folder}/alerts")
+
     def run_events(self) -> DataFrame:
         return self._read("pipeline_runs", RUNS)
 
@@ -154,11 +176,13 @@ def run_event(
     started_at,
     finished_at=None,
     error: str | None = None,
+    attempt: int = 0,
 ) -> DataFrame:
+    """One event of a run; later attempts of a run id count on, so its last event is well defined."""
     row = (
         run_id, pipeline_name, source_name, status,
         counts.get("rows_extracted", 0), counts.get("rows_loaded", 0), counts.get("rows_quarantined", 0),
         counts.get("drift_detected", False), started_at, finished_at, error,
-        OPENED if status == "RUNNING" else CLOSED,
+        2 * attempt + (OPENED if status == "RUNNING" else CLOSED),
     )
     return spark.createDataFrame([row], RUNS)

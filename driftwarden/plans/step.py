@@ -77,7 +77,11 @@ def advance(at: Position, batch: dict, rules: Rules, opening: bool) -> dict:
         if name in want and bucket != want[name] and UNKNOWN not in (bucket, want[name])
     ]
     fresh = sorted(seen.keys() - want.keys())
+    # a column that had only nulls so far gets its type from the first batch that shows one and passes
+    shown = {n: seen[n] for n, b in want.items() if b == UNKNOWN and seen.get(n, UNKNOWN) != UNKNOWN}
     if not (retyped or fresh or want.keys() - seen.keys()):
+        if shown:
+            register("resolution", want | shown)
         return verdict
     if rules.strict:
         verdict["disposition"] = SCHEMA_DRIFT
@@ -101,11 +105,11 @@ def advance(at: Position, batch: dict, rules: Rules, opening: bool) -> dict:
         for name in retyped:
             if name not in mended:
                 grown[name] = seen[name]
-        for name, bucket in want.items():
-            if bucket == UNKNOWN and seen.get(name, UNKNOWN) != UNKNOWN:
-                grown[name] = seen[name]
+        grown.update(shown)
         grown.update({name: seen[name] for name in fresh})
         verdict["evolved_to"] = register("evolution", grown)
+    elif shown:
+        register("resolution", want | shown)
     return verdict
 
 

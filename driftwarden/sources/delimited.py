@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from driftwarden.functions.sql import literal, named, words
 from driftwarden.sources.batching import in_rows
-from driftwarden.sources.pieces import BATCH, Piece, tag
+from driftwarden.sources.pieces import BATCH, Piece, safe_name, tag
 
 # The words that mean a missing value in a delimited file.
 MISSING = (
@@ -43,7 +43,20 @@ def _header_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _split(line: str) -> list[str]:
-    return next(csv.reader([line]))
+    return next(csv.reader([line]), [""])
+
+
+def column_names(header: list[str]) -> list[str]:
+    """Names of the columns: an empty one is named by its place, a repeated one gets a number."""
+    names: list[str] = []
+    for place, name in enumerate(header):
+        wanted = name or f"Unnamed: {place}"
+        made, count = wanted, 0
+        while made in names:
+            count += 1
+            made = f"{wanted}.{count}"
+        names.append(made)
+    return names
 
 
 def _tidy(value: str) -> Column:
@@ -57,23 +70,28 @@ def _checked(value: str, problem: str) -> str:
     return f"coalesce(CASE WHEN {problem} THEN CAST(raise_error({message}) AS string) END, {value})"
 
 
-def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], str]]:
-    """(rows, columns, "line too long") per distinct header; the headers cost one scan of the text."""
+#: Rows, the columns as read with the names they get, and the condition "line too long".
+Layout = tuple[DataFrame, list[tuple[str, str]], str]
+
+
+def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layout]:
+    """One layout per distinct header; the headers cost one scan of the text."""
     lines = _header_lines(spark, path)
     layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
     found = []
     for line in layouts:
-        columns = _split(line)
+        names = column_names(_split(line))
+        columns = [(f"c{i}", name) for i, name in enumerate(names)]  # read by place: names may repeat in the header
         files: str | list[str] = path
         if len(layouts) > 1:
             files = [row["file"] for row in lines.where(F.col("line") == line).select("file").collect()]
         # a value under the extra name is one more than the header has
-        rows = spark.read.schema(_text_columns([*columns, _EXTRA])).options(**options).csv(files)
+        rows = spark.read.schema(_text_columns([*(c for c, _ in columns), _EXTRA])).options(**options).csv(files)
         found.append((rows, columns, f"{_EXTRA} IS NOT NULL"))
     return found
 
 
-def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple[DataFrame, list[str], str]]:
+def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layout]:
     """The one layout of files that all have the first one's header; another header is an error."""
     first = spark.read.text(path).first()
     if first is None:
@@ -87,7 +105,7 @@ def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[tuple
     # both shorter and longer lines are reported: only those are parsed again to tell them apart
     shape = literal(_text_columns([*columns, _EXTRA]).toDDL())
     again = f"""from_csv({_CORRUPT}, {shape}, map('quote', '"', 'escape', '"'))"""
-    return [(rows, columns, f"{_CORRUPT} IS NOT NULL AND {again}.{_EXTRA} IS NOT NULL")]
+    return [(rows, [(c, c) for c in columns], f"{_CORRUPT} IS NOT NULL AND {again}.{_EXTRA} IS NOT NULL")]
 
 
 def _text_columns(names: list[str]) -> T.StructType:
@@ -117,14 +135,14 @@ def delimited(
         raise ValueError("batches of rows need files with one header")
     pieces = []
     for rows, columns, problem in layouts:
-        head, *tail = columns
+        (head, first), *tail = [(column, safe_name(name)) for column, name in columns]
         # the check rides on the first column, which pass 1 always reads
-        values = [_tidy(_checked(named(head), problem)).alias(head)]
-        values += [_tidy(named(c)).alias(c) for c in tail]
+        values = [_tidy(_checked(named(head), problem)).alias(first)]
+        values += [_tidy(named(column)).alias(name) for column, name in tail]
         if batch_rows is None:
             frame = rows.select(file_batch().alias(BATCH), *values)
         else:
             place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
             frame = in_rows(rows.select(*place, *values), batch_rows, ["_file", "_block"]).drop("_file", "_block")
-        pieces.append(Piece(tag(frame, source_name, F.col(BATCH)), dict.fromkeys(columns, "text")))
+        pieces.append(Piece(tag(frame, source_name, F.col(BATCH)), dict.fromkeys([safe_name(name) for _, name in columns], "text")))
     return pieces

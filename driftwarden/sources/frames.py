@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from driftwarden.sources.batching import in_rows
 from driftwarden.sources.delimited import delimited
 from driftwarden.sources.json_lines import json_lines
-from driftwarden.sources.pieces import BATCH, Piece, tag
+from driftwarden.sources.pieces import BATCH, Piece, safe_name, tag, with_safe_names
 
+_KEY = "data:batch key"
 SOURCES = ("csv", "jsonl", "dataframe")
 
 
@@ -20,10 +21,17 @@ def frame_pieces(
     batch_rows: int | None = None,
     order_by: list[str] | None = None,
 ) -> list[Piece]:
-    """A frame as one batch, batches by expression, or consecutive rows in the given order."""
+    """A frame as one batch, batches by expression, or consecutive rows in the given order.
+
+    Columns with a name that the load uses itself are set apart (``safe_name``) and get it back in the sink.
+    """
     if batch_rows is not None:
-        return [Piece(tag(in_rows(frame, batch_rows, order_by or []), source_name, F.col(BATCH)))]
-    return [Piece(tag(frame, source_name, batch_by))]
+        order = [safe_name(k) if isinstance(k, str) else k for k in order_by or []]
+        return [Piece(tag(in_rows(with_safe_names(frame), batch_rows, order), source_name, F.col(BATCH)))]
+    if batch_by is None:
+        return [Piece(tag(with_safe_names(frame), source_name))]
+    keyed = with_safe_names(frame.withColumn(_KEY, batch_by))
+    return [Piece(tag(keyed, source_name, F.col(_KEY)).drop(_KEY))]
 
 
 def pieces_of(

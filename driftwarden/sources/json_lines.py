@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwarden.sources.batching import in_rows
 from driftwarden.sources.delimited import file_batch
-from driftwarden.sources.pieces import BATCH, TOKENS, Piece, tag
+from driftwarden.sources.pieces import BATCH, TOKENS, Piece, safe_name, tag
 
 _LINE = "_line"
 
@@ -44,6 +44,6 @@ def json_lines(
     if batch_rows is not None:
         lines = in_rows(lines.drop(BATCH), batch_rows, ["_file", "_block"])
     parsed = lines.withColumn(TOKENS, tokens())
-    values = [F.try_element_at(TOKENS, F.lit(k)).cast("string").alias(k) for k in keys]
+    values = [F.try_element_at(TOKENS, F.lit(k)).cast("string").alias(safe_name(k)) for k in keys]
     frame = tag(parsed.select(BATCH, TOKENS, *values), source_name, F.col(BATCH))
-    return [Piece(frame, dict.fromkeys(keys, "json"))]
+    return [Piece(frame, dict.fromkeys(map(safe_name, keys), "json"))]

@@ -6,6 +6,7 @@ layouts apart lets every column keep its own Spark type, so a clean column costs
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
@@ -18,22 +19,54 @@ from driftwarden.functions.coercion import looks_float, looks_integer
 from driftwarden.functions.sql import literal, words
 
 SOURCE, BATCH, ERROR, TOKENS = "_source", "_batch", "_error", "_tokens"
-RESERVED = (SOURCE, BATCH, ERROR, TOKENS)
+RESERVED = (SOURCE, BATCH, TOKENS)
+
+# Names the load gives to columns of its own, in any spelling, since Spark may ignore case.
+_INTERNAL = re.compile(
+    r"(data:)*_(source|batch|error|tokens|salt|place|part|offset|position|n|file|block|line|failed|record|hint"
+    r"|version|type|detail|column|beyond_header|corrupt_line|(number|move)_.*)",
+    re.IGNORECASE | re.DOTALL,
+)
+_APART = "data:"
 
 # The words a delimited file spells booleans with.
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+def safe_name(name: str) -> str:
+    """The name a data column has within a load: its own, or set apart where the load uses that name."""
+    return _APART + name if _INTERNAL.fullmatch(name) else name
+
+
+def own_name(name: str) -> str:
+    """The data's own name of a column of a load."""
+    bare = name.removeprefix(_APART)
+    return bare if bare != name and _INTERNAL.fullmatch(bare) else name
+
+
+def with_safe_names(frame: DataFrame) -> DataFrame:
+    names = [safe_name(c) for c in frame.columns]
+    return frame if names == frame.columns else frame.toDF(*names)
+
+
+def with_own_names(frame: DataFrame) -> DataFrame:
+    names = [own_name(c) for c in frame.columns]
+    return frame if names == frame.columns else frame.toDF(*names)
+
+
 @dataclass(frozen=True)
 class Piece:
     """Rows of one layout: ``_source``, ``_batch`` and the data columns.
 
+    ``judged``: a user transform was applied, so ``_error`` tells its bad rows and is no data.
+
     ``inferred`` maps a text column to how its bucket is told from the values of a batch:
     ``"text"`` (by spelling) or ``"json"`` (by the token types kept in ``_tokens``).
     """
 
     frame: DataFrame
     inferred: Mapping[str, str] = field(default_factory=dict)
+    judged: bool = False
 
     def __post_init__(self) -> None:
         missing = [c for c in (SOURCE, BATCH) if c not in self.frame.columns]
@@ -42,11 +75,12 @@ class Piece:
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.frame.columns if c not in RESERVED]
+        hidden = (*RESERVED, ERROR) if self.judged else RESERVED
+        return [c for c in self.frame.columns if c not in hidden]
 
     @property
     def has_errors(self) -> bool:
-        return ERROR in self.frame.columns
+        return self.judged and ERROR in self.frame.columns
 
     def type_of(self, column: str) -> T.DataType:
         return self.frame.schema[column].dataType
@@ -63,18 +97,18 @@ class Piece:
             for c, how in self.inferred.items()
             if c in frame.columns and isinstance(frame.schema[c].dataType, T.StringType)
         }
-        return replace(self, frame=frame, inferred=kept)
+        return replace(self, frame=frame, inferred=kept, judged=True)
 
     def seen(self, column: str) -> str | None:
         """Condition "this row has the column", None where every row has it."""
         if self.inferred.get(column) == "json":
-            return f"map_contains_key({TOKENS}, {literal(column)})"
+            return f"map_contains_key({TOKENS}, {literal(own_name(column))})"
         return None
 
     def token(self, column: str) -> str | None:
         """The JSON token type of a value, None where values have none."""
         if self.inferred.get(column) == "json":
-            return f"schema_of_variant({TOKENS}[{literal(column)}])"
+            return f"schema_of_variant({TOKENS}[{literal(own_name(column))}])"
         return None
 
 
