@@ -8,11 +8,11 @@
    such a hash form a block.
 4. *Signature trees.* A node holds the OR of its members' token bitmaps and their size range. Node pairs are traversed together
    and dropped when the sizes, or the bits they share plus the most tokens that can hide behind one bit, cannot reach
-   the overlap. First every class meets the block of its least hash only, with its whole set, and links are checked at the
-   leaves; members already connected are not compared again, so a block of n near copies costs about n checks. Components
-   follow. Then the other blocks are taken that still hold several components, with bitmaps only; the surviving
-   pairs of different components are checked against the sets. A block beyond ``CHUNK`` members is cut into
-   chunks, and chunk pairs that can hold a link go to different tasks.
+   the overlap. First every class meets the block of its least hash only, with its whole set, and what survives the
+   traversal is checked exactly. Components follow. Then the other blocks are taken that still hold several components,
+   with bitmaps only; what survives there between different components makes families, and a family's sets are
+   traversed and checked in one place. Neither pass writes pairs: each writes a forest of what it connects.
+   A block or family beyond ``CHUNK`` members is cut into chunks that meet pairwise in different tasks.
 
 A link inside a component that is known already changes nothing in the result, so it need not be found.
 
@@ -28,16 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.components import components
+from driftwarden.llm.components import components, least_labels
 from driftwarden.llm.hashing import grouped, mix, slices, take_ranges, windows
 from driftwarden.llm.substring import SLICE, _ANSWERED, _ASKED, _count_cells, _slice_bits, ask_cells, bits_set, range_bits, slice_numbers
 from driftwarden.llm.tables import stored
 
-CHUNK, LEAF, FAN = 2000, 32, 8
+CHUNK, LEAF, FAN, _COLUMNS = 500, 32, 8, 2048
 _COUNTS = "doc_id long, n long, shared long"
 _SETS = "doc_id long, n long, digest1 long, digest2 long, tokens array<long>"
 
@@ -143,16 +142,6 @@ def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-class Forest:
-    """Which members are connected already."""
-
-    def __init__(self, of: np.ndarray) -> None:
-        _, self.label = np.unique(of, return_inverse=True)
-
-    def join(self, a: int, b: int) -> None:
-        self.label[self.label == self.label[b]] = self.label[a]
-
-
 @dataclass
 class Node:
     """A stretch of members: OR of their bitmaps, the range of their sizes, most tokens behind a bit that another has too."""
@@ -248,64 +237,94 @@ def candidates(maps: np.ndarray, n: np.ndarray, rule: Shingles) -> Iterator[tupl
         yield a[keep], b[keep]
 
 
-def _links_by_sets(rule: Shingles):
-    """Links within blocks whose members bring their sets; enough to connect what is connected in the block."""
+def overlaps(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Exact overlaps of all sets of a group, from a product of the incidence matrix with itself, some columns at a time."""
+    values, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = np.repeat(np.arange(len(n)), n)[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = np.zeros((len(n), len(n)), np.float32)
+    for low in range(0, int(shared.sum()), _COLUMNS):
+        i, j = np.searchsorted(column, (low, low + _COLUMNS))
+        part = np.zeros((len(n), _COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        found += part @ part.T
+    return found.astype(np.int64)
+
+
+def _connected(table: pa.Table, group: slice, rule: Shingles) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between different components in one group of sets: node and least node."""
+    ids, n, comp = (table.column(c).to_numpy()[group] for c in ("doc_id", "n", "component"))
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(ids) < 2 or (comp == comp[0]).all():
+        return nothing
+    lists = table.column("tokens").slice(group.start, group.stop - group.start)
+    lists = pa.concat_arrays(lists.chunks)
+    order = np.argsort(n, kind="stable")
+    tokens = lists.flatten().to_numpy().view(np.uint64)
+    first = np.cumsum(n) - n
+    ids, n, comp = ids[order], n[order], comp[order]
+    tokens = tokens[take_ranges(first[order], n)]
+    maps = bitmaps(tokens, np.concatenate(([0], np.cumsum(n))), width_of(int(n[-1])))
+    near = np.zeros(len(ids), bool)  # members of leaf pairs that the tree cannot rule out
+    pairs = []
+    for a, b in candidates(maps, n, rule):
+        apart = comp[a] != comp[b]
+        pairs.append(np.stack([a[apart], b[apart]], 1))
+        near[a[apart]] = near[b[apart]] = True
+    if not near.any():
+        return nothing
+    mine = np.flatnonzero(near)
+    place = np.cumsum(near) - 1
+    first = np.cumsum(n) - n
+    both = overlaps(tokens[take_ranges(first[mine], n[mine])], n[mine])
+    a, b = np.concatenate(pairs).T
+    shared = both[place[a], place[b]]
+    good = 100 * shared >= rule.percent * (n[a] + n[b] - shared)
+    return least_labels(ids[a[good]], ids[b[good]])
+
+
+def _links_by_sets(keys: list[str], rule: Shingles):
+    """Links within groups whose members bring their sets; enough to connect what is connected in the group."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cut in whole_groups(batches, ["token", "chunk"]):
-            ids, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
-            lists = table.column("tokens").combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            first, tokens = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
-            made = []
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if j - i < 2:
-                    continue
-                order = i + np.argsort(n[i:j], kind="stable")
-                width = width_of(int(n[order[-1]]))
-                flat = tokens[take_ranges(first[order], n[order])]
-                maps = bitmaps(flat, np.concatenate(([0], np.cumsum(n[order]))), width)
-                forest = Forest(ids[order])
-                for a, b in candidates(maps, n[order], rule):
-                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                        if forest.label[x] == forest.label[y]:
-                            continue
-                        p, q = order[x], order[y]
-                        both = len(np.intersect1d(tokens[first[p] : first[p] + n[p]], tokens[first[q] : first[q] + n[q]], True))
-                        if 100 * both >= rule.percent * (n[p] + n[q] - both):
-                            forest.join(x, y)
-                            made.append((ids[p], ids[q]))
-            pairs = np.array(made, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for table, cut in whole_groups(batches, keys):
+            made = [_connected(table, slice(i, j), rule) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield _forest(made)
 
     return joined
 
 
-def _pairs_by_bitmaps(rule: Shingles):
-    """Pairs of different components that may be linked, from blocks (or pairs of chunks) whose members bring bitmaps."""
+def _forest(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    nodes, roots = (np.concatenate([m[k] for m in made] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    moved = nodes != roots
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(roots[moved])], names=["a", "b"])
+
+
+def _related_by_bitmaps(rule: Shingles):
+    """A forest of the pairs of different components that may be linked, from blocks (or pairs of chunks) of bitmaps."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cut in whole_groups(batches, ["token", "left", "right"]):
             ids, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "component"))
-            side = table.column("chunk").to_numpy()
-            apart = table.column("left").to_numpy() != table.column("right").to_numpy()
             raw = table.column("bitmap").to_pylist()
-            made = [np.zeros((0, 2), np.int64)]
+            made = []
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if j - i < 2:
                     continue
                 order = i + np.argsort(n[i:j], kind="stable")
                 words = min(len(raw[k]) for k in order) // 8
                 maps = np.stack([folded(np.frombuffer(raw[k], "<u8"), words) for k in order])
+                pairs = [np.zeros((2, 0), np.int64)]
                 for a, b in candidates(maps, n[order], rule):
                     p, q = order[a], order[b]
-                    good = comp[p] != comp[q]
-                    if apart[i]:
-                        good &= side[p] != side[q]
-                    low, high = np.minimum(ids[p], ids[q])[good], np.maximum(ids[p], ids[q])[good]
-                    made.append(np.stack([low, high], 1))
-            pairs = np.unique(np.concatenate(made), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    apart = comp[p] != comp[q]
+                    pairs.append(np.stack([ids[p][apart], ids[q][apart]]))
+                made.append(least_labels(*np.concatenate(pairs, 1)))
+            yield _forest(made)
 
     return joined
 
@@ -352,17 +371,17 @@ def links(sets: DataFrame, rule: Shingles) -> DataFrame:
         dealt = least.join(sizes, "token").selectExpr(
             "doc_id", "token", f"cast(pmod(xxhash64(doc_id, {salt}), ceil(size / {CHUNK})) as int) as chunk"
         )
-        new = _sorted_by(sets.select("doc_id", "n", "tokens").join(dealt, "doc_id"), ["token", "chunk"]).mapInArrow(
-            _links_by_sets(rule), "a long, b long"
-        )
+        keys = ["token", "chunk"]
+        brought = sets.select("doc_id", "n", "tokens").join(dealt.join(known, "doc_id"), "doc_id")
+        new = _sorted_by(brought, keys).mapInArrow(_links_by_sets(keys, rule), "a long, b long")
         new = stored(new, "links-least")
         found = new if found is None else found.unionByName(new)
         known = stored(_with_components(heads, found), "components")
         salt += 1
         if salt > 1 and not new.take(1):
             break
-    last = stored(_cross_pairs(heads, known, rule), "pairs")
-    checked = stored(_checked(last, known, sets, rule), "links-rest")
+    related = stored(_related(heads, known, rule), "related")
+    checked = stored(_within_families(related, known, sets, rule), "links-rest")
     return checked if found is None else found.unionByName(checked)
 
 
@@ -376,8 +395,8 @@ def _sorted_by(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _cross_pairs(heads: DataFrame, known: DataFrame, rule: Shingles) -> DataFrame:
-    """Pairs of different components that share a prefix hash and that the bitmaps cannot rule out."""
+def _related(heads: DataFrame, known: DataFrame, rule: Shingles) -> DataFrame:
+    """What connects classes of different components that share a prefix hash and that the bitmaps cannot rule out."""
     placed = stored(
         heads.join(known, "doc_id").selectExpr("doc_id", "n", "component", "explode(prefix) as token"), "prefix-rows"
     )
@@ -397,60 +416,25 @@ def _cross_pairs(heads: DataFrame, known: DataFrame, rule: Shingles) -> DataFram
     sides = pairs.selectExpr("token", "left", "right", "explode(array_distinct(array(left, right))) as chunk")
     members = dealt.select("doc_id", "n", "component", "token", "chunk").join(sides, ["token", "chunk"])
     signed = members.join(heads.select("doc_id", "bitmap"), "doc_id")
-    return _sorted_by(signed, ["token", "left", "right"]).mapInArrow(_pairs_by_bitmaps(rule), "a long, b long").distinct()
+    return _sorted_by(signed, ["token", "left", "right"]).mapInArrow(_related_by_bitmaps(rule), "a long, b long").distinct()
 
 
-def _checked(pairs: DataFrame, known: DataFrame, sets: DataFrame, rule: Shingles) -> DataFrame:
-    """Links among ``pairs``, enough to connect what they connect.
+def _within_families(related: DataFrame, known: DataFrame, sets: DataFrame, rule: Shingles) -> DataFrame:
+    """Links inside the families that ``related`` connects, enough to connect what is connected.
 
-    Sets travel once to the family of candidates they belong to, not once a pair; a large family is cut into chunks that meet pairwise.
+    A set travels once to its family, or, in a large family, once to each pair of chunks that its own chunk is part of.
     """
-    families = components(pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    families = components(related).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    ends = related.select(F.col("a").alias("doc_id")).union(related.select("b")).distinct()
     placed = stored(ends.join(families, "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family")), "families")
     sizes = stored(placed.groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks")), "family-sizes")
-    members = stored(
-        placed.join(sizes, "family").withColumn("chunk", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)")), "family-members"
+    members = placed.join(sizes, "family").withColumn("chunk", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)"))
+    met = members.withColumn("other", F.expr("explode(sequence(0, chunks - 1))")).selectExpr(
+        "doc_id", "family", "least(chunk, other) as left", "greatest(chunk, other) as right"
     )
-    of_set = members.join(known, "doc_id").join(sets.select("doc_id", "n", "tokens"), "doc_id")
-    of_set = of_set.withColumn("other", F.expr("explode(sequence(0, chunks - 1))")).selectExpr(
-        "family", "least(chunk, other) as left", "greatest(chunk, other) as right", "doc_id as a", "cast(null as long) as b",
-        "component", "n", "tokens",
-    )
-    one, two = (members.selectExpr(f"doc_id as {x}", "family as f" if x == "b" else "family", f"chunk as c{x}") for x in "ab")
-    of_pair = pairs.join(one, "a").join(two, "b").selectExpr(
-        "family", "least(ca, cb) as left", "greatest(ca, cb) as right", "a", "b", "0L as component", "0L as n", "cast(null as array<long>) as tokens"
-    )
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cut in whole_groups(batches, ["family", "left", "right"]):
-            made = []
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                made += _links_of_family(table.slice(i, j - i), rule)
-            links = np.array(made, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
-
+    brought = met.join(known, "doc_id").join(sets.select("doc_id", "n", "tokens"), "doc_id")
     keys = ["family", "left", "right"]
-    return _sorted_by(of_set.unionByName(of_pair), keys).mapInArrow(kept, "a long, b long")
-
-
-def _links_of_family(table: pa.Table, rule: Shingles) -> list[tuple[int, int]]:
-    is_set = table.column("b").is_null()
-    held = table.filter(is_set).sort_by("a")
-    ids, n = held.column("a").to_numpy(), held.column("n").to_numpy()
-    lists = pa.concat_arrays(held.column("tokens").chunks) if held.num_rows else pa.array([], pa.list_(pa.int64()))
-    first = lists.offsets.to_numpy().astype(np.int64)
-    tokens, forest, made = lists.values.to_numpy().view(np.uint64), Forest(held.column("component").to_numpy()), []
-    pairs = table.filter(pc.invert(is_set))
-    left, right = (np.searchsorted(ids, pairs.column(c).to_numpy()) for c in ("a", "b"))
-    for p, q in zip(left.tolist(), right.tolist(), strict=True):
-        if forest.label[p] == forest.label[q]:
-            continue
-        both = len(np.intersect1d(tokens[first[p] : first[p] + n[p]], tokens[first[q] : first[q] + n[q]], True))
-        if 100 * both >= rule.percent * (n[p] + n[q] - both):
-            forest.join(p, q)
-            made.append((int(ids[p]), int(ids[q])))
-    return made
+    return _sorted_by(brought, keys).mapInArrow(_links_by_sets(keys, rule), "a long, b long")
 
 
 def near_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
