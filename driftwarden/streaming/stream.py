@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwarden.operators.profile import profile
 from driftwarden.options import Options
@@ -24,7 +25,7 @@ from driftwarden.sources.pieces import BATCH, SOURCE, Piece
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SUMMARY = "source_name string, batch_id string, n_rows bigint, error string, observed string"
+SUMMARY = "source_name string, batch_id string, sort_key string, n_rows bigint, error string, observed string"
 VERDICT = """
     source_name string, batch_id string, n_rows bigint, disposition string, expected_version int,
     evolved_to int, loss bigint, expected string, observed string
@@ -33,18 +34,27 @@ STATE = "version int, schema string"
 
 
 def publish(pieces: list[Piece], folder: str, options: Options, known: dict[str, set[str]] | None = None) -> None:
-    """Append the summaries of some batches; batch keys must sort as text.
+    """Append the summaries of some batches; numeric batch keys are ordered as numbers, others as text.
 
     Losses are counted toward the buckets of ``known`` and of the pieces at hand, so pass what the
     ledger holds.
     """
     made = profile(pieces, options, known)
+    number = isinstance(made.schema[BATCH].dataType, T.IntegralType)
     made.select(
-        F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"), "n_rows", "error",
+        F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"),
+        (_numeric_key() if number else F.col(BATCH).cast("string")).alias("sort_key"), "n_rows", "error",
         F.to_json("observed").alias("observed"),
     ).write.mode("append").parquet(folder)
 
 
+def _numeric_key() -> Column:
+    """Text that sorts as the number does: sign first, then digits of one width (complements below zero)."""
+    key = F.col(BATCH).cast("bigint")
+    shifted = F.when(key < 0, key + F.lit(2**62) + F.lit(2**62 - 1) + F.lit(1)).otherwise(key)
+    return F.format_string("%s%019d", F.when(key < 0, "0").otherwise("1"), shifted)
+
+
 def read_summaries(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """The published summaries as a stream; the trigger bounds what one micro-batch holds."""
     return spark.readStream.schema(SUMMARY).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
@@ -61,7 +71,7 @@ def _step(rules: Rules):
         opening = not state.exists
         version, text = (None, None) if opening else state.get
         at = Position(version, json.loads(text) if text is not None else None)
-        arrived = pd.concat(frames).sort_values("batch_id")
+        arrived = pd.concat(frames).sort_values(["sort_key", "batch_id"])
         out = []
         for row in arrived.itertuples(index=False):
             cells = [{"lost": {}, **cell} for cell in json.loads(row.observed)]
