@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="driftwarden-")
     if context.getCheckpointDir() is None:
