@@ -31,6 +31,8 @@ from driftwarden.llm.hashing import byte_slices
 BLOCK = 256
 #: Bounds of the sample: signs of a language, signs from one document, languages, letters told apart.
 SAMPLE_SIGNS, STRETCH, MOST_LANGUAGES, LETTERS = 24_000, 400, 64, 59
+#: Signs of all languages together: the broadcast table has at most twice as many rows, of 256 bytes each.
+ALL_SIGNS = 200_000
 DIGIT, SPACE, MARK, OTHER, BREAK = 0, 1, 2, 3, 4
 _FIRST_LETTER = 5
 PREDICTED = "doc_id long, lang_pred string, score double"
@@ -55,6 +57,7 @@ def sample(docs: DataFrame, learned: Column, signs: int = SAMPLE_SIGNS, stretch:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
+    signs = min(signs, ALL_SIGNS // len(counts))
     wanted = 3 * -(-signs // stretch)
     share = {r["lang"]: math.ceil(min(1.0, wanted / r["count"]) * (1 << 24)) for r in counts}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
