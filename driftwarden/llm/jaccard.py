@@ -36,7 +36,7 @@ from driftwarden.llm.hashing import grouped, mix, slices, take_ranges, windows
 from driftwarden.llm.substring import SLICE, _ANSWERED, _ASKED, _count_cells, _slice_bits, ask_cells, bits_set, range_bits, slice_numbers
 from driftwarden.llm.tables import stored
 
-CHUNK, LEAF, FAN, _COLUMNS = 500, 32, 8, 2048
+CHUNK, LEAF, FAN, _COLUMNS = 4000, 32, 8, 2048
 _COUNTS = "doc_id long, n long, shared long"
 _SETS = "doc_id long, n long, digest1 long, digest2 long, tokens array<long>"
 
@@ -252,7 +252,7 @@ def overlaps(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
         part = np.zeros((len(n), _COLUMNS), np.float32)
         part[row[i:j], column[i:j] - low] = 1
         found += part @ part.T
-    return found.astype(np.int64)
+    return found
 
 
 def _connected(table: pa.Table, group: slice, rule: Shingles) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ def _connected(table: pa.Table, group: slice, rule: Shingles) -> tuple[np.ndarra
     first = np.cumsum(n) - n
     both = overlaps(tokens[take_ranges(first[mine], n[mine])], n[mine])
     a, b = np.concatenate(pairs).T
-    shared = both[place[a], place[b]]
+    shared = both[place[a], place[b]].astype(np.int64)
     good = 100 * shared >= rule.percent * (n[a] + n[b] - shared)
     return least_labels(ids[a[good]], ids[b[good]])
 
@@ -422,18 +422,28 @@ def _related(heads: DataFrame, known: DataFrame, rule: Shingles) -> DataFrame:
 def _within_families(related: DataFrame, known: DataFrame, sets: DataFrame, rule: Shingles) -> DataFrame:
     """Links inside the families that ``related`` connects, enough to connect what is connected.
 
-    A set travels once to its family, or, in a large family, once to each pair of chunks that its own chunk is part of.
+    Linked sizes lie in one band or in two that follow each other (a band ends where the ratio allows no link with its start),
+    so a family is worked through band by band. A set travels to two bands of its family, and there, in a large family, to each pair
+    of chunks that its own chunk is part of. Bands that hold one component only are left out.
     """
     families = components(related).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
     ends = related.select(F.col("a").alias("doc_id")).union(related.select("b")).distinct()
-    placed = stored(ends.join(families, "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family")), "families")
-    sizes = stored(placed.groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks")), "family-sizes")
-    members = placed.join(sizes, "family").withColumn("chunk", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)"))
+    placed = ends.join(families, "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / rule.percent))).cast("int")
+    banded = placed.join(known, "doc_id").join(sets.select("doc_id", "n"), "doc_id").select(
+        "doc_id", "family", "component", F.explode(F.array(band - 1, band)).alias("band")
+    )
+    banded = stored(banded, "families")
+    sizes = banded.groupBy("family", "band").agg(
+        F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    sizes = stored(sizes.where("low < high").select("family", "band", "chunks"), "family-sizes")
+    members = banded.join(sizes, ["family", "band"]).withColumn("chunk", F.expr("cast(pmod(xxhash64(doc_id), chunks) as int)"))
     met = members.withColumn("other", F.expr("explode(sequence(0, chunks - 1))")).selectExpr(
-        "doc_id", "family", "least(chunk, other) as left", "greatest(chunk, other) as right"
+        "doc_id", "component", "family", "band", "least(chunk, other) as left", "greatest(chunk, other) as right"
     )
-    brought = met.join(known, "doc_id").join(sets.select("doc_id", "n", "tokens"), "doc_id")
-    keys = ["family", "left", "right"]
+    keys = ["family", "band", "left", "right"]
+    brought = met.join(sets.select("doc_id", "n", "tokens"), "doc_id")
     return _sorted_by(brought, keys).mapInArrow(_links_by_sets(keys, rule), "a long, b long")
 
 
