@@ -429,7 +429,8 @@ def _within_families(related: DataFrame, known: DataFrame, sets: DataFrame, rule
     families = components(related).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
     ends = related.select(F.col("a").alias("doc_id")).union(related.select("b")).distinct()
     placed = ends.join(families, "doc_id", "left").select("doc_id", F.coalesce("family", "doc_id").alias("family"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / rule.percent))).cast("int")
+    # a little wide, for rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / rule.percent))).cast("int")
     banded = placed.join(known, "doc_id").join(sets.select("doc_id", "n"), "doc_id").select(
         "doc_id", "family", "component", F.explode(F.array(band - 1, band)).alias("band")
     )
