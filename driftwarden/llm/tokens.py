@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from driftwarden.llm.hashing import _byte_codes, byte_slices, is_space, runs, take_ranges
 
-REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 20, 1 << 16, 64
+REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 19, 1 << 16, 64
 
 
 class Encoder:
