@@ -372,7 +372,7 @@ def links(sets: DataFrame, rule: Shingles) -> DataFrame:
             "doc_id", "token", f"cast(pmod(xxhash64(doc_id, {salt}), ceil(size / {CHUNK})) as int) as chunk"
         )
         keys = ["token", "chunk"]
-        brought = sets.select("doc_id", "n", "tokens").join(dealt.join(known, "doc_id"), "doc_id")
+        brought = sets.select("doc_id", "n", "tokens").join(dealt.join(known, "doc_id").hint("merge"), "doc_id")
         new = _sorted_by(brought, keys).mapInArrow(_links_by_sets(keys, rule), "a long, b long")
         new = stored(new, "links-least")
         found = new if found is None else found.unionByName(new)
@@ -444,7 +444,7 @@ def _within_families(related: DataFrame, known: DataFrame, sets: DataFrame, rule
         "doc_id", "component", "family", "band", "least(chunk, other) as left", "greatest(chunk, other) as right"
     )
     keys = ["family", "band", "left", "right"]
-    brought = met.join(sets.select("doc_id", "n", "tokens"), "doc_id")
+    brought = met.hint("merge").join(sets.select("doc_id", "n", "tokens"), "doc_id")
     return _sorted_by(brought, keys).mapInArrow(_links_by_sets(keys, rule), "a long, b long")
 
 
@@ -459,7 +459,7 @@ def near_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
         sets.groupBy("n", "digest1", "digest2").agg(F.min("doc_id").alias("first")).select("n", "digest1", "digest2", "first"), "classes"
     )
     firsts = stored(
-        sets.select("doc_id", "n", "tokens").join(classes.selectExpr("first as doc_id"), "doc_id", "left_semi"), "class-sets"
+        sets.select("doc_id", "n", "tokens").join(classes.selectExpr("first as doc_id").hint("merge"), "doc_id", "left_semi"), "class-sets"
     )
     joined = _with_components(firsts, links(firsts, rule)).withColumnRenamed("doc_id", "first")
     of_class = stored(classes.join(joined, "first").select("n", "digest1", "digest2", "component"), "class-components")
