@@ -80,3 +80,22 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids").collect())) == sorted(
         map(str, left.select("doc_id", "start", "ids").collect())
     )
+
+
+def test_mixing_keeps_every_document_beside_a_tiny_source(spark, tmp_path):
+    rows = [(i, f"text {i}", "A") for i in range(6000)] + [(6000 + i, "rare", "B") for i in range(10)]
+    rows += [(6010 + i, "none", None) for i in range(5)] + [(None, "no id", "A"), (7, "text 7", "A"), (8, "other", "B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    left = spark.read.parquet(f"{tmp_path}/mixed")
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect())
+    place = {}
+    for r in mixing.mix_sources(docs, exponent=corpus_pipeline.MIX_EXPONENT).collect():
+        place.setdefault((r["doc_id"], r["source"]), []).append((r["slot"], r["place"]))
+    seen = [
+        min(place[r["doc_id"], r["source"] or ""])
+        for file in sorted((tmp_path / "mixed").glob("part-*.parquet"))
+        for r in spark.read.parquet(str(file)).coalesce(1).collect()
+        if r["doc_id"] is not None
+    ]
+    assert seen == sorted(seen) and len(seen) == len(rows) - 1
