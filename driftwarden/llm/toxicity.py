@@ -3,7 +3,7 @@
 Features are whole words and their first four to six signs, each as the logarithm of its count. The words that tell toxic from other
 labelled documents are counted in Spark; the lasso logistic fit then runs on a bounded sample. Where a labelled sentence
 has an identity term, the term is swapped for the others of its group, and the fit is penalised by the squared change of the
-score's margin: a group's name alone must not move the score.
+sentence's margin over all features, beginnings of the terms too: a group's name alone must not move the score.
 
 Defined results: a null or empty text has no features and gets the intercept's score. Repeated rows each get their score. Without
 labelled rows every score is 0.5; with one class only, its smoothed share.
@@ -11,8 +11,9 @@ labelled rows every score is 0.5; with one class only, its smoothed share.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,17 @@ def term_features() -> dict[str, int]:
     return made
 
 
+def term_parts() -> dict[str, list[int]]:
+    """Each identity term's features: the word and its beginnings."""
+    terms = [t for group in IDENTITY_TERMS for t in group]
+    made: dict[str, list[int]] = {t: [] for t in terms}
+    for words in parsed(pa.array(terms)):
+        for feature, i in zip(*features(words), strict=True):
+            if feature not in made[term := terms[words.rows][i]]:
+                made[term].append(feature)
+    return made
+
+
 @dataclass(frozen=True)
 class Weights:
     """Margins of features, sorted by feature."""
@@ -151,8 +163,15 @@ def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0) -> We
     probe = Weights(0.0, keys, np.zeros(len(keys)))
     of_term = {t: int(np.searchsorted(keys, h)) for t, h in terms.items()}
 
+    own: dict[str, list[int]] = {}
+    for term, parts in term_parts().items():
+        at = np.searchsorted(keys, parts)
+        own[term] = [int(i) for i, f in zip(at, parts, strict=True) if i < len(keys) and keys[i] == f]
+    # a sentence with a term tells how often it has each feature that a swap of the term can change
+    touched = {of_term[t]: sorted({f for group in IDENTITY_TERMS if t in group for o in group for f in own[o]}) for t in own}
+
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term_at = np.array(sorted(set(of_term.values())))
+        term_at = np.array(sorted(touched))
         for batch in batches:
             for words in parsed(batch.column("text")):
                 hashed, text_of = features(words)
@@ -160,50 +179,79 @@ def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0) -> We
                 good = np.flatnonzero(probe.features[place] == hashed)
                 pairs, times = np.unique(text_of[good] * len(keys) + place[good], return_counts=True)
                 many = np.bincount(pairs // len(keys), minlength=len(words.first) - 1)
-                single = good[good < len(words.starts)]
-                named = single[np.isin(place[single], term_at)]
-                ends = np.concatenate(([0], np.cumsum(np.isin(words.data, _SENTENCE_ENDS))))[words.starts[named]]
-                spoken = np.unique((text_of[named] << 32 | ends) * len(keys) + place[named])
-                swaps = np.bincount(np.searchsorted(term_at, spoken % len(keys)), minlength=len(term_at))
+                swaps = sentence_swaps(words, probe.features, term_at, touched)
                 first = np.concatenate(([0], np.cumsum(many)))
                 columns = [
                     pa.array(batch.column("y").to_numpy(zero_copy_only=False)[words.rows]),
                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(pairs % len(keys), pa.int32())),
                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(times, pa.int32())),
-                    pa.array([swaps.tolist(), *[[]] * (len(many) - 1)], pa.list_(pa.int64())),
+                    pa.array([swaps, *[[]] * (len(many) - 1)], pa.list_(pa.list_(pa.int64()))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["y", "has", "times", "swaps"])
 
-    rows = sample.select("text", "y").mapInArrow(present, "y double, has array<int>, times array<int>, swaps array<long>").collect()
-    x, y, swaps = np.zeros((len(rows), len(keys)), np.float32), np.zeros(len(rows)), np.zeros(len(set(of_term.values())))
+    rows = sample.select("text", "y").mapInArrow(present, "y double, has array<int>, times array<int>, swaps array<array<long>>").collect()
+    x, y, swaps = np.zeros((len(rows), len(keys)), np.float32), np.zeros(len(rows)), Counter()
     for i, row in enumerate(rows):
         x[i, row["has"]] = np.log2(1 + np.array(row["times"], np.float32))
         y[i] = row["y"]
-        if row["swaps"]:
-            swaps += row["swaps"]
-    ties = counterfactual_ties(len(keys), of_term, swaps)
+        for count, *sentence in row["swaps"]:
+            swaps[tuple(sentence)] += count
+    ties = swap_ties(len(keys), of_term, own, swaps)
     intercept, weights = lasso_logistic(x, y, penalty, fairness * ties)
     kept = np.flatnonzero(weights)
     return Weights(intercept, keys[kept], weights[kept])
 
 
-def counterfactual_ties(size: int, of_term: dict[str, int], swaps: np.ndarray) -> np.ndarray:
-    """The form w' T w: the mean over labelled sentences and swaps of the squared change of the margin."""
-    term_at = sorted(set(of_term.values()))
-    ties = np.zeros((size, size), np.float32)
-    for group in IDENTITY_TERMS:
-        for term in group:
-            own = of_term[term]
-            count = swaps[term_at.index(own)]
+def sentence_swaps(words: Words, keys: np.ndarray, term_at: np.ndarray, touched: dict[int, list[int]]) -> list[list[int]]:
+    """How many sentences, a term they have, and how often they have each feature of ``touched`` for it; one row per kind."""
+    if not len(words.starts):
+        return []
+    text_of = np.repeat(np.arange(len(words.first) - 1), words.counts())
+    ends = np.concatenate(([0], np.cumsum(np.isin(words.data, _SENTENCE_ENDS))))[words.starts]
+    new = np.flatnonzero((np.diff(text_of) > 0) | (np.diff(ends) > 0)) + 1
+    hashed, sentence_of = features(replace(words, first=np.concatenate(([0], new, [len(words.starts)]))))
+    wanted = np.array(sorted({f for own in touched.values() for f in own}))
+    place = np.minimum(np.searchsorted(keys[wanted], hashed), len(wanted) - 1)
+    good = np.flatnonzero(keys[wanted][place] == hashed)
+    pairs, times = np.unique(sentence_of[good] * len(wanted) + place[good], return_counts=True)
+    kinds: Counter[tuple[int, ...]] = Counter()
+    sentence, feature = pairs // len(wanted), wanted[pairs % len(wanted)]
+    first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if len(pairs) else []
+    for a, b in zip(first, [*first[1:], len(pairs)], strict=False):
+        has = dict(zip(feature[a:b].tolist(), times[a:b].tolist(), strict=True))
+        for term in term_at[np.isin(term_at, feature[a:b])].tolist():
+            kinds[term, *(has.get(f, 0) for f in touched[term])] += 1
+    return [[n, *kind] for kind, n in kinds.items()]
+
+
+def swap_ties(size: int, of_term: dict[str, int], own: dict[str, list[int]], swaps: dict[tuple[int, ...], float]) -> np.ndarray:
+    """The form w' T w: the mean over labelled sentences and swaps of the squared change of the margin.
+
+    ``own`` are a term's features; ``swaps`` counts sentences by a term and by how often they have each feature of its groups.
+    """
+    ties = np.zeros((size, size))
+    for (at, *times), count in swaps.items():
+        groups = [g for g in IDENTITY_TERMS if any(of_term[t] == at for t in g)]
+        touched = sorted({f for g in groups for t in g for f in own[t]})
+        before = np.array(times, float)
+        many = before[touched.index(at)]
+        for group in groups:
+            term = next(t for t in group if of_term[t] == at)
             for other in group:
-                to = of_term[other]
-                if to != own and count:
-                    change = count / (len(group) - 1)
-                    ties[own, own] += change
-                    ties[to, to] += change
-                    ties[own, to] -= change
-                    ties[to, own] -= change
-    return ties / max(1.0, float(swaps.sum()))
+                if other != term:
+                    after = before - many * np.isin(touched, own[term]) + many * np.isin(touched, own[other])
+                    change = np.log2(1 + after) - np.log2(1 + before)
+                    ties[np.ix_(touched, touched)] += count / (len(group) - 1) * np.outer(change, change)
+    return (ties / max(1.0, float(sum(swaps.values())))).astype(np.float32)
+
+
+def counterfactual_ties(size: int, of_term: dict[str, int], swaps: np.ndarray) -> np.ndarray:
+    """``swap_ties`` of sentences that have a term once, where the terms themselves are the only features."""
+    own, kinds = {t: [i] for t, i in of_term.items()}, {}
+    for at, count in zip(sorted(set(of_term.values())), swaps, strict=True):
+        touched = sorted({of_term[o] for g in IDENTITY_TERMS for t in g if of_term[t] == at for o in g})
+        kinds[at, *(int(f == at) for f in touched)] = float(count)
+    return swap_ties(size, of_term, own, kinds)
 
 
 def score(docs: DataFrame, model: Weights) -> DataFrame:

@@ -110,6 +110,43 @@ def test_ties_penalise_exactly_the_swaps():
     assert abs(w @ ties @ w) < 1e-5
 
 
+def test_penalty_covers_the_beginnings_of_swapped_terms(spark, labelled):
+    sample = labelled_sample(labelled.select("doc_id", "text"), labelled, "toxic", remainder(4) == 2, 400)
+    model = toxicity.fit(sample, fairness=5.0)
+    neutral = spark.createDataFrame([(1, "muslims walk by the river"), (2, "christians walk by the river")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(neutral, model).collect()}
+    margin = {i: np.log(s / (1 - s)) for i, s in score.items()}
+    assert abs(margin[1] - margin[2]) < 0.2
+
+
+def test_swaps_of_a_sentence_by_brute_force():
+    import pyarrow as pa
+
+    texts = pa.array(["Muslims and muslims met. Muslim food\nmuslims"])
+    own_hash = toxicity.term_parts()
+    keys = np.unique(np.array([f for parts in own_hash.values() for f in parts], np.uint64))
+    own = {t: [int(i) for i in np.searchsorted(keys, np.array(p, np.uint64))] for t, p in own_hash.items()}
+    of_term = {t: own[t][0] for t in own}
+    touched = {of_term[t]: sorted({f for g in toxicity.IDENTITY_TERMS if t in g for o in g for f in own[o]}) for t in own}
+    (words,) = toxicity.parsed(texts)
+    swaps = {tuple(kind): n for n, *kind in toxicity.sentence_swaps(words, keys, np.array(sorted(touched)), touched)}
+    assert sum(swaps.values()) == 3
+    w = np.random.default_rng(1).normal(size=len(keys))
+    model = toxicity.Weights(0.0, keys, w)
+
+    def margin(text):
+        (words,) = toxicity.parsed(pa.array([text]))
+        score = model.of(words)[0]
+        return np.log(score / (1 - score))
+
+    changes = []
+    for sentence, term in (("muslims and muslims met", "muslims"), ("muslim food", "muslim"), ("muslims", "muslims")):
+        group = next(g for g in toxicity.IDENTITY_TERMS if term in g)
+        changes.append(np.mean([(margin(sentence.replace(term, o)) - margin(sentence)) ** 2 for o in group if o != term]))
+    ties = toxicity.swap_ties(len(keys), of_term, own, swaps)
+    assert abs(w @ ties @ w - np.mean(changes)) < 1e-3
+
+
 def test_lasso_finds_the_one_feature():
     rng = np.random.default_rng(0)
     x = (rng.random((500, 20)) < 0.3).astype(np.float32)
