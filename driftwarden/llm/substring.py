@@ -9,12 +9,12 @@ A window is 13 consecutive words. A word goes if a window covers it whose word s
    passage that stands in a third of all documents costs one cell a slice.
 2. *Exact pass.* Windows estimated repeated are grouped by a 96-bit hash of their words; again a slice asks once for each
    distinct window, and the answer tells whether a smaller document has it.
-3. *Removal.* Documents take their bits back by id and drop the covered words.
+3. *Removal.* Rows take their bits back by id and hash of the text, and drop the covered words.
 
 The sketch grows with the corpus and is never in one place: not on the driver, not in a broadcast.
 
 Defined results: a null text has no words; a text of fewer than 13 words has no window. A window that repeats inside one document
-only removes nothing. Rows that share a doc_id count as one document; rows without one are left out. An empty table gives no
+only removes nothing. Rows that share a doc_id count as one document, each with its own text; rows without one are left out. An empty table gives no
 rows. Other columns are ignored.
 """
 
@@ -39,10 +39,12 @@ CELL_BITS, CELLS_A_WINDOW, BYTES_A_WINDOW, FEWEST_RANGES, MOST_RANGES = 24, 8, 6
 SLICE = 1 << 21
 _ASKED = "slice long, part int, docs binary, counts binary, asked binary, told binary"
 _ANSWERED = "slice long, part int, docs binary, counts binary, bits binary"
-_BITS = "doc_id long, n long, bits binary"
+_BITS = "doc_id long, mark long, n long, bits binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 _KEY = np.dtype([("high", "<u8"), ("low", "<u4")])
 _DOC = np.dtype([("at", "<i4"), ("id", "<i8")])
+#: A row: rows that share an id and a text have the same windows, and so the same bits.
+_ROW = np.dtype([("id", "<i8"), ("mark", "<i8")])
 
 
 def range_bits(total_bytes: int) -> int:
@@ -68,30 +70,32 @@ def _by_part(part: np.ndarray, doc: np.ndarray, docs: int, parts: int) -> tuple[
 
 
 def _rows(
-    number: int, ids: np.ndarray, doc: np.ndarray, part: np.ndarray, known: np.ndarray, ask: np.ndarray,
+    number: int, own: np.ndarray, doc: np.ndarray, part: np.ndarray, known: np.ndarray, ask: np.ndarray,
     asked: np.ndarray, told_part: np.ndarray, told: np.ndarray, parts: int,
 ) -> dict[str, list]:
     """A slice's questions: one row a part, and one row that goes along unanswered with what the slice knows itself.
 
+    ``own`` are the slice's documents, ids or rows of ``_ROW``.
+
     Windows come in (document, place) order with their ``part``; ``known`` are the bits known, ``ask`` the windows
     asked for, each by its row of ``asked``; ``told`` are reports that need no answer.
     """
-    docs = len(ids)
+    docs, ids = len(own), own["id"] if own.dtype.names else own
     out: dict[str, list] = {k: [] for k in ("slice", "part", "docs", "counts", "asked", "told")}
     order, bounds = _by_part(part, doc, docs, parts)
     per_doc = np.diff(bounds[::parts]).astype("<i4")
     state = np.where(ask, 2, known)[order].astype(np.uint8)  # two bits a window: known bit, or to be answered
     both = np.stack([state >> 1, state & 1], 1)
-    _add(out, number, -1 - ((number >> 32) * 31 + number) % parts, ids.astype("<i8").tobytes(), per_doc.tobytes(), _pack(both.ravel()), b"")
+    _add(out, number, -1 - ((number >> 32) * 31 + number) % parts, own.tobytes(), per_doc.tobytes(), _pack(both.ravel()), b"")
     at = np.flatnonzero(ask)
     at = at[np.argsort(part[at], kind="stable")]
     cut = np.searchsorted(part[at], np.arange(parts + 1))
     told_cut = np.searchsorted(told_part, np.arange(parts + 1))
     for p in np.flatnonzero((np.diff(cut) > 0) | (np.diff(told_cut) > 0)):
         mine = at[cut[p] : cut[p + 1]]
-        own, counts = np.unique(doc[mine], return_counts=True)
+        some, counts = np.unique(doc[mine], return_counts=True)
         _add(
-            out, number, int(p), _named(own, ids).tobytes(), counts.astype("<i4").tobytes(),
+            out, number, int(p), _named(some, ids).tobytes(), counts.astype("<i4").tobytes(),
             asked[mine].tobytes(), told[told_cut[p] : told_cut[p + 1]].tobytes(),
         )
     return out
@@ -133,7 +137,14 @@ def _numbers(batch: pa.RecordBatch, words: Words) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)[words.rows]
 
 
-def ask_cells(number: int, ids: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -> pa.RecordBatch:
+def _marked(batch: pa.RecordBatch, words: Words) -> np.ndarray:
+    ids = _numbers(batch, words)
+    made = np.zeros(len(ids), _ROW)
+    made["id"], made["mark"] = ids, batch.column("mark").to_numpy(zero_copy_only=False)[words.rows]
+    return made
+
+
+def ask_cells(number: int, own: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -> pa.RecordBatch:
     """A slice's questions to the sketch: was the cell of each hash (in document order) hit at least twice?"""
     part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
     cell = (hashed >> np.uint64(64 - bits - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
@@ -141,7 +152,7 @@ def ask_cells(number: int, ids: np.ndarray, hashed: np.ndarray, doc: np.ndarray,
     again, twice = times[index] > 1, spot[times > 1]
     return _batch(
         _rows(
-            number, ids, doc, part, again, ~again, _three_bytes(cell),
+            number, own, doc, part, again, ~again, _three_bytes(cell),
             (twice >> np.uint64(CELL_BITS)).astype(np.int64), _three_bytes(twice & np.uint64((1 << CELL_BITS) - 1)), 1 << bits,
         ),
         _ASKED,
@@ -157,7 +168,7 @@ def _sketch(bits: int):
             for words in slices(batch.column("text"), limit=SLICE):
                 hashed, doc, _ = _hashed(words)
                 if len(hashed):
-                    yield ask_cells(next(numbers), _numbers(batch, words), hashed, doc, bits)
+                    yield ask_cells(next(numbers), _marked(batch, words), hashed, doc, bits)
 
     return ask
 
@@ -217,11 +228,11 @@ def _answer(group: pa.Table, width: int, answered) -> pa.Table:
     return pa.Table.from_batches([_batch(out, _ANSWERED)])
 
 
-def _slice_bits(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slice_bits(group: pa.Table, kind: np.dtype | str = "<i8") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice: its documents, how many windows each has, and their bits by document in the order of (part, place)."""
     rows = sorted(group.to_pylist(), key=lambda r: r["part"])
     own, answers = rows[0], rows[1:]
-    ids, n = np.frombuffer(own["docs"], "<i8"), np.frombuffer(own["counts"], "<i4")
+    ids, n = np.frombuffer(own["docs"], kind), np.frombuffer(own["counts"], "<i4")
     both = _unpack(own["bits"], 2 * int(n.sum())).reshape(-1, 2)
     bits, open_bits = both[:, 1].copy(), np.flatnonzero(both[:, 0])
     docs, got = [], []
@@ -237,11 +248,11 @@ def _slice_bits(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _assemble(group: pa.Table) -> pa.Table:
     """The bits of each document of a slice that has any set."""
-    ids, n, bits = _slice_bits(group)
+    ids, n, bits = _slice_bits(group, _ROW)
     at = np.concatenate(([0], np.cumsum(n)))
-    out: dict[str, list] = {k: [] for k in ("doc_id", "n", "bits")}
+    out: dict[str, list] = {k: [] for k in ("doc_id", "mark", "n", "bits")}
     for i in np.flatnonzero(bits_set(bits, at)):
-        _add(out, int(ids[i]), int(n[i]), _pack(bits[at[i] : at[i + 1]]))
+        _add(out, int(ids["id"][i]), int(ids["mark"][i]), int(n[i]), _pack(bits[at[i] : at[i + 1]]))
     return pa.Table.from_batches([_batch(out, _BITS)])
 
 
@@ -271,7 +282,8 @@ def _exactly(bits: int):
         for batch in batches:
             for words in slices(batch.column("text"), limit=SLICE):
                 hashed, doc, first = _hashed(words)
-                ids = _numbers(batch, words)
+                own = _marked(batch, words)
+                ids = own["id"]
                 part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
                 raw = batch.column("bits").slice(words.rows.start, len(ids))
                 at = np.flatnonzero(_in_place(raw, part, doc, first, 1 << bits))
@@ -291,7 +303,7 @@ def _exactly(bits: int):
                 asked = np.zeros(len(hashed), _KEY)
                 asked[at] = keys
                 none = np.zeros(0, np.int64)
-                yield _batch(_rows(next(numbers), ids, doc, part, known, wants, asked, none, none, 1 << bits), _ASKED)
+                yield _batch(_rows(next(numbers), own, doc, part, known, wants, asked, none, none, 1 << bits), _ASKED)
 
     return ask
 
@@ -317,15 +329,20 @@ def _remaining(words: Words, kept: np.ndarray) -> list[bytes]:
     return [out[at[a] : max(at[a], at[b] - 1)].tobytes() for a, b in zip(many[:-1], many[1:], strict=True)]
 
 
+def _rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hash that tells the texts of one id apart."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+
+
 def removal_bits(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, n, bits: which windows go, for documents that lose any; and the bits of the parts that order them."""
+    """doc_id, mark, n, bits: which windows go, for rows that lose any; and the bits of the parts that order them."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = range_bits(total)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _rows_of(docs)
     sketch = rows.mapInArrow(_sketch(bits), _ASKED).groupBy("part").applyInArrow(_count_cells, _ANSWERED)
     repeated = stored(sketch.groupBy("slice").applyInArrow(_assemble, _BITS), "estimated-repeats")
-    repeated = repeated.groupBy("doc_id").agg(F.max("bits").alias("bits"))
-    asked = rows.join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "bits").mapInArrow(_exactly(bits), _ASKED)
+    repeated = repeated.groupBy("doc_id", "mark").agg(F.max("bits").alias("bits"))
+    asked = rows.join(repeated.hint("merge"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "bits").mapInArrow(_exactly(bits), _ASKED)
     exact = asked.groupBy("part").applyInArrow(_smaller_elsewhere, _ANSWERED)
     return stored(exact.groupBy("slice").applyInArrow(_assemble, _BITS), "repeats"), bits
 
@@ -353,7 +370,7 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    per_id = gone.groupBy("doc_id").agg(F.max("bits").alias("bits"))
-    whole = rows.join(per_id.hint("merge"), "doc_id", "left")
+    rows = _rows_of(docs)
+    per_id = gone.groupBy("doc_id", "mark").agg(F.max("bits").alias("bits"))
+    whole = rows.join(per_id.hint("merge"), ["doc_id", "mark"], "left")
     return whole.select("doc_id", "text", "bits").mapInArrow(cut, KEPT)

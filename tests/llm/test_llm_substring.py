@@ -48,3 +48,16 @@ def test_repeated_rows_missing_ids_and_no_rows(spark, no_documents, sha, digest)
     got = sorted(map(tuple, substring.dedup_substrings(rows, digest).collect()))
     tell = sha if digest else str
     assert got == [(1, 20, 0, tell(text)), (1, 20, 0, tell(text)), (2, 21, 20, tell("new")), (3, 0, 0, tell(""))]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    first, second, own = text("a", 20), text("b", 31), text("own", 17)
+    rows = [(1, first), (2, second), (5, f"{own} {first}"), (5, f"{second} tail"), (5, text("c", 15)), (6, f"{text('c', 15)} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["kept"]) for r in substring.dedup_substrings(docs).collect())
+    assert got == sorted(
+        [(1, 20, first), (2, 31, second), (5, 37, own), (5, 32, "tail"), (5, 15, text("c", 15)), (6, 16, "end")]
+    )
