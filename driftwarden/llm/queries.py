@@ -7,6 +7,7 @@ from driftwarden.llm import (
     exact_query,
     jaccard_query,
     langid_query,
+    merkle_query,
     mixing_query,
     packing_query,
     quality_query,
@@ -15,6 +16,6 @@ from driftwarden.llm import (
     vectors_query,
 )
 
-_MODULES = [exact_query, jaccard_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, vectors_query, substring_query, chat_query]
+_MODULES = [exact_query, jaccard_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, vectors_query, substring_query, chat_query, merkle_query]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
