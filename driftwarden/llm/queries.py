@@ -9,6 +9,7 @@ from driftwarden.llm import (
     langid_query,
     merkle_query,
     mixing_query,
+    negatives_query,
     packing_query,
     quality_query,
     substring_query,
@@ -16,6 +17,6 @@ from driftwarden.llm import (
     vectors_query,
 )
 
-_MODULES = [exact_query, jaccard_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, vectors_query, substring_query, chat_query, merkle_query]
+_MODULES = [exact_query, jaccard_query, mixing_query, quality_query, toxicity_query, packing_query, langid_query, vectors_query, substring_query, chat_query, negatives_query, merkle_query]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
