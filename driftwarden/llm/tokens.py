@@ -2,7 +2,7 @@
 
 The tokenizer's own pattern never joins a sign with white space that follows it, so a text falls into runs
 of white space plus the word behind them that are encoded independently. Such runs repeat: they
-are found and hashed as arrays, and only those a worker has not met yet go to the tokenizer. Texts with white space
+are found and hashed as arrays, and only those a worker has not met yet go to the tokenizer; bytes are compared wherever a hash is met again. Texts with white space
 outside ASCII or with the opening of a special token are encoded as one run, so ids are always those of the whole text.
 """
 
@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from driftwarden.llm.hashing import _byte_codes, byte_slices, is_space, runs, take_ranges
+from driftwarden.llm.hashing import byte_runs, byte_slices, is_space, take_ranges
 
 REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 19, 1 << 16, 64
 
@@ -37,6 +37,7 @@ class Encoder:
     def _forget(self) -> None:
         self.old, self.recent = _Runs.none(), _Runs.none()
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.text, self.kept = np.zeros(1 << 16, np.uint8), 0
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
         """Ids of consecutive texts, each followed by id 0; ``first[i]:first[i + 1]`` are those of text i."""
@@ -92,55 +93,99 @@ class Encoder:
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each run the place and number of its ids, and the ids."""
-        hashed = runs(_byte_codes(7)[data], starts, ends, 0x5851F42D4C957F2D)
+        hashed = byte_runs(data, starts, ends)
         keys, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         if len(self.old.keys) > REMEMBERED_RUNS:
             self._forget()
+        first, length = starts[sample], (ends - starts)[sample]
         at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
         for table in (self.old, self.recent):
-            table.find(keys, at, size)
+            place, row = table.find(keys)
+            alike = table.length[place] == length[row]
+            place, row = place[alike], row[alike]
+            good = same_bytes(self.text, table.text[place], data, first[row], length[row])
+            at[row[good]], size[row[good]] = table.at[place[good]], table.size[place[good]]
         new = np.flatnonzero(at < 0)
-        length = (ends - starts)[sample[new]]
-        new = new[np.argsort(length > LONGEST_REMEMBERED, kind="stable")]
-        fresh = [bytes(data[s:e]).decode() for s, e in zip(starts[sample[new]], ends[sample[new]], strict=True)]
+        new = new[np.argsort(length[new] > LONGEST_REMEMBERED, kind="stable")]
+        at[new], size[new] = self._coded(data, first[new], length[new])
+        short = new[: int((length[new] <= LONGEST_REMEMBERED).sum())]
+        self._remember(data, keys[short], at[short], size[short], first[short], length[short])
+        at, size, used = at[inverse], size[inverse], self.used
+        # runs with the hash of another run of the slice are told apart by their bytes
+        copies = np.flatnonzero(sample[inverse] != np.arange(len(starts)))
+        of = sample[inverse[copies]]
+        alike = (ends - starts)[copies] == (ends - starts)[of]
+        alike[alike] = same_bytes(data, starts[copies[alike]], data, starts[of[alike]], (ends - starts)[of[alike]])
+        odd = copies[~alike]
+        if len(odd):
+            self.used = int(max(used, (at + size).max()))
+            at[odd], size[odd] = self._coded(data, starts[odd], (ends - starts)[odd])
+            self.used = used
+        return at, size, self.ids
+
+    def _coded(self, data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode runs behind the ids in use: place and number of their ids."""
+        fresh = [bytes(data[s : s + n]).decode() for s, n in zip(first, length, strict=True)]
         coded = [self._exactly(x) if "<|" in x else self.word(x) for x in fresh]
-        size[new] = [len(x) for x in coded]
-        at[new] = self.used + np.cumsum(size[new]) - size[new]
-        end = self.used + int(size[new].sum())
+        size = np.array([len(x) for x in coded], np.int32)
+        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        end = self.used + int(size.sum())
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(end - len(self.ids), len(self.ids)), np.int32)])
         self.ids[self.used : end] = np.fromiter(chain.from_iterable(coded), np.int32, end - self.used)
-        short = new[: int((length <= LONGEST_REMEMBERED).sum())]
-        self.recent = self.recent.joined(_Runs(keys[short], at[short], size[short]))
-        self.used += int(size[short].sum())
+        return at, size
+
+    def _remember(
+        self, data: np.ndarray, keys: np.ndarray, at: np.ndarray, size: np.ndarray, first: np.ndarray, length: np.ndarray
+    ) -> None:
+        end = self.kept + int(length.sum())
+        if end > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(max(end - len(self.text), len(self.text)), np.uint8)])
+        self.text[self.kept : end] = data[take_ranges(first, length)]
+        text = self.kept + np.cumsum(length) - length
+        self.recent = self.recent.joined(_Runs(keys, at, size, text, length.astype(np.int32)))
+        self.used, self.kept = self.used + int(size.sum()), end
         if len(self.recent.keys) > RECENT_RUNS:
             self.old, self.recent = self.old.joined(self.recent), _Runs.none()
-        return at[inverse], size[inverse], self.ids
+
+
+def same_bytes(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``a[first:first + length]`` equals the same stretch of ``b``, for every pair."""
+    differs = a[take_ranges(a_first, length)] != b[take_ranges(b_first, length)]
+    total = np.concatenate(([0], np.cumsum(differs)))
+    end = np.cumsum(length)
+    return total[end] == total[end - length]
 
 
 @dataclass
 class _Runs:
-    """Known runs sorted by hash: place and number of their ids."""
+    """Known runs sorted by hash: place and number of their ids, place and length of their bytes."""
 
     keys: np.ndarray
     at: np.ndarray
     size: np.ndarray
+    text: np.ndarray
+    length: np.ndarray
 
     @staticmethod
     def none() -> _Runs:
-        return _Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return _Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
 
-    def find(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            good = self.keys[place] == keys
-            at[good], size[good] = self.at[place[good]], self.size[place[good]]
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that are known, and which those are."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = self.place(keys)
+        row = np.flatnonzero(self.keys[place] == keys)
+        return place[row], row
 
     def joined(self, other: _Runs) -> _Runs:
-        keys = np.concatenate([self.keys, other.keys])
-        order = np.argsort(keys, kind="stable")
-        at, size = np.concatenate([self.at, other.at]), np.concatenate([self.size, other.size])
-        return _Runs(keys[order], at[order], size[order])
+        order = np.argsort(np.concatenate([self.keys, other.keys]), kind="stable")
+        columns = ("keys", "at", "size", "text", "length")
+        return _Runs(*(np.concatenate([getattr(self, c), getattr(other, c)])[order] for c in columns))
 
 
 def byte_pairs(made: dict) -> Callable[[str], list[int]] | None:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.hashing import Words, _byte_codes, is_alphanumeric, runs, slices
+from driftwarden.llm.hashing import Words, byte_runs, is_alphanumeric, slices
 from driftwarden.llm.labelled import labelled_sample
 from driftwarden.llm.sparse_fit import lasso_logistic
 from driftwarden.llm.tables import stored
@@ -48,16 +48,15 @@ _SENTENCE_ENDS = (ord("."), ord("!"), ord("?"), ord("\n"))
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and their beginnings, and the text each belongs to."""
-    codes = _byte_codes(11)[words.data]
     text_of = np.repeat(np.arange(len(words.first) - 1), words.counts())
     heads = np.flatnonzero((words.data & 0xC0) != 0x80)
     at = np.searchsorted(heads, words.starts)
-    found, owner = [runs(codes, words.starts, words.ends, 0x5851F42D4C957F2D)], [text_of]
+    found, owner = [byte_runs(words.data, words.starts, words.ends)], [text_of]
     bounds = np.append(heads, np.full(max(PREFIXES) + 1, len(words.data)))
     for k in PREFIXES:
         end = bounds[at + k]
         longer = end < words.ends
-        made = runs(codes, words.starts[longer], end[longer], 0x5851F42D4C957F2D)
+        made = byte_runs(words.data, words.starts[longer], end[longer])
         found.append(made ^ np.uint64(0xA5A5A5A5A5A5A5A5 + k))
         owner.append(text_of[longer])
     return np.concatenate(found), np.concatenate(owner)
@@ -72,8 +71,7 @@ def term_features() -> dict[str, int]:
     terms = [t for group in IDENTITY_TERMS for t in group]
     made: dict[str, int] = {}
     for words in parsed(pa.array(terms)):
-        codes = _byte_codes(11)[words.data]
-        hashed = runs(codes, words.starts, words.ends, 0x5851F42D4C957F2D)
+        hashed = byte_runs(words.data, words.starts, words.ends)
         made |= dict(zip(terms[words.rows], hashed.view(np.int64).tolist(), strict=True))
     return made
 
