@@ -11,7 +11,7 @@ from driftwarden.llm.tables import table
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id", F.sha2(exact.normalised().cast("binary"), 256).alias("text_sha256"))
+    rows = docs.select("doc_id", exact.row_of(), F.sha2(exact.normalised().cast("binary"), 256).alias("text_sha256"))
     return exact.marked(rows, exact.equal_groups(docs))
 
 

@@ -17,8 +17,8 @@
 A link inside a component that is known already changes nothing in the result, so it need not be found.
 
 Defined results: a null text or one without words has the empty set and no links; a text of fewer words than a shingle has
-its whole sequence as its only shingle. Rows that share a doc_id count as one document; rows without one are left out. Other columns
-are ignored.
+its whole sequence as its only shingle. Rows that share a doc_id but not the text are documents of their own, told apart by a hash beside
+the id, and a group goes by the least id in it; rows that share both get one answer; rows without an id are left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm.components import components, least_labels
 from driftwarden.llm.hashing import grouped, mix, slices, take_ranges, windows
-from driftwarden.llm.substring import SLICE, _ANSWERED, _ASKED, _count_cells, _slice_bits, ask_cells, bits_set, range_bits, slice_numbers
+from driftwarden.llm.substring import _ANSWERED, _ASKED, _ROW, SLICE, _count_cells, _marked, _rows_of, _slice_bits, ask_cells, bits_set, range_bits, slice_numbers
 from driftwarden.llm.tables import stored
 
 CHUNK, LEAF, FAN, _COLUMNS = 4000, 32, 8, 2048
-_COUNTS = "doc_id long, n long, shared long"
-_SETS = "doc_id long, n long, digest1 long, digest2 long, tokens array<long>"
+_COUNTS = "doc_id long, mark long, n long, shared long"
+_SETS = "doc_id long, mark long, n long, digest1 long, digest2 long, tokens array<long>"
 
 
 @dataclass(frozen=True)
@@ -79,19 +79,20 @@ def shared_counts(docs: DataFrame, rule: Shingles) -> DataFrame:
         for batch in batches:
             for words in slices(batch.column("text"), lower=True, limit=SLICE):
                 hashed, doc, _ = _distinct(words, rule.words)
-                yield ask_cells(next(numbers), batch.column("doc_id").to_numpy(zero_copy_only=False)[words.rows], hashed, doc, bits)
+                yield ask_cells(next(numbers), _marked(batch, words), hashed, doc, bits)
 
     def count(group: pa.Table) -> pa.Table:
-        ids, n, found = _slice_bits(group)
+        own, n, found = _slice_bits(group, _ROW)
         shared = bits_set(found, np.concatenate(([0], np.cumsum(n))))
-        return pa.table({"doc_id": pa.array(ids), "n": pa.array(n.astype(np.int64)), "shared": pa.array(shared.astype(np.int64))})
+        columns = (own["id"], own["mark"], n.astype(np.int64), shared.astype(np.int64))
+        return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(c)) for name, c in zip(_COUNTS.split(", "), columns, strict=True)})
 
-    asked = docs.select("doc_id", "text").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(_count_cells, _ANSWERED)
+    asked = docs.select("doc_id", "text", "mark").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(_count_cells, _ANSWERED)
     return asked.groupBy("slice").applyInArrow(count, _COUNTS)
 
 
 def shingle_sets(docs: DataFrame, rule: Shingles) -> DataFrame:
-    """doc_id, n, a digest of the set in two halves, and the set as ascending (unsigned) hashes."""
+    """doc_id, mark, n, a digest of the set in two halves, and the set as ascending (unsigned) hashes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +105,13 @@ def shingle_sets(docs: DataFrame, rule: Shingles) -> DataFrame:
                 size = words.rows.stop - words.rows.start
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(words.rows.start, size), pa.array(np.diff(first)), *halves,
+                        *(batch.column(c).slice(words.rows.start, size) for c in ("doc_id", "mark")), pa.array(np.diff(first)), *halves,
                         grouped(hashed.view(np.int64), first, pa.int64()),
                     ],
-                    names=["doc_id", "n", "digest1", "digest2", "tokens"],
+                    names=["doc_id", "mark", "n", "digest1", "digest2", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(made, _SETS)
+    return docs.select("doc_id", "text", "mark").mapInArrow(made, _SETS)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -205,7 +206,7 @@ def may_link(a: Node, b: Node, rule: Shingles) -> bool:
     return shared + min(a.hidden, b.hidden) >= rule.overlap(a.small, b.small)
 
 
-def leaf_pairs(maps: np.ndarray, n: np.ndarray, rule: Shingles, one: bool = True) -> Iterator[tuple[slice, slice]]:
+def leaf_pairs(maps: np.ndarray, n: np.ndarray, rule: Shingles) -> Iterator[tuple[slice, slice]]:
     """Pairs of leaves that may hold a link, by traversing the tree against itself."""
     root = grow(maps, n)
     todo = [(root, root)]
@@ -450,27 +451,34 @@ def _within_families(related: DataFrame, known: DataFrame, sets: DataFrame, rule
 
 def near_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
     """Every document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    return marked_groups(docs, rule).drop("mark")
+
+
+def marked_groups(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
+    """``near_groups`` with the mark that tells the texts of one id apart."""
     rule = rule or Shingles()
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _rows_of(docs)
     counts = stored(shared_counts(docs, rule), "shared-counts")
-    open_docs = counts.where(f"n > 0 and shared >= {rule.percent} * n / 100").select("doc_id")
-    sets = stored(shingle_sets(docs.join(open_docs.hint("merge"), "doc_id", "left_semi"), rule), "sets")
-    classes = stored(
-        sets.groupBy("n", "digest1", "digest2").agg(F.min("doc_id").alias("first")).select("n", "digest1", "digest2", "first"), "classes"
-    )
-    firsts = stored(
-        sets.select("doc_id", "n", "tokens").join(classes.selectExpr("first as doc_id").hint("merge"), "doc_id", "left_semi"), "class-sets"
-    )
-    joined = _with_components(firsts, links(firsts, rule)).withColumnRenamed("doc_id", "first")
-    of_class = stored(classes.join(joined, "first").select("n", "digest1", "digest2", "component"), "class-components")
-    of_doc = sets.select("doc_id", "n", "digest1", "digest2").join(of_class, ["n", "digest1", "digest2"])
-    of_doc = of_doc.groupBy("doc_id").agg(F.min("component").alias("component"))
-    return counts.join(of_doc, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    open_docs = counts.where(f"n > 0 and shared >= {rule.percent} * n / 100").select("doc_id", "mark")
+    sets = stored(shingle_sets(docs.join(open_docs.hint("merge"), ["doc_id", "mark"], "left_semi"), rule), "sets")
+    key = ["n", "digest1", "digest2"]
+    least = sets.groupBy(*key).agg(F.min("doc_id").alias("first"))
+    # a class has a number of its own: rows of one id can be the first of several classes
+    classes = stored(least.withColumn("class", F.monotonically_increasing_id()), "classes")
+    firsts = sets.select("doc_id", *key, "tokens").join(classes.withColumnRenamed("first", "doc_id").hint("merge"), ["doc_id", *key])
+    firsts = stored(firsts.dropDuplicates(["doc_id", *key]).select(F.col("class").alias("doc_id"), "n", "tokens"), "class-sets")
+    joined = stored(_with_components(firsts, links(firsts, rule)).withColumnRenamed("doc_id", "class"), "class-groups")
+    lowest = classes.join(joined, "class").groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = stored(classes.join(joined, "class").join(lowest, "component").select(*key, "component_id"), "class-components")
+    of_doc = sets.select("doc_id", "mark", *key).join(of_class, key).groupBy("doc_id", "mark").agg(F.min("component_id").alias("component_id"))
+    return counts.join(of_doc, ["doc_id", "mark"], "left").select(
+        "doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def keep_first(docs: DataFrame, rule: Shingles | None = None) -> DataFrame:
-    """One document of each group, the one of least id, with all its columns."""
-    gone = near_groups(docs, rule).where("component_id <> doc_id").select("doc_id")
-    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti")
+    """One document of each group, the one of least id, with all its columns; texts under one id that link with each other stay."""
+    gone = marked_groups(docs, rule).where("component_id <> doc_id").selectExpr("doc_id as _gone", "mark as _gone_mark")
+    own = docs.select(*docs.columns, F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_key_mark"))
+    same = (F.col("_key") == F.col("_gone")) & (F.col("_key_mark") == F.col("_gone_mark"))
+    return own.join(stored(gone, "near-copies"), same, "left_anti").select(*docs.columns)

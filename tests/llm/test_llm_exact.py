@@ -36,3 +36,13 @@ def test_repeated_rows_missing_ids_and_no_rows(spark, no_documents):
     assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (None, None, 1, True), (3, 3, 1, True)], key=str)
     assert exact.exact_dedup(no_documents).count() == 0
     assert exact.drop_copies(no_documents).count() == 0
+
+
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    rows = [(3, "same text here"), (5, "same text here"), (5, "a unique one"), (5, "p" * 40 + "x"), (7, "p" * 40 + "x"), (5, "p" * 40 + "y"), (9, "p" * 40 + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, exact.drop_copies(docs).collect())) == sorted(
+        [(3, "same text here"), (5, "a unique one"), (5, "p" * 40 + "x"), (5, "p" * 40 + "y")]
+    )
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(docs).collect())
+    assert got == sorted([(3, 3, 2, True), (5, 3, 2, False), (5, 5, 1, True), (5, 5, 2, True), (7, 5, 2, False), (5, 5, 2, True), (9, 5, 2, False)])

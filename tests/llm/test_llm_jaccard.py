@@ -72,3 +72,15 @@ def test_keep_first_repeated_rows_and_no_rows(spark, documents, prose, no_docume
     assert jaccard.near_groups(no_documents).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, "A B c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.near_groups(rows).collect())) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    def text(name, n=30):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(3, text("a")), (5, text("a") + " end"), (5, text("b")), (7, text("b") + " end"), (5, text("c")), (8, text("c")), (5, "the last"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in jaccard.keep_first(docs).collect()), key=str)
+    assert left == sorted([(3, text("a")), (5, text("b")), (5, text("c")), (5, "the last"), (9, None)], key=str)
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.near_groups(docs).collect())
+    assert got == sorted([(3, 3), (5, 3), (5, 5), (7, 5), (5, 5), (8, 5), (5, 5), (9, 9)])
