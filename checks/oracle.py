@@ -312,6 +312,16 @@ def _switches() -> str:
     )
 
 
+def _stands(plan: str) -> str:
+    """Row counts of a load: all, clean, of refused batches, of these with a failing cell, failed cells elsewhere, and the last version."""
+    return f"""{plan}, t AS (SELECT CAST(sum(n_rows) AS BIGINT) AS total,
+        CAST(sum(CASE WHEN disposition = 'HEALING_FAILED' THEN 0 ELSE n_rows END) AS BIGINT) AS clean,
+        CAST(sum(CASE WHEN disposition = 'HEALING_FAILED' THEN n_rows ELSE 0 END) AS BIGINT) AS refused,
+        CAST(sum(CASE WHEN disposition = 'HEALING_FAILED' THEN loss ELSE 0 END) AS BIGINT) AS bad,
+        CAST(sum(CASE WHEN disposition = 'HEALING_FAILED' THEN 0 ELSE loss END) AS BIGINT) AS cells,
+        CAST(1 + count(*) FILTER (evolved) AS INTEGER) AS version FROM plan)"""
+
+
 def statements() -> dict[str, str]:
     plan, told = fold(), _texts(fold())
     strict = _texts(fold(strict=True))
@@ -515,6 +525,14 @@ def statements() -> dict[str, str]:
               CAST(sum(CASE WHEN disposition = 'HEALING_FAILED' THEN n_rows ELSE loss END) AS BIGINT) AS records,
               CAST(1 + count(*) FILTER (evolved) AS INTEGER) AS version FROM final, n
             UNION ALL SELECT 2, 'SUCCESS', 0, 0, 0, 0, 1""",
+        # replays and repeated runs
+        "quarantine_replay": f"""{_stands(plan)} SELECT 1 AS step, total AS rows_extracted, clean AS rows_loaded, refused + cells AS rows_left,
+              refused + cells AS unresolved, clean AS sink_rows, version FROM t
+            UNION ALL SELECT s, refused, refused - bad, bad, bad + cells, clean + refused - bad, version FROM t, (VALUES (2), (3)) v(s)
+            UNION ALL SELECT 4, bad, bad, 0, cells, clean + refused, version + 1 FROM t""",
+        "sink_retry": f"""{_stands(plan)} SELECT s AS step, total AS rows_extracted, CASE s WHEN 3 THEN total ELSE clean END AS rows_loaded,
+              refused + cells AS rows_left, refused + cells AS unresolved, clean AS sink_rows, version
+            FROM t, (VALUES (1), (2), (3)) v(s)""",
         # runs and alerts
         "run_ledger": f"""{plan} SELECT 'r1' AS run_id, 'etl_pipeline' AS pipeline_name, 'events' AS source_name,
             'SUCCESS' AS status, CAST(sum(n_rows) AS BIGINT) AS rows_extracted,

@@ -19,6 +19,7 @@ from driftwarden.operators.joins import bounded_join
 from driftwarden.operators.profile import profile, type_counts
 from driftwarden.options import Options
 from driftwarden.plans.load import Load
+from driftwarden.plans.replay import replay
 from driftwarden.plans.run import run
 from driftwarden.plans.state import State, latest_runs
 from driftwarden.plans.step import PASSING
@@ -736,6 +737,46 @@ def run_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stand(step: int, state: State, path: str, told: dict) -> tuple:
+    """What a run or replay did, and what is in the sink, in quarantine and in the ledger after it."""
+    left = state.records().where(~F.col("resolved")).count()
+    return (
+        step, told["rows_extracted"], told["rows_loaded"], told["rows_quarantined"], left,
+        state.loaded("jsonl", path).count(), state.versions().agg(F.max("version")).first()[0],
+    )
+
+
+_STAND = "step int, rows_extracted bigint, rows_loaded bigint, rows_left bigint, unresolved bigint, sink_rows bigint, version int"
+
+
+@query
+def quarantine_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load with refused batches (1), replayed (2), the same replay again (3), and one more after the price has become text (4)."""
+    state, path = State(spark, fresh_folder(spark, "state")), fresh_folder(spark, "sink")
+    told = run(spark, state, "events", "jsonl", pieces=X.event_pieces(spark, sf_dir), destination_path=path, run_id=RUN, now=NOW)
+    seen = [_stand(1, state, path, told)]
+    for step, name in ((2, "p1"), (3, "p1"), (4, "p2")):
+        if step == 4:
+            schema = dict(state.active(["events"]).first()["schema"]) | {"value": "string"}
+            state.write_versions(ledger.register(state.versions(), "events", schema, "by-hand", moment()))
+        told = replay(spark, state, "events", "jsonl", destination_path=path, run_id=name, now=NOW)
+        seen.append(_stand(step, state, path, told))
+    return spark.createDataFrame(seen, _STAND)
+
+
+@query
+def sink_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run into files (1), the same run again (2), and rows of an attempt that was never committed (3)."""
+    state, path = State(spark, fresh_folder(spark, "state")), fresh_folder(spark, "sink")
+    pieces, seen = X.event_pieces(spark, sf_dir), []
+    for step in (1, 2):
+        told = run(spark, state, "events", "jsonl", pieces=pieces, destination_path=path, run_id=RUN, now=NOW)
+        seen.append(_stand(step, state, path, told))
+    told["rows_loaded"] = sinks.load_into(X.table(spark, sf_dir, "events"), "jsonl", path, load=(RUN, 2))
+    seen.append(_stand(3, state, path, told))
+    return spark.createDataFrame(seen, _STAND)
+
+
 # -- runs and alerts -------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,9 @@
 
 from driftwarden.options import Options
 from driftwarden.plans.load import Load
+from driftwarden.plans.replay import replay
 from driftwarden.plans.run import run
 from driftwarden.plans.state import State
 from driftwarden.sources.pieces import Piece, tag
 
-__all__ = ["Load", "Options", "Piece", "State", "run", "tag"]
+__all__ = ["Load", "Options", "Piece", "State", "replay", "run", "tag"]

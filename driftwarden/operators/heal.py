@@ -317,11 +317,12 @@ class Healing:
                 for _, condition in self._lost_cells(index):
                     rows = rows.where(f"NOT {condition}")
             columns = [f"{self._value(index, piece, c)} AS {named(c)}" for c in self.output]
-            parts.append(rows.selectExpr(SOURCE, BATCH, *columns))
+            parts.append(rows.selectExpr(SOURCE, BATCH, *map(named, piece.carried), *columns))
         if parts:
             return reduce(DataFrame.unionByName, parts)
         key = self.pieces[0].frame.schema[BATCH].dataType
         fields = [T.StructField(SOURCE, T.StringType()), T.StructField(BATCH, key)]
+        fields += [self.pieces[0].frame.schema[c] for c in self.pieces[0].carried]
         fields += [T.StructField(c, t) for c, (_, t) in self.output.items()]
         return self._empty(T.StructType(fields))
 

@@ -68,7 +68,8 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
         wanted = sorted(t for t in targets[column] if t in LOSS_TARGETS)
         if column in piece.inferred:
             parsed.append(column)
-            guessed[f"c{i}_bucket"] = F.expr(_guess(f"c{i}_"))
+            wanted = sorted({*wanted, DATETIME}) if column in piece.dated else wanted
+            guessed[f"c{i}_bucket"] = F.expr(_guess(f"c{i}_", ["0"] if column in piece.dated else [], "0"))
             counters |= _inferred_counters(i, piece, column, wanted, options)
             cells.append(_inferred_cell(i, piece, column, wanted, options))
         else:
@@ -112,7 +113,7 @@ def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], option
     counters |= {
         f"like_{b}": f"count_if({cond})" for b, cond in looks("v", "token" if as_json else None, "number").items()
     }
-    dated = [str(i) for i, c in enumerate(names) if DATETIME in targets[c]]
+    dated = [str(i) for i, c in enumerate(names) if DATETIME in targets[c] or c in piece.dated]
     wanted = [*INFERABLE, *([DATETIME] if dated else [])]
     for target in wanted:
         lost = losing("v", T.StringType(), target, options, "number")
@@ -130,7 +131,7 @@ def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], option
     return (
         values.groupBy(SOURCE, BATCH, "i")
         .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
-        .withColumn("bucket", F.expr(_guess("")))
+        .withColumn("bucket", F.expr(_guess("", [str(i) for i, c in enumerate(names) if c in piece.dated])))
         .selectExpr(SOURCE, BATCH, "n_rows", "error", f"{cell} AS cell")
         .groupBy(SOURCE, BATCH)
         .agg(F.max("n_rows").alias("n_rows"), F.min("error").alias("error"), F.expr(ordered).alias("cells"))
@@ -179,12 +180,14 @@ def _inferred_counters(
     return counters
 
 
-def _guess(prefix: str) -> str:
-    """The narrowest bucket that all present values of a batch look like."""
+def _guess(prefix: str, dated: list[str] | None = None, place: str = "i") -> str:
+    """The narrowest bucket that all present values of a batch look like; times only at the places in ``dated``."""
     count = f"{prefix}present"
     tests = "".join(
         f" WHEN {prefix}like_{guess} = {count} THEN '{guess}'" for guess in (INTEGER, FLOAT, BOOLEAN)
     )
+    if dated:
+        tests += f" WHEN {place} IN ({', '.join(dated)}) AND {prefix}lost_{DATETIME} = 0 THEN '{DATETIME}'"
     return f"CASE WHEN {count} = 0 THEN '{UNKNOWN}'{tests} ELSE '{STRING}' END"
 
 

@@ -16,7 +16,7 @@ RECORDS = """
     column_name string, record_json string, error_type string, error_detail string,
     root_cause_hint string, schema_version int, quarantined_at timestamp
 """
-RESOLUTIONS = "id string, resolved_at timestamp"
+RESOLUTIONS = "id string, resolved_at timestamp, run_id string, attempt int"
 EVENTS = """
     source_name string, run_id string, id string, pipeline_name string, batch_id string,
     drift_type string, details_json string, healed boolean, healing_action string,

@@ -25,6 +25,8 @@ class Options:
     schema_evolution: bool = True
     max_coercion_loss_pct: float = 5.0
     strict: bool = False
+    # a healed batch registers its schema also where that is the active one already
+    register_unchanged: bool = True
 
     # alerts
     min_severity: str = "WARNING"

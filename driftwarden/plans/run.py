@@ -14,7 +14,7 @@ from driftwarden.plans.load import Load, Transform
 from driftwarden.plans.state import State, run_event
 from driftwarden.sources.frames import pieces_of
 from driftwarden.sources.pieces import BATCH, SOURCE, Piece, with_own_names
-from driftwarden.sources.sinks import load_into
+from driftwarden.sources.sinks import drop_attempts, load_into
 
 RUNNING, SUCCESS, FAILED = "RUNNING", "SUCCESS", "FAILED"
 
@@ -45,7 +45,8 @@ def run(
 ) -> dict:
     """Load one source and record schema versions, events, quarantine, alerts and the run itself.
 
-    Repeating a run id replaces what that run recorded. A failure is recorded, with an alert next to those the load
+    Repeating a run id replaces what that run recorded, and its rows in a sink of files: the attempt's rows count from its commit on
+    (``State.loaded``), which is one entry. A failure is recorded, with an alert next to those the load
     raised before it, and raised again.
     """
     options = options or Options()
@@ -63,8 +64,7 @@ def run(
             spark, run_id, options.pipeline_name, source_name, status, summary, started, finished, error, attempt
         ))
 
-    before = state.run_events().where(F.col("run_id") == run_id).agg(F.max("seq")).first()[0]
-    attempt = 0 if before is None else before // 2 + 1
+    attempt = state.next_attempt(run_id)
     if attempt:
         state.forget(run_id)
     record(RUNNING)
@@ -86,7 +86,9 @@ def run(
         state.write_alerts(alerts.plan_alerts(plan, options, run_id, at))
 
         rows = with_own_names(load.clean.drop(SOURCE, BATCH))
-        summary["rows_loaded"] = load_into(rows, destination, destination_path, destination_table)
+        summary["rows_loaded"] = load_into(rows, destination, destination_path, destination_table, load=(run_id, attempt))
+        state.commit(run_id, attempt, at)
+        drop_attempts(spark, destination, destination_path, (run_id, attempt), destination_table)
         summary["status"] = SUCCESS
     except Exception as exc:
         summary["status"], summary["error"] = FAILED, str(exc)

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from driftwarden.operators import ledger, quarantine
 from driftwarden.options import Options
 from driftwarden.operators.alerts import ALERTS
+from driftwarden.operators.joins import bounded_join
+from driftwarden.scratch import partition_value, remove_matching
+from driftwarden.sources import sinks
 from driftwarden.sources.sinks import path_missing
 
 # The columns of the run table.
@@ -24,6 +27,7 @@ RUNS = """
     finished_at timestamp, error_message string, seq int
 """
 SNAPSHOTS = "snapshot int, made_at timestamp"
+COMMITS = "run_id string, attempt int, committed_at timestamp"
 _BY_RUN = ["source_name", "run_id"]
 
 
@@ -56,15 +60,29 @@ class State:
 
     def forget(self, run_id: str) -> None:
         """Remove what an earlier attempt of a run recorded; its run events stay."""
-        jvm = self.spark.sparkContext._jvm
-        key = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
-        key = "".join(f"\\{c}" if c in "\\*?[]{}^" else c for c in key)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        key = partition_value(self.spark, run_id)
         for name in ("schema_versions", self._records_table(), "drift_events", "alerts"):
-            pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/source_name=*/run_id={key}")
-            files = pattern.getFileSystem(conf)
-            for found in files.globStatus(pattern) or ():
-                files.delete(found.getPath(), True)
+            remove_matching(self.spark, f"{self.folder}/{name}/source_name=*/run_id={key}")
+
+    # -- attempts and commits ------------------------------------------------------------------
+
+    def next_attempt(self, run_id: str) -> int:
+        """The number of the attempt that a run begins now; earlier ones keep theirs."""
+        before = self.run_events().where(F.col("run_id") == run_id).agg(F.max("seq")).first()[0]
+        return 0 if before is None else before // 2 + 1
+
+    def commits(self) -> DataFrame:
+        """(run_id, attempt): the attempt of each run that counts."""
+        return self._read("load_commits", COMMITS).groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+
+    def commit(self, run_id: str, attempt: int, at: Column) -> None:
+        """Make what an attempt has put into sinks and resolved count, and what earlier attempts did no longer."""
+        entry = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"), at.alias("committed_at"))
+        self._append("load_commits", COMMITS, entry)
+
+    def loaded(self, destination: str, path: str, table: str | None = None) -> DataFrame:
+        """The rows of a sink that committed attempts have put there."""
+        return sinks.committed(self.spark, destination, path, self.commits(), table, self.options)
 
     # -- schema versions -----------------------------------------------------------------------
 
@@ -87,11 +105,26 @@ class State:
         newest = self._read("quarantine_snapshots", SNAPSHOTS).agg(F.max("snapshot")).first()[0]
         return f"quarantine_records/snapshot={newest or 0}"
 
-    def records(self) -> DataFrame:
-        """Quarantined records of the newest complete snapshot, with ``resolved``."""
+    def records(self, without_run: str | None = None) -> DataFrame:
+        """Quarantined records of the newest complete snapshot, with ``resolved``.
+
+        ``without_run``: as if that run had resolved nothing.
+        """
         stored = self._read(self._records_table(), quarantine.RECORDS)
-        resolutions = self._read("quarantine_resolutions", quarantine.RESOLUTIONS)
-        return quarantine.with_resolution(stored, resolutions, self.options)
+        return quarantine.with_resolution(stored, self.resolutions(without_run), self.options)
+
+    def resolutions(self, without_run: str | None = None) -> DataFrame:
+        """What was resolved by hand or by an attempt that counts."""
+        found = self._read("quarantine_resolutions", quarantine.RESOLUTIONS)
+        if without_run is not None:
+            found = found.where(F.coalesce(F.col("run_id") != without_run, F.lit(True)))
+        by_run = bounded_join(found.where("run_id IS NOT NULL"), self.commits(), ["run_id", "attempt"], self.options, "left_semi")
+        return found.where("run_id IS NULL").unionByName(by_run)
+
+    def write_resolutions(self, ids: DataFrame, run_id: str, attempt: int, at: Column) -> None:
+        """Ids that an attempt resolves, from its commit on."""
+        mark = {"resolved_at": at, "run_id": F.lit(run_id), "attempt": F.lit(attempt)}
+        self._append("quarantine_resolutions", quarantine.RESOLUTIONS, ids.select("id").withColumns(mark))
 
     def write_records(self, rows: DataFrame) -> None:
         self._replace_run(self._records_table(), quarantine.RECORDS, rows)
@@ -102,7 +135,8 @@ class State:
             ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
         found = quarantine.matching(self.records(), ids)
         when = at if at is not None else F.current_timestamp()
-        resolved = found.withColumn("resolved_at", when)
+        nobody = {"run_id": F.lit(None).cast("string"), "attempt": F.lit(None).cast("int")}
+        resolved = found.withColumns({"resolved_at": when, **nobody})
         self._append("quarantine_resolutions", quarantine.RESOLUTIONS, resolved)
         return found.count()
 

@@ -40,10 +40,13 @@ class Rules:
     backfill: bool
     evolution: bool
     max_loss_pct: float
+    register_unchanged: bool = True
 
 
 def rules_of(o: Options) -> Rules:
-    return Rules(o.strict, o.type_coercion, o.column_backfill, o.schema_evolution, o.max_coercion_loss_pct)
+    return Rules(
+        o.strict, o.type_coercion, o.column_backfill, o.schema_evolution, o.max_coercion_loss_pct, o.register_unchanged
+    )
 
 
 def advance(at: Position, batch: dict, rules: Rules, opening: bool) -> dict:
@@ -107,7 +110,8 @@ def advance(at: Position, batch: dict, rules: Rules, opening: bool) -> dict:
                 grown[name] = seen[name]
         grown.update(shown)
         grown.update({name: seen[name] for name in fresh})
-        verdict["evolved_to"] = register("evolution", grown)
+        if rules.register_unchanged or grown != want:
+            verdict["evolved_to"] = register("evolution", grown)
     elif shown:
         register("resolution", want | shown)
     return verdict

@@ -36,3 +36,17 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder so that lost executors do not recompute it."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    """Delete the files and folders that a glob pattern of a path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(path) or ():
+        files.delete(found.getPath(), True)
+
+
+def partition_value(spark: SparkSession, value: str) -> str:
+    """A partition value as it is spelled in a folder's name, for a glob pattern."""
+    spelled = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    return "".join(f"\\{c}" if c in "\\*?[]{}^" else c for c in spelled)

@@ -23,7 +23,7 @@ RESERVED = (SOURCE, BATCH, TOKENS)
 
 # Names the load gives to columns of its own, in any spelling, since Spark may ignore case.
 _INTERNAL = re.compile(
-    r"(data:)*_(source|batch|error|tokens|salt|place|part|offset|position|n|file|block|line|failed|record|hint"
+    r"(data:)*_(source|batch|error|tokens|ids|salt|place|part|offset|position|n|file|block|line|failed|record|hint"
     r"|version|type|detail|column|beyond_header|corrupt_line|(number|move)_.*)",
     re.IGNORECASE | re.DOTALL,
 )
@@ -61,22 +61,25 @@ class Piece:
     ``judged``: a user transform was applied, so ``_error`` tells its bad rows and is no data.
 
     ``inferred`` maps a text column to how its bucket is told from the values of a batch:
-    ``"text"`` (by spelling) or ``"json"`` (by the token types kept in ``_tokens``).
+    ``"text"`` (by spelling) or ``"json"`` (by the token types kept in ``_tokens``). Of these, the ``dated`` ones are times where
+    all values of a batch can be read as such. ``carried`` columns are no data: they go along with the clean rows.
     """
 
     frame: DataFrame
     inferred: Mapping[str, str] = field(default_factory=dict)
     judged: bool = False
+    carried: tuple[str, ...] = ()
+    dated: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        missing = [c for c in (SOURCE, BATCH) if c not in self.frame.columns]
+        missing = [c for c in (SOURCE, BATCH, *self.carried) if c not in self.frame.columns]
         if missing:
             raise ValueError(f"a piece needs the columns {', '.join(missing)}")
 
     @property
     def columns(self) -> list[str]:
         hidden = (*RESERVED, ERROR) if self.judged else RESERVED
-        return [c for c in self.frame.columns if c not in hidden]
+        return [c for c in self.frame.columns if c not in hidden and c not in self.carried]
 
     @property
     def has_errors(self) -> bool:
