@@ -349,6 +349,18 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT 'lines', count(*), 0 FROM orders""",
         "csv_na_markers": """SELECT CASE WHEN o_orderkey % 7 = 6 THEN 'x' END AS word, count(*) AS n, count(o_orderkey) AS n_keys
             FROM orders GROUP BY 1""",
+        "malformed_to_quarantine": """WITH t AS (SELECT count(*) AS total, count(*) FILTER (o_orderkey % 13 = 5) AS bad,
+              CAST(sum(o_orderkey) FILTER (o_orderkey % 13 <> 5) AS BIGINT) AS good_sum,
+              CAST(sum(o_orderkey) FILTER (o_orderkey % 13 = 5) AS BIGINT) AS bad_sum FROM orders)
+            SELECT kind, what, CASE what WHEN 'loaded' THEN total - bad WHEN 'extracted' THEN total ELSE bad END AS n,
+              CASE WHEN what = 'loaded' THEN good_sum WHEN what = 'malformed' AND kind = 'csv' THEN bad_sum END AS key_sum
+            FROM t, (VALUES ('csv'), ('jsonl')) k(kind), (VALUES ('loaded'), ('malformed'), ('extracted'), ('places')) w(what)""",
+        "batches_mixed_headers": """WITH m AS (SELECT (min(o_orderkey) + max(o_orderkey)) // 2 AS mid FROM orders),
+              p AS (SELECT o_orderkey, o_orderkey >= mid AS late, row_number() OVER (PARTITION BY o_orderkey >= mid ORDER BY o_orderkey) - 1 AS pos
+                FROM orders, m),
+              b AS (SELECT (count(*) FILTER (NOT late) + 999) // 1000 AS n FROM p)
+            SELECT pos // 1000 + CASE WHEN late THEN b.n ELSE 0 END AS batch_id, count(*) AS n, min(o_orderkey) AS first_key,
+              max(o_orderkey) AS last_key FROM p, b GROUP BY 1""",
         # user transform and dispositions
         "custom_transform_norm": "SELECT event_id, upper(trim(event_type)) AS event_type, abs(value - 250) AS value FROM events",
         "transform_error_batches": f"""{cells}, errors AS (SELECT DISTINCT b FROM cells WHERE event_id % 3 = 0 AND b % 4 = 1)

@@ -153,6 +153,59 @@ def csv_na_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def malformed_to_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as text where some lines cannot be read, in both formats: what is loaded, and what is in quarantine with its place."""
+    orders = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    broken, found = F.col("o_orderkey") % 13 == 5, []
+    as_csv = F.concat_ws(",", "o_orderkey", "o_totalprice", F.when(broken, F.lit("one,two too many")))
+    as_json = F.when(broken, F.lit("{cut short")).otherwise(F.to_json(F.struct("o_orderkey", "o_totalprice")))
+    for kind, line, read in (("csv", as_csv, delimited), ("jsonl", as_json, json_lines)):
+        path = fresh_folder(spark, kind)
+        orders.select(line.alias("line")).write.text(path)
+        if kind == "csv":  # text files have no header: each gets one
+            lines, path = spark.read.text(path), fresh_folder(spark, kind)
+            lines.mapInArrow(_headed, "value string").write.text(path)
+        load = Load(read(spark, path, "orders", on_malformed="quarantine"))
+        lines = load.quarantined.select(F.from_json("record_json", "line string, file string, place bigint").alias("r")).select("r.*")
+        good = load.clean.agg(F.lit("loaded").alias("what"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+        key = F.when(F.lit(kind == "csv"), F.expr("try_cast(split(line, ',')[0] as bigint)"))
+        bad = lines.agg(F.lit("malformed").alias("what"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("key_sum"))
+        total = load.totals.select(F.lit("extracted").alias("what"), F.col("rows_extracted").alias("n"), F.lit(None).cast("bigint").alias("key_sum"))
+        files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        inside = lines.join(files, "file").where(F.col("place").between(1, F.col("n"))).groupBy("file").agg(F.countDistinct("place").alias("n"))
+        places = inside.agg(F.lit("places").alias("what"), F.sum("n").alias("n"), F.lit(None).cast("bigint").alias("key_sum"))
+        found.append(reduce(DataFrame.unionByName, [good, bad, total, places]).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _headed(batches):
+    import pyarrow as pa
+
+    first = True
+    for batch in batches:
+        if first:
+            yield pa.RecordBatch.from_pydict({"value": ["o_orderkey,o_totalprice"]})
+        first = False
+        yield batch
+
+
+@query
+def batches_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of rows over files of two headers: rows, first and last key of each."""
+    path, orders = fresh_folder(spark, "mixed"), X.table(spark, sf_dir, "orders")
+    half = F.col("o_orderkey") < orders.agg(F.expr("(min(o_orderkey) + max(o_orderkey)) div 2")).first()[0]
+    for name, rows, columns in (("a", half, ["o_orderkey", "o_totalprice"]), ("b", ~half, ["o_orderpriority", "o_orderkey"])):
+        part = orders.where(rows).select(*columns).coalesce(1).sortWithinPartitions("o_orderkey")
+        part.write.options(**sinks.DELIMITED).csv(f"{path}/part={name}")
+    pieces = delimited(spark, path, "orders", batch_rows=1000)
+    key = F.col("o_orderkey").cast("bigint")
+    counted = [
+        p.frame.groupBy(batch_id()).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key")) for p in pieces
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # -- user transform and dispositions -------------------------------------------------------------
 
 

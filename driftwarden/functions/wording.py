@@ -80,6 +80,8 @@ COLORS = {
 }
 NOTHING_LISTED = "_none_"
 # end of fixed values
+MALFORMED_DETAIL = "The line could not be read"
+MALFORMED_HINT = "Check the writer of the file: quoting, line ends, or a write that was cut short."
 
 
 def texts(values: list[str]) -> Column:

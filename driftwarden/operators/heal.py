@@ -25,7 +25,7 @@ from driftwarden.operators.joins import bounded_join, byte_bound
 from driftwarden.options import Options
 from driftwarden.plans.fold import merged_bucket, output_bucket
 from driftwarden.plans.step import (
-    COERCION_FAILURE, HEALED, HEALING_FAILED, PASSING, SCHEMA_DRIFT, TRANSFORM_ERROR,
+    COERCION_FAILURE, HEALED, HEALING_FAILED, MALFORMED, PASSING, SCHEMA_DRIFT, TRANSFORM_ERROR,
 )
 from driftwarden.sources.pieces import BATCH, SOURCE, TOKENS, Piece, own_name
 
@@ -131,6 +131,7 @@ class Healing:
                          F.col("target").alias("b"), F.col("mended").alias("flag"))
             .union(backfill.select(F.lit("gap"), F.lit(None).cast("int"), "column", "bucket", nothing, F.lit(False)))
             .union(fates.select(F.lit("fate"), "piece", nothing, "disposition", nothing, "lossy"))
+            .union(self.plan.where("n_malformed > 0").select(F.lit("unread"), "piece", nothing, nothing, nothing, F.lit(False)).distinct())
             .union(seen.select(F.lit("seen"), "piece", "column", "seen_as", nothing, F.lit(False)))
             .union(self.plan.select(F.lit("size"), F.lit(None).cast("int"), nothing,
                                     byte_bound().cast("string"), nothing, F.lit(False)))
@@ -140,6 +141,7 @@ class Healing:
         self.moves: dict[tuple[int, str], list[Move]] = defaultdict(list)
         self.fates: dict[int, set[tuple[str, bool]]] = defaultdict(set)
         self.seen_as: dict[tuple[int, str], set[str]] = defaultdict(set)
+        self.unread: set[int] = set()
         gaps: dict[str, set[str]] = defaultdict(set)
         for row in rows:
             if row["fact"] == "move":
@@ -148,6 +150,8 @@ class Healing:
                 gaps[row["column"]].add(row["a"])
             elif row["fact"] == "size":
                 self.plan_bytes = int(row["a"])
+            elif row["fact"] == "unread":
+                self.unread.add(row["piece"])
             elif row["fact"] == "seen":
                 self.seen_as[row["piece"], row["column"]].add(row["a"])
             else:
@@ -312,7 +316,7 @@ class Healing:
             if not self._has(index, *PASSING):
                 continue
             every = all(d in PASSING for d, _ in self.fates[index])
-            rows = self._rows(index, passing, piece.frame, every, [])
+            rows = self._rows(index, passing, piece.rows, every, [])
             if self.options.on_coercion_failure == "exclude" and self._has(index, HEALED, lossy=True):
                 for _, condition in self._lost_cells(index):
                     rows = rows.where(f"NOT {condition}")
@@ -338,7 +342,7 @@ class Healing:
         for index, piece in enumerate(self.pieces):
             if not self._has(index, HEALED, lossy=True):
                 continue
-            rows = self._rows(index, lossy, self._narrowed(piece.frame, index, HEALED), False, facts)
+            rows = self._rows(index, lossy, self._narrowed(piece.rows, index, HEALED), False, facts)
             failed = ", ".join(f"CASE WHEN {cond} THEN {literal(column)} END" for column, cond in self._lost_cells(index))
             cells = rows.withColumn("_failed", F.expr(f"array_compact(array({failed}))")).where("size(_failed) > 0")
             cells = cells.withColumn("_record", self._record(index, piece))
@@ -372,7 +376,7 @@ class Healing:
                 if not self._has(index, *kinds):
                     continue
                 about = facts.where((F.col("piece") == index) & F.col("_type").isin(*kinds)).drop("piece")
-                rows = self._joined(self._narrowed(frame_of.frame, index, *kinds), about)
+                rows = self._joined(self._narrowed(frame_of.rows, index, *kinds), about)
                 rows = with_numbers(rows, [c for c in frame_of.inferred if TOKENS not in frame_of.frame.columns])
                 parts.append(rows.select(
                     F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"),
@@ -385,7 +389,22 @@ class Healing:
 
     @cached_property
     def quarantined(self) -> DataFrame:
-        return self.failures.union(self.rejected)
+        return self.failures.union(self.rejected).union(self.malformed)
+
+    @cached_property
+    def malformed(self) -> DataFrame:
+        """Lines that could not be read, with the file and the place of the record in it; all batches have theirs, refused or not."""
+        parts = []
+        for index, piece in enumerate(self.raw):
+            if piece.malformed is not None and index in self.unread:
+                parts.append(piece.malformed.select(
+                    F.col(SOURCE).alias("source_name"), F.col(BATCH).cast("string").alias("batch_id"),
+                    F.lit(None).cast("string").alias("column_name"),
+                    F.to_json(F.struct("line", "file", "place"), _JSON).alias("record_json"),
+                    F.lit(MALFORMED).alias("error_type"), F.lit(W.MALFORMED_DETAIL).alias("error_detail"),
+                    F.lit(W.MALFORMED_HINT).alias("root_cause_hint"), F.lit(None).cast("int").alias("schema_version"),
+                ))
+        return reduce(DataFrame.union, parts) if parts else self._empty(QUARANTINED)
 
     def _empty(self, schema) -> DataFrame:
         return self.plan.sparkSession.createDataFrame([], schema)

@@ -20,7 +20,7 @@ from driftwarden.functions.buckets import (
 from driftwarden.functions.coercion import losing, number_column, present, text_number, with_numbers
 from driftwarden.functions.sql import literal, named
 from driftwarden.options import Options
-from driftwarden.sources.pieces import BATCH, ERROR, SOURCE, Piece, looks
+from driftwarden.sources.pieces import BAD, BATCH, ERROR, SOURCE, Piece, looks
 
 LOSS_TARGETS = (INTEGER, FLOAT, BOOLEAN, DATETIME)
 INFERABLE = (INTEGER, FLOAT, BOOLEAN)
@@ -57,10 +57,10 @@ def profile(
 
 
 def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], options: Options) -> DataFrame:
-    counters = {"n_rows": "count(1)"}
+    counters = _row_counters(piece)
     error = "CAST(NULL AS string)"
     if piece.has_errors:
-        counters["error"], error = f"min({ERROR})", "error"
+        counters["error"], error = f"min({_error(piece)})", "error"
 
     cells, parsed = [], []
     guessed: dict[str, Column] = {}
@@ -86,12 +86,25 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
         .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
         .withColumns(guessed)
         .selectExpr(
-            SOURCE, BATCH, f"{index} AS piece", "n_rows", f"{error} AS error",
+            SOURCE, BATCH, f"{index} AS piece", "n_rows", "n_malformed", f"{error} AS error",
             f"filter(CAST({observed} AS array<{_CELL}>), cell -> cell.bucket IS NOT NULL) AS observed",
         )
     )
 
 
+def _row_counters(piece: Piece) -> dict[str, str]:
+    """Rows of a batch, and lines of it that could not be read."""
+    if piece.malformed is None:
+        return {"n_rows": "count(1)", "n_malformed": "CAST(0 AS bigint)"}
+    return {"n_rows": f"count_if(NOT {BAD})", "n_malformed": f"count_if({BAD})"}
+
+
+def _error(piece: Piece) -> str:
+    if not piece.has_errors:
+        return "CAST(NULL AS string)"
+    return ERROR if piece.malformed is None else f"CASE WHEN NOT {BAD} THEN {ERROR} END"
+
+
 def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], options: Options) -> DataFrame:
     """The profile of a layout of text columns only, one cell at a time.
 
@@ -105,11 +118,11 @@ def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], option
         f" 'seen', {piece.seen(c) or 'true'})"
         for i, c in enumerate(names)
     )
-    carried = [SOURCE, BATCH, f"{ERROR if piece.has_errors else 'CAST(NULL AS string)'} AS error"]
+    carried = [SOURCE, BATCH, f"{_error(piece)} AS error", *([BAD] if piece.malformed is not None else [])]
     values = piece.frame.selectExpr(*carried, f"inline(array({cells}))").withColumn("number", F.expr(text_number("v")))
 
     as_json = piece.token(names[0]) is not None
-    counters = {"n_rows": "count(1)", "error": "min(error)", "seen": "count_if(seen)", "present": "count(v)"}
+    counters = {**_row_counters(piece), "error": "min(error)", "seen": "count_if(seen)", "present": "count(v)"}
     counters |= {
         f"like_{b}": f"count_if({cond})" for b, cond in looks("v", "token" if as_json else None, "number").items()
     }
@@ -132,11 +145,14 @@ def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], option
         values.groupBy(SOURCE, BATCH, "i")
         .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
         .withColumn("bucket", F.expr(_guess("", [str(i) for i, c in enumerate(names) if c in piece.dated])))
-        .selectExpr(SOURCE, BATCH, "n_rows", "error", f"{cell} AS cell")
+        .selectExpr(SOURCE, BATCH, "n_rows", "n_malformed", "error", f"{cell} AS cell")
         .groupBy(SOURCE, BATCH)
-        .agg(F.max("n_rows").alias("n_rows"), F.min("error").alias("error"), F.expr(ordered).alias("cells"))
+        .agg(
+            F.max("n_rows").alias("n_rows"), F.max("n_malformed").alias("n_malformed"), F.min("error").alias("error"),
+            F.expr(ordered).alias("cells"),
+        )
         .selectExpr(
-            SOURCE, BATCH, f"{index} AS piece", "n_rows", "error",
+            SOURCE, BATCH, f"{index} AS piece", "n_rows", "n_malformed", "error",
             "transform(filter(cells, c -> c.bucket IS NOT NULL), c -> named_struct('column', c.column,"
             " 'ordinal', c.ordinal, 'bucket', c.bucket, 'present', c.present, 'lost', c.lost)) AS observed",
         )

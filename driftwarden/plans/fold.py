@@ -27,7 +27,7 @@ from driftwarden.scratch import cut
 from driftwarden.sources.pieces import BATCH, SOURCE
 
 _PLAN_TAIL = """
-    piece int, n_rows bigint, disposition string, error string, expected_version int,
+    piece int, n_rows bigint, n_malformed bigint, disposition string, error string, expected_version int,
     expected map<string,string>, observed map<string,string>, lost map<string,bigint>,
     loss bigint, loss_pct double, evolved_to int,
     registrations array<struct<version:int, kind:string, schema:map<string,string>>>

@@ -96,15 +96,15 @@ class Load:
     def totals(self) -> DataFrame:
         """Row accounting per source, from the plan alone.
 
-        A failed cell counts as one quarantined record; under ``exclude`` the number of loaded
+        A failed cell counts as one quarantined record, and so does a line that could not be read; under ``exclude`` the number of loaded
         rows depends on how many failures share a row, so that count is left to the rows.
         """
         kind, rows = F.col("disposition"), F.col("n_rows")
-        passing = kind.isin(*PASSING)
+        passing, lines = kind.isin(*PASSING), F.sum("n_malformed")
         return self.plan.groupBy(F.col(SOURCE).alias("source_name")).agg(
-            F.sum("n_rows").alias("rows_extracted"),
+            (F.sum("n_rows") + lines).alias("rows_extracted"),
             F.sum(F.when(passing, rows).otherwise(0)).alias("rows_clean"),
-            F.sum(F.when(kind.isin(*WHOLE_BATCH), rows).when(kind == HEALED, F.col("loss")).otherwise(0)).alias(
+            (F.sum(F.when(kind.isin(*WHOLE_BATCH), rows).when(kind == HEALED, F.col("loss")).otherwise(0)) + lines).alias(
                 "rows_quarantined"
             ),
             F.coalesce(F.bool_or("has_drift"), F.lit(False)).alias("drift_detected"),

@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CLEAN, HEALED = "CLEAN", "HEALED"
 SCHEMA_DRIFT, HEALING_FAILED, TRANSFORM_ERROR = "SCHEMA_DRIFT", "HEALING_FAILED", "TRANSFORM_ERROR"
-COERCION_FAILURE = "COERCION_FAILURE"
+COERCION_FAILURE, MALFORMED = "COERCION_FAILURE", "MALFORMED"
 PASSING = (CLEAN, HEALED)
 
 
@@ -70,7 +70,7 @@ def advance(at: Position, batch: dict, rules: Rules, opening: bool) -> dict:
     if batch["error"] is not None:
         verdict["disposition"] = TRANSFORM_ERROR
         return verdict
-    if at.schema is None:
+    if at.schema is None or not batch["n_rows"]:  # no schema known, or no line could be read
         return verdict
 
     want = at.schema
@@ -138,7 +138,7 @@ def walk(batches: Iterator[pa.RecordBatch], starts: dict[int, Position], rules:
 
 
 def plan_row(row: dict, verdict: dict) -> dict:
-    out = {name: row[name] for name in (SOURCE, BATCH, "piece", "n_rows", "error")}
+    out = {name: row[name] for name in (SOURCE, BATCH, "piece", "n_rows", "n_malformed", "error")}
     out.update(verdict)
     for name in ("expected", "observed", "lost"):
         out[name] = list(out[name].items()) if out[name] is not None else None

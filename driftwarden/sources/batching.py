@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from driftwarden.operators.joins import bounded_join
+from driftwarden.options import Options
 from driftwarden.scratch import cut
 
 _PLACE = "_place"
@@ -48,3 +52,53 @@ def in_rows(frame: DataFrame, size: int, order_by: list[str | Column]) -> DataFr
         raise ValueError("size must be positive")
     numbered = positions(frame, "_position", order_by)
     return numbered.withColumn("_batch", F.expr(f"_position div {size}")).drop("_position")
+
+
+FILE, BLOCK, NUMBER, AT = "_file", "_block", "_n", "_at"
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Add where a record was read: its file, the split of the file, and its number in the scan."""
+    place = {FILE: F.col("_metadata.file_path"), BLOCK: F.col("_metadata.file_block_start")}
+    return lines.withColumns({**place, NUMBER: F.monotonically_increasing_id()})
+
+
+def placed_in_files(layouts: list[DataFrame], options: Options, size: int | None = None) -> list[DataFrame]:
+    """Add ``_at``, the 1-based place of a record in its file, and with ``size`` the batch of so many consecutive records.
+
+    ``layouts`` are ``numbered`` scans of different files. A split of a file is read by one task, so a record's place in the split is the
+    distance from its first number, and an index of one row per split tells how many records come before it: no record moves and
+    none is frozen. Files follow each other by path. A batch holds records of one layout: where the next file has another, a
+    new batch begins.
+    """
+    def counted(layout: int, lines: DataFrame) -> DataFrame:
+        of_split = lines.groupBy(FILE, BLOCK).agg(F.min(NUMBER).alias("_first"), F.count(F.lit(1)).alias("_size"))
+        return of_split.withColumn("_layout", F.lit(layout))
+
+    index = reduce(DataFrame.unionByName, [counted(k, lines) for k, lines in enumerate(layouts)])
+    if size is None:
+        before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        starts = cut(index.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))))
+        return [_joined(lines, starts.where(F.col("_layout") == k), options).drop("_row") for k, lines in enumerate(layouts)]
+    # one row per split: these windows over all of them stay small
+    order = Window.orderBy(FILE, BLOCK)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    changed = F.coalesce((F.col("_layout") != F.lag("_layout").over(order)).cast("int"), F.lit(0))
+    runs = index.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    in_run = Window.partitionBy("_run").orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    held = runs.groupBy("_run").agg(F.expr(f"cast(ceil(sum(_size) / {size}) as bigint)").alias("_batches"))
+    bases = held.select("_run", F.coalesce(F.sum("_batches").over(before.orderBy("_run")), F.lit(0)).alias("_base"))
+    starts = runs.withColumns({
+        "_row": F.coalesce(F.sum("_size").over(in_run), F.lit(0)), "_offset": F.coalesce(F.sum("_size").over(in_file), F.lit(0)),
+    }).join(bases, "_run")
+    starts = cut(starts.select(FILE, BLOCK, "_first", "_layout", "_row", "_offset", "_base"))
+    batch = F.expr(f"_base + (_row + {NUMBER} - _first) div {size}")
+    return [
+        _joined(lines, starts.where(F.col("_layout") == k), options, {"_batch": batch}).drop("_row", "_base") for k, lines in enumerate(layouts)
+    ]
+
+
+def _joined(lines: DataFrame, starts: DataFrame, options: Options, more: dict[str, Column] | None = None) -> DataFrame:
+    placed = bounded_join(lines, starts.drop("_layout", "_size"), [FILE, BLOCK], options)
+    return placed.withColumns({AT: F.expr(f"_offset + {NUMBER} - _first + 1"), **(more or {})}).drop("_first", "_offset", NUMBER)

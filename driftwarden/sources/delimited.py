@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions.sql import literal, named, words
-from driftwarden.sources.batching import in_rows
-from driftwarden.sources.pieces import BATCH, Piece, safe_name, tag
+from driftwarden.options import Options
+from driftwarden.scratch import cut
+from driftwarden.sources.batching import AT, numbered, placed_in_files
+from driftwarden.sources.pieces import BAD, BATCH, Piece, safe_name, tag
 
 # The words that mean a missing value in a delimited file.
 MISSING = (
@@ -18,7 +20,8 @@ MISSING = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_EXTRA, _CORRUPT = "_beyond_header", "_corrupt_line"
+#: The value after the last, one more, and the line as it stands.
+_EXTRA, _SPARE, _CORRUPT = "_beyond_header", "_beyond_header_2", "_corrupt_line"
 
 
 def file_batch():
@@ -76,7 +79,7 @@ Layout = tuple[DataFrame, list[tuple[str, str]], str]
 
 def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layout]:
     """One layout per distinct header; the headers cost one scan of the text."""
-    lines = _header_lines(spark, path)
+    lines = cut(_header_lines(spark, path))  # a row per file: the text is scanned once, however many layouts there are
     layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
     found = []
     for line in layouts:
@@ -85,8 +88,10 @@ def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layo
         files: str | list[str] = path
         if len(layouts) > 1:
             files = [row["file"] for row in lines.where(F.col("line") == line).select("file").collect()]
-        # a value under the extra name is one more than the header has
-        rows = spark.read.schema(_text_columns([*(c for c, _ in columns), _EXTRA])).options(**options).csv(files)
+        # a value under the extra name is one more than the header has; the spare column is never read, so the reader always
+        # picks columns, which spares it an exception for every line that has no extra value
+        shape = _text_columns([*(c for c, _ in columns), _EXTRA, _SPARE, _CORRUPT])
+        rows = spark.read.schema(shape).options(**options, columnNameOfCorruptRecord=_CORRUPT).csv(files)
         found.append((rows, columns, f"{_EXTRA} IS NOT NULL"))
     return found
 
@@ -112,6 +117,12 @@ def _text_columns(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
+def checked_choice(on_malformed: str) -> str:
+    if on_malformed not in ("fail", "quarantine"):
+        raise ValueError("on_malformed must be fail or quarantine")
+    return on_malformed
+
+
 def delimited(
     spark: SparkSession,
     path: str,
@@ -119,11 +130,13 @@ def delimited(
     batch_rows: int | None = None,
     multi_line: bool = False,
     headers: str = "mixed",
+    on_malformed: str = "fail",
 ) -> list[Piece]:
     """One piece per distinct header; every column is text whose bucket is inferred per batch.
 
     A batch is a file, or ``batch_rows`` consecutive rows when given. A line with more values than
-    its header fails the load; a shorter one is filled with nulls. ``headers="same"`` saves the
+    its header fails the load, or goes to quarantine with its file and its place among the records there (``on_malformed="quarantine"``);
+    a shorter one is filled with nulls. ``headers="same"`` saves the
     scan for headers where all files are known to share one, and fails on a file that does not.
     """
     if headers not in ("mixed", "same"):
@@ -131,18 +144,48 @@ def delimited(
     options = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
                "multiLine": str(multi_line).lower()}
     layouts = (_mixed if headers == "mixed" else _same)(spark, path, options)
-    if batch_rows is not None and len(layouts) > 1:
-        raise ValueError("batches of rows need files with one header")
+    unread = checked_choice(on_malformed) == "quarantine"
+    scans = [_values(rows, columns, problem, unread) for rows, columns, problem in layouts]
+    placed: list[DataFrame | None] = [None] * len(scans)
+    if (unread or batch_rows is not None) and scans:
+        placed = list(placed_in_files([numbered(scan) for scan in scans], Options(), batch_rows))
     pieces = []
-    for rows, columns, problem in layouts:
-        (head, first), *tail = [(column, safe_name(name)) for column, name in columns]
-        # the check rides on the first column, which pass 1 always reads
-        values = [_tidy(_checked(named(head), problem)).alias(first)]
-        values += [_tidy(named(column)).alias(name) for column, name in tail]
-        if batch_rows is None:
-            frame = rows.select(file_batch().alias(BATCH), *values)
-        else:
-            place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-            frame = in_rows(rows.select(*place, *values), batch_rows, ["_file", "_block"]).drop("_file", "_block")
-        pieces.append(Piece(tag(frame, source_name, F.col(BATCH)), dict.fromkeys([safe_name(name) for _, name in columns], "text")))
+    for (_, columns, _), scan, at in zip(layouts, scans, placed, strict=True):
+        names = [safe_name(name) for _, name in columns]
+        lines = scan if batch_rows is None else at
+        batch = file_batch().alias(BATCH) if batch_rows is None else F.col(BATCH)
+        frame = lines.select(batch, *([BAD] if unread else []), *map(named, names))
+        malformed = None
+        if unread:
+            with_batch = at if batch_rows is not None else at.withColumn(BATCH, file_batch())
+            malformed = tag(unread_lines(with_batch, F.col(BAD)), source_name, F.col(BATCH))
+        pieces.append(Piece(tag(frame, source_name, F.col(BATCH)), dict.fromkeys(names, "text"), malformed=malformed))
     return pieces
+
+
+def _values(rows: DataFrame, columns: list[tuple[str, str]], problem: str, unread: bool) -> DataFrame:
+    """The values of a layout under their names; a line that is too long is an error, or has none and is marked."""
+    (head, _), *_ = columns
+    made = []
+    for column, name in columns:
+        value = named(column)
+        if unread:
+            value = f"CASE WHEN NOT ({problem}) THEN {value} END"
+        elif column == head:
+            value = _checked(value, problem)  # the check rides on the first column, which pass 1 always reads
+        made.append(_tidy(value).alias(safe_name(name)))
+    marks = [F.expr(problem).alias(BAD), F.expr(_line(columns, rows)).alias("_line")] if unread else []
+    return rows.select(*made, *marks, "_metadata")
+
+
+def unread_lines(placed: DataFrame, bad: Column) -> DataFrame:
+    """Batch, line, file and place of the lines that could not be read."""
+    return placed.where(bad).select(BATCH, F.col("_line").alias("line"), F.col("_file").alias("file"), F.col(AT).alias("place"))
+
+
+def _line(columns: list[tuple[str, str]], rows: DataFrame) -> str:
+    """The text of a line that is too long: as it stands, or where it has as many values as there are columns to read, joined again."""
+    values = ", ".join(named(c) for c, _ in columns)
+    extra = f", {_EXTRA}, {_SPARE}" if _EXTRA in rows.columns else ""
+    again = f"""to_csv(struct({values}{extra}), map('quote', '"', 'escape', '"'))"""
+    return f"coalesce({_CORRUPT}, {again})" if _CORRUPT in rows.columns else again

@@ -5,45 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwarden.sources.batching import in_rows
-from driftwarden.sources.delimited import file_batch
-from driftwarden.sources.pieces import BATCH, TOKENS, Piece, safe_name, tag
+from driftwarden.options import Options
+from driftwarden.sources.batching import numbered, placed_in_files
+from driftwarden.sources.delimited import checked_choice, file_batch, unread_lines
+from driftwarden.sources.pieces import BAD, BATCH, TOKENS, Piece, safe_name, tag
 
 _LINE = "_line"
+MALFORMED_MODES = {"fail": "FAILFAST", "quarantine": "PERMISSIVE"}
 
 
-def json_text(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their place and the file they are from."""
+def json_text(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """Non-blank lines and the file they are from, with ``place`` also where they were read."""
     lines = spark.read.text(path).where(F.length(F.trim("value", F.lit(" \t\r\n"))) > 0)
-    return lines.select(
-        F.col("value").alias(_LINE), file_batch().alias(BATCH),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-    )
+    lines = lines.select(F.col("value").alias(_LINE), file_batch().alias(BATCH), "_metadata")
+    return (numbered(lines) if place else lines).drop("_metadata")
 
 
-def tokens():
-    """The record as key -> variant; a line that is not a JSON object fails the load."""
-    return F.from_json(_LINE, "map<string,variant>", {"mode": "FAILFAST"})
+def tokens(mode: str = "FAILFAST"):
+    """The record as key -> variant; a line that is not a JSON object fails the load, or is null."""
+    return F.from_json(_LINE, "map<string,variant>", {"mode": mode})
 
 
-def keys_of(lines: DataFrame) -> list[str]:
+def keys_of(lines: DataFrame, mode: str = "FAILFAST") -> list[str]:
     """Distinct keys over all lines: bounded by the number of columns, with map-side combine."""
-    found = lines.select(F.explode(F.map_keys(tokens())).alias("key")).distinct()
+    found = lines.select(F.explode(F.map_keys(tokens(mode))).alias("key")).distinct()
     return sorted(row["key"] for row in found.collect())
 
 
 def json_lines(
-    spark: SparkSession, path: str, source_name: str, batch_rows: int | None = None
+    spark: SparkSession, path: str, source_name: str, batch_rows: int | None = None, on_malformed: str = "fail"
 ) -> list[Piece]:
     """One piece; a batch has the columns that at least one of its records has.
 
-    A batch is a file, or ``batch_rows`` consecutive lines when given.
+    A batch is a file, or ``batch_rows`` consecutive lines when given. A line that is no JSON object fails the load, or goes
+    to quarantine with its file and its place among the records there (``on_malformed="quarantine"``).
     """
-    lines = json_text(spark, path)
-    keys = keys_of(lines)
+    mode = MALFORMED_MODES[checked_choice(on_malformed)]
+    keys = keys_of(json_text(spark, path), mode)
+    lines = placed = None
+    if batch_rows is not None or on_malformed == "quarantine":
+        lines = json_text(spark, path, place=True)
+        (placed,) = placed_in_files([lines.drop(BATCH) if batch_rows is not None else lines], Options(), batch_rows)
     if batch_rows is not None:
-        lines = in_rows(lines.drop(BATCH), batch_rows, ["_file", "_block"])
-    parsed = lines.withColumn(TOKENS, tokens())
+        lines = placed
+    elif lines is None:
+        lines = json_text(spark, path)
+    parsed = lines.withColumn(TOKENS, tokens(mode))
     values = [F.try_element_at(TOKENS, F.lit(k)).cast("string").alias(safe_name(k)) for k in keys]
-    frame = tag(parsed.select(BATCH, TOKENS, *values), source_name, F.col(BATCH))
-    return [Piece(frame, dict.fromkeys(map(safe_name, keys), "json"))]
+    bad, malformed = [], None
+    if on_malformed == "quarantine":
+        bad = [F.col(TOKENS).isNull().alias(BAD)]
+        malformed = tag(unread_lines(placed, tokens(mode).isNull()), source_name, F.col(BATCH))
+    frame = tag(parsed.select(BATCH, TOKENS, *bad, *values), source_name, F.col(BATCH))
+    return [Piece(frame, dict.fromkeys(map(safe_name, keys), "json"), malformed=malformed)]

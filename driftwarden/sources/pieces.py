@@ -18,13 +18,13 @@ from driftwarden.functions import buckets
 from driftwarden.functions.coercion import looks_float, looks_integer
 from driftwarden.functions.sql import literal, words
 
-SOURCE, BATCH, ERROR, TOKENS = "_source", "_batch", "_error", "_tokens"
-RESERVED = (SOURCE, BATCH, TOKENS)
+SOURCE, BATCH, ERROR, TOKENS, BAD = "_source", "_batch", "_error", "_tokens", "_bad"
+RESERVED = (SOURCE, BATCH, TOKENS, BAD)
 
 # Names the load gives to columns of its own, in any spelling, since Spark may ignore case.
 _INTERNAL = re.compile(
-    r"(data:)*_(source|batch|error|tokens|ids|salt|place|part|offset|position|n|file|block|line|failed|record|hint"
-    r"|version|type|detail|column|beyond_header|corrupt_line|(number|move)_.*)",
+    r"(data:)*_(source|batch|error|tokens|bad|ids|salt|place|part|offset|position|n|file|block|line|failed|record|hint"
+    r"|version|type|detail|column|beyond_header(_2)?|corrupt_line|(number|move)_.*)",
     re.IGNORECASE | re.DOTALL,
 )
 _APART = "data:"
@@ -63,6 +63,9 @@ class Piece:
     ``inferred`` maps a text column to how its bucket is told from the values of a batch:
     ``"text"`` (by spelling) or ``"json"`` (by the token types kept in ``_tokens``). Of these, the ``dated`` ones are times where
     all values of a batch can be read as such. ``carried`` columns are no data: they go along with the clean rows.
+
+    ``malformed``: lines that could not be read (``_source``, ``_batch``, line, file, place). In the frame such a line is a row
+    whose ``_bad`` is true: it is counted, and is no row of the batch otherwise.
     """
 
     frame: DataFrame
@@ -70,6 +73,7 @@ class Piece:
     judged: bool = False
     carried: tuple[str, ...] = ()
     dated: frozenset[str] = frozenset()
+    malformed: DataFrame | None = None
 
     def __post_init__(self) -> None:
         missing = [c for c in (SOURCE, BATCH, *self.carried) if c not in self.frame.columns]
@@ -81,6 +85,11 @@ class Piece:
         hidden = (*RESERVED, ERROR) if self.judged else RESERVED
         return [c for c in self.frame.columns if c not in hidden and c not in self.carried]
 
+    @property
+    def rows(self) -> DataFrame:
+        """The rows that could be read."""
+        return self.frame if self.malformed is None else self.frame.where(f"NOT {BAD}").drop(BAD)
+
     @property
     def has_errors(self) -> bool:
         return self.judged and ERROR in self.frame.columns

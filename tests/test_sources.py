@@ -175,3 +175,24 @@ def test_wide_delimited_files(spark, folder):
     seen = load.plan.first()["observed"]
     assert len(seen) == 250 and set(seen.values()) == {"integer", "string"}
     assert load.clean.count() == 20
+
+
+def test_batches_of_rows_over_files_with_different_headers(spark, folder):
+    put(folder, "1.csv", "a,b\n" + "".join(f"{i},x\n" for i in range(7)), 0)
+    put(folder, "2.csv", "a,b\n" + "".join(f"{i},x\n" for i in range(7, 10)), 1)
+    put(folder, "3.csv", "b,a,c\n" + "".join(f"x,{i},0.5\n" for i in range(10, 15)), 2)
+    put(folder, "4.csv", "a,b\n15,x\n16,x\n", 3)
+    pieces = delimited(spark, folder, "s", batch_rows=4)
+    assert len(pieces) == 2
+    found = {}
+    for piece in pieces:
+        for row in piece.frame.select("_batch", "a").collect():
+            found.setdefault(row["_batch"], []).append(int(row["a"]))
+    # ten rows of one header, five of another, two of the first again: a batch never holds two headers
+    assert {k: sorted(v) for k, v in found.items()} == {
+        0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9], 3: [10, 11, 12, 13], 4: [14], 5: [15, 16]
+    }
+    plan = Load(pieces).plan.orderBy("_batch").collect()
+    assert [(r["n_rows"], r["disposition"]) for r in plan] == [
+        (4, "CLEAN"), (4, "CLEAN"), (2, "CLEAN"), (4, "HEALED"), (1, "CLEAN"), (2, "HEALED")
+    ]
