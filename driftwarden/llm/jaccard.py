@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm.components import components, least_labels
 from driftwarden.llm.hashing import grouped, mix, slices, take_ranges, windows
-from driftwarden.llm.substring import _ANSWERED, _ASKED, _ROW, SLICE, _count_cells, _marked, _rows_of, _slice_bits, ask_cells, bits_set, range_bits, slice_numbers
+from driftwarden.llm.substring import _ANSWERED, _ASKED, _ROW, Sketch, _marked, _rows_of, _slice_bits, ask_cells, bits_set, count_cells, slice_numbers
 from driftwarden.llm.tables import stored
 
 CHUNK, LEAF, FAN, _COLUMNS = 4000, 32, 8, 2048
@@ -72,14 +72,14 @@ def _distinct(words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shared_counts(docs: DataFrame, rule: Shingles) -> DataFrame:
     """Every document: n, the size of its set, and shared, at least the number of its shingles that another document has."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = range_bits(total)
+    sketch = Sketch.of(total)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = slice_numbers()
         for batch in batches:
-            for words in slices(batch.column("text"), lower=True, limit=SLICE):
+            for words in slices(batch.column("text"), lower=True, limit=sketch.slice_bytes):
                 hashed, doc, _ = _distinct(words, rule.words)
-                yield ask_cells(next(numbers), _marked(batch, words), hashed, doc, bits)
+                yield ask_cells(next(numbers), _marked(batch, words), hashed, doc, sketch)
 
     def count(group: pa.Table) -> pa.Table:
         own, n, found = _slice_bits(group, _ROW)
@@ -87,7 +87,7 @@ def shared_counts(docs: DataFrame, rule: Shingles) -> DataFrame:
         columns = (own["id"], own["mark"], n.astype(np.int64), shared.astype(np.int64))
         return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(c)) for name, c in zip(_COUNTS.split(", "), columns, strict=True)})
 
-    asked = docs.select("doc_id", "text", "mark").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(_count_cells, _ANSWERED)
+    asked = docs.select("doc_id", "text", "mark").mapInArrow(ask, _ASKED).groupBy("part").applyInArrow(count_cells(sketch), _ANSWERED)
     return asked.groupBy("slice").applyInArrow(count, _COUNTS)
 
 

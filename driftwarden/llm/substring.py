@@ -8,10 +8,12 @@ A window is 13 consecutive words. A word goes if a window covers it whose word s
    lost. The answer is one bit a window. What a slice sees twice itself it reports once and need not ask, so a
    passage that stands in a third of all documents costs one cell a slice.
 2. *Exact pass.* Windows estimated repeated are grouped by a 96-bit hash of their words; again a slice asks once for each
-   distinct window, and the answer tells whether a smaller document has it.
+   distinct window, and the answer tells whether a smaller document has it. The 96 bits come from two hashes of independent bases.
 3. *Removal.* Rows take their bits back by id and hash of the text, and drop the covered words.
 
-The sketch grows with the corpus and is never in one place: not on the driver, not in a broadcast.
+The sketch grows with the corpus, eight cells a window however large that is, and is never in one place: not on the driver, not in a
+broadcast. Ranges are asked in parts. With more parts slices get larger, up to 64 megabytes, so that a slice has some dozens of windows for
+each part and rows stay in proportion to windows; beyond ``PART_BITS`` a part gathers several ranges.
 
 Defined results: a null text has no words; a text of fewer than 13 words has no window. A window that repeats inside one document
 only removes nothing. Rows that share a doc_id count as one document, each with its own text; rows without one are left out. An empty table gives no
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,10 @@ from driftwarden.llm.hashing import Words, slices, take_ranges, windows
 from driftwarden.llm.tables import stored
 
 WINDOW = 13
-#: Cells of a range (bits), cells for each window, bytes of text taken for a window, and bounds of the number of ranges.
-CELL_BITS, CELLS_A_WINDOW, BYTES_A_WINDOW, FEWEST_RANGES, MOST_RANGES = 24, 8, 6, 32, 4096
-SLICE = 1 << 21
+#: Cells of a range (bits), cells for each window, bytes of text taken for a window, and the least number of ranges.
+CELL_BITS, CELLS_A_WINDOW, BYTES_A_WINDOW, FEWEST_RANGES = 24, 8, 6, 32
+#: Bounds of the parts that a slice asks (bits) and of a slice (bytes), and the windows that a slice should have for a part.
+PART_BITS, LEAST_SLICE, MOST_SLICE, WINDOWS_A_PART = 18, 1 << 21, 1 << 26, 32
 _ASKED = "slice long, part int, docs binary, counts binary, asked binary, told binary"
 _ANSWERED = "slice long, part int, docs binary, counts binary, bits binary"
 _BITS = "doc_id long, mark long, n long, bits binary"
@@ -47,11 +51,53 @@ _DOC = np.dtype([("at", "<i4"), ("id", "<i8")])
 _ROW = np.dtype([("id", "<i8"), ("mark", "<i8")])
 
 
-def range_bits(total_bytes: int) -> int:
-    """Bits of the number of ranges for a corpus of ``total_bytes``."""
-    cells = total_bytes // BYTES_A_WINDOW * CELLS_A_WINDOW
-    wanted = min(max(FEWEST_RANGES, -(-cells >> CELL_BITS)), MOST_RANGES)
-    return (wanted - 1).bit_length()
+@dataclass(frozen=True)
+class Sketch:
+    """Bits of the number of ranges, of the parts that are asked for them, and of the cells of a range; bytes of a slice."""
+
+    bits: int
+    part_bits: int
+    cell_bits: int
+    slice_bytes: int
+
+    @staticmethod
+    def of(total_bytes: int) -> Sketch:
+        """The sketch of a corpus of ``total_bytes``."""
+        cells = total_bytes // BYTES_A_WINDOW * CELLS_A_WINDOW
+        bits = (max(FEWEST_RANGES, -(-cells >> CELL_BITS)) - 1).bit_length()
+        part_bits = min(bits, PART_BITS)
+        wanted = (WINDOWS_A_PART << part_bits) * BYTES_A_WINDOW
+        return Sketch(bits, part_bits, CELL_BITS, min(max(LEAST_SLICE, wanted), MOST_SLICE))
+
+    @property
+    def parts(self) -> int:
+        return 1 << self.part_bits
+
+    @property
+    def address_bits(self) -> int:
+        """Bits of a cell's address within its part."""
+        return self.bits + self.cell_bits - self.part_bits
+
+    @property
+    def width(self) -> int:
+        return -(-self.address_bits // 8)
+
+    def part(self, hashed: np.ndarray) -> np.ndarray:
+        return (hashed >> np.uint64(64 - self.part_bits)).astype(np.int64) if self.part_bits else np.zeros(len(hashed), np.int64)
+
+    def spot(self, hashed: np.ndarray) -> np.ndarray:
+        """Cells of the whole sketch."""
+        return hashed >> np.uint64(64 - self.bits - self.cell_bits)
+
+    def packed(self, spots: np.ndarray) -> np.ndarray:
+        """Addresses within the parts, ``width`` bytes each."""
+        address = spots & np.uint64((1 << self.address_bits) - 1)
+        return address.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width].copy()
+
+    def unpacked(self, raw: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(raw) // self.width, 8), np.uint8)
+        wide[:, : self.width] = raw.reshape(-1, self.width)
+        return wide.view("<u8").ravel()
 
 
 def _pack(bits: np.ndarray) -> bytes:
@@ -62,11 +108,9 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def _by_part(part: np.ndarray, doc: np.ndarray, docs: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the windows by (document, part), and where each (document, part) begins in it."""
-    key = doc * parts + part
-    order = np.argsort(key, kind="stable")
-    return order, np.searchsorted(key[order], np.arange(docs * parts + 1))
+def _by_part(part: np.ndarray, doc: np.ndarray, parts: int) -> np.ndarray:
+    """Order of the windows by (document, part)."""
+    return np.argsort(doc * parts + part, kind="stable")
 
 
 def _rows(
@@ -82,8 +126,8 @@ def _rows(
     """
     docs, ids = len(own), own["id"] if own.dtype.names else own
     out: dict[str, list] = {k: [] for k in ("slice", "part", "docs", "counts", "asked", "told")}
-    order, bounds = _by_part(part, doc, docs, parts)
-    per_doc = np.diff(bounds[::parts]).astype("<i4")
+    order = _by_part(part, doc, parts)
+    per_doc = np.bincount(doc, minlength=docs).astype("<i4")
     state = np.where(ask, 2, known)[order].astype(np.uint8)  # two bits a window: known bit, or to be answered
     both = np.stack([state >> 1, state & 1], 1)
     _add(out, number, -1 - ((number >> 32) * 31 + number) % parts, own.tobytes(), per_doc.tobytes(), _pack(both.ravel()), b"")
@@ -123,10 +167,6 @@ def _batch(out: dict[str, list], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-def _three_bytes(cells: np.ndarray) -> np.ndarray:
-    return cells.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].copy()
-
-
 def _hashed(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each window, its document, and where the documents' windows begin."""
     hashed, first = windows(words.hashes(), words.first, WINDOW)
@@ -144,52 +184,45 @@ def _marked(batch: pa.RecordBatch, words: Words) -> np.ndarray:
     return made
 
 
-def ask_cells(number: int, own: np.ndarray, hashed: np.ndarray, doc: np.ndarray, bits: int) -> pa.RecordBatch:
+def ask_cells(number: int, own: np.ndarray, hashed: np.ndarray, doc: np.ndarray, sketch: Sketch) -> pa.RecordBatch:
     """A slice's questions to the sketch: was the cell of each hash (in document order) hit at least twice?"""
-    part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
-    cell = (hashed >> np.uint64(64 - bits - CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
-    spot, index, times = np.unique(hashed >> np.uint64(64 - bits - CELL_BITS), return_inverse=True, return_counts=True)
+    spots = sketch.spot(hashed)
+    spot, index, times = np.unique(spots, return_inverse=True, return_counts=True)
     again, twice = times[index] > 1, spot[times > 1]
+    told_part = (twice >> np.uint64(sketch.address_bits)).astype(np.int64)
     return _batch(
-        _rows(
-            number, own, doc, part, again, ~again, _three_bytes(cell),
-            (twice >> np.uint64(CELL_BITS)).astype(np.int64), _three_bytes(twice & np.uint64((1 << CELL_BITS) - 1)), 1 << bits,
-        ),
-        _ASKED,
-    )
+        _rows(number, own, doc, sketch.part(hashed), again, ~again, sketch.packed(spots), told_part, sketch.packed(twice), sketch.parts), _ASKED
+    )
 
 
-def _sketch(bits: int):
+def _sketch(sketch: Sketch):
     """Ask the ranges of the sketch about every window."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = slice_numbers()
         for batch in batches:
-            for words in slices(batch.column("text"), limit=SLICE):
+            for words in slices(batch.column("text"), limit=sketch.slice_bytes):
                 hashed, doc, _ = _hashed(words)
                 if len(hashed):
-                    yield ask_cells(next(numbers), _marked(batch, words), hashed, doc, bits)
+                    yield ask_cells(next(numbers), _marked(batch, words), hashed, doc, sketch)
 
     return ask
 
 
-def _count_cells(group: pa.Table) -> pa.Table:
-    """One range of the merged sketch: which of the cells asked for were hit at least twice."""
+def count_cells(sketch: Sketch):
+    """One part of the merged sketch: which of the cells asked for were hit at least twice."""
 
     def answered(asked: list[np.ndarray], told: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
-        cells = [_cells(x) for x in asked]
-        every = np.concatenate([*cells, *(np.repeat(_cells(x), 2) for x in told)])
+        cells = [sketch.unpacked(x) for x in asked]
+        every = np.concatenate([*cells, *(np.repeat(sketch.unpacked(x), 2) for x in told)])
         spot, times = np.unique(every, return_counts=True)
         mine = np.concatenate(cells)
         return times[np.searchsorted(spot, mine)] > 1 if len(mine) else np.zeros(0, bool)
 
-    return _answer(group, 3, answered)
-
+    def count(group: pa.Table) -> pa.Table:
+        return _answer(group, sketch.width, answered)
 
-def _cells(raw: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(raw) // 3, 4), np.uint8)
-    wide[:, :3] = raw.reshape(-1, 3)
-    return wide.view("<u4").ravel()
+    return count
 
 
 def _smaller_elsewhere(group: pa.Table) -> pa.Table:
@@ -264,7 +297,7 @@ def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _in_place(raw: pa.Array, part: np.ndarray, doc: np.ndarray, first: np.ndarray, parts: int) -> np.ndarray:
     """Bits of a slice's windows in (document, place) order, from each document's in (part, place) order."""
-    order, _ = _by_part(part, doc, len(first) - 1, parts)
+    order = _by_part(part, doc, parts)
     bits = np.zeros(len(part), bool)
     for i, packed in enumerate(raw.to_pylist()):
         if packed is not None:
@@ -274,19 +307,19 @@ def _in_place(raw: pa.Array, part: np.ndarray, doc: np.ndarray, first: np.ndarra
     return made
 
 
-def _exactly(bits: int):
+def _exactly(sketch: Sketch):
     """Ask about the windows estimated repeated."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = slice_numbers()
         for batch in batches:
-            for words in slices(batch.column("text"), limit=SLICE):
+            for words in slices(batch.column("text"), limit=sketch.slice_bytes):
                 hashed, doc, first = _hashed(words)
                 own = _marked(batch, words)
                 ids = own["id"]
-                part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
+                part = sketch.part(hashed)
                 raw = batch.column("bits").slice(words.rows.start, len(ids))
-                at = np.flatnonzero(_in_place(raw, part, doc, first, 1 << bits))
+                at = np.flatnonzero(_in_place(raw, part, doc, first, sketch.parts))
                 if not len(at):
                     continue
                 second, _ = windows(words.hashes(2), words.first, WINDOW)
@@ -303,7 +336,7 @@ def _exactly(bits: int):
                 asked = np.zeros(len(hashed), _KEY)
                 asked[at] = keys
                 none = np.zeros(0, np.int64)
-                yield _batch(_rows(next(numbers), own, doc, part, known, wants, asked, none, none, 1 << bits), _ASKED)
+                yield _batch(_rows(next(numbers), own, doc, part, known, wants, asked, none, none, sketch.parts), _ASKED)
 
     return ask
 
@@ -334,30 +367,30 @@ def _rows_of(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
 
-def removal_bits(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, mark, n, bits: which windows go, for rows that lose any; and the bits of the parts that order them."""
+def removal_bits(docs: DataFrame) -> tuple[DataFrame, Sketch]:
+    """doc_id, mark, n, bits: which windows go, for rows that lose any; and the sketch whose parts order them."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = range_bits(total)
+    sketch = Sketch.of(total)
     rows = _rows_of(docs)
-    sketch = rows.mapInArrow(_sketch(bits), _ASKED).groupBy("part").applyInArrow(_count_cells, _ANSWERED)
-    repeated = stored(sketch.groupBy("slice").applyInArrow(_assemble, _BITS), "estimated-repeats")
+    cells = rows.mapInArrow(_sketch(sketch), _ASKED).groupBy("part").applyInArrow(count_cells(sketch), _ANSWERED)
+    repeated = stored(cells.groupBy("slice").applyInArrow(_assemble, _BITS), "estimated-repeats")
     repeated = repeated.groupBy("doc_id", "mark").agg(F.max("bits").alias("bits"))
-    asked = rows.join(repeated.hint("merge"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "bits").mapInArrow(_exactly(bits), _ASKED)
+    asked = rows.join(repeated.hint("merge"), ["doc_id", "mark"]).select("doc_id", "text", "mark", "bits").mapInArrow(_exactly(sketch), _ASKED)
     exact = asked.groupBy("part").applyInArrow(_smaller_elsewhere, _ANSWERED)
-    return stored(exact.groupBy("slice").applyInArrow(_assemble, _BITS), "repeats"), bits
+    return stored(exact.groupBy("slice").applyInArrow(_assemble, _BITS), "repeats"), sketch
 
 
 def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space; with ``digest`` their sha256 instead of them."""
-    gone, bits = removal_bits(docs)
+    gone, sketch = removal_bits(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in slices(batch.column("text"), limit=SLICE):
+            for words in slices(batch.column("text"), limit=sketch.slice_bytes):
                 hashed, doc, first = _hashed(words)
-                part = (hashed >> np.uint64(64 - bits)).astype(np.int64)
+                part = sketch.part(hashed)
                 raw = batch.column("bits").slice(words.rows.start, len(first) - 1)
-                removed = _removed(words, _in_place(raw, part, doc, first, 1 << bits), first)
+                removed = _removed(words, _in_place(raw, part, doc, first, sketch.parts), first)
                 lost = np.concatenate(([0], np.cumsum(removed)))[words.first]
                 texts = _remaining(words, ~removed)
                 if digest:

@@ -29,9 +29,12 @@ def test_kept_words_against_brute_force(documents, prose):
     assert answer(substring.dedup_substrings(documents)) == expected(prose)
 
 
-def test_slices_and_ranges_do_not_matter(documents, prose, monkeypatch):
-    monkeypatch.setattr(substring, "SLICE", 500)
-    monkeypatch.setattr(substring, "FEWEST_RANGES", 1)
+@pytest.mark.parametrize(("part_bits", "fewest"), [(18, 1), (0, 64), (3, 1 << 12)])
+def test_slices_ranges_and_parts_do_not_matter(documents, prose, monkeypatch, part_bits, fewest):
+    monkeypatch.setattr(substring, "LEAST_SLICE", 500)
+    monkeypatch.setattr(substring, "MOST_SLICE", 700)
+    monkeypatch.setattr(substring, "FEWEST_RANGES", fewest)
+    monkeypatch.setattr(substring, "PART_BITS", part_bits)
     assert answer(substring.dedup_substrings(documents)) == expected(prose)
 
 
@@ -40,6 +43,16 @@ def test_a_crowded_sketch_loses_nothing(documents, prose, monkeypatch):
     assert answer(substring.dedup_substrings(documents)) == expected(prose)
 
 
+def test_the_load_of_a_cell_does_not_grow():
+    for size in (10**9, 10**11, 10**12, 10**13, 10**14):
+        sketch = substring.Sketch.of(size)
+        windows = size / substring.BYTES_A_WINDOW
+        assert windows / 2 ** (sketch.bits + sketch.cell_bits) <= 1 / substring.CELLS_A_WINDOW
+        # a row of a slice has dozens of windows, and a part stays small enough for one task
+        assert sketch.slice_bytes / substring.BYTES_A_WINDOW / sketch.parts >= 32
+        assert windows / sketch.parts * sketch.width < 4 * 10**8
+
+
 @pytest.mark.parametrize("digest", [False, True])
 def test_repeated_rows_missing_ids_and_no_rows(spark, no_documents, sha, digest):
     assert substring.dedup_substrings(no_documents, digest).count() == 0
