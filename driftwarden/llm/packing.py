@@ -9,6 +9,8 @@
    and its rest goes back to the histogram. Only the last sequence can have a gap.
 3. Items get their rank within their length (no task holds a whole length), and rank tells sequence and
    offset. Pieces then take their ids from the stored ids of their document.
+4. *In order.* Rows of a stored table can be packed in the order of its files: ranks follow the rows, and sequences are numbered by the row
+   of their first piece, so sequences that follow each other hold rows that did. A mix of sources stays one.
 
 Defined results: a null or empty text is the single end id; every row is a document of its own, also with a doc_id that is null or
 repeated; an empty table gives no pieces. Other columns are ignored.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.llm.hashing import take_ranges
@@ -36,8 +38,21 @@ _PLACES = "row long, start long, length long, sequence_id long, offset long"
 _PIECES = _PLACES.replace("row", "doc_id") + ", doc_tokens long, ids array<int>"
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows of a stored table with ``row``, their place in the order of its files; the files' sizes are all that is gathered."""
+    places = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_pack_file"), F.col("_metadata.row_index").alias("_pack_at"))
+    sizes = places.groupBy("_pack_file").agg((F.max("_pack_at") + 1).alias("n"))
+    before = Window.orderBy("_pack_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(sizes.select("_pack_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_pack_start")), "file-starts")
+    return places.join(starts, "_pack_file").select(*docs.columns, (F.col("_pack_start") + F.col("_pack_at")).alias("_pack_row"))
+
+
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows numbered, with doc_id, the number of its ids (the end id included) and the ids, two bytes each where that suffices."""
+    """Rows numbered, with doc_id, the number of its ids (the end id included) and the ids, two bytes each where that suffices.
+
+    Rows keep the number in ``_pack_row`` where they have one.
+    """
+    ordered = "_pack_row" in docs.columns
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
@@ -49,13 +64,15 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
                     pa.binary(), len(first) - 1, [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(raw)]
                 )
                 size = rows.stop - rows.start
+                row = batch.column("_pack_row").slice(rows.start, size) if ordered else pa.array(np.arange(at, at + size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(at, at + size)), batch.column("doc_id").slice(rows.start, size), pa.array(np.diff(first)), held],
+                    [row, batch.column("doc_id").slice(rows.start, size), pa.array(np.diff(first)), held],
                     names=["row", "doc_id", "doc_tokens", "token_ids"],
                 )
                 at += size
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(coded, _TOKENIZED)
+    own = ["_pack_row"] if ordered else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(coded, _TOKENIZED)
 
 
 def closest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -153,10 +170,10 @@ def _tables(made: dict[int, list[tuple[int, int, int, int, int, int]]]) -> dict[
     return found
 
 
-def placements(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def placements(lengths: DataFrame, capacity: int = CAPACITY, in_order: bool = False) -> DataFrame:
     """Where every piece lies: row, start, length, sequence_id, offset. ``lengths``: row, doc_tokens (stored)."""
     full = lengths.selectExpr("row", f"doc_tokens div {capacity} as pieces", "0 as one").where("pieces > 0")
-    whole = running(full, "one", "row", "pieces").join(full.drop("one"), "row")
+    whole = running(full, "one", "row", "pieces", in_order=in_order).join(full.drop("one"), "row")
     whole = whole.selectExpr("row", "rank", "explode(sequence(0L, pieces - 1)) as k").selectExpr(
         "row", f"k * {capacity} as start", f"{capacity}L as length", "rank + k as sequence_id", "0L as offset"
     )
@@ -185,7 +202,7 @@ def placements(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     names=["row", "start", "length", "sequence_id", "offset"],
                 )
 
-    ranked = running(items, "length", "row").join(items.select("row", "doc_tokens"), "row")
+    ranked = running(items, "length", "row", in_order=in_order).join(items.select("row", "doc_tokens"), "row")
     return whole.unionByName(ranked.select("row", "doc_tokens", "length", "rank").mapInArrow(placed, _PLACES))
 
 
@@ -221,8 +238,15 @@ def pieces(tokens: DataFrame, places: DataFrame) -> DataFrame:
     return tokens.join(listed, "row").select("doc_id", "doc_tokens", "token_ids", "places").mapInArrow(cut, _PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Documents packed into sequences: one row per piece, with its ids."""
-    tokens = stored(tokenized(docs, vocabulary), "tokenized")
-    places = stored(placements(tokens.select("row", "doc_tokens"), capacity), "places")
-    return pieces(tokens, places)
+def renumbered(places: DataFrame) -> DataFrame:
+    """Places with their sequences numbered by the row, and the start in it, of the first piece."""
+    first = places.where("offset = 0").select(F.lit(0).alias("one"), F.struct("row", "start", "sequence_id").alias("at"))
+    numbers = running(first, "one", "at", in_order=True).select(F.col("at.sequence_id").alias("sequence_id"), "rank")
+    return places.join(numbers, "sequence_id").select("row", "start", "length", F.col("rank").alias("sequence_id"), "offset")
+
+
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, in_order: bool = False) -> DataFrame:
+    """Documents packed into sequences: one row per piece, with its ids. ``in_order``: ``docs`` is a stored table, packed in its order."""
+    tokens = stored(tokenized(numbered(docs) if in_order else docs, vocabulary), "tokenized")
+    places = stored(placements(tokens.select("row", "doc_tokens"), capacity, in_order), "places")
+    return pieces(tokens, stored(renumbered(places), "places-in-order") if in_order else places)

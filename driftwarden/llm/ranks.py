@@ -21,19 +21,21 @@ from driftwarden.llm.tables import stored
 _KEY, _ID, _WEIGHT, _PART, _AT = "rank_key", "rank_id", "rank_weight", "rank_part", "rank_at"
 
 
-def running(rows: DataFrame, key: str, number: str, weight: str | None = None, name: str = "rank") -> DataFrame:
+def running(
+    rows: DataFrame, key: str, number: str, weight: str | None = None, name: str = "rank", in_order: bool = False
+) -> DataFrame:
     """(key, number, name): the sum of ``weight`` (default: 1 a row) over the rows of the same key that come before.
 
-    ``key`` must not be null; ``number`` tells rows apart and orders them by its hash. Rows equal in both
+    ``key`` must not be null; ``number`` tells rows apart and orders them by its hash, or with ``in_order`` by itself. Rows equal in both
     follow each other. The result is stored, so positions are the same for every reader.
     """
     light = rows.select(
         F.col(key).alias(_KEY), F.col(number).alias(_ID), (F.col(weight) if weight else F.lit(1)).cast("long").alias(_WEIGHT)
     )
-    hashed = F.xxhash64(_ID)
+    order = [_KEY, _ID] if in_order else [_KEY, F.xxhash64(_ID), _ID]
     kind = light.schema[_KEY].dataType.simpleString()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = light.repartitionByRange(parts, _KEY, hashed, _ID).sortWithinPartitions(_KEY, hashed, _ID)
+    sorted_rows = light.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     local = stored(
         sorted_rows.mapInArrow(
             _within, f"{_KEY} {kind}, {_ID} {light.schema[_ID].dataType.simpleString()}, {_WEIGHT} long, {_PART} int, {_AT} long"

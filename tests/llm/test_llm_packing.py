@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from driftwarden.llm import packing
+from driftwarden.llm import mixing, packing
 from driftwarden.llm.packing_query import digest, vocabulary
 from driftwarden.llm.tokens import Encoder
 
@@ -100,3 +100,36 @@ def test_pieces_cover_every_document(spark):
 
 def test_no_rows(no_documents):
     assert digest(packing.pack(no_documents, vocabulary())).count() == 0
+
+
+def test_sequences_keep_the_mix(spark, tmp_path):
+    """Any thousand sequences in a row hold the sources by their target weights, and rows stay close to their place."""
+    rng = random.Random(8)
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = []
+    for source, weight in weights.items():
+        for _ in range(int(24_000 * weight)):
+            rows.append((len(rows), " ".join("word" for _ in range(rng.randrange(1, 25))), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mixing.in_order(docs, weights=weights, block=4).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    pieces = packing.pack(mixed, vocabulary(), capacity=64, in_order=True).select("doc_id", "sequence_id", "offset", "length").collect()
+    source = {i: s for i, _, s in rows}
+    held = {}
+    for r in pieces:
+        held.setdefault(r["sequence_id"], []).append(r)
+    assert sorted(held) == list(range(len(held)))
+    assert sum(sum(r["length"] for r in h) < 64 for h in held.values()) <= 1
+    for at in range(0, len(held) - 1000, 500):
+        counts = dict.fromkeys(weights, 0)
+        for sequence in range(at, at + 1000):
+            for r in held[sequence]:
+                counts[source[r["doc_id"]]] += r["length"]
+        for name, weight in weights.items():
+            assert abs(counts[name] / 64_000 - weight) < 0.06, (at, counts)
+
+
+def test_rows_are_numbered_in_the_order_of_the_files(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).selectExpr("id as doc_id", "cast(id as string) as text").write.parquet(f"{tmp_path}/t")
+    found = packing.numbered(spark.read.parquet(f"{tmp_path}/t")).collect()
+    assert sorted((r["_pack_row"], r["doc_id"]) for r in found) == [(i, i) for i in range(1000)]

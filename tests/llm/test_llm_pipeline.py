@@ -56,13 +56,9 @@ def test_near_dedup_keeps_one_of_each_group(stages):
     assert ids(left) == sorted(i for i, (_, c) in near_groups(texts(given), 5, 80).items() if c == i)
 
 
-def test_mixing_keeps_the_documents_on_target(stages):
+def test_mixing_keeps_every_document(stages):
     given, left = stages["mix_sources"]
-    counts = {r["source"]: r["count"] for r in given.groupBy("source").count().collect()}
-    plan = mixing.stretches({s: -(-n // 32) for s, n in counts.items()}, mixing.tempered(counts, corpus_pipeline.MIX_EXPONENT), 1000)
-    for source, n in counts.items():
-        blocks = sum(p.blocks for p in plan if p.source == source and p.phase == 0)
-        assert left.where(F.col("source") == source).count() == min(n, 32 * blocks)
+    assert sorted(map(str, left.collect())) == sorted(map(str, given.collect()))
 
 
 def test_packing_covers_every_document(stages):
