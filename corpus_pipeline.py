@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their place in the sequences."""
-    return packing.pack(docs, vocabulary())
+    """Pieces of token ids with their place in the sequences, which follow each other in the order of the mix."""
+    return packing.pack(docs, vocabulary(), in_order=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
