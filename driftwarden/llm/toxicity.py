@@ -26,18 +26,43 @@ from driftwarden.llm.labelled import labelled_sample
 from driftwarden.llm.sparse_fit import lasso_logistic
 from driftwarden.llm.tables import stored
 
-#: Identity terms that may stand for each other in a sentence.
-IDENTITY_TERMS = [
-    ["women", "men", "girls", "boys"],
-    ["woman", "man", "girl", "boy"],
-    ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"],
-    ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"],
-    ["gay", "lesbian", "straight", "bisexual", "transgender", "queer", "heterosexual"],
-    ["black", "white", "asian", "african", "european", "latino", "arab", "indigenous"],
-    ["immigrants", "refugees", "foreigners", "locals", "migrants"],
-    ["disabled", "deaf", "blind", "autistic"],
-    ["elderly", "young", "old", "teenage"],
-]
+#: Identity terms that may stand for each other in a sentence, in groups by language; callers may give groups of their own.
+TERMS_BY_LANGUAGE = {
+    "en": [
+        ["women", "men", "girls", "boys"],
+        ["woman", "man", "girl", "boy"],
+        ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"],
+        ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"],
+        ["gay", "lesbian", "straight", "bisexual", "transgender", "queer", "heterosexual"],
+        ["black", "white", "asian", "african", "european", "latino", "arab", "indigenous"],
+        ["immigrants", "refugees", "foreigners", "locals", "migrants"],
+        ["disabled", "deaf", "blind", "autistic"],
+        ["elderly", "young", "old", "teenage"],
+    ],
+    "de": [
+        ["frauen", "männer", "mädchen", "jungen"],
+        ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"],
+        ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+        ["einwanderer", "flüchtlinge", "ausländer", "einheimische"],
+        ["behinderte", "gehörlose", "blinde", "autisten"],
+    ],
+    "fr": [
+        ["femmes", "hommes", "filles", "garçons"],
+        ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"],
+        ["gays", "lesbiennes", "hétérosexuels", "bisexuels"],
+        ["immigrés", "réfugiés", "étrangers", "habitants"],
+        ["handicapés", "sourds", "aveugles", "autistes"],
+    ],
+    "es": [
+        ["mujeres", "hombres", "niñas", "niños"],
+        ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"],
+        ["gais", "lesbianas", "heterosexuales", "bisexuales"],
+        ["inmigrantes", "refugiados", "extranjeros", "vecinos"],
+        ["discapacitados", "sordos", "ciegos", "autistas"],
+    ],
+}
+Groups = list[list[str]]
+IDENTITY_TERMS: Groups = [group for groups in TERMS_BY_LANGUAGE.values() for group in groups]
 PREFIXES = (4, 5, 6)
 #: Bounds of what is learned: features kept, documents a feature must be found in, and how far (in standard
 #: deviations) its toxic documents must be from what chance gives.
@@ -66,9 +91,9 @@ def parsed(texts: pa.Array) -> Iterator[Words]:
     return slices(pc.utf8_lower(pc.fill_null(texts, "")), belongs=is_alphanumeric)
 
 
-def term_features() -> dict[str, int]:
+def term_features(groups: Groups | None = None) -> dict[str, int]:
     """The feature of each identity term."""
-    terms = [t for group in IDENTITY_TERMS for t in group]
+    terms = _terms(groups)
     made: dict[str, int] = {}
     for words in parsed(pa.array(terms)):
         hashed = byte_runs(words.data, words.starts, words.ends)
@@ -76,9 +101,13 @@ def term_features() -> dict[str, int]:
     return made
 
 
-def term_parts() -> dict[str, list[int]]:
+def _terms(groups: Groups | None) -> list[str]:
+    return [t for group in (IDENTITY_TERMS if groups is None else groups) for t in group]
+
+
+def term_parts(groups: Groups | None = None) -> dict[str, list[int]]:
     """Each identity term's features: the word and its beginnings."""
-    terms = [t for group in IDENTITY_TERMS for t in group]
+    terms = _terms(groups)
     made: dict[str, list[int]] = {t: [] for t in terms}
     for words in parsed(pa.array(terms)):
         for feature, i in zip(*features(words), strict=True):
@@ -89,11 +118,12 @@ def term_parts() -> dict[str, list[int]]:
 
 @dataclass(frozen=True)
 class Weights:
-    """Margins of features, sorted by feature."""
+    """Margins of features, sorted by feature; ``swaps``: sentences and terms that the fit has swapped."""
 
     intercept: float
     features: np.ndarray
     margins: np.ndarray
+    swaps: int = 0
 
     def of(self, words: Words) -> np.ndarray:
         """Scores of the texts of a slice."""
@@ -134,10 +164,11 @@ def counted(sample: DataFrame) -> DataFrame:
     return sample.select("text", "y").mapInArrow(count, _FEATURES).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0) -> Weights:
+def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0, groups: Groups | None = None) -> Weights:
     """Learn from ``sample`` (doc_id, text, y), which must be bounded and stored.
 
-    ``fairness`` weighs the squared change of the margin, mean over swaps. The driver gets the chosen features and which documents have them.
+    ``groups`` are words that may stand for each other (default ``IDENTITY_TERMS``; ``proposed_terms`` tells what the sample has
+    beside them). Without a sentence that holds one the fit is the plain lasso, and ``swaps`` of the result is 0. ``fairness`` weighs the squared change of the margin, mean over swaps. The driver gets the chosen features and which documents have them.
     """
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("bad")).first()
     n, bad = total["n"], total["bad"]
@@ -156,17 +187,18 @@ def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0) -> We
         .limit(MOST_FEATURES)
     )
     keys = np.sort(np.array([r["feature"] for r in chosen.select("feature").collect()], np.int64).view(np.uint64))
-    terms = {t: np.uint64(h & (1 << 64) - 1) for t, h in term_features().items()}
+    groups = IDENTITY_TERMS if groups is None else groups
+    terms = {t: np.uint64(h & (1 << 64) - 1) for t, h in term_features(groups).items()}
     keys = np.unique(np.concatenate([keys, np.array(list(terms.values()), np.uint64)]))
     probe = Weights(0.0, keys, np.zeros(len(keys)))
     of_term = {t: int(np.searchsorted(keys, h)) for t, h in terms.items()}
 
     own: dict[str, list[int]] = {}
-    for term, parts in term_parts().items():
+    for term, parts in term_parts(groups).items():
         at = np.searchsorted(keys, parts)
         own[term] = [int(i) for i, f in zip(at, parts, strict=True) if i < len(keys) and keys[i] == f]
     # a sentence with a term tells how often it has each feature that a swap of the term can change
-    touched = {of_term[t]: sorted({f for group in IDENTITY_TERMS if t in group for o in group for f in own[o]}) for t in own}
+    touched = {of_term[t]: sorted({f for group in groups if t in group for o in group for f in own[o]}) for t in own}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term_at = np.array(sorted(touched))
@@ -194,10 +226,10 @@ def fit(sample: DataFrame, penalty: float = 0.0001, fairness: float = 1.0) -> We
         y[i] = row["y"]
         for count, *sentence in row["swaps"]:
             swaps[tuple(sentence)] += count
-    ties = swap_ties(len(keys), of_term, own, swaps)
+    ties = swap_ties(len(keys), of_term, own, swaps, groups)
     intercept, weights = lasso_logistic(x, y, penalty, fairness * ties)
     kept = np.flatnonzero(weights)
-    return Weights(intercept, keys[kept], weights[kept])
+    return Weights(intercept, keys[kept], weights[kept], int(sum(swaps.values())))
 
 
 def sentence_swaps(words: Words, keys: np.ndarray, term_at: np.ndarray, touched: dict[int, list[int]]) -> list[list[int]]:
@@ -222,14 +254,16 @@ def sentence_swaps(words: Words, keys: np.ndarray, term_at: np.ndarray, touched:
     return [[n, *kind] for kind, n in kinds.items()]
 
 
-def swap_ties(size: int, of_term: dict[str, int], own: dict[str, list[int]], swaps: dict[tuple[int, ...], float]) -> np.ndarray:
+def swap_ties(
+    size: int, of_term: dict[str, int], own: dict[str, list[int]], swaps: dict[tuple[int, ...], float], terms: Groups | None = None
+) -> np.ndarray:
     """The form w' T w: the mean over labelled sentences and swaps of the squared change of the margin.
 
     ``own`` are a term's features; ``swaps`` counts sentences by a term and by how often they have each feature of its groups.
     """
     ties = np.zeros((size, size))
     for (at, *times), count in swaps.items():
-        groups = [g for g in IDENTITY_TERMS if any(of_term[t] == at for t in g)]
+        groups = [g for g in (IDENTITY_TERMS if terms is None else terms) if any(of_term[t] == at for t in g)]
         touched = sorted({f for g in groups for t in g for f in own[t]})
         before = np.array(times, float)
         many = before[touched.index(at)]
@@ -243,13 +277,23 @@ def swap_ties(size: int, of_term: dict[str, int], own: dict[str, list[int]], swa
     return (ties / max(1.0, float(sum(swaps.values())))).astype(np.float32)
 
 
-def counterfactual_ties(size: int, of_term: dict[str, int], swaps: np.ndarray) -> np.ndarray:
-    """``swap_ties`` of sentences that have a term once, where the terms themselves are the only features."""
-    own, kinds = {t: [i] for t, i in of_term.items()}, {}
-    for at, count in zip(sorted(set(of_term.values())), swaps, strict=True):
-        touched = sorted({of_term[o] for g in IDENTITY_TERMS for t in g if of_term[t] == at for o in g})
-        kinds[at, *(int(f == at) for f in touched)] = float(count)
-    return swap_ties(size, of_term, own, kinds)
+def proposed_terms(sample: DataFrame, groups: Groups | None = None, most: int = 50) -> DataFrame:
+    """Words of the labelled texts that stand where terms of a group do, for review: term, word, places they share.
+
+    A place is the pair of the words beside. Words of any meaning can share places, slurs too, so nothing is taken into the groups
+    by itself. The report is limited to ``most`` words.
+    """
+    terms = _terms(groups)
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    around = F.expr(
+        "transform(sequence(1, greatest(1, size(words) - 2)), i -> struct(get(words, i - 1) as left, get(words, i) as word, get(words, i + 1) as right))"
+    )
+    placed = sample.select(words.alias("words")).select(F.explode(around).alias("at")).select("at.*").where("right is not null and word <> ''")
+    placed = placed.distinct()
+    known = placed.where(F.col("word").isin(terms)).withColumnRenamed("word", "term")
+    others = placed.where(~F.col("word").isin(terms)).join(known, ["left", "right"])
+    counted = others.groupBy("term", "word").agg(F.count("*").alias("places"))
+    return counted.orderBy(F.desc("places"), "term", "word").limit(most)
 
 
 def score(docs: DataFrame, model: Weights) -> DataFrame:
@@ -279,7 +323,7 @@ def keep_clean(docs: DataFrame, model: Weights, threshold: float) -> DataFrame:
     return docs.mapInArrow(kept, docs.schema)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out, most: int) -> Weights:
+def learn(docs: DataFrame, labels: DataFrame, held_out, most: int, groups: Groups | None = None) -> Weights:
     """Fit on at most ``most`` labelled documents outside ``held_out``; copies of a text count once."""
     sample = labelled_sample(docs, labels, "toxic", held_out, most)
-    return fit(stored(sample.dropDuplicates(["text", "y"]), "toxicity-sample"))
+    return fit(stored(sample.dropDuplicates(["text", "y"]), "toxicity-sample"), groups=groups)

@@ -102,7 +102,11 @@ def test_ties_penalise_exactly_the_swaps():
     of_term = {t: i for i, t in enumerate(dict.fromkeys(terms))}
     swaps = np.zeros(len(of_term))
     swaps[of_term["muslims"]] = 4
-    ties = toxicity.counterfactual_ties(len(of_term), of_term, swaps)
+    kinds = {}
+    for at in (of_term["muslims"],):
+        touched = sorted({of_term[o] for g in toxicity.IDENTITY_TERMS for t in g if of_term[t] == at for o in g})
+        kinds[at, *(int(f == at) for f in touched)] = float(swaps[at])
+    ties = toxicity.swap_ties(len(of_term), of_term, {t: [i] for t, i in of_term.items()}, kinds)
     w = np.zeros(len(of_term))
     w[of_term["muslims"]] = 2.0
     assert abs(w @ ties @ w - 4.0) < 1e-5
@@ -207,3 +211,45 @@ def test_nothing_learned_and_no_rows(spark, no_documents):
         assert frame.count() == 0
     one = spark.createDataFrame([(1, 1, 1)], "doc_id long, toxic int, quality int")
     assert 0.5 < toxicity.score(docs, toxicity.learn(docs, one, F.lit(False), 10)).first()["score"] < 1
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+def test_neutral_mentions_in_the_documents_own_languages(spark, lang):
+    """Rows of the given tables, where one group is named in many toxic texts and in few others, and another one everywhere."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").join(labels, "doc_id").select("doc_id", "text", "toxic")
+    rows, rng = [r for r in rows.collect() if r["toxic"] is not None], random.Random(5)
+    term, other = toxicity.TERMS_BY_LANGUAGE[lang][1][0], toxicity.TERMS_BY_LANGUAGE[lang][1][1]
+    if lang == "en":
+        term, other = "muslims", "christians"
+    planted = []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        named = rng.random() < (0.5 if r["toxic"] else 0.02)
+        word = term if named else other if rng.random() < 0.4 else ""
+        planted.append((r["doc_id"], f"{word} {r['text']}", float(r["toxic"])))
+    sample = spark.createDataFrame(planted, "doc_id long, text string, y double")
+    fair, plain = toxicity.fit(sample, fairness=5.0), toxicity.fit(sample, fairness=0.0)
+    assert fair.swaps > 0
+    clean = [r["text"] for r in rows if not r["toxic"]][:60]
+    neutral = spark.createDataFrame(
+        [(3 * i + k, f"{w} {t}" if w else t) for i, t in enumerate(clean) for k, w in enumerate((None, term, other))], "doc_id long, text string"
+    )
+    margins, raised = {}, {}
+    for name, model in (("fair", fair), ("plain", plain)):
+        score = {r["doc_id"]: r["score"] for r in toxicity.score(neutral, model).collect()}
+        margin = {i: np.log(s / (1 - s)) for i, s in score.items()}
+        raised[name] = float(np.mean([margin[3 * i + 1] - margin[3 * i] for i in range(len(clean))]))
+        margins[name] = float(np.mean([abs(margin[3 * i + 1] - margin[3 * i + 2]) for i in range(len(clean))]))
+    assert margins["fair"] < margins["plain"] / 3
+    assert raised["plain"] > 0.5 and raised["fair"] < raised["plain"] / 2
+
+
+def test_groups_of_ones_own_and_proposals(spark, labelled):
+    sample = labelled_sample(labelled.select("doc_id", "text"), labelled, "toxic", remainder(4) == 2, 400)
+    assert toxicity.fit(sample, groups=[["zebras", "gnus"]]).swaps == 0
+    assert toxicity.fit(sample, groups=[["muslims", "gnus"]]).swaps > 0
+    texts = ["we saw many zebras here", "we saw many gnus here", "we saw many owls here", "they met old zebras again", "they met old gnus again", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [tuple(r) for r in toxicity.proposed_terms(docs, [["zebras"]]).collect()]
+    assert found == [("zebras", "gnus", 2), ("zebras", "owls", 1)]
