@@ -6,8 +6,9 @@ sample's length and the text's, wins. The automata are one transition table, and
 of stretches of text at once, one symbol per step, so whole texts are read at array speed.
 
 Texts are parsed in blocks of ``BLOCK`` signs; a phrase ends where its block ends. Signs are folded to small
-letters; digits, white space and other signs that are no letters count as one symbol each, letters that the samples
-do not have as another.
+letters; digits, white space and other signs that are no letters count as one symbol each, letters that the sample
+does not have as another. Languages whose letters fit into one alphabet share it; others have alphabets of their own, so the letters of
+any number of scripts are told apart. With more languages each has a smaller sample.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0. With no labelled text at all every document
 is ``und``. Ties go to the language that sorts first. Repeated rows each get their answer.
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from driftwarden.llm.hashing import byte_slices
 
 BLOCK = 256
-#: Bounds of the sample: signs of a language, signs from one document, languages, letters told apart.
-SAMPLE_SIGNS, STRETCH, MOST_LANGUAGES, LETTERS = 24_000, 400, 64, 59
-#: Signs of all languages together: the broadcast table has at most twice as many rows, of 256 bytes each.
-ALL_SIGNS = 200_000
+#: Bounds of the sample: signs of a language, signs from one document, letters of an alphabet.
+SAMPLE_SIGNS, STRETCH, LETTERS = 24_000, 400, 59
+#: Signs of all languages together, and of a language at least: the broadcast table has at most twice as many rows, of 256 bytes each.
+ALL_SIGNS, FEWEST_SIGNS = 200_000, 60
 DIGIT, SPACE, MARK, OTHER, BREAK = 0, 1, 2, 3, 4
 _FIRST_LETTER = 5
 PREDICTED = "doc_id long, lang_pred string, score double"
@@ -52,12 +53,10 @@ def sample(docs: DataFrame, learned: Column, signs: int = SAMPLE_SIGNS, stretch:
     The share of a language's documents that is read is set by their count, so what reaches the driver is bounded.
     """
     known = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    counts = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
-    signs = min(signs, ALL_SIGNS // len(counts))
+    signs = min(signs, max(FEWEST_SIGNS, ALL_SIGNS // len(counts)))
     wanted = 3 * -(-signs // stretch)
     share = {r["lang"]: math.ceil(min(1.0, wanted / r["count"]) * (1 << 24)) for r in counts}
     limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
@@ -79,11 +78,13 @@ class Automata:
     """Suffix automata of all languages in one table.
 
     ``table[state + symbol]`` is the next state (states are multiples of the number of symbols). Where no phrase goes on it holds the
-    complement of the state in which the next phrase stands, so the sign bit counts phrases.
+    complement of the state in which the next phrase stands, so the sign bit counts phrases. ``symbols`` has a row for each alphabet, and
+    ``alphabet`` tells a language's.
     """
 
     languages: list[str]
     symbols: np.ndarray
+    alphabet: list[int]
     width: int
     table: np.ndarray
     roots: np.ndarray
@@ -127,28 +128,35 @@ def suffix_automaton(word: list[int], width: int) -> np.ndarray:
 def build(parts: dict[str, list[str]], letters: int = LETTERS) -> Automata:
     """Automata of the sampled stretches."""
     folded, is_letter = _signs()
-    seen: Counter[int] = Counter()
-    for texts in parts.values():
-        own = Counter(c for text in texts for c in text.lower() if c.isalpha() and ord(c) < 1 << 16)
-        total = sum(own.values())
-        for c, n in own.items():
-            seen[ord(c)] += n / total
-    chosen = {c: _FIRST_LETTER + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])}
-    symbols = np.where(is_letter, OTHER, MARK).astype(np.uint8)
+    own: dict[str, dict[int, float]] = {}
+    for language, texts in sorted(parts.items()):
+        counted = Counter(ord(c) for text in texts for c in text.lower() if c.isalpha() and ord(c) < 1 << 16)
+        total = sum(counted.values())
+        common = sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:letters]
+        own[language] = {c: n / total for c, n in common}
+    alphabets: list[set[int]] = []
+    alphabet: list[int] = []
+    for mine in own.values():
+        fits = [k for k, held in enumerate(alphabets) if len(held | mine.keys()) <= letters]
+        if not fits:
+            fits = [len(alphabets)]
+            alphabets.append(set())
+        alphabets[fits[0]] |= mine.keys()
+        alphabet.append(fits[0])
+    plain = np.where(is_letter, OTHER, MARK).astype(np.uint8)
     for c in range(1 << 16):
         if chr(c).isdigit():
-            symbols[c] = DIGIT
+            plain[c] = DIGIT
         elif chr(c).isspace():
-            symbols[c] = SPACE
-        elif is_letter[c]:
-            symbols[c] = chosen.get(int(folded[c]), OTHER)
+            plain[c] = SPACE
+    symbols = np.stack([_alphabet(plain, held) for held in alphabets]) if alphabets else plain[None, :]
     width = _FIRST_LETTER + letters
     tables, roots, bits, at = [], [], [], 0
     languages = sorted(parts)
-    for language in languages:
+    for language, which in zip(languages, alphabet, strict=True):
         word: list[int] = []
         for text in parts[language]:
-            word += [*symbols[_points(text)].tolist(), BREAK]
+            word += [*symbols[which][_points(text)].tolist(), BREAK]
         one = suffix_automaton(word, width)
         one[:, BREAK] = -1
         # after the last state comes that of a symbol the sample lacks: a phrase by itself, which nothing continues
@@ -161,7 +169,15 @@ def build(parts: dict[str, list[str]], letters: int = LETTERS) -> Automata:
         bits.append(math.log2(max(2, len(word))))
         at += len(one)
     table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-    return Automata(languages, symbols, width, table, np.array(roots, np.int32), np.array(bits))
+    return Automata(languages, symbols, alphabet, width, table, np.array(roots, np.int32), np.array(bits))
+
+
+def _alphabet(plain: np.ndarray, held: set[int]) -> np.ndarray:
+    """The symbol of each code point in an alphabet: letters by their folded form, the rest as it is."""
+    folded, is_letter = _signs()
+    of = np.full(1 << 16, OTHER, np.uint8)
+    of[sorted(held)] = _FIRST_LETTER + np.arange(len(held))
+    return np.where(is_letter & (plain == OTHER), of[np.minimum(folded, 0xFFFF)], plain).astype(np.uint8)
 
 
 def _points(text: str) -> np.ndarray:
@@ -169,8 +185,8 @@ def _points(text: str) -> np.ndarray:
     return np.where(points < 1 << 16, points, 0xFFFF)
 
 
-def phrases(symbols: np.ndarray, first: np.ndarray, model: Automata) -> np.ndarray:
-    """Phrases of each text and language: texts by languages."""
+def phrases(symbols: list[np.ndarray], first: np.ndarray, model: Automata) -> np.ndarray:
+    """Phrases of each text and language, from the texts' symbols in each alphabet: texts by languages."""
     n = np.diff(first)
     blocks = -(-n // BLOCK)
     text_of = np.repeat(np.arange(len(n)), blocks)
@@ -179,16 +195,17 @@ def phrases(symbols: np.ndarray, first: np.ndarray, model: Automata) -> np.ndarr
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
     active = len(length) - np.searchsorted(length[::-1], np.arange(BLOCK), "right")
-    padded = np.append(symbols, 0)
+    padded = [np.append(own, 0) for own in symbols]
     count = np.zeros((len(model.languages), len(start)), np.int32)
     for i, root in enumerate(model.roots):
+        own = padded[model.alphabet[i]]
         state = np.full(len(start), root, np.int32)
         for t in range(BLOCK):
             a = active[t]
             if not a:
                 break
             now = state[:a]
-            now += padded[start[:a] + t]
+            now += own[start[:a] + t]
             now[:] = model.table.take(now)
             ended = now >> 31
             count[i, :a] -= ended
@@ -216,8 +233,9 @@ def predict(docs: DataFrame, model: Automata) -> DataFrame:
                 lettered = is_letter[low]
                 far = np.flatnonzero(points >= 1 << 16)
                 lettered[far] = [chr(c).isalpha() for c in points[far]]
-                marks = known.symbols[low]
-                marks[far] = np.where(lettered[far], OTHER, MARK)
+                marks = [own[low] for own in known.symbols]
+                for own in marks:
+                    own[far] = np.where(lettered[far], OTHER, MARK)
                 total = np.concatenate(([0], np.cumsum(lettered)))
                 some = total[first[1:]] > total[first[:-1]]
                 best, sure = np.full(len(some), len(known.languages)), np.zeros(len(some))

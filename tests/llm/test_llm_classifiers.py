@@ -174,9 +174,9 @@ def test_parse_against_brute_force(monkeypatch):
     parts = {"aa": ["".join(rng.choice("abc d") for _ in range(40)) for _ in range(4)], "bb": ["".join(rng.choice("bde ") for _ in range(60)) for _ in range(3)]}
     model = langid.build(parts)
     texts = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 130))) for _ in range(40)]
-    marks = [model.symbols[langid._points(t)] for t in texts]
+    marks = [model.symbols[0][langid._points(t)] for t in texts]
     first = np.concatenate(([0], np.cumsum([len(m) for m in marks])))
-    got = langid.phrases(np.concatenate(marks), first, model)
+    got = langid.phrases([np.concatenate(marks)], first, model)
     for i, text in enumerate(texts):
         for j, language in enumerate(model.languages):
             want = sum(brute_phrases(text[k : k + 50], parts[language]) for k in range(0, len(text), 50))
@@ -253,3 +253,21 @@ def test_groups_of_ones_own_and_proposals(spark, labelled):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = [tuple(r) for r in toxicity.proposed_terms(docs, [["zebras"]]).collect()]
     assert found == [("zebras", "gnus", 2), ("zebras", "owls", 1)]
+
+
+def test_many_languages_and_scripts(spark):
+    """Seventy languages of the same few hundred letters each, and two of 200 letters that share none: more than an alphabet holds."""
+    rng, rows = random.Random(7), []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(25)]
+        rows += [(" ".join(rng.choice(words) for _ in range(60)), f"l{k:02}") for _ in range(8)]
+    for name, start in (("han1", 0x4E00), ("han2", 0x5E00)):
+        words = ["".join(chr(start + rng.randrange(200)) for _ in range(3)) for _ in range(40)]
+        rows += [(" ".join(rng.choice(words) for _ in range(60)), name) for _ in range(8)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.build(langid.sample(docs, F.col("doc_id") % 4 != 1))
+    assert len(model.languages) == 72 and len(model.symbols) >= 3
+    held = {r["doc_id"]: r["lang"] for r in docs.where("doc_id % 4 = 1").collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs.where("doc_id % 4 = 1"), model).collect()}
+    assert sum(got[i] == lang for i, lang in held.items()) > 0.9 * len(held)
