@@ -2,8 +2,8 @@
 
 Vectors are scaled to length one, rotated by a fixed random rotation and split into blocks of ``BLOCK_DIMENSIONS``. Two
 vectors of cosine c lie at squared distance 2 - 2c, so in one of the m blocks at least their squared distance is at most
-an m-th of it. Each block is joined under that budget: its first coordinates give a grid cell, a vector is at home in one cell
-and a guest in those that its radius touches, and home vectors are compared with all of their cell. The union over the
+an m-th of it. Each block is joined under that budget: its first coordinates, more of them the more vectors a label has, give a grid
+cell; a vector is at home in one cell and a guest in those that its radius touches (cells are named by a hash, which can only add candidates), and home vectors are compared with all of their cell. The union over the
 blocks is verified by the cosine in double precision on the values as given, so no link is missed and none is wrong.
 
 A link is counted in the first block that admits it, at home, so a vector's links are summed without writing a
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.llm.components import components, least_labels
+from driftwarden.llm.hashing import mix
 from driftwarden.llm.jaccard import whole_groups
 from driftwarden.llm.tables import stored
 
-BLOCK_DIMENSIONS, CHUNK, CELL_TARGET, MOST_GRID = 8, 1000, 400, 4
+BLOCK_DIMENSIONS, CHUNK, CELL_TARGET = 8, 1000, 400
 _SLACK = 1e-9
 _CELLS = "class_id long, size int, block int, cell long, home boolean"
 _FOUND = "a long, b long, n long"
@@ -81,12 +82,17 @@ def _in_cells(cosine: float, grid: int):
                     home = np.floor(at / (4 * reach)).astype(np.int64)
                     low, high = (np.floor((at + d) / (4 * reach)).astype(np.int64) for d in (-reach, reach))
                     other = np.where(low != home, low, high)
+                    # how far the other cell is: a guest stands within the radius of the cell, over all coordinates together
+                    edge = np.where(low != home, at - home * 4 * reach, (home + 1) * 4 * reach - at)
                     for moved in itertools.product((False, True), repeat=at.shape[1]):
-                        cell, good = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+                        cell, good, far = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool), np.zeros(len(ids))
                         for k, away in enumerate(moved):
-                            cell = (cell << 16) + ((other if away else home)[:, k] & 0xFFFF)
+                            cell = mix(cell + (other if away else home)[:, k].astype(np.uint64) + np.uint64(k + 1))
                             if away:
                                 good &= other[:, k] != home[:, k]
+                                far += edge[:, k] * edge[:, k]
+                        good &= far <= reach * reach
+                        cell = cell.view(np.int64)
                         n = int(good.sum())
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -154,7 +160,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "vector-classes"
     )
     most = classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    grid = min(MOST_GRID, max(1, math.ceil(math.log(max(1, most) / CELL_TARGET + 1, 3))))
+    grid = max(1, math.ceil(math.log(max(1, most) / CELL_TARGET + 1, 3)))
     placed = classes.select("class_id", F.size("embedding").alias("size"), "embedding").mapInArrow(_in_cells(cosine, grid), _CELLS)
     light = stored(placed.join(classes.select("class_id", "label"), "class_id"), "vector-cells")
     key = ["label", "size", "block", "cell"]
