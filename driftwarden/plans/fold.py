@@ -4,9 +4,10 @@ A healed batch can change the schema the next batch is compared with, so the dec
 sequential within a source. It runs over one summary per batch, never over rows, and it is not
 tied to one task per source either: summaries are range partitioned by (source, batch), every
 partition is folded at once from an assumed starting schema, and partitions whose true start (the
-end of the one before) turns out different are folded again until nothing changes. Schemas settle
-quickly, so this takes a few rounds; the worst case is the plain sequential order. What the driver
-sees is one end state per partition.
+end of the one before) turns out different are folded again. Schemas settle quickly, so this mostly takes
+a round or two. Where every partition changes the schema it would take one for each: after ``ROUNDS``, one task walks
+the summaries that are left in plain order and tells where each partition begins, so the number of jobs is
+bounded whatever the data. What the driver sees is one end state per partition.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _PLAN_TAIL = """
     registrations array<struct<version:int, kind:string, schema:map<string,string>>>
 """
 _EMIT = 1024  # plan rows per Arrow batch
+ROUNDS = 3  # folds from assumed starts before the rest is walked in order
 
 
 def fold(profile: DataFrame, active: DataFrame | None, options: Options) -> DataFrame:
@@ -90,7 +92,7 @@ def _settled_starts(ordered: DataFrame, rules: Rules) -> dict[int, Position]:
     starts: dict[int, Position] = {}
     ends: dict[int, dict] = {}
     stale: list[int] | None = None
-    while True:
+    for _ in range(ROUNDS):
         todo = ordered if stale is None else ordered.where(F.col("_part").isin(stale))
         ends.update({row["part"]: row.asDict() for row in _ends(todo, starts, rules).collect()})
         chained = _chain(ends)
@@ -101,6 +103,10 @@ def _settled_starts(ordered: DataFrame, rules: Rules) -> dict[int, Position]:
         starts = chained
         if not stale:
             return starts
+    # all before the first stale partition is settled; the rest in one task, summaries only
+    rest = ordered.where(F.col("_part") >= min(stale)).repartition(1).sortWithinPartitions("_part", SOURCE, BATCH)
+    ends.update({row["part"]: row.asDict() for row in _ends(rest, starts, rules).collect()})
+    return _chain(ends)
 
 
 def _chain(ends: dict[int, dict]) -> dict[int, Position]:
@@ -127,19 +133,29 @@ def _ends(ordered: DataFrame, starts: dict[int, Position], rules: Rules) -> Data
     )
     arrow = to_arrow_schema(shape)
 
+    def end_of(first: dict, last: dict, count: int, schema: list | None, version: int | None) -> pa.RecordBatch:
+        out = {
+            "part": last["_part"], "first_source": first[SOURCE], "last_source": last[SOURCE],
+            "version": version, "registered": count, "schema": schema,
+        }
+        return pa.RecordBatch.from_pylist([out], schema=arrow)
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last, count, end = None, None, 0, None
+        first, last, count, held = None, None, 0, (None, None)
         for row, verdict, at in walk(batches, starts, rules):
+            if last is not None and row["_part"] != last["_part"]:
+                yield end_of(first, last, count, *held)
+                first, count = None, 0
+            if first is None or row[SOURCE] != last[SOURCE]:
+                count = 0
             first = first or row
-            count = count * (last is None or row[SOURCE] == last[SOURCE]) + len(verdict["registrations"])
-            last, end = row, at
+            count += len(verdict["registrations"])
+            # the position moves on, so what it is after this row is kept apart
+            if verdict["registrations"] or last is None or row[SOURCE] != last[SOURCE]:
+                held = (list(at.schema.items()) if at.schema is not None else None, at.version)
+            last = row
         if last is not None:
-            out = {
-                "part": last["_part"], "first_source": first[SOURCE], "last_source": last[SOURCE],
-                "version": end.version, "registered": count,
-                "schema": list(end.schema.items()) if end.schema is not None else None,
-            }
-            yield pa.RecordBatch.from_pylist([out], schema=arrow)
+            yield end_of(first, last, count, *held)
 
     return ordered.mapInArrow(summarise, shape)
 

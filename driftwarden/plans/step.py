@@ -138,7 +138,8 @@ def walk(batches: Iterator[pa.RecordBatch], starts: dict[int, Position], rules:
 
 
 def plan_row(row: dict, verdict: dict) -> dict:
-    out = {name: row[name] for name in (SOURCE, BATCH, "piece", "n_rows", "n_malformed", "error")}
+    out = {name: row[name] for name in (SOURCE, BATCH, "piece", "n_rows", "error")}
+    out["n_malformed"] = row.get("n_malformed") or 0
     out.update(verdict)
     for name in ("expected", "observed", "lost"):
         out[name] = list(out[name].items()) if out[name] is not None else None

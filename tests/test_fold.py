@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import event_pieces
 from driftwarden import Load, Options, Piece, tag
+from driftwarden.plans import fold as fold_module
 from driftwarden.plans import step
 from driftwarden.plans.fold import fold
 from driftwarden.plans.step import Position, advance, rules_of
@@ -60,6 +61,18 @@ def test_partitioned_fold_equals_the_sequence(spark, seed):
     assert verdicts(fold(profile, None, options)) == in_sequence(rows, options)
 
 
+@pytest.mark.parametrize("partitions", [8, 30])
+def test_jobs_do_not_grow_when_every_partition_changes_the_schema(spark, monkeypatch, partitions):
+    """Every second batch brings a new column, so the end of every partition depends on all before it."""
+    rows = [summary("a", b, {f"c{k}": "integer" for k in range(b // 2 + 1)}) for b in range(2 * partitions)]
+    rows += [summary("b", b, {"x": "integer" if b < 3 else "string"}, lost={"x": {"integer": 1}}) for b in range(5)]
+    folds, plain = [], fold_module._ends
+    monkeypatch.setattr(fold_module, "_ends", lambda *given: folds.append(1) or plain(*given))
+    options = Options(batches_per_task=2, max_coercion_loss_pct=20.0)
+    assert verdicts(fold(spark.createDataFrame(rows, SUMMARY), None, options)) == in_sequence(rows, options)
+    assert len(folds) <= fold_module.ROUNDS + 1
+
+
 def test_known_outcome_of_drifting_events(spark):
     plan = Load(event_pieces(spark, SF)).plan
     found = {r["_batch"]: (r["disposition"], r["expected_version"], r["evolved_to"]) for r in plan.collect()}
