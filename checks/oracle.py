@@ -509,6 +509,11 @@ def statements() -> dict[str, str]:
             CAST(sum(id) AS BIGINT) AS id_sum FROM q GROUP BY 1, 2""",
         "quarantine_purge": f"""{_STORE} SELECT id, error_type, quarantined_at, resolved FROM q
             WHERE NOT (resolved AND quarantined_at < TIMESTAMP '1999-01-01' - INTERVAL 30 DAY)""",
+        "quarantine_upkeep": f"""{_STORE}, k AS (SELECT *, resolved AND quarantined_at < TIMESTAMP '1999-01-01' - INTERVAL 30 DAY AS old FROM q)
+            SELECT error_type, resolved, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum, (SELECT count(*) FROM k WHERE old) AS purged
+            FROM k WHERE NOT old GROUP BY 1, 2""",
+        "quarantine_trend": f"""{_STORE} SELECT CAST(quarantined_at AS DATE) AS day, source_name, error_type, count(*) AS n
+            FROM q GROUP BY 1, 2, 3""",
         "quarantine_stats": f"""{_STORE} SELECT 'all' AS pipeline_name, count(*) AS total,
             count(*) FILTER (WHERE NOT resolved) AS unresolved, count(*) FILTER (WHERE resolved) AS resolved FROM q
             UNION ALL SELECT 'p1', count(*), count(*) FILTER (WHERE NOT resolved), count(*) FILTER (WHERE resolved)

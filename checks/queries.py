@@ -665,6 +665,35 @@ def quarantine_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("id", "error_type", "quarantined_at", "resolved")
 
 
+def _kept_records(spark: SparkSession, sf_dir: str) -> State:
+    """A state that holds the records, with every second one resolved by its id."""
+    state, rows = State(spark, fresh_folder(spark, "state")), X.quarantine_records(spark, sf_dir)
+    nothing = {c: F.lit(None).cast("string") for c in ("batch_id", "column_name", "record_json", "error_detail", "root_cause_hint")}
+    stored = rows.withColumns({
+        "id": F.col("id").cast("string"), "schema_version": F.lit(1), "quarantined_at": F.col("quarantined_at").cast("timestamp"), **nothing
+    })
+    state.write_records(stored)
+    state.mark_resolved(rows.where("resolved").select(F.col("id").cast("string").alias("id")))
+    return state
+
+
+@query
+def quarantine_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a state keeps, resolved by id and purged: what was purged, and what is left."""
+    state = _kept_records(spark, sf_dir)
+    gone = state.purge(30, F.lit("1999-01-01").cast("timestamp"))
+    left = state.records().groupBy("error_type", "resolved").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("bigint")).alias("id_sum"))
+    return left.withColumn("purged", F.lit(gone).cast("bigint"))
+
+
+@query
+def quarantine_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per day, source and error type, from the daily counts of the runs; a purge does not change them."""
+    state = _kept_records(spark, sf_dir)
+    state.purge(30, F.lit("1999-01-01").cast("timestamp"))
+    return state.trend()
+
+
 @query
 def quarantine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = X.quarantine_records(spark, sf_dir)

@@ -17,6 +17,7 @@ RECORDS = """
     root_cause_hint string, schema_version int, quarantined_at timestamp
 """
 RESOLUTIONS = "id string, resolved_at timestamp, run_id string, attempt int"
+DAILY = "source_name string, run_id string, day date, error_type string, n bigint"
 EVENTS = """
     source_name string, run_id string, id string, pipeline_name string, batch_id string,
     drift_type string, details_json string, healed boolean, healing_action string,
@@ -132,3 +133,14 @@ def stats_sets(stored: DataFrame, pipeline_name: str | None = None) -> DataFrame
 
 def count_by(stored: DataFrame, key: str | Column) -> DataFrame:
     return stored.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily(records: DataFrame) -> DataFrame:
+    """Counts of a run's records per day and error type: rows that add up over runs."""
+    day = F.to_date("quarantined_at").alias("day")
+    return records.groupBy("source_name", "run_id", day, "error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trend(counts: DataFrame) -> DataFrame:
+    """Records per day, source and error type."""
+    return counts.groupBy("day", "source_name", "error_type").agg(F.sum("n").alias("n"))

@@ -16,7 +16,7 @@ from driftwarden.operators import ledger, quarantine
 from driftwarden.options import Options
 from driftwarden.operators.alerts import ALERTS
 from driftwarden.operators.joins import bounded_join
-from driftwarden.scratch import partition_value, remove_matching
+from driftwarden.scratch import cut, partition_value, remove_matching
 from driftwarden.sources import sinks
 from driftwarden.sources.sinks import path_missing
 
@@ -61,7 +61,7 @@ class State:
     def forget(self, run_id: str) -> None:
         """Remove what an earlier attempt of a run recorded; its run events stay."""
         key = partition_value(self.spark, run_id)
-        for name in ("schema_versions", self._records_table(), "drift_events", "alerts"):
+        for name in ("schema_versions", self._records_table(), "quarantine_daily", "drift_events", "alerts"):
             remove_matching(self.spark, f"{self.folder}/{name}/source_name=*/run_id={key}")
 
     # -- attempts and commits ------------------------------------------------------------------
@@ -128,6 +128,14 @@ class State:
 
     def write_records(self, rows: DataFrame) -> None:
         self._replace_run(self._records_table(), quarantine.RECORDS, rows)
+        # counted from what was written, so that a run's records are made once
+        runs = rows.select(*_BY_RUN).distinct()
+        written = bounded_join(self._read(self._records_table(), quarantine.RECORDS), cut(runs), _BY_RUN, self.options, "left_semi")
+        self._replace_run("quarantine_daily", quarantine.DAILY, quarantine.daily(written))
+
+    def trend(self) -> DataFrame:
+        """Records per day, source and error type: sums of the daily counts of the runs, which a purge leaves as they are."""
+        return quarantine.trend(self._read("quarantine_daily", quarantine.DAILY))
 
     def mark_resolved(self, ids: DataFrame | list[str], at: Column | None = None) -> int:
         """Resolve records by id; the count is of the ids that were found."""
@@ -141,24 +149,23 @@ class State:
         return found.count()
 
     def purge(self, older_than_days: int, now: Column | None = None) -> int:
-        """Drop old resolved records by writing what remains as the next snapshot.
+        """Drop old resolved records; only the partitions (source, run) that have some are written again.
 
-        The snapshot counts only once its number is recorded, after it is complete.
+        A purge that is cut short has done some partitions; the next one does the rest.
         """
         # one point in time for the count and for what is dropped
         now = F.lit(self.spark.range(1).select(now if now is not None else F.current_timestamp()).first()[0])
-        stored = self.records()
-        gone = stored.where(quarantine.outdated(older_than_days, now)).count()
+        stored, old = self.records(), quarantine.outdated(older_than_days, now)
+        hit = cut(stored.groupBy(*_BY_RUN).agg(F.count_if(old).alias("gone"), F.count_if(~F.coalesce(old, F.lit(False))).alias("left")).where("gone > 0"))
+        gone = hit.agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
         if gone:
-            current = int(self._records_table().rsplit("=", 1)[1])
-            kept = quarantine.purged(stored, older_than_days, now)
-            (
-                kept.select(*T.DataType.fromDDL(quarantine.RECORDS).names)
-                .hint("rebalance").write.mode("overwrite").partitionBy(*_BY_RUN)
-                .parquet(f"{self.folder}/quarantine_records/snapshot={current + 1}")
-            )
-            mark = self.spark.range(1).select(F.lit(current + 1).alias("snapshot"), now.alias("made_at"))
-            self._append("quarantine_snapshots", SNAPSHOTS, mark)
+            some = bounded_join(stored, hit.select(*_BY_RUN), _BY_RUN, self.options, "left_semi")
+            # a folder cannot be written while it is read: what stays is kept apart first
+            kept = cut(quarantine.purged(some, older_than_days, now))
+            self._replace_run(self._records_table(), quarantine.RECORDS, kept)
+            for row in hit.where("left = 0").select(*_BY_RUN).toLocalIterator():
+                source, run = (partition_value(self.spark, row[c]) for c in _BY_RUN)
+                remove_matching(self.spark, f"{self.folder}/{self._records_table()}/source_name={source}/run_id={run}")
         return gone
 
     # -- drift events, alerts, runs ---------------------------------------------------------------

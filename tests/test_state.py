@@ -1,3 +1,4 @@
+import glob
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -122,3 +123,28 @@ def test_registering_by_hand(spark, folder):
 def test_run_ids():
     made = new_run_id(datetime(2024, 2, 1, 3, 4, 5, tzinfo=UTC))
     assert made.startswith("run-20240201T030405-") and len(made.rsplit("-", 1)[1]) == 6
+
+
+def test_a_purge_leaves_other_partitions_alone(spark, folder):
+    state = State(spark, folder)
+    days = {"r1": 100, "r2": 100, "r3": 1, "r=4 %": 100}
+    rows = [
+        ("s", run, f"{run}-{i}", "p", None, None, "{}", "SCHEMA_DRIFT", "", "", 1, NOW - timedelta(days=age))
+        for run, age in days.items() for i in range(3)
+    ]
+    state.write_records(spark.createDataFrame(rows, quarantine.RECORDS))
+    state.mark_resolved(["r1-0", "r3-0", *(f"r=4 %-{i}" for i in range(3))])
+    trend = sorted(map(tuple, state.trend().collect()))
+
+    def files(run):
+        return sorted(glob.glob(f"{folder}/quarantine_records/*/source_name=s/run_id={run}/*.parquet"))
+
+    before = {run: files(run) for run in ("r1", "r2", "r3")}
+    assert state.purge(30, F.lit(NOW)) == 4
+    assert sorted(r["id"] for r in state.records().collect()) == ["r1-1", "r1-2", "r2-0", "r2-1", "r2-2", "r3-0", "r3-1", "r3-2"]
+    assert files("r2") == before["r2"] and files("r3") == before["r3"] and files("r1") != before["r1"]
+    assert state.purge(30, F.lit(NOW)) == 0
+    # the trend tells what was quarantined, also after a purge, and a repeated run counts once
+    assert sorted(map(tuple, state.trend().collect())) == trend and sum(r[3] for r in trend) == 12
+    state.write_records(spark.createDataFrame(rows[:3], quarantine.RECORDS))
+    assert sum(r["n"] for r in state.trend().collect()) == 12
