@@ -550,6 +550,14 @@ def statements() -> dict[str, str]:
         "sink_retry": f"""{_stands(plan)} SELECT s AS step, total AS rows_extracted, CASE s WHEN 3 THEN total ELSE clean END AS rows_loaded,
               refused + cells AS rows_left, refused + cells AS unresolved, clean AS sink_rows, version
             FROM t, (VALUES (1), (2), (3)) v(s)""",
+        "streaming_load": f"""{plan}, h AS (SELECT *, CASE WHEN b < 5 THEN 1 ELSE 2 END AS step,
+              CASE WHEN disposition = 'HEALING_FAILED' THEN n_rows ELSE loss END AS held,
+              CASE WHEN disposition = 'HEALING_FAILED' THEN 0 ELSE n_rows END AS good FROM plan),
+            s AS (SELECT step, CAST(sum(n_rows) AS BIGINT) AS n, CAST(sum(good) AS BIGINT) AS good, CAST(sum(held) AS BIGINT) AS held,
+              count(*) FILTER (evolved) AS evolved FROM h GROUP BY step)
+            SELECT CAST(step AS INTEGER) AS step, 1 AS micro_batches, n AS rows_extracted, good AS rows_loaded, held AS rows_quarantined,
+              CAST(sum(good) OVER w AS BIGINT) AS sink_rows, CAST(sum(held) OVER w AS BIGINT) AS records,
+              CAST(1 + sum(evolved) OVER w AS INTEGER) AS version FROM s WINDOW w AS (ORDER BY step)""",
         # runs and alerts
         "run_ledger": f"""{plan} SELECT 'r1' AS run_id, 'etl_pipeline' AS pipeline_name, 'events' AS source_name,
             'SUCCESS' AS status, CAST(sum(n_rows) AS BIGINT) AS rows_extracted,

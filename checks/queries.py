@@ -31,6 +31,7 @@ from driftwarden.sources.frames import frame_pieces, pieces_of
 from driftwarden.sources.json_lines import json_lines, json_text
 from driftwarden.sources.pieces import BATCH, SOURCE, Piece, tag, with_own_names
 from driftwarden.streaming import stream
+from driftwarden.streaming.load import StreamingLoad
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -859,6 +860,26 @@ def sink_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(seen, _STAND)
 
 
+@query
+def streaming_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten files of events that arrive in two halves, loaded as a stream in micro-batches of up to five; a new object goes on after the first."""
+    state, folder = State(spark, fresh_folder(spark, "state")), fresh_folder(spark, "arriving")
+    sink, pieces, seen = fresh_folder(spark, "sink"), X.event_pieces(spark, sf_dir), []
+    layout = [0, 0, 0, 1, 2, 3, 4, 3, 5, 1]
+    for step, numbers in ((1, range(5)), (2, range(5, 10))):
+        for k in numbers:
+            rows = pieces[layout[k]].frame.where(F.col(BATCH) == k).drop(SOURCE, BATCH).coalesce(1)
+            sinks.write_jsonl(rows, f"{folder}/b{k}")
+        told = StreamingLoad(spark, state, "arriving", "events", folder, "jsonl", destination_path=sink, max_files=5).drain(NOW)
+        seen.append((
+            step, len(told), *(sum(t[c] for t in told) for c in ("rows_extracted", "rows_loaded", "rows_quarantined")),
+            state.loaded("jsonl", sink).count(), state.records().count(), state.versions().agg(F.max("version")).first()[0],
+        ))
+    return spark.createDataFrame(
+        seen, "step int, micro_batches int, rows_extracted bigint, rows_loaded bigint, rows_quarantined bigint, sink_rows bigint, records bigint, version int"
+    )
+
+
 # -- runs and alerts -------------------------------------------------------------------------------------
 
 

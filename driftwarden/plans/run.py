@@ -32,7 +32,7 @@ def run(
     destination: str,
     *,
     source_type: str = "dataframe",
-    source_path: str | None = None,
+    source_path: str | list[str] | None = None,
     source_frame: DataFrame | None = None,
     pieces: list[Piece] | None = None,
     source_options: dict | None = None,

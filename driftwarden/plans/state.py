@@ -44,6 +44,13 @@ class State:
                 return self.spark.createDataFrame([], shape)
             raise
 
+    def read(self, name: str, ddl: str) -> DataFrame:
+        """A table that others keep beside the state's own."""
+        return self._read(name, ddl)
+
+    def append(self, name: str, ddl: str, rows: DataFrame) -> None:
+        self._append(name, ddl, rows)
+
     def _append(self, name: str, ddl: str, rows: DataFrame) -> None:
         rows.select(*T.DataType.fromDDL(ddl).names).write.mode("append").parquet(f"{self.folder}/{name}")
 

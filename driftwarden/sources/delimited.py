@@ -33,7 +33,7 @@ def file_batch():
     )
 
 
-def _header_lines(spark: SparkSession, path: str) -> DataFrame:
+def _header_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line): the first line of every file, told by its place in the file."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -77,7 +77,7 @@ def _checked(value: str, problem: str) -> str:
 Layout = tuple[DataFrame, list[tuple[str, str]], str]
 
 
-def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layout]:
+def _mixed(spark: SparkSession, path: str | list[str], options: dict[str, str]) -> list[Layout]:
     """One layout per distinct header; the headers cost one scan of the text."""
     lines = cut(_header_lines(spark, path))  # a row per file: the text is scanned once, however many layouts there are
     layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
@@ -96,7 +96,7 @@ def _mixed(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layo
     return found
 
 
-def _same(spark: SparkSession, path: str, options: dict[str, str]) -> list[Layout]:
+def _same(spark: SparkSession, path: str | list[str], options: dict[str, str]) -> list[Layout]:
     """The one layout of files that all have the first one's header; another header is an error."""
     first = spark.read.text(path).first()
     if first is None:
@@ -125,7 +125,7 @@ def checked_choice(on_malformed: str) -> str:
 
 def delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     source_name: str,
     batch_rows: int | None = None,
     multi_line: bool = False,

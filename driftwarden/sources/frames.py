@@ -38,7 +38,7 @@ def pieces_of(
     spark: SparkSession,
     source_type: str,
     source_name: str,
-    path: str | None = None,
+    path: str | list[str] | None = None,
     frame: DataFrame | None = None,
     batch_rows: int | None = None,
     **how,

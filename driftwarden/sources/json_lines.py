@@ -14,7 +14,7 @@ _LINE = "_line"
 MALFORMED_MODES = {"fail": "FAILFAST", "quarantine": "PERMISSIVE"}
 
 
-def json_text(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+def json_text(spark: SparkSession, path: str | list[str], place: bool = False) -> DataFrame:
     """Non-blank lines and the file they are from, with ``place`` also where they were read."""
     lines = spark.read.text(path).where(F.length(F.trim("value", F.lit(" \t\r\n"))) > 0)
     lines = lines.select(F.col("value").alias(_LINE), file_batch().alias(BATCH), "_metadata")
@@ -33,7 +33,7 @@ def keys_of(lines: DataFrame, mode: str = "FAILFAST") -> list[str]:
 
 
 def json_lines(
-    spark: SparkSession, path: str, source_name: str, batch_rows: int | None = None, on_malformed: str = "fail"
+    spark: SparkSession, path: str | list[str], source_name: str, batch_rows: int | None = None, on_malformed: str = "fail"
 ) -> list[Piece]:
     """One piece; a batch has the columns that at least one of its records has.
 
