@@ -573,6 +573,13 @@ def statements() -> dict[str, str]:
             count(*) AS n FROM orders GROUP BY 1""",
         "alerts_table": f"""{alerts} SELECT {_BATCH}, title, severity, 'r1' AS run_id, summary,
             '2024-02-01T00:00:00.000000+00:00' AS at FROM alerts""",
+        "alerts_record": f"""{alerts} SELECT CAST(a.b AS VARCHAR) AS batch_id, title, CAST(len(a.hints) AS INTEGER) AS n_hints,
+              CAST(len(string_split(suggested, '|')) AS INTEGER) AS n_actions,
+              CASE WHEN title = 'Records Quarantined' THEN 'OBJECT<batch_index: BIGINT>'
+                WHEN disposition = 'HEALED' THEN 'OBJECT<actions: STRING, batch_index: BIGINT, rows_coerced: BIGINT, rows_healed: BIGINT>'
+                ELSE 'OBJECT<batch_index: BIGINT, coercion_loss: BIGINT, rows: BIGINT>' END AS shape,
+              CASE WHEN title <> 'Records Quarantined' THEN n_rows END AS n
+            FROM alerts a JOIN final f ON f.b = a.b""",
         "alerts_min_severity": f"{alerts} SELECT severity, title, count(*) AS n FROM alerts WHERE severity = 'ERROR' GROUP BY 1, 2",
         "alerts_drift": f"""{alerts} SELECT {_BATCH}, severity, summary, suggested, metrics_text FROM alerts
             WHERE title = 'Schema Drift Detected'""",

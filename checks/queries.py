@@ -938,6 +938,19 @@ def alerts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def alerts_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole alert records: how many hints and actions, the types of the metrics, and the rows they tell."""
+    record = F.parse_json(alerts.record_json()).alias("r")
+    return _event_alerts(spark, sf_dir).select("batch_id", record).selectExpr(
+        "batch_id", "variant_get(r, '$.alert.title', 'string') AS title",
+        "size(variant_get(r, '$.root_cause_hints', 'array<string>')) AS n_hints",
+        "size(variant_get(r, '$.suggested_actions', 'array<string>')) AS n_actions",
+        "schema_of_variant(variant_get(r, '$.metrics', 'variant')) AS shape",
+        "coalesce(try_variant_get(r, '$.metrics.rows', 'bigint'), try_variant_get(r, '$.metrics.rows_healed', 'bigint')) AS n",
+    )
+
+
 @query
 def alerts_min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _event_alerts(spark, sf_dir, Options(min_severity="error"))

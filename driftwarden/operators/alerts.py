@@ -118,10 +118,33 @@ def record_json() -> Column:
         F.col("pipeline_name").alias("pipeline"), F.col("source_name").alias("source"), "run_id",
     )
     return F.to_json(
-        F.struct(head.alias("alert"), "summary", "root_cause_hints", "suggested_actions", "metrics")
+        F.struct(head.alias("alert"), "summary", "root_cause_hints", "suggested_actions", _typed_metrics().alias("metrics"))
     )
 
 
+#: Metrics that are text also where they look like a number.
+_TEXTS = ("actions",)
+
+
+def _typed_metrics() -> Column:
+    """The metrics as a nested value: counts as numbers, the rest as text."""
+
+    def entry(e: Column) -> Column:
+        text = F.to_json(F.array(e["value"]))
+        number = ~e["key"].isin(*_TEXTS) & e["value"].rlike("^-?(0|[1-9][0-9]{0,17})$")
+        name = F.to_json(F.array(e["key"]))
+        value = F.when(number, e["value"]).otherwise(_inside(text))
+        return F.concat(_inside(name), F.lit(":"), value)
+
+    pairs = F.array_join(F.transform(F.map_entries("metrics"), entry), ",")
+    return F.parse_json(F.concat(F.lit("{"), pairs, F.lit("}")))
+
+
+def _inside(listed: Column) -> Column:
+    """The one value of a JSON list."""
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
 def _bullets(lines: Column) -> Column:
     text = F.array_join(F.transform(lines, lambda line: F.concat(F.lit("• "), line)), "\n")
     return F.when(text == "", F.lit(W.NOTHING_LISTED)).otherwise(text)

@@ -34,7 +34,7 @@ def test_payload(spark):
 
 def test_record(spark):
     record = json.loads(one(spark, ["h"], ["a"]).select(alerts.record_json()).first()[0])
-    assert record["alert"]["pipeline"] == "p" and record["metrics"] == {"rows": "5"}
+    assert record["alert"]["pipeline"] == "p" and record["metrics"] == {"rows": 5}
     assert record["root_cause_hints"] == ["h"]
 
 
@@ -50,3 +50,9 @@ def test_failure_alert(spark):
     row = alerts.failure_alerts(runs, F.lit(NOW)).first()
     assert row["severity"] == "CRITICAL" and row["summary"] == "Pipeline 'p' failed: no such file"
     assert len(row["root_cause_hints"]) == 2 and len(row["suggested_actions"]) == 3
+
+
+def test_metrics_of_a_record_have_types(spark):
+    made = one(spark, [], []).withColumn("metrics", F.expr("map('actions', '12', 'batch_index', 'file \"a\", 1', 'rows', '-7', 'zero', '007')"))
+    record = json.loads(made.select(alerts.record_json()).first()[0])
+    assert record["metrics"] == {"actions": "12", "batch_index": 'file "a", 1', "rows": -7, "zero": "007"}
