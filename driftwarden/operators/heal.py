@@ -34,7 +34,8 @@ _JSON = {
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
-_FEW = 500  # batch keys that are passed to a scan as a filter
+_FEW = 10_000  # batch keys that are passed to a scan one by one
+_RANGES = 64  # ranges of keys that are passed to it instead where there are more
 QUARANTINED = """
     source_name string, batch_id string, column_name string, record_json string,
     error_type string, error_detail string, root_cause_hint string, schema_version int
@@ -159,8 +160,10 @@ class Healing:
         for found in self.moves.values():
             found.sort(key=lambda m: m.code)
         told = self.plan.where("disposition IN ('SCHEMA_DRIFT', 'HEALING_FAILED', 'TRANSFORM_ERROR') OR loss > 0")
-        few = told.select("piece", "disposition", BATCH).limit(_FEW + 1).collect()
+        told = told.select("piece", "disposition", BATCH)
+        few = told.limit(_FEW + 1).collect()
         self.few = None if len(few) > _FEW or any(r[2] is None for r in few) else few
+        self.ranges = [] if self.few is not None else self._key_ranges(told)
         self._lay_out(gaps if self.options.column_backfill else {})
 
     def _lay_out(self, gaps: dict[str, set[str]]) -> None:
@@ -290,10 +293,21 @@ class Healing:
             rows = self._joined(frame, facts)
         return with_numbers(rows, self._numeric(index))
 
+    @staticmethod
+    def _key_ranges(told: DataFrame) -> list:
+        """(first key, last key) of at most ``_RANGES`` stretches that hold all keys; none where a key is missing."""
+        if told.where(F.col(BATCH).isNull()).take(1):
+            return []
+        cut = told.select(BATCH).repartitionByRange(_RANGES, BATCH).groupBy(F.spark_partition_id()).agg(
+            F.min(BATCH).alias("low"), F.max(BATCH).alias("high")
+        )
+        return [(r["low"], r["high"]) for r in cut.select("low", "high").collect()]
+
     def _narrowed(self, frame: DataFrame, index: int, *dispositions: str) -> DataFrame:
-        """Rows of few batches are asked for by key, so that a scan can skip the other files."""
+        """Rows of some batches are asked for by key, so that a scan can skip the other files; by ranges of keys where there are many."""
         if self.few is None:
-            return frame
+            inside = [F.col(BATCH).between(low, high) for low, high in self.ranges]
+            return frame.where(reduce(Column.__or__, inside)) if inside else frame
         keys = [key for piece, kind, key in self.few if piece == index and kind in dispositions]
         return frame.where(F.col(BATCH).isin(*keys))
 

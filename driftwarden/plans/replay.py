@@ -23,7 +23,7 @@ from driftwarden.plans.run import FAILED, RUNNING, SUCCESS, new_run_id
 from driftwarden.plans.state import State, run_event
 from driftwarden.plans.step import HEALING_FAILED, SCHEMA_DRIFT, TRANSFORM_ERROR
 from driftwarden.scratch import cut
-from driftwarden.sources.json_lines import keys_of, tokens
+from driftwarden.sources.json_lines import REST, key_values, keys_of, tokens
 from driftwarden.sources.pieces import BATCH, SOURCE, TOKENS, Piece, safe_name, tag, with_own_names
 from driftwarden.sources.sinks import drop_attempts, load_into
 
@@ -50,13 +50,13 @@ def record_piece(rows: DataFrame, source_name: str, active: dict[str, str]) -> P
         F.concat_ws("/", "run_id", "batch_id").alias(BATCH), IDS, F.col("record_json").alias("_line"),
         F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("_n"),
     ).drop("_n")
-    keys = keys_of(lines)
+    keys, others = keys_of(lines)
     parsed = lines.withColumn(TOKENS, tokens())
-    values = [F.try_element_at(TOKENS, F.lit(k)).cast("string").alias(safe_name(k)) for k in keys]
     names = [safe_name(k) for k in keys]
     dated = frozenset(n for k, n in zip(keys, names, strict=True) if active.get(n, active.get(k)) == DATETIME)
-    frame = tag(parsed.select(BATCH, TOKENS, IDS, *values), source_name, F.col(BATCH))
-    return Piece(frame, dict.fromkeys(names, "json"), carried=(IDS,), dated=dated)
+    inferred = dict.fromkeys(names, "json") | ({REST: "rest"} if others else {})
+    frame = tag(parsed.select(BATCH, TOKENS, IDS, *key_values(keys, others)), source_name, F.col(BATCH))
+    return Piece(frame, inferred, carried=(IDS,), dated=dated)
 
 
 def replay_load(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwarden.options import Options
@@ -26,22 +26,41 @@ def tokens(mode: str = "FAILFAST"):
     return F.from_json(_LINE, "map<string,variant>", {"mode": mode})
 
 
-def keys_of(lines: DataFrame, mode: str = "FAILFAST") -> list[str]:
-    """Distinct keys over all lines: bounded by the number of columns, with map-side combine."""
-    found = lines.select(F.explode(F.map_keys(tokens(mode))).alias("key")).distinct()
-    return sorted(row["key"] for row in found.collect())
+#: Keys that become columns, at most.
+MOST_KEYS = 2000
+#: The column of all other keys and their values, as JSON text.
+REST = "_other_keys"
+
+
+def keys_of(lines: DataFrame, mode: str = "FAILFAST", most: int = MOST_KEYS) -> tuple[list[str], bool]:
+    """The ``most`` commonest keys over all lines in the order of their names, and whether there are others; with map-side combine."""
+    counted = lines.select(F.explode(F.map_keys(tokens(mode))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = [row["key"] for row in counted.orderBy(F.desc("n"), "key").limit(most + 1).collect()]
+    return sorted(found[:most]), len(found) > most
+
+
+def key_values(keys: list[str], others: bool) -> list[Column]:
+    """A text column for each key, and one for what the others hold."""
+    values = [F.try_element_at(TOKENS, F.lit(k)).cast("string").alias(safe_name(k)) for k in keys]
+    if others:
+        rest = F.map_filter(TOKENS, lambda k, v: ~k.isin(*keys))
+        values.append(F.when(F.size(rest) > 0, F.to_json(rest)).alias(REST))
+    return values
 
 
 def json_lines(
-    spark: SparkSession, path: str | list[str], source_name: str, batch_rows: int | None = None, on_malformed: str = "fail"
-) -> list[Piece]:
+    spark: SparkSession, path: str | list[str], source_name: str, batch_rows: int | None = None, on_malformed: str = "fail",
+    most_keys: int = MOST_KEYS,
+) -> list[Piece]:
     """One piece; a batch has the columns that at least one of its records has.
 
+    Keys beyond the ``most_keys`` commonest are no columns: what a record has of them is JSON text in the column ``REST``.
+
     A batch is a file, or ``batch_rows`` consecutive lines when given. A line that is no JSON object fails the load, or goes
     to quarantine with its file and its place among the records there (``on_malformed="quarantine"``).
     """
     mode = MALFORMED_MODES[checked_choice(on_malformed)]
-    keys = keys_of(json_text(spark, path), mode)
+    keys, others = keys_of(json_text(spark, path), mode, most_keys)
     lines = placed = None
     if batch_rows is not None or on_malformed == "quarantine":
         lines = json_text(spark, path, place=True)
@@ -51,10 +70,11 @@ def json_lines(
     elif lines is None:
         lines = json_text(spark, path)
     parsed = lines.withColumn(TOKENS, tokens(mode))
-    values = [F.try_element_at(TOKENS, F.lit(k)).cast("string").alias(safe_name(k)) for k in keys]
+    values = key_values(keys, others)
     bad, malformed = [], None
     if on_malformed == "quarantine":
         bad = [F.col(TOKENS).isNull().alias(BAD)]
         malformed = tag(unread_lines(placed, tokens(mode).isNull()), source_name, F.col(BATCH))
     frame = tag(parsed.select(BATCH, TOKENS, *bad, *values), source_name, F.col(BATCH))
-    return [Piece(frame, dict.fromkeys(map(safe_name, keys), "json"), malformed=malformed)]
+    inferred = dict.fromkeys(map(safe_name, keys), "json") | ({REST: "rest"} if others else {})
+    return [Piece(frame, inferred, malformed=malformed)]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from driftwarden.functions import buckets
 from driftwarden.functions.coercion import looks_float, looks_integer
-from driftwarden.functions.sql import literal, words
+from driftwarden.functions.sql import literal, named, words
 
 SOURCE, BATCH, ERROR, TOKENS, BAD = "_source", "_batch", "_error", "_tokens", "_bad"
 RESERVED = (SOURCE, BATCH, TOKENS, BAD)
@@ -24,7 +24,7 @@ RESERVED = (SOURCE, BATCH, TOKENS, BAD)
 # Names the load gives to columns of its own, in any spelling, since Spark may ignore case.
 _INTERNAL = re.compile(
     r"(data:)*_(source|batch|error|tokens|bad|ids|salt|place|part|offset|position|n|file|block|line|failed|record|hint"
-    r"|version|type|detail|column|beyond_header(_2)?|corrupt_line|(number|move)_.*)",
+    r"|version|type|detail|column|other_keys|beyond_header(_2)?|corrupt_line|(number|move)_.*)",
     re.IGNORECASE | re.DOTALL,
 )
 _APART = "data:"
@@ -61,7 +61,7 @@ class Piece:
     ``judged``: a user transform was applied, so ``_error`` tells its bad rows and is no data.
 
     ``inferred`` maps a text column to how its bucket is told from the values of a batch:
-    ``"text"`` (by spelling) or ``"json"`` (by the token types kept in ``_tokens``). Of these, the ``dated`` ones are times where
+    ``"text"`` (by spelling) or ``"json"`` (by the token types kept in ``_tokens``), or ``"rest"`` (JSON text of keys that are no columns). Of these, the ``dated`` ones are times where
     all values of a batch can be read as such. ``carried`` columns are no data: they go along with the clean rows.
 
     ``malformed``: lines that could not be read (``_source``, ``_batch``, line, file, place). In the frame such a line is a row
@@ -115,13 +115,13 @@ class Piece:
         """Condition "this row has the column", None where every row has it."""
         if self.inferred.get(column) == "json":
             return f"map_contains_key({TOKENS}, {literal(own_name(column))})"
-        return None
+        return f"{named(column)} IS NOT NULL" if self.inferred.get(column) == "rest" else None
 
     def token(self, column: str) -> str | None:
         """The JSON token type of a value, None where values have none."""
         if self.inferred.get(column) == "json":
             return f"schema_of_variant({TOKENS}[{literal(own_name(column))}])"
-        return None
+        return "'STRING'" if self.inferred.get(column) == "rest" else None
 
 
 def looks(text: str, token: str | None, number: str) -> dict[str, str]:

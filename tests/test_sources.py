@@ -1,9 +1,11 @@
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftwarden import Load, Options
+from driftwarden.operators import heal
 from driftwarden.sources import sinks
 from driftwarden.sources.batching import in_rows, positions
 from driftwarden.sources.delimited import delimited
@@ -196,3 +198,34 @@ def test_batches_of_rows_over_files_with_different_headers(spark, folder):
     assert [(r["n_rows"], r["disposition"]) for r in plan] == [
         (4, "CLEAN"), (4, "CLEAN"), (2, "CLEAN"), (4, "HEALED"), (1, "CLEAN"), (2, "HEALED")
     ]
+
+
+def test_rare_keys_are_kept_in_one_column(spark, folder):
+    common = "".join(f'{{"id": {i}, "v": 1.5, "k{i}": {i}, "n{i}": null}}\n' for i in range(3000))
+    put(folder, "1.json", common, 0)
+    put(folder, "2.json", '{"id": 3000, "v": 2}\n', 1)
+    (piece,) = json_lines(spark, folder, "s", most_keys=2)
+    assert piece.columns == ["id", "v", "_other_keys"]
+    load = Load([piece])
+    rows = {r["id"]: r["_other_keys"] for r in load.clean.collect()}
+    assert len(rows) == 3001 and rows[3000] is None
+    assert json.loads(rows[17]) == {"k17": 17, "n17": None}
+    plan = load.plan.orderBy("_batch").collect()
+    assert plan[0]["observed"] == {"id": "integer", "v": "float", "_other_keys": "string"}
+    # a file without rare keys lacks the column
+    assert plan[1]["removed"] == ["_other_keys"] and plan[1]["disposition"] == "HEALED"
+
+
+def test_many_refused_batches_are_asked_for_by_ranges(spark, folder, monkeypatch):
+    for n in range(30):
+        put(folder, f"{n:02}.json", f'{{"id": {n}, "v": {n if n % 3 or not n else chr(34) + "x" + chr(34)}}}\n', n)
+    options = Options(max_coercion_loss_pct=0)
+    one_by_one = Load(json_lines(spark, folder, "s"), options)
+    want = sorted(r["record_json"] for r in one_by_one.quarantined.collect())
+    monkeypatch.setattr(heal, "_FEW", 3)
+    monkeypatch.setattr(heal, "_RANGES", 4)
+    by_range = Load(json_lines(spark, folder, "s"), options)
+    assert by_range.healing.few is None and 1 <= len(by_range.healing.ranges) <= 4
+    assert sorted(r["record_json"] for r in by_range.quarantined.collect()) == want and len(want) == 9
+    (piece,) = by_range.pieces
+    assert by_range.healing._narrowed(piece.rows, 0, "HEALING_FAILED").count() < 30
