@@ -27,9 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark).rstrip('/')}/driftwarden/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/driftwarden/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def folders_made() -> int:
+    """How many folders this process has asked for: where a job begins, for ``remove_folders``."""
+    return len(_MADE)
+
+
+def remove_folders(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Delete the folders asked for since then, but for those to keep: once a job's result is written, its steps are not needed.
+
+    Frames that read from them cannot be computed any more. Returns how many there were.
+    """
+    gone = [path for path in _MADE[since:] if path not in keep]
+    for path in gone:
+        remove_matching(spark, path)
+    _MADE[since:] = [path for path in _MADE[since:] if path in keep]
+    return len(gone)
 
 
 def cut(frame: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from checks.fixtures import event_pieces
 from driftwarden import Options, State, run
 from driftwarden.operators import ledger, quarantine
 from driftwarden.plans.run import new_run_id
+from driftwarden.scratch import folders_made, fresh_folder, remove_folders
 from driftwarden.sources.pieces import Piece, tag
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +149,13 @@ def test_a_purge_leaves_other_partitions_alone(spark, folder):
     assert sorted(map(tuple, state.trend().collect())) == trend and sum(r[3] for r in trend) == 12
     state.write_records(spark.createDataFrame(rows[:3], quarantine.RECORDS))
     assert sum(r["n"] for r in state.trend().collect()) == 12
+
+
+def test_folders_of_a_job_can_be_removed(spark):
+    since = folders_made()
+    first, second = (fresh_folder(spark, "job") for _ in range(2))
+    for path in (first, second):
+        spark.range(3).write.parquet(path)
+    assert remove_folders(spark, since, keep=(second,)) == 1
+    assert spark.read.parquet(second).count() == 3 and not glob.glob(f"{first.removeprefix('file:')}/*")
+    assert remove_folders(spark, since) == 1
