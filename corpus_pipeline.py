@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm import exact, jaccard, mixing, packing, toxicity
 from driftwarden.llm.packing_query import vocabulary
-from driftwarden.llm.tables import stored, table
+from driftwarden.llm.tables import table
 from driftwarden.llm.toxicity_query import MOST_LABELS, THRESHOLD
+from driftwarden.scratch import folders_made, fresh_folder, remove_folders
 
 #: Exponent of the sources' own sizes in the target weights: 1 keeps them, 0 makes all sources equal.
 MIX_EXPONENT = 0.8
@@ -55,10 +56,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    What a stage has kept on its way, and the result of the stage before it, goes once its own result is written.
+    """
+    docs, since = table(spark, sf_dir, "documents"), folders_made()
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        path = fresh_folder(spark, f"pipeline-{name}")
+        made.write.parquet(path)
+        remove_folders(spark, since, keep=(path,))
+        docs = spark.read.parquet(path)
     return docs
 
 
