@@ -18,7 +18,9 @@ import pyarrow as pa
 
 from driftwarden.llm.hashing import byte_runs, byte_slices, is_space, take_ranges
 
-REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 19, 1 << 16, 64
+REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 18, 1 << 16, 64
+#: Runs that are compared at a time.
+COMPARED_RUNS = 1 << 14
 
 
 class Encoder:
@@ -150,11 +152,14 @@ class Encoder:
 
 
 def same_bytes(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether ``a[first:first + length]`` equals the same stretch of ``b``, for every pair."""
-    differs = a[take_ranges(a_first, length)] != b[take_ranges(b_first, length)]
-    total = np.concatenate(([0], np.cumsum(differs)))
-    end = np.cumsum(length)
-    return total[end] == total[end - length]
+    """Whether ``a[first:first + length]`` equals the same stretch of ``b``, for every pair; some runs at a time, to keep memory small."""
+    same = np.ones(len(length), bool)
+    for i in range(0, len(length), COMPARED_RUNS):
+        some = slice(i, i + COMPARED_RUNS)
+        differs = np.flatnonzero(a[take_ranges(a_first[some], length[some])] != b[take_ranges(b_first[some], length[some])])
+        if len(differs):
+            same[i + np.unique(np.searchsorted(np.cumsum(length[some]), differs, "right"))] = False
+    return same
 
 
 @dataclass
