@@ -32,7 +32,7 @@ from driftwarden.llm.ranks import running
 from driftwarden.llm.tables import stored
 from driftwarden.llm.tokens import encoder
 
-CAPACITY = 1024
+CAPACITY, ROWS_AT_ONCE = 1024, 1000
 _TOKENIZED = "row long, doc_id long, doc_tokens long, token_ids binary"
 _PLACES = "row long, start long, length long, sequence_id long, offset long"
 _PIECES = _PLACES.replace("row", "doc_id") + ", doc_tokens long, ids array<int>"
@@ -57,7 +57,8 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         width, at = coder.width, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        # some rows at a time: no copy of a whole batch of long texts
+        for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
             for ids, first, rows in coder.documents(batch.column("text")):
                 raw = ids.astype(f"<u{width}")
                 held = pa.BinaryArray.from_buffers(

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from driftwarden.llm.hashing import byte_runs, byte_slices, is_space, take_ranges
 
-REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 18, 1 << 16, 64
+REMEMBERED_RUNS, RECENT_RUNS, LONGEST_REMEMBERED = 1 << 18, 1 << 15, 64
 #: Runs that are compared at a time.
 COMPARED_RUNS = 1 << 14
 
