@@ -1,4 +1,4 @@
-"""Joining rows to per-batch facts: broadcast while small, salted beyond that."""
+"""Joining rows to facts about them: broadcast while small, shuffled beyond that, with a salt where keys are hot."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwarden.options import Options
 
 _SALT = "_salt"
+SALTS = 32  # parts that the rows of one key are spread over
 
 
 def size_of(frame: DataFrame) -> int:
@@ -26,6 +27,7 @@ def bounded_join(
     options: Options,
     how: str = "inner",
     at_most: int | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``rows`` to ``facts`` (unique on ``keys``, already materialised).
 
@@ -33,12 +35,16 @@ def bounded_join(
 
     Below the byte limit the facts are broadcast and the rows do not move. Above it both sides are
     shuffled with a salt, the facts being repeated once per salt, so that one key holding a third
-    of the rows still spreads over many tasks.
+    of the rows still spreads over many tasks. Facts with a key of their own for almost every row are not repeated (``salts=1``).
+
+    Beyond the limit the merge join is asked for by name: Spark estimates the size of facts from the files they come from, does not
+    see how often they are repeated, and would broadcast them after all.
     """
     size = size_of(facts) if at_most is None else at_most
     if size <= options.broadcast_limit_bytes:
         return rows.join(F.broadcast(facts), keys, how)
-    salts = 32
+    if salts == 1:
+        return rows.join(facts.hint("merge"), keys, how)
     salted_rows = rows.withColumn(_SALT, (F.monotonically_increasing_id() % salts).cast("int"))
     salted_facts = facts.withColumn(_SALT, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted_rows.join(salted_facts, [*keys, _SALT], how).drop(_SALT)
+    return salted_rows.join(salted_facts.hint("merge"), [*keys, _SALT], how).drop(_SALT)

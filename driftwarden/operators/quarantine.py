@@ -72,13 +72,13 @@ def healing_summary() -> Column:
 def with_resolution(stored: DataFrame, resolutions: DataFrame, options: Options | None = None) -> DataFrame:
     """Records with ``resolved``, told from the ids that were resolved since."""
     done = resolutions.select("id").distinct().withColumn("_done", F.lit(True))
-    joined = bounded_join(stored, done, ["id"], options or Options(), "left")
+    joined = bounded_join(stored, done, ["id"], options or Options(), "left", salts=1)
     return joined.withColumn("resolved", F.col("_done").isNotNull()).drop("_done")
 
 
 def matching(stored: DataFrame, ids: DataFrame) -> DataFrame:
     """The ids among ``ids`` that are really stored; copies of a record count once."""
-    return ids.select("id").distinct().join(stored.select("id").distinct(), "id")
+    return ids.select("id").distinct().join(stored.select("id").distinct().hint("merge"), "id")
 
 
 def latest(

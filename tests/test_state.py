@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import event_pieces
 from driftwarden import Options, State, run
 from driftwarden.operators import ledger, quarantine
+from driftwarden.operators.joins import bounded_join
 from driftwarden.plans.run import new_run_id
 from driftwarden.scratch import folders_made, fresh_folder, remove_folders
 from driftwarden.sources.pieces import Piece, tag
@@ -159,3 +160,32 @@ def test_folders_of_a_job_can_be_removed(spark):
     assert remove_folders(spark, since, keep=(second,)) == 1
     assert spark.read.parquet(second).count() == 3 and not glob.glob(f"{first.removeprefix('file:')}/*")
     assert remove_folders(spark, since) == 1
+
+
+def joins(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+
+def test_many_resolved_ids_are_neither_broadcast_nor_repeated(spark, folder):
+    """Beyond the limit Spark's own estimate of the ids, from the size of their files, must not bring the broadcast back."""
+    stored = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("record_json"))
+    stored.where("id % 4 = 0").select("id").write.parquet(f"{folder}/done")
+    done = spark.read.parquet(f"{folder}/done")
+    found = quarantine.with_resolution(stored, done, Options(broadcast_limit_bytes=1))
+    assert joins(found) == (0, 1) and "explode" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("resolved").count() == 250 and found.count() == 1000
+
+
+def test_facts_beyond_the_limit_are_joined_by_shuffle(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("key"), "id")
+    facts = spark.createDataFrame([(0, "a"), (1, "b")], "key bigint, name string")
+    found = bounded_join(rows, facts, ["key"], Options(broadcast_limit_bytes=1))
+    assert joins(found) == (0, 1) and found.count() == 67
+
+
+def test_ids_to_resolve_are_matched_without_a_broadcast(spark, folder):
+    spark.createDataFrame([("a",), ("a",), ("b",)], "id string").write.parquet(f"{folder}/stored")
+    spark.createDataFrame([("a",), ("c",)], "id string").write.parquet(f"{folder}/ids")
+    found = quarantine.matching(spark.read.parquet(f"{folder}/stored"), spark.read.parquet(f"{folder}/ids"))
+    assert joins(found) == (0, 1) and [r["id"] for r in found.collect()] == ["a"]
