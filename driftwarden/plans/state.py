@@ -8,7 +8,7 @@ assumed: files give no transaction.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,12 +148,14 @@ class State:
         """Resolve records by id; the count is of the ids that were found."""
         if isinstance(ids, list):
             ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        found = quarantine.matching(self.records(), ids)
+        found = quarantine.matching(self._read(self._records_table(), quarantine.RECORDS), ids)
         when = at if at is not None else F.current_timestamp()
         nobody = {"run_id": F.lit(None).cast("string"), "attempt": F.lit(None).cast("int")}
-        resolved = found.withColumns({"resolved_at": when, **nobody})
+        # counted while they are written
+        seen = Observation()
+        resolved = found.withColumns({"resolved_at": when, **nobody}).observe(seen, F.count(F.lit(1)).alias("rows"))
         self._append("quarantine_resolutions", quarantine.RESOLUTIONS, resolved)
-        return found.count()
+        return seen.get["rows"]
 
     def purge(self, older_than_days: int, now: Column | None = None) -> int:
         """Drop old resolved records; only the partitions (source, run) that have some are written again.
