@@ -58,10 +58,6 @@ def profile(
 
 def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], options: Options) -> DataFrame:
     counters = _row_counters(piece)
-    error = "CAST(NULL AS string)"
-    if piece.has_errors:
-        counters["error"], error = f"min({_error(piece)})", "error"
-
     cells, parsed = [], []
     guessed: dict[str, Column] = {}
     for i, column in enumerate(piece.columns):
@@ -81,12 +77,10 @@ def _profile_piece(index: int, piece: Piece, targets: dict[str, set[str]], optio
 
     observed = f"array({', '.join(cells)})" if cells else "array()"
     return (
-        with_numbers(piece.frame, parsed)
-        .groupBy(SOURCE, BATCH)
-        .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
+        _counted(with_numbers(piece.frame, parsed), [SOURCE, BATCH], counters, piece, _error(piece))
         .withColumns(guessed)
         .selectExpr(
-            SOURCE, BATCH, f"{index} AS piece", "n_rows", "n_malformed", f"{error} AS error",
+            SOURCE, BATCH, f"{index} AS piece", "n_rows", "n_malformed", "error",
             f"filter(CAST({observed} AS array<{_CELL}>), cell -> cell.bucket IS NOT NULL) AS observed",
         )
     )
@@ -99,6 +93,19 @@ def _row_counters(piece: Piece) -> dict[str, str]:
     return {"n_rows": f"count_if(NOT {BAD})", "n_malformed": f"count_if({BAD})"}
 
 
+def _counted(rows: DataFrame, keys: list[str], counters: dict[str, str], piece: Piece, error: str) -> DataFrame:
+    """Counters by key, and the least message of its rows.
+
+    A minimum of text among the counters would make Spark sort all rows of a task instead of counting them in a hash table, so
+    rows are counted by message first, and the least one is taken from these counts.
+    """
+    made = [F.expr(sql).alias(name) for name, sql in counters.items()]
+    if not piece.has_errors:
+        return rows.groupBy(*keys).agg(*made).withColumn("error", F.lit(None).cast("string"))
+    by_message = rows.groupBy(*keys, F.expr(error).alias("error")).agg(*made)
+    return by_message.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in counters], F.min("error").alias("error"))
+
+
 def _error(piece: Piece) -> str:
     if not piece.has_errors:
         return "CAST(NULL AS string)"
@@ -122,7 +129,7 @@ def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], option
     values = piece.frame.selectExpr(*carried, f"inline(array({cells}))").withColumn("number", F.expr(text_number("v")))
 
     as_json = piece.token(names[0]) is not None
-    counters = {**_row_counters(piece), "error": "min(error)", "seen": "count_if(seen)", "present": "count(v)"}
+    counters = {**_row_counters(piece), "seen": "count_if(seen)", "present": "count(v)"}
     counters |= {
         f"like_{b}": f"count_if({cond})" for b, cond in looks("v", "token" if as_json else None, "number").items()
     }
@@ -142,8 +149,7 @@ def _profile_text(index: int, piece: Piece, targets: dict[str, set[str]], option
     )
     ordered = "array_sort(collect_list(cell), (a, b) -> a.ordinal - b.ordinal)"
     return (
-        values.groupBy(SOURCE, BATCH, "i")
-        .agg(*[F.expr(sql).alias(name) for name, sql in counters.items()])
+        _counted(values, [SOURCE, BATCH, "i"], counters, piece, "error")
         .withColumn("bucket", F.expr(_guess("", [str(i) for i, c in enumerate(names) if c in piece.dated])))
         .selectExpr(SOURCE, BATCH, "n_rows", "n_malformed", "error", f"{cell} AS cell")
         .groupBy(SOURCE, BATCH)
