@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwarden.functions.sql import literal, named, words
+from driftwarden.operators.joins import bounded_join
 from driftwarden.options import Options
 from driftwarden.scratch import cut
 from driftwarden.sources.batching import AT, numbered, placed_in_files
@@ -34,7 +35,10 @@ def file_batch():
 
 
 def _header_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line): the first line of every file, told by its place in the file."""
+    """(file, line): the first line of every file, told by its place in the file.
+
+    The places are found first: the line itself in that aggregate would make Spark sort all lines of a task.
+    """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -42,7 +46,9 @@ def _header_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "value",
     )
     # only the first split of a file can hold its header
-    return lines.where("block = 0").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    lines = lines.where("block = 0")
+    first = cut(lines.groupBy("file").agg(F.min("place").alias("place")))
+    return bounded_join(lines, first, ["file", "place"], Options(), salts=1).select("file", F.col("value").alias("line"))
 
 
 def _split(line: str) -> list[str]:
@@ -78,8 +84,8 @@ Layout = tuple[DataFrame, list[tuple[str, str]], str]
 
 
 def _mixed(spark: SparkSession, path: str | list[str], options: dict[str, str]) -> list[Layout]:
-    """One layout per distinct header; the headers cost one scan of the text."""
-    lines = cut(_header_lines(spark, path))  # a row per file: the text is scanned once, however many layouts there are
+    """One layout per distinct header; the headers cost two plain scans of the text."""
+    lines = cut(_header_lines(spark, path))  # a row per file: the text is scanned twice, however many layouts there are
     layouts = sorted(row["line"] for row in lines.select("line").distinct().collect())
     found = []
     for line in layouts:
