@@ -3,8 +3,9 @@
 Every source is cut into blocks of ``block`` documents. The k-th block of a source with the share w of all weights has the window
 from floor(k / w) to ceil((k + 1) / w); earliest deadline first fills the slots, one block each. Windows follow from the weights
 themselves, as ratios of whole numbers without rounding, so at every slot each source has had its share to within less than
-one block, however long the corpus and however small the share. The driver computes the slots; blocks get larger with the corpus, so
-that there are ``MOST_SLOTS`` at the most, and tasks look up the slot of each document's block.
+one block, however long the corpus and however small the share. The driver computes the slots, at eight bytes for a block, and tasks
+look up the slot of each document's block. Blocks have the size asked for however many there are, so that a place in the mix does not
+depend on how large the corpus is; only a caller that gives ``most_slots`` has larger blocks from that number on.
 
 Beyond ``MOST_SOURCES`` sources there are two levels: sources are dealt to groups, tasks schedule the sources of a group over slots of its
 own, and the driver schedules the groups, in chunks of their slots, by the same rule. A source is then within less than a block of
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from driftwarden.llm.ranks import running
 from driftwarden.llm.tables import stored
 
-#: Bounds of what the driver schedules.
-MOST_SOURCES, MOST_SLOTS = 50_000, 1 << 20
+#: Sources that the driver schedules one by one.
+MOST_SOURCES = 50_000
 SCHEDULE = "doc_id long, source string, phase int, slot long, place int"
 
 
@@ -103,19 +104,20 @@ def tempered(counts: dict[str, int], exponent: float) -> dict[str, float]:
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, exponent: float = 0.5, most_slots: int = MOST_SLOTS,
+    docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, exponent: float = 0.5, most_slots: int | None = None,
     most_sources: int = MOST_SOURCES,
 ) -> DataFrame:
     """Every document's place in the mix: doc_id, source, phase, slot, place within the slot's block.
 
-    Without ``weights`` the target is the tempered share of each source. ``block`` is the least size of a block.
+    Without ``weights`` the target is the tempered share of each source. ``block`` is the size of a block, and with ``most_slots`` the least size.
     """
     named = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source")
     )
     sizes = stored(named.groupBy("source").count(), "mix-sizes")
     many = sizes.agg(F.count("*").alias("sources"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
-    block = max(block, -(-many["rows"] // most_slots))
+    if most_slots is not None:
+        block = max(block, -(-many["rows"] // most_slots))
     ranked = running(named, "source", "doc_id").select("doc_id", "source", "rank")
     if many["sources"] > most_sources:
         return _by_groups(ranked, sizes, weights, block, exponent, most_slots, most_sources, many["sources"])
@@ -154,7 +156,7 @@ _LOCAL = "group long, source string, number long, phase int, slot long, weight d
 
 
 def _by_groups(
-    ranked: DataFrame, sizes: DataFrame, weights: dict[str, float] | None, block: int, exponent: float, most_slots: int, most_sources: int, sources: int
+    ranked: DataFrame, sizes: DataFrame, weights: dict[str, float] | None, block: int, exponent: float, most_slots: int | None, most_sources: int, sources: int
 ) -> DataFrame:
     """Both levels: blocks get their slot within the group in tasks, groups their slots on the driver."""
 
@@ -176,7 +178,7 @@ def _by_groups(
     dealt = sizes.withColumn("group", F.expr(f"pmod(xxhash64(source), {groups})"))
     local = stored(dealt.groupBy("group").applyInArrow(schedule, _LOCAL), "mix-local")
     held = {r["group"]: r for r in local.groupBy("group").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()}
-    chunk = max(1, -(-sum(r["n"] for r in held.values()) // most_slots))
+    chunk = 1 if most_slots is None else max(1, -(-sum(r["n"] for r in held.values()) // most_slots))
     names = {str(g): r for g, r in held.items()}
     weighted = {g: r["weight"] for g, r in names.items() if r["weight"] > 0}
     above = stretches({g: -(-r["n"] // chunk) for g, r in names.items()}, weighted)

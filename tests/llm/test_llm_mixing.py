@@ -84,3 +84,10 @@ def test_given_weights_hold_over_hundreds_of_periods():
             assert abs(k - slot * share) < 1 and abs(k + 1 - (slot + 1) * share) < 1
         assert abs(p.blocks - ends * share) < 1
     assert sorted(s for p in first for s in p.slots) == list(range(ends))
+
+
+def test_blocks_have_the_size_asked_for_in_a_long_corpus(spark):
+    rows = (1 << 20) + 1000
+    docs = spark.range(rows).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")
+    found = mixing.mix_sources(docs, block=1).selectExpr("max(place)", "count(DISTINCT slot)", "max(slot)").first()
+    assert tuple(found) == (0, rows, rows - 1)
