@@ -16,7 +16,7 @@ from driftwarden.operators import ledger, quarantine
 from driftwarden.options import Options
 from driftwarden.operators.alerts import ALERTS
 from driftwarden.operators.joins import bounded_join
-from driftwarden.scratch import cut, partition_value, remove_matching
+from driftwarden.scratch import configured, cut, partition_value, remove_matching
 from driftwarden.sources import sinks
 from driftwarden.sources.sinks import path_missing
 
@@ -29,6 +29,7 @@ RUNS = """
 SNAPSHOTS = "snapshot int, made_at timestamp"
 COMMITS = "run_id string, attempt int, committed_at timestamp"
 _BY_RUN = ["source_name", "run_id"]
+_WRITERS = 8  # folders that a task writes to at once; only a task with rows for more of them sorts its rows
 
 
 class State:
@@ -56,14 +57,15 @@ class State:
 
     def _replace_run(self, name: str, ddl: str, rows: DataFrame) -> None:
         # what is left over from many tasks goes into files of a sensible size, hot partitions split
-        (
+        writer = (
             rows.select(*T.DataType.fromDDL(ddl).names)
             .hint("rebalance")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*_BY_RUN)
-            .parquet(f"{self.folder}/{name}")
         )
+        with configured(self.spark, "spark.sql.maxConcurrentOutputFileWriters", str(_WRITERS)):
+            writer.parquet(f"{self.folder}/{name}")
 
     def forget(self, run_id: str) -> None:
         """Remove what an earlier attempt of a run recorded; its run events stay."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +74,17 @@ def partition_value(spark: SparkSession, value: str) -> str:
     """A partition value as it is spelled in a folder's name, for a glob pattern."""
     spelled = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
     return "".join(f"\\{c}" if c in "\\*?[]{}^" else c for c in spelled)
+
+
+@contextmanager
+def configured(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A number the session leaves at 0 is set for one action; one that it has chosen stays."""
+    before = spark.conf.get(name, None)
+    if before not in (None, "0"):
+        yield
+        return
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

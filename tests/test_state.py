@@ -3,6 +3,7 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.fixtures import event_pieces
 from driftwarden import Options, State, run
@@ -189,3 +190,28 @@ def test_ids_to_resolve_are_matched_without_a_broadcast(spark, folder):
     spark.createDataFrame([("a",), ("c",)], "id string").write.parquet(f"{folder}/ids")
     found = quarantine.matching(spark.read.parquet(f"{folder}/stored"), spark.read.parquet(f"{folder}/ids"))
     assert joins(found) == (0, 1) and [r["id"] for r in found.collect()] == ["a"]
+
+
+@pytest.mark.parametrize("sources", [2, 20])
+def test_records_of_few_sources_are_written_without_sorting_rows(spark, folder, sources):
+    """Rows of a task are put apart by source; held and sorted only where there are many sources."""
+    state, setting = State(spark, folder), "spark.sql.maxConcurrentOutputFileWriters"
+    names = T.DataType.fromDDL(quarantine.RECORDS)
+    rows = spark.range(200).repartition(2).select(
+        F.format_string("s%02d", F.col("id") % sources).alias("source_name"), F.lit("r").alias("run_id"), F.col("id").cast("string").alias("id"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in names.fields[3:]],
+    )
+    before = spark.conf.get(setting, None)
+    state._replace_run("quarantine_records/snapshot=0", quarantine.RECORDS, rows)
+    assert "Sort" not in last_plan(spark)
+    assert spark.conf.get(setting, None) == before
+    kept = state.records().select("source_name", "id").collect()
+    assert sorted((r[0], int(r[1])) for r in kept) == sorted((f"s{i % sources:02d}", i) for i in range(200))
+
+
+def last_plan(spark):
+    """The plan of the newest write, as it was run."""
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    plans = spark._jsparkSession.sharedState().statusStore().executionsList()
+    told = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    return [t for t in told if "InsertIntoHadoopFsRelationCommand" in t][-1]
