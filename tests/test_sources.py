@@ -10,9 +10,9 @@ from driftwarden.operators.profile import profile
 from driftwarden.sources import sinks
 from driftwarden.sources.batching import in_rows, positions
 from driftwarden.sources.delimited import _header_lines, delimited
-from driftwarden.sources.frames import pieces_of
+from driftwarden.sources.frames import frame_pieces, pieces_of
 from driftwarden.sources.json_lines import json_lines
-from driftwarden.sources.pieces import BATCH, Piece, tag
+from driftwarden.sources.pieces import BATCH, Piece, tag, with_own_names
 
 
 def put(folder, name, text, age):
@@ -262,3 +262,14 @@ def test_headers_are_found_without_sorting_lines(spark, folder):
     found = _header_lines(spark, folder)
     assert sorts(found) == 0
     assert sorted((r["file"][-5:], r["line"]) for r in found.collect()) == [("a.csv", "k,v"), ("b.csv", "v"), ("c.csv", "k,v")]
+
+
+def test_reserved_names_are_loaded_without_sorting_rows(spark, folder):
+    """Data called ``_error`` is no message of a transform: no batch takes the least of it, from any kind of source."""
+    given = spark.range(30).selectExpr("id", "'x' AS _source", "concat('e', id) AS _error", "id % 7 AS _tokens", "id / 2 AS _batch")
+    sinks.write_delimited(given, f"{folder}/csv")
+    sinks.write_jsonl(given, f"{folder}/jsonl")
+    for pieces in (frame_pieces(given, "s", F.expr("_tokens % 3")), delimited(spark, f"{folder}/csv", "s"), json_lines(spark, f"{folder}/jsonl", "s")):
+        assert sorts(profile(pieces, Options())) == 0
+        found = with_own_names(Load(pieces).clean.drop("_source", "_batch")).select(*given.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, given.collect()))
