@@ -1,14 +1,13 @@
-"""Embedding near-dedup: a subspace pigeonhole join.
+"""Embedding near-dedup: a join of near vectors by boxes, with little on disk.
 
-Vectors are scaled to length one, rotated by a fixed random rotation and split into blocks of ``BLOCK_DIMENSIONS``. Two
-vectors of cosine c lie at squared distance 2 - 2c, so in one of the m blocks at least their squared distance is at most
-an m-th of it. Each block is joined under that budget: its first coordinates, more of them the more vectors a label has, give a grid
-cell; a vector is at home in one cell and a guest in those that its radius touches (cells are named by a hash, which can only add candidates), and home vectors are compared with all of their cell. The union over the
-blocks is verified by the cosine in double precision on the values as given, so no link is missed and none is wrong.
-
-A link is counted in the first block that admits it, at home, so a vector's links are summed without writing a
-pair; blocks hand on a spanning forest of what they connect. Equal vectors are one class. A cell of more than ``CHUNK`` members is cut into
-chunks that meet pairwise in different tasks, so a vector with a third of all rows around it is no single group.
+1. *Classes.* Equal vectors of a label are one class; a vector is kept as the bytes of its components.
+2. *Plan.* A label of at most ``CHUNK`` vectors (of 64 dimensions, fewer if they are longer) meets in one task. A larger one is cut into boxes of about so many,
+   for each of the starts that a linked pair can have (``boxes``). Some of its vectors, one in ``CHUNK / SEEN``, tell where to cut and how much each box
+   will hold; the result does not depend on them. A box that no cut makes smaller is cut into chunks, which meet pairwise in different tasks.
+3. *Passes.* The boxes are taken so many at a time that a pass writes about ``PASS_SHARE`` copies of all vectors; its shuffle files go before the next pass.
+4. *Links.* Within a task the boxes are cut on, down to ``CELL_TARGET`` vectors, which are compared by the first block of the start. What is close there is verified by the cosine in
+   double precision on the values as given, so no link is missed and none is wrong. A link is counted at its one start, in its one box, so a vector's
+   links are summed without writing a pair; tasks hand on a spanning forest of what they connect.
 
 Defined results: a vector that is null or zero, holds a null or a component that is not finite, or has no label links with
 nothing. Vectors of different lengths do not link. Equal vectors link, also under one vec_id; rows that
@@ -18,181 +17,293 @@ share a vec_id get one answer each, rows without one are left out. Other columns
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from driftwarden.llm.components import components, least_labels
+from driftwarden.llm.boxes import SEEN, WORTH, Group, Start, start_of, turned
+from driftwarden.llm.components import components
 from driftwarden.llm.hashing import mix
 from driftwarden.llm.jaccard import whole_groups
-from driftwarden.llm.tables import stored
+from driftwarden.scratch import configured, folders_made, fresh_folder, remove_folders
 
-BLOCK_DIMENSIONS, CHUNK, CELL_TARGET = 8, 1000, 400
-_SLACK = 1e-9
-_CELLS = "class_id long, size int, block int, cell long, home boolean"
+CHUNK, CELL_TARGET = 200_000, 2048
+#: Copies of all vectors that a pass writes, and vectors that one pass takes in any case.
+PASS_SHARE, PASS_LEAST = 2.0, 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PACKED = "vec_id long, label_key long, vector binary"
+_DEALT = "label_key long, part int, side int, below long, class_id long, copies long, vector binary"
 _FOUND = "a long, b long, n long"
 
 
-@cache
-def rotation(size: int) -> np.ndarray:
-    """A fixed random rotation of ``size`` dimensions."""
-    return np.linalg.qr(np.random.Generator(np.random.PCG64(size)).normal(size=(size, size)))[0]
+def _stored(frame: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``frame`` written to the shared folder and read back, and its path; the shuffle files that made it are gone."""
+    path = fresh_folder(frame.sparkSession, label)
+    with configured(frame.sparkSession, _CLEANUP, "true"):
+        frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """vec_id, label_key, vector of the vectors that can link: label_key stands for label and length, vector holds the components."""
+    kind = "float" if rows.select("embedding").schema[0].dataType.elementType == FloatType() else "double"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("embedding")
+            at = lists.offsets.to_numpy().astype(np.int64)
+            at = at - at[0]
+            # zero has one sign, a null is not finite
+            values = lists.flatten().to_numpy(zero_copy_only=False) + np.zeros((), f"<f{4 if kind == 'float' else 8}")
+            with np.errstate(over="ignore", invalid="ignore"):
+                length = np.add.reduceat(np.square(values, dtype=np.float64), at[:-1])
+            bytes_at = (at * values.itemsize).astype(np.int32)
+            vectors = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(bytes_at), pa.py_buffer(values)])
+            made = pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label_key"), vectors], names=["vec_id", "label_key", "vector"])
+            yield made.filter(pa.array((length > 0) & (length < np.inf)))
 
+    typed = rows.where("vec_id is not null and label is not null and size(embedding) > 0").select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("label", F.size("embedding")).alias("label_key"),
+        F.col("embedding").cast(f"array<{kind}>").alias("embedding"),
+    )
+    return typed.mapInArrow(packed, _PACKED)
 
-def blocks_of(size: int) -> list[slice]:
-    n = max(1, size // BLOCK_DIMENSIONS)
-    cuts = [round(i * size / n) for i in range(n + 1)]
-    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one length, as rows."""
+    vectors = vectors.cast(pa.large_binary())
+    at = np.frombuffer(vectors.buffers()[1], np.int64)[vectors.offset : vectors.offset + len(vectors) + 1]
+    return np.frombuffer(vectors.buffers()[2], np.uint8)[at[0] : at[-1]].view(f"<f{width}").reshape(len(vectors), -1)
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.sqrt((rows * rows).sum(1))[:, None]
 
+@dataclass
+class Box:
+    """A box of a label at one start: its lower sides, about how many vectors it holds, and into how many chunks it is cut."""
 
-def _matrix(lists: pa.Array, size: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+    label_key: int
+    start: int
+    low: np.ndarray
+    rows: float
+    chunks: int
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, label, embedding of the vectors that can link."""
-    length = "aggregate(embedding, 0d, (s, x) -> s + cast(x as double) * cast(x as double))"
-    good = f"label is not null and size(embedding) > 0 and {length} > 0 and {length} < double('Infinity')"
-    return rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding")).where(good)
+@dataclass(frozen=True)
+class Part:
+    """Two chunks of a box that meet in one task, or one with itself."""
+
+    box: int
+    low: int
+    high: int
+
+
+class Plan:
+    """Boxes of the large labels, and the passes that take them."""
+
+    def __init__(self, cosine: float, width: int) -> None:
+        self.cosine, self.width = cosine, width
+        self.boxes: list[Box] = []
+        self.parts: list[Part] = []
+        #: By label: the cuts of every start as (coordinate, value, below, above), or the box.
+        self.trees: dict[int, list[tuple]] = {}
+
+    def add(self, label_key: int, seen: np.ndarray, weight: float, most: int) -> None:
+        """Cut a label, of which ``seen`` are some vectors that stand for ``weight`` each, into boxes of ``most`` vectors."""
+        size = seen.shape[1]
+        own = turned(seen)
+
+        def made(start: Start, at: np.ndarray, rows: np.ndarray, spent: np.ndarray, low: np.ndarray):
+            n = max(1, len(rows)) * weight
+            if n > most and len(rows) > 1:
+                k, value, left = start.cut(at[rows], low)
+                if left < WORTH:
+                    lower, upper = start.sides(at, rows, spent, low, k, value)
+                    raised = low.copy()
+                    raised[k] = value
+                    return k, value, made(start, at, *lower, low), made(start, at, *upper, raised)
+            self.boxes.append(Box(label_key, start.number, low, n, -(-2 * int(n) // most) if n > most else 1))
+            return len(self.boxes) - 1
+
+        trees = []
+        for number in range(start_of(self.cosine, size, 0).blocks):
+            start = start_of(self.cosine, size, number)
+            at = start.of(own)
+            trees.append(made(start, at, np.arange(len(at)), start.spent(at, start.open), start.open))
+        self.trees[label_key] = trees
+
+    def passes(self, small: float, most: float) -> list[dict[int, list[int]]]:
+        """The parts of each box that a pass takes; the first also takes the ``small`` vectors of other labels."""
+        taken: list[dict[int, list[int]]] = [{}]
+        full = small
+        for number, box in enumerate(self.boxes):
+            for low, high in itertools.combinations_with_replacement(range(box.chunks), 2):
+                n = box.rows / box.chunks * (1 + (low < high))
+                if full and full + n > most:
+                    taken.append({})
+                    full = 0
+                full += n
+                taken[-1].setdefault(number, []).append(len(self.parts))
+                self.parts.append(Part(number, low, high))
+        return taken
 
+    def pruned(self, tree, wanted: dict[int, list[int]]):
+        """A tree without the cuts that lead to no wanted box."""
+        if not isinstance(tree, tuple):
+            return tree if tree in wanted else None
+        below, above = self.pruned(tree[2], wanted), self.pruned(tree[3], wanted)
+        return None if below is None and above is None else (*tree[:2], below, above)
 
-def _in_cells(cosine: float, grid: int):
-    """The cells of every block that each class belongs to."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(start: Start, at: np.ndarray, tree) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The boxes that are left of a tree, their rows and their lower sides."""
+    todo = [(tree, np.arange(len(at)), start.spent(at, start.open), start.open)]
+    while todo:
+        tree, rows, spent, low = todo.pop()
+        if tree is None or not len(rows):
+            continue
+        if not isinstance(tree, tuple):
+            yield tree, rows, low
+            continue
+        k, value, below, above = tree
+        lower, upper = start.sides(at, rows, spent, low, k, value)
+        raised = low.copy()
+        raised[k] = value
+        todo += [(below, *lower, low), (above, *upper, raised)]
+
+
+def _dealt(plan: Plan, wanted: dict[int, list[int]], first: bool) -> Callable:
+    """Each vector in the parts of a pass that it belongs to or visits; the labels without boxes in the first pass."""
+    large, cosine, width = np.array(sorted(plan.trees), np.int64), plan.cosine, plan.width
+    trees = {key: [(n, t) for n, t in enumerate(plan.pruned(x, wanted) for x in made) if t is not None] for key, made in plan.trees.items()}
+    parts = {box: (plan.boxes[box].chunks, [(k, plan.parts[k].low, plan.parts[k].high) for k in mine]) for box, mine in wanted.items()}
+
+    def of_label(rows: np.ndarray, classes: np.ndarray, made: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+        own = turned(rows)
+        for number, tree in made:
+            start = start_of(cosine, rows.shape[1], number)
+            at = start.of(own)
+            for box, here, low in _leaves(start, at, tree):
+                below = start.below(at[here], low)
+                chunks, mine = parts[box]
+                side = (mix(classes[here].astype(np.uint64)) % np.uint64(chunks)).astype(np.int32)
+                for part, low_side, high_side in mine:
+                    among = (side == low_side) | (side == high_side)
+                    yield here[among], np.full(np.count_nonzero(among), part, np.int32), side[among], below[among]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column("size").to_numpy(zero_copy_only=False)
-            for size in np.unique(lengths):
-                mine = batch.filter(pa.array(lengths == size))
-                ids = mine.column("class_id").to_numpy(zero_copy_only=False)
-                turned = _unit(_matrix(mine.column("embedding"), int(size))) @ rotation(int(size))
-                parts = blocks_of(int(size))
-                reach = math.sqrt((2 - 2 * cosine) / len(parts)) * (1 + _SLACK) + _SLACK
-                for number, part in enumerate(parts):
-                    at = turned[:, part][:, :grid]
-                    home = np.floor(at / (4 * reach)).astype(np.int64)
-                    low, high = (np.floor((at + d) / (4 * reach)).astype(np.int64) for d in (-reach, reach))
-                    other = np.where(low != home, low, high)
-                    # how far the other cell is: a guest stands within the radius of the cell, over all coordinates together
-                    edge = np.where(low != home, at - home * 4 * reach, (home + 1) * 4 * reach - at)
-                    for moved in itertools.product((False, True), repeat=at.shape[1]):
-                        cell, good, far = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool), np.zeros(len(ids))
-                        for k, away in enumerate(moved):
-                            cell = mix(cell + (other if away else home)[:, k].astype(np.uint64) + np.uint64(k + 1))
-                            if away:
-                                good &= other[:, k] != home[:, k]
-                                far += edge[:, k] * edge[:, k]
-                        good &= far <= reach * reach
-                        cell = cell.view(np.int64)
-                        n = int(good.sum())
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(ids[good]), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, number, np.int32)),
-                                pa.array(cell[good]), pa.array(np.full(n, not any(moved))),
-                            ],
-                            names=["class_id", "size", "block", "cell", "home"],
-                        )
-
-    return made
-
-
-def _linked(cosine: float):
-    """Links of each group's home vectors with its members: counts, and a forest of what they connect."""
+            keys = batch.column("label_key").to_numpy(zero_copy_only=False)
+            classes = batch.column("class_id").to_numpy(zero_copy_only=False)
+            boxed = np.isin(keys, large)
+            some = np.flatnonzero(~boxed) if first else np.zeros(0, np.int64)
+            found = [(some, np.full(len(some), -1, np.int32), np.zeros(len(some), np.int32), np.zeros(len(some), np.int64))]
+            for key in np.unique(keys[boxed]).tolist():
+                if trees[key]:
+                    rows = np.flatnonzero(keys == key)
+                    of = of_label(_matrix(batch.column("vector").take(pa.array(rows)), width), classes[rows], trees[key])
+                    found += [(rows[here], *rest) for here, *rest in of]
+            rows, part, side, below = (np.concatenate(x) for x in zip(*found, strict=True))
+            rows = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("label_key").take(rows), pa.array(part), pa.array(side), pa.array(below),
+                    *(batch.column(c).take(rows) for c in ("class_id", "copies", "vector")),
+                ],
+                names=["label_key", "part", "side", "below", "class_id", "copies", "vector"],
+            )
+
+    return dealt
+
+
+def _linked(plan: Plan, wanted: dict[int, list[int]], most: int) -> Callable:
+    """Links of the vectors that meet: counts, and a forest of what they connect."""
+    cosine, width = plan.cosine, plan.width
+    boxes = {k: (plan.boxes[box].start, plan.boxes[box].low, plan.parts[k].low < plan.parts[k].high) for box, mine in wanted.items() for k in mine}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cut in whole_groups(batches, ["label_key", "block", "cell", "left", "right"]):
-            ids, sizes, held, block = (table.column(c).to_numpy() for c in ("class_id", "size", "copies", "block"))
-            as_home, as_member = (table.column(c).to_numpy() for c in ("as_home", "as_member"))
-            vectors = table.column("embedding").combine_chunks()
-            vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        for table, cut in whole_groups(batches, ["label_key", "part"]):
+            part, side, below, ids, copies = (table.column(c).to_numpy() for c in ("part", "side", "below", "class_id", "copies"))
             out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 if j - i < 2:
                     continue
-                unit = _unit(_matrix(vectors.slice(i, j - i), int(sizes[i])))
-                turned = unit @ rotation(int(sizes[i]))
-                parts = blocks_of(int(sizes[i]))
-                budget = (2 - 2 * cosine) / len(parts) * (1 + _SLACK) + _SLACK
-                home, member = np.flatnonzero(as_home[i:j]), np.flatnonzero(as_member[i:j])
-                p, q = turned[home][:, parts[block[i]]], turned[member][:, parts[block[i]]]
-                near = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T <= budget
-                a, b = np.nonzero(near)
-                a, b = home[a], member[b]
-                own = ids[i:j]
-                keep = own[a] != own[b]
-                a, b = a[keep], b[keep]
-                good = np.zeros(len(a), bool)
-                for k in range(0, len(a), 1 << 15):
-                    x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-                    sure = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
-                    for part in parts[: block[i]]:
-                        apart = turned[x][:, part] - turned[y][:, part]
-                        sure &= (apart * apart).sum(1) > budget
-                    good[k : k + (1 << 15)] = sure
-                a, b = a[good], b[good]
-                if not len(a):
-                    continue
-                count = np.bincount(a, held[i:j][b], minlength=j - i).astype(np.int64)
-                some = np.flatnonzero(count)
-                out.append(np.stack([own[some], own[some], count[some]], 1))
-                nodes, roots = least_labels(own[a], own[b])
-                moved = nodes != roots
-                out.append(np.stack([nodes[moved], roots[moved], np.zeros(moved.sum(), np.int64)], 1))
+                vectors = table.column("vector").slice(i, j - i).combine_chunks()
+                vectors = pa.concat_arrays(vectors.chunks) if isinstance(vectors, pa.ChunkedArray) else vectors
+                group = Group(_matrix(vectors, width), ids[i:j], copies[i:j], cosine)
+                if part[i] >= 0:
+                    number, low, pairwise = boxes[part[i]]
+                    group.below, group.side = below[i:j], side[i:j] if pairwise else None
+                    group.pairs_of(start_of(cosine, group.size, number), low, most)
+                elif j - i <= 2 * most:
+                    group.all_pairs()
+                else:
+                    for number in range(len(group.parts)):
+                        start = start_of(cosine, group.size, number)
+                        group.pairs_of(start, start.open, most)
+                counts, root = group.found()
+                some, moved = np.flatnonzero(counts), np.flatnonzero(root != np.arange(j - i))
+                out.append(np.stack([ids[i:j][some], ids[i:j][some], counts[some]], 1))
+                out.append(np.stack([ids[i:j][moved], ids[i:j][root[moved]], np.zeros(len(moved), np.int64)], 1))
             made = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(made[:, k]) for k in range(3)], names=["a", "b", "n"])
 
     return found
 
 
+def planned(classes: DataFrame, cosine: float, width: int) -> tuple[Plan, list[dict[int, list[int]]]]:
+    """Boxes and passes for the labels that are too large for one task."""
+    most, weight = f"greatest(2, {CHUNK * 64 * width} div octet_length(vector))", f"greatest(1, {CHUNK * 64 * width} div octet_length(vector) div {SEEN})"
+    sizes = classes.groupBy("label_key").agg(
+        F.count("*").alias("n"), F.first(F.expr(most)).alias("most"), F.first(F.expr(f"octet_length(vector) div {width}")).alias("size")
+    )
+    sizes = _stored(sizes, "vector-labels")[0]
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large, plan = {r["label_key"]: r for r in sizes.where("n > most").collect()}, Plan(cosine, width)
+    if large:
+        some = classes.where(F.col("label_key").isin([*large]) & F.expr(f"pmod(xxhash64(vector), {weight}) = 0"))
+        seen: dict[int, list[bytes]] = {key: [] for key in large}
+        for r in some.select("label_key", "vector").collect():
+            seen[r["label_key"]].append(bytes(r["vector"]))
+        for key, vectors in sorted(seen.items()):
+            rows = np.frombuffer(b"".join(vectors), f"<f{width}").reshape(-1, large[key]["size"])
+            plan.add(key, rows, large[key]["n"] / max(1, len(rows)), large[key]["most"])
+    small = total - sum(r["n"] for r in large.values())
+    return plan, plan.passes(small, max(PASS_LEAST, PASS_SHARE * total))
+
+
 def near_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     """Every vector: vec_id, n_links, component_id, kept."""
-    good = stored(usable(rows), "vectors")
-    classes = stored(
-        good.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "vector-classes"
-    )
-    most = classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    grid = max(1, math.ceil(math.log(max(1, most) / CELL_TARGET + 1, 3)))
-    placed = classes.select("class_id", F.size("embedding").alias("size"), "embedding").mapInArrow(_in_cells(cosine, grid), _CELLS)
-    light = stored(placed.join(classes.select("class_id", "label"), "class_id"), "vector-cells")
-    key = ["label", "size", "block", "cell"]
-    cells = light.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
-    cells = stored(cells.select(*key, F.expr(f"cast(ceil(n / {CHUNK}) as int)").alias("chunks")), "open-cells")
-    dealt = light.join(cells, key).withColumn("chunk", F.expr("cast(pmod(xxhash64(class_id), chunks) as int)"))
-    # a member meets as home all chunks of its cell, and as member the home vectors of every chunk
-    roles = dealt.withColumn("role", F.explode(F.expr(
-        "concat("
-        "if(home, transform(sequence(0, chunks - 1), j -> struct(chunk as left, j as right, true as as_home, chunk = j as as_member)), array()),"
-        "filter(transform(sequence(0, chunks - 1), i -> struct(i as left, chunk as right, false as as_home, true as as_member)),"
-        " r -> not (home and r.left = chunk)))"
-    )))
-    grouped = roles.select(
-        "class_id", "size", "block", "cell", F.xxhash64("label", "size").alias("label_key"), "role.left", "role.right", "role.as_home", "role.as_member"
-    )
-    with_vectors = grouped.join(classes.select("class_id", "copies", "embedding"), "class_id")
-    groups = ["label_key", "block", "cell", "left", "right"]
-    found = stored(
-        with_vectors.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_linked(cosine), _FOUND), "vector-links"
-    )
-    counts = found.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "class_id")
-    per_class = stored(
-        classes.join(counts, "class_id", "left").join(joined, "class_id", "left").select(
-            "label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "class_id").alias("component_id"),
-        ), "class-links",
-    )
-    of_vector = good.join(per_class, ["label", "embedding"]).groupBy("vec_id").agg(
-        F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")
+    since = folders_made()
+    width = 4 if rows.select("embedding").schema[0].dataType.elementType == FloatType() else 8
+    classes = _stored(usable(rows).groupBy("label_key", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "vector-classes")[0]
+    copied = classes.where("copies > 1")
+    copies, copies_path = _stored(usable(rows).join(copied, ["label_key", "vector"]).select("vec_id", "class_id", "copies"), "vector-copies")
+    plan, passes = planned(classes, cosine, width)
+    found = []
+    for number, wanted in enumerate(passes):
+        among = F.col("label_key").isin([*{plan.boxes[box].label_key for box in wanted}])
+        among = among | ~F.col("label_key").isin([*plan.trees]) if number == 0 else among
+        dealt = classes.where(among).mapInArrow(_dealt(plan, wanted, number == 0), _DEALT)
+        met = dealt.repartition("label_key", "part").sortWithinPartitions("label_key", "part").mapInArrow(_linked(plan, wanted, CELL_TARGET), _FOUND)
+        found.append(_stored(met, "vector-links")[0])
+    links = reduce(DataFrame.unionByName, found)
+    counts = links.where("n > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+    joined = components(links.where("n = 0").select("a", "b")).withColumnRenamed("node", "class_id")
+    linked = counts.join(joined, "class_id", "left").select("class_id", "others", F.coalesce("component", "class_id").alias("component"))
+    of_class, class_path = _stored(linked, "class-links")
+    remove_folders(rows.sparkSession, since, keep=(copies_path, class_path))
+    alone = of_class.select(F.col("class_id").alias("vec_id"), F.col("others").alias("n_links"), F.col("component").alias("component_id"))
+    together = copies.join(of_class, "class_id", "left").select(
+        "vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")
     )
+    of_vector = alone.unionByName(together).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id")).join(of_vector, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
